@@ -27,10 +27,10 @@ BLOCK = 4096
 
 
 def flight(seed: int, land: bool) -> Callable[[pa.Table], pa.Table]:
-    """Flies one block of units, in an order that does not depend on how they came."""
+    """Flies one block of units, large ones first, so that small ones are left to land; the order does not depend on how they came."""
 
     def one(g: pa.Table) -> pa.Table:
-        g = g.drop_columns("block").sort_by([("size", "ascending"), ("_k1", "ascending"), ("_k2", "ascending")])
+        g = g.drop_columns("block").sort_by([("size", "descending"), ("_k1", "ascending"), ("_k2", "ascending")])
         p = fly(g["size"].to_numpy().astype(float), g["p"].to_numpy(), seed, land)
         return g.set_column(g.schema.get_field_index("p"), "p", pa.array(p))
 
