@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, language, mixing, neighbours, quality, token_counts, toxicity
+from . import byte_bpe, fingerprints, language, minhash, mixing, neighbours, quality, substrings, token_counts, toxicity
 from .common import fold, table
 
 
@@ -40,12 +40,22 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, index).select("doc_id", (fold("doc_id", 5) == 0).alias("held_out"), "score", "predicted", "nearest", "cosines")
 
 
+def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
+    return found.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.coalesce(gone, F.lit(0)).alias("n_chars_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "text", "removed", "first_doc_ids")
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = quality.train(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model).select("doc_id", (fold("doc_id", 3) == 1).alias("held_out"), "score", "predicted")
 
 
+def op9_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_groups(table(spark, sf_dir, "documents"))
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = language.identify(docs, language.fit(docs, language.learnable()))
@@ -53,7 +63,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_source_mix, op4_neighbours, op5_byte_bpe, op6_toxicity, op8_quality, op10_language)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_source_mix, op4_neighbours, op5_byte_bpe, op6_toxicity, op7_substrings, op8_quality, op9_near_duplicates, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
