@@ -77,7 +77,7 @@ def one_hot(x: np.ndarray, edges: np.ndarray) -> np.ndarray:
     return at + np.arange(x.shape[1]) * (edges.shape[1] + 1)
 
 
-def descend(at: np.ndarray, bins: int, gradient: Callable[[np.ndarray], np.ndarray], rounds: int, rate: float, decay: float = 1e-4) -> tuple[np.ndarray, float]:
+def descend(at: np.ndarray, bins: int, gradient: Callable[[np.ndarray], np.ndarray], rounds: int, rate: float, decay: float) -> tuple[np.ndarray, float]:
     """Adam on a linear model over one-hot bins; gradient gives the derivative of the risk by each row's output."""
     w, b = np.zeros(bins), 0.0
     m, v, mb, vb = np.zeros(bins), np.zeros(bins), 0.0, 0.0
@@ -87,7 +87,7 @@ def descend(at: np.ndarray, bins: int, gradient: Callable[[np.ndarray], np.ndarr
         gb = g.sum()
         m, v, mb, vb = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw * gw, 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb * gb
         c, d = 1 - 0.9**t, 1 - 0.99**t
-        w -= rate * (m / c) / (np.sqrt(v / d) + 1e-8)
+        w = w - rate * (m / c) / (np.sqrt(v / d) + 1e-8)
         b -= rate * (mb / c) / (np.sqrt(vb / d) + 1e-8)
     return w, b
 
@@ -107,24 +107,30 @@ def fit(positive: np.ndarray, unlabelled: np.ndarray, rounds: int = 300) -> Mode
     at, bins = one_hot(x, edges), x.shape[1] * BINS
     p = np.arange(len(x)) < len(positive)
     up, uu = p / p.sum(), ~p / (~p).sum()
+    decay = 1 / p.sum()  # one prior on the weights, whose share falls as rows grow
     s = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
     # first a plain classifier of positive against unlabelled, for the prior; halves of the sample take turns so that scores are held out
     held = np.zeros(len(x))
     for half in (0, 1):
-        w0, b0 = descend(at, bins, lambda z: np.where(np.arange(len(x)) % 2 == half, s(z) * uu - (1 - s(z)) * up, 0), rounds // 2, 0.05)
-        other = np.arange(len(x)) % 2 != half
+        own = np.arange(len(x)) % 2 == half
+
+        def plain(z: np.ndarray, own: np.ndarray = own) -> np.ndarray:
+            return np.where(own, s(z) * uu - (1 - s(z)) * up, 0)
+
+        w0, b0 = descend(at, bins, plain, rounds // 2, 0.05, decay)
+        other = ~own
         held[other] = w0[at[other]].sum(1) + b0
     prior = estimate_prior(held[p], held[~p])
 
     def risk(z: np.ndarray) -> np.ndarray:
         y = s(z)
-        negative = (uu * np.logaddexp(0, z)).sum() - prior * (up * np.logaddexp(0, z)).sum()
+        negative = float((uu * np.logaddexp(0, z)).sum()) - prior * float((up * np.logaddexp(0, z)).sum())
         if negative >= 0:
             return -prior * up * (1 - y) + uu * y - prior * up * y
         return -(uu * y - prior * up * y)  # the negative part has gone below zero: step back out of it
 
-    w, b = descend(at, bins, risk, rounds, 0.1)
+    w, b = descend(at, bins, risk, rounds, 0.1, decay)
     return Model(edges, w.reshape(-1, BINS), b, prior)
 
 

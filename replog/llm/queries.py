@@ -43,7 +43,7 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("removed", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.coalesce(gone, F.lit(0)).alias("n_chars_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "text", "removed", "first_doc_ids")
+    return found.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n_chars_kept"), F.coalesce(gone, F.lit(0)).alias("n_chars_removed"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"), "text", "removed", "earlier_doc_ids")
 
 
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

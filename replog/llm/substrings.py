@@ -100,7 +100,7 @@ def _chunks(size: int) -> Callable:
         for ids, keys, held in _blocks(batches, size):
             cuts = [ends(np.frombuffer(t, np.uint8)) for t in held]
             n = np.array([len(c) for c in cuts])
-            marks = b"".join(digest(t[a:z]) for t, c in zip(held, cuts, strict=True) for a, z in zip([0, *c[:-1].tolist()], c.tolist(), strict=True) if len(c))
+            marks = b"".join(digest(t[a:z]) for t, c in zip(held, cuts, strict=True) for a, z in zip([0, *c[:-1].tolist()], c.tolist()))
             d = np.frombuffer(marks, np.int64).reshape(-1, 2)
             doc, key = np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(keys, np.int32), n)
             place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
@@ -148,7 +148,7 @@ def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 
 
 def strip(text: str, places: list[int], owners: list[int], words: int = WORDS) -> tuple[str, list[dict], list[int]]:
-    """The text without runs of duplicate chunks of at least so many words; the runs as spans of code points; the documents that keep them."""
+    """The text without runs of duplicate chunks of at least so many words; the runs as spans of code points; documents that have them before."""
     code = text.encode("utf-8", "replace")
     cut = [0, *ends(np.frombuffer(code, np.uint8)).tolist()]
     owner = dict(zip(places, owners, strict=True))
@@ -171,7 +171,7 @@ def strip(text: str, places: list[int], owners: list[int], words: int = WORDS) -
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, the text without its repeated passages, and two more: removed (spans of code points in the old text) and first_doc_ids (where the passages stay)."""
+    """The columns of docs, the text without its repeated passages, and two more: removed (spans of code points in the old text) and earlier_doc_ids (documents that have the passages before)."""
     keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_key": F.hash(F.col(text_col))})
     found = duplicates(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col(text_col).cast("string").alias("text")), block)
     # equal rows may have been in different blocks, and so have been told of the same chunk twice
@@ -189,8 +189,8 @@ def deduplicate(docs: DataFrame, words: int = WORDS, block: int = BLOCK, id_col:
             new = list(b.columns[:n])
             new[at] = pa.array([r[0] for r in rows], pa.string())
             spans = pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            return pa.record_batch([*new, spans, pa.array([r[2] for r in rows], pa.list_(pa.int64()))], [*columns, "removed", "first_doc_ids"])
+            return pa.record_batch([*new, spans, pa.array([r[2] for r in rows], pa.list_(pa.int64()))], [*columns, "removed", "earlier_doc_ids"])
 
         return one
 
-    return map_batches(joined, make, f"{fields}, removed array<struct<start: long, end: long>>, first_doc_ids array<long>")
+    return map_batches(joined, make, f"{fields}, removed array<struct<start: long, end: long>>, earlier_doc_ids array<long>")

@@ -28,7 +28,7 @@ from .common import fold, map_batches, plain, sampled_labels, texts
 #: Labelled examples that the index holds, at most.
 SAMPLE = 12_000
 #: Terms of the vocabulary, at most, and the chi square that a term must reach.
-TERMS, CHI_SQUARE = 4096, 40.0
+TERMS, CHI_SQUARE = 4096, 30.0
 NEIGHBOURS = 16
 #: Postings in a block.
 BLOCK = 64
@@ -98,23 +98,6 @@ class Index:
         return float(self.curve[0] if vote < 0 else np.interp(vote, np.linspace(0, 1, len(self.curve) - 1), self.curve[1:]))
 
 
-def vocabulary(rows: list[tuple[int, int, list[str]]], most: int = TERMS, least: float = CHI_SQUARE) -> list[str]:
-    """The terms of (id, label, distinct terms) rows whose presence tells labels apart most."""
-    seen, positive, n, p = Counter(), Counter(), len(rows), sum(r[1] for r in rows)
-    for _, y, terms in rows:
-        seen.update(terms)
-        if y:
-            positive.update(terms)
-    told = []
-    for t, df in seen.items():
-        a = positive[t]
-        expected = [(df * p / n, a), (df * (n - p) / n, df - a), ((n - df) * p / n, p - a), ((n - df) * (n - p) / n, n - df - p + a)]
-        chi = sum((o - e) ** 2 / e for e, o in expected if e > 0)
-        if chi >= least and df > 1:
-            told.append((-chi, t))
-    return [t for _, t in sorted(told)[:most]]
-
-
 def build(examples: list[tuple[int, int, Counter]], terms: dict[str, int], idf: np.ndarray, k: int = NEIGHBOURS) -> Index:
     """An index over (id, label, counts by term number), with its calibration."""
     examples = sorted(examples, key=lambda x: (x[0], x[1]))
