@@ -224,3 +224,12 @@ def apply_records(lines: DataFrame) -> DataFrame:
 def split_events(lines: DataFrame, events: DataFrame, name: str = "event") -> DataFrame:
     """lines with the last event at or before them, by file."""
     return asof_backward(lines, events.select("file_id", F.col(LINE).alias("event_line"), name), FILE, LINE, "event_line", [name])
+
+
+def one_by_one_script(lines: DataFrame) -> DataFrame:
+    """One-by-one stretches by table in the script's dialect: how many, their events (by the last range before), failed executions, total and longest time."""
+    spans = one_by_one_intervals(lines)
+    ranges = lines.filter(R.matches("body", P.RUN_STATEMENT)).select("file_id", LINE, (R.found("body", P.RUN_STATEMENT, 3).cast("long") - R.found("body", P.RUN_STATEMENT, 2).cast("long") + 1).alias("events"))
+    sized = asof_backward(spans, ranges.withColumnRenamed(LINE, "range_line"), FILE, "start_line", "range_line", ["events"])
+    d = seconds(F.col("end_timestamp"), F.col("start_timestamp"))
+    return sized.groupBy("file_id", "table_name").agg(F.count("*").alias("switches"), F.sum("events").alias("events"), F.sum("failed").alias("failed"), F.sum(d).alias("total_seconds"), F.max(d).alias("max_seconds"))

@@ -246,3 +246,39 @@ def work_table_events(lines: DataFrame) -> DataFrame:
     """Creations of the apply's helper table with their last column."""
     hits = lines.filter(F.lower(F.col("body")).contains("create table") & F.col("body").contains("attrep_changes"))
     return hits.select("file_id", "line_number", "timestamp", found("body", r"(?i)attrep_changes(\w+)").alias("work_table"), found("body", r"\[(\w+)\][^\[]*$").alias("last_column"))
+
+
+def prompt_error_tokens(lines: DataFrame, most: int = 14) -> DataFrame:
+    """The first distinct error tokens of each file in order: issue numbers, vendor codes, hexadecimal values, five characters at least."""
+    from replog.plans.scale import topk_per_group
+
+    pattern = r"(RECOB-\d+|ORA-\d+|SQLSTATE[ :=]*\w+|SQL\d+\w*|ERR[-_ ]?\d+|0x[0-9A-Fa-f]+)"
+    hits = lines.select("file_id", "line_number", F.posexplode(F.regexp_extract_all("body", F.lit(pattern), F.lit(1))).alias("at", "token"))
+    own = hits.withColumn("token", F.substring(F.trim("token"), 1, 120)).filter(F.length("token") >= 5).withColumn("_key", F.lower("token"))
+    once = topk_per_group(own, ["file_id", "_key"], ["line_number", "at"], 1).drop("_key")
+    return topk_per_group(once, ["file_id"], ["line_number", "at"], most, "rank")
+
+
+#: What a log's first lines tell of its task.
+PROPERTIES = {
+    "task_name": r"Task Server Log\s*-\s*([A-Za-z0-9_.-]+)", "version": r"\(V(\d[\w.\-]*)", "host": r"\(V\d[\w.\-]*\s+([A-Za-z0-9][-A-Za-z0-9.]+)", "os": r"\(V\d[\w.\-]*\s+\S+\s+([^,)]+)", "pid": r"PID:\s*(\d+)", "started": r"started at ([^)]+)\)",
+    "rollover": r"(?i)(log file (?:was )?roll(?:ed)? ?over)", "run_mode": r"(?i)running\s+(full load(?:\s+and\s+CDC)?|CDC only)", "source_provider": r"(?i)Source endpoint '[^']+' is using provider syntax '([^']+)'", "target_provider": r"(?i)Target endpoint '[^']+' is using provider syntax '([^']+)'",
+}
+
+
+def task_properties(lines: DataFrame, within: int = 1000) -> DataFrame:
+    """What the first lines of each file tell of its task; a later line overwrites an earlier one. Log levels come as a list in order."""
+    head = lines.filter(F.col("line_number") <= within)
+    last = [F.max_by(found("body", p), F.when(found("body", p).isNotNull(), F.col("line_number"))).alias(n) for n, p in PROPERTIES.items()]
+    level = found("body", r"(?i)(\w+ (?:log|logging) level (?:is )?(?:set|changed)[^.]*)")
+    levels = F.transform(F.array_sort(F.collect_list(F.when(level.isNotNull(), F.struct("line_number", level.alias("l"))))), lambda x: x["l"])
+    return head.groupBy("file_id").agg(*last, levels.alias("levels"))
+
+
+def header_info(lines: DataFrame, files: DataFrame, within: int = 200) -> DataFrame:
+    """Task, version, host and endpoints of each file (file_id, filename); the task's name is else the file name's."""
+    head = task_properties(lines, within)
+    ends = task_config(lines.filter(F.col("line_number") <= within)).select("file_id", "source_type", "target_type")
+    named = files.select("file_id", found("filename", r"reptask_(.+?)\.log").alias("_file_task"))
+    out = named.join(head, "file_id", "left").join(ends, "file_id", "left")
+    return out.withColumn("task_name", F.coalesce("task_name", "_file_task")).drop("_file_task")

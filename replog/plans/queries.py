@@ -11,6 +11,7 @@ from replog.functions import patterns as P
 from replog.operators import apply as A
 from replog.operators import corpus as K
 from replog.operators import events as E
+from replog.operators import fullload as FL
 from replog.operators import graph as G
 from replog.operators import issues as I
 from replog.operators import latency as L
@@ -18,7 +19,7 @@ from replog.operators import parse as R
 from replog.operators import redact as D
 from replog.plans.scale import floor_percentile, runs, topk_per_group
 from replog.sources import logs as S
-from replog.sources.synth import LINES_SQL, raw_lines
+from replog.sources.synth import LINES_SQL, LOAD_SQL, load_lines, raw_lines
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -102,6 +103,11 @@ def over_lines(name: str, make: Callable[[DataFrame], DataFrame], sql: str | Non
     register(name, lambda s, d: make(lines(s, d)), sql)
 
 
+def first_errors(ln: DataFrame) -> DataFrame:
+    """The first error of each component of a file, as anchors."""
+    return R.error_lines(ln).groupBy("file_id", "component").agg(F.min("line_number").alias("n")).select("file_id", F.concat(F.lit("error:"), F.col("n").cast("string")).alias("anchor"))
+
+
 def _fact(name: str) -> Callable[[Callable[[DataFrame], DataFrame]], Callable[[DataFrame], DataFrame]]:
     source = {"perf": R.parse_latency, "errors": R.error_lines, "batches": E.batches}[name]
     return lambda f: lambda ln: f(source(ln))
@@ -189,7 +195,7 @@ over_lines("preflight", lambda ln: I.preflight(ln, {"performance": R.parse_laten
 over_lines("retrieval_query", errors(I.retrieval_query))
 over_lines("cooccurring_errors", errors(G.cooccurring_errors), "SELECT a.file_id, a.line_number AS a, b.line_number AS b, CASE WHEN a.component = b.component THEN 'component' WHEN a.error_code = b.error_code THEN 'code' ELSE 'thread' END AS why, round(greatest(0.2, 1 - (b.line_number - a.line_number) / 50.0), 6) AS weight FROM errors a JOIN errors b ON a.file_id = b.file_id AND b.line_number - a.line_number BETWEEN 1 AND 50 AND (a.component = b.component OR a.error_code = b.error_code OR a.thread_id = b.thread_id)")
 over_lines("error_edges", lambda ln: G.error_edges(R.error_lines(ln), E.batches(ln)).groupBy("file_id", "edge_type", "provenance").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")))
-over_lines("neighbors", lambda ln: G.rank_neighbors(G.neighbors(G.error_edges(R.error_lines(ln), E.batches(ln)), R.error_lines(ln).filter("line_number % 100 = 0").select("file_id", F.concat(F.lit("error:"), F.col("line_number").cast("string")).alias("anchor"))), 10_000))
+over_lines("neighbors", lambda ln: G.rank_neighbors(G.neighbors(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln)), 10_000))
 over_lines("preset_pattern_hits", lambda ln: R.preset_pattern_hits(ln, {"ora": P.ORA, "busy": "(?i)busy", "redo": "(?i)redo log"}), "SELECT file_id, label, count(*) AS hits FROM (" + " UNION ALL ".join(f"SELECT file_id, '{k}' AS label FROM lines WHERE {has(p)}" for k, p in (("ora", P.ORA), ("busy", "(?i)busy"), ("redo", "(?i)redo log"))) + ") GROUP BY ALL")
 over_lines("task_config", R.task_config)
 
@@ -205,3 +211,50 @@ register("document_tokens", lambda s, d: I.build_token_index(table(s, d, "docume
 register("vector_topk", lambda s, d: K.vector_topk(table(s, d, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"), "label"), table(s, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"), "label"), 5, ["label"]), "SELECT query_id, rank, id, round(similarity, 6) AS similarity FROM (SELECT a.vec_id AS query_id, b.vec_id AS id, greatest(0.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) AS similarity, row_number() OVER (PARTITION BY a.vec_id ORDER BY greatest(0.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[]))) DESC, b.vec_id) AS rank FROM embeddings a JOIN embeddings b ON a.label = b.label WHERE a.vec_id % 100 = 0) WHERE rank <= 5", base=False)
 register("classify_questions", lambda s, d: I.classify_questions(table(s, d, "conversations").filter("role = 'user'").withColumnRenamed("text", "question")).groupBy("mode", "intent").agg(F.count("*").alias("n")))
 register("report_sections", lambda s, d: K.report_sections(table(s, d, "documents").select("doc_id", F.concat(F.lit("# Text\n"), "text").alias("text")), "doc_id").select("doc_id", "at", "level", "section", F.length("text").alias("n")))
+
+LOADS = f"""
+WITH raw AS ({LOAD_SQL.format(orders="orders")}),
+lines AS (SELECT file_id, line_number, body, {rx(P.LINE_START)} AS thread_id, strptime({rx(P.LINE_START, 2)}, '%Y-%m-%dT%H:%M:%S') AS timestamp, trim({rx(P.PREFIX, 3)}) AS component, {rx(P.SEVERITY)} AS severity FROM raw)
+"""
+
+
+def over_loads(name: str, make: Callable[[DataFrame], DataFrame], sql: str | None = None) -> None:
+    register(name, lambda s, d: make(R.fill_continuations(R.parse_prefix(load_lines(s, d)))), sql and f"{LOADS} {sql}", base=False)
+
+
+_KIND = "CASE " + " ".join(f"WHEN {has(p)} THEN '{k}'" for k, (p, _) in P.FULL_LOAD.items()) + " END"
+over_loads("full_load_events", lambda ln: R.parse_full_load(ln).groupBy("file_id", "kind").agg(F.count("*").alias("n"), F.sum("rows").alias("rows"), F.sum("volume").alias("volume")), f"SELECT file_id, kind, count(*) AS n, CAST(sum(CAST(coalesce({rx(r'([0-9]+) rows (?:sent|received)')}, NULL) AS BIGINT)) AS BIGINT) AS rows, CAST(sum(CAST({rx(r'Volume transferred ([0-9]+)')} AS BIGINT)) AS BIGINT) AS volume FROM (SELECT *, {_KIND} AS kind FROM lines) WHERE kind IS NOT NULL GROUP BY file_id, kind")
+over_loads("full_load_attempts", lambda ln: FL.attempts(ln).groupBy("file_id", "table_id", "attempt").agg(F.count("*").alias("events"), F.min("line_number").alias("first_line")), f"SELECT file_id, table_id, attempt, count(*) AS events, min(line_number) AS first_line FROM (SELECT *, CAST(1 + sum(CASE WHEN reload THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, table_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS attempt FROM (SELECT *, CAST(coalesce({rx(r'Id = ([0-9]+)')}, {rx(r'Reloading table ([0-9]+)')}) AS BIGINT) AS table_id, contains(body, 'Reloading') AS reload FROM lines) WHERE table_id IS NOT NULL) GROUP BY ALL")
+over_loads("full_load_segments", FL.segments)
+over_loads("full_load_tables", FL.tables)
+over_loads("full_load_report", FL.report)
+over_loads("full_load_insights", FL.insights)
+over_loads("full_load_condensed", FL.condensed)
+over_loads("split_predicates", FL.split_predicates)
+over_loads("file_operations", E.file_operations)
+over_loads("file_operations_simple", lambda ln: E.file_operations(ln, simple=True), f"SELECT file_id, max(CASE WHEN kind = 'uploaded' THEN line_number END) AS line_number, name AS file_name, max(size_bytes) AS size_bytes, coalesce(CAST(epoch(arg_min(timestamp, line_number) FILTER (WHERE kind = 'uploaded')) - epoch(arg_min(timestamp, line_number) FILTER (WHERE kind = 'start')) AS DOUBLE), 0) AS total_seconds, round(max(size_bytes) / 1024 / nullif(epoch(arg_min(timestamp, line_number) FILTER (WHERE kind = 'uploaded')) - epoch(arg_min(timestamp, line_number) FILTER (WHERE kind = 'start')), 0), 6) AS throughput_kbps FROM (SELECT *, coalesce(sum(CASE WHEN kind = 'uploaded' THEN 1 ELSE 0 END) OVER (PARTITION BY file_id, name ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM (SELECT *, CASE WHEN {has(P.COMPRESS_START)} THEN 'start' ELSE 'uploaded' END AS kind, upper({rx(P.CSV_NAME)}) AS name, CAST({rx(P.UPLOADED, 2)} AS BIGINT) AS size_bytes FROM lines WHERE {has(P.COMPRESS_START)} OR {has(P.UPLOADED)})) GROUP BY file_id, name, island HAVING max(CASE WHEN kind = 'uploaded' THEN 1 END) = 1")
+over_loads("file_ops_summary", lambda ln: A.file_ops_summary(E.file_operations(ln)))
+over_loads("file_ops_stats", lambda ln: A.file_ops_stats(E.file_operations(ln)))
+over_loads("file_ops_insights", lambda ln: A.file_ops_insights(E.file_operations(ln)))
+over_loads("one_by_one_intervals", E.one_by_one_intervals, f"SELECT file_id, arg_min(tab, line_number) AS table_name, min(line_number) AS start_line, max(end_line) AS end_line, {TIME('arg_min(timestamp, line_number)', 'start_timestamp')}, {TIME('arg_max(timestamp, line_number)', 'end_timestamp')}, count(*) FILTER (WHERE contains(body, 'Failed to execute')) AS failed FROM (SELECT *, min(CASE WHEN contains(body, 'back to bulk') THEN line_number END) OVER (PARTITION BY file_id, island) AS end_line FROM (SELECT *, {rx(P.TABLE)} || '.' || {rx(P.TABLE, 2)} AS tab, sum(CASE WHEN contains(body, 'one-by-one') THEN 1 ELSE 0 END) OVER (PARTITION BY file_id ORDER BY line_number ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM lines WHERE contains(body, 'one-by-one') OR contains(body, 'back to bulk') OR contains(body, 'Failed to execute')) WHERE island > 0) WHERE line_number <= end_line GROUP BY file_id, island")
+over_loads("one_by_one_script", E.one_by_one_script)
+over_loads("no_bulk_no_pk", A.no_bulk_no_pk)
+over_loads("worker_threads", lambda ln: E.merge_worker_threads(E.component_stats(ln), ln).drop("first_ts", "last_ts"))
+over_loads("captured_events", lambda ln: R.sorter_metrics(ln).filter("metric = 'captured'").groupBy("file_id").agg(F.sum(F.col("value").cast("long")).alias("captured")), f"SELECT file_id, CAST(sum(CAST({rx(P.SORTER['captured'])} AS BIGINT)) AS BIGINT) AS captured FROM lines WHERE {has(P.SORTER['captured'])} GROUP BY file_id")
+over_loads("apply_events", R.parse_apply)
+over_lines("prompt_error_tokens", R.prompt_error_tokens)
+over_lines("error_codes_all", lambda ln: ln.select("file_id", F.explode(R.error_codes_all()).alias("code")).groupBy("file_id", "code").agg(F.count("*").alias("n")))
+over_lines("bulk_map_insights", lambda ln: A.bulk_map_insights(R.parse_bulk_map(ln)))
+over_lines("distinct_snippets", errors(I.distinct_snippets))
+over_lines("merge_evidence", lambda ln: I.merge_evidence([I.warning_tail(ln).select("file_id", "line_number", F.col("body").alias("text")), R.error_lines(ln).select("file_id", "line_number", "text")]))
+over_lines("latest_errors", errors(I.latest_errors), f"SELECT file_id, line_number, {TIME('timestamp')}, component, thread_id, severity, text, error_code, rank FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY timestamp DESC, line_number DESC) AS rank FROM errors) WHERE rank <= 10")
+over_lines("latency_series", perf(L.latency_series), f"SELECT file_id, line_number, {TIME('timestamp')}, source_latency, target_latency, handling_latency FROM perf")
+over_lines("filter_batches", batches(lambda b: I.filter_batches(b, ["TIM", "TMO"]).select("file_id", "line_number", "closure_reason")), "SELECT file_id, line_number, closure_reason FROM timed WHERE closure_reason IN ('TIM', 'TMO')")
+over_lines("error_mentions", errors(lambda e: I.error_mentions(e, e)))
+over_lines("related_context", lambda ln: G.related_context(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln), R.error_lines(ln)))
+over_lines("invalid_line_citations", lambda ln: K.invalid_line_citations(I.regex_search(ln, "ora-").select("file_id", F.concat(F.lit("LINE "), F.col("line_number") + 1).alias("text")), R.error_lines(ln), "file_id"))
+register("sensitive_rows", lambda s, d: D.drop_false_positives(D.sensitive_rows(table(s, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "text", ["key"])))
+register("redact_nested", lambda s, d: D.redact_nested(table(s, d, "conversations").select("conv_id", "turn", F.struct("role", F.array("text").alias("texts")).alias("m"))).select("conv_id", "turn", F.col("m.role").alias("role"), F.col("m.texts")[0].alias("text")))
+register("page_changes", lambda s, d: K.changed_articles(K.clean_articles(table(s, d, "pages")), K.clean_articles(table(s, d, "pages").withColumn("html", F.regexp_replace("html", "(?i)privacy", "terms")))))
+register("extract_keywords", lambda s, d: I.extract_keywords(table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"))).select("conv_id", "turn", "keywords"))
+register("embed_documents", lambda s, d: K.vector_stats(K.embed_documents(table(s, d, "documents").select(F.col("source").alias("file_id"), F.col("lang").alias("kind"), "text"))), "SELECT source AS file_id, lang AS kind, count(DISTINCT substr(md5(text), 1, 12)) AS documents FROM documents GROUP BY source, lang", base=False)

@@ -42,3 +42,32 @@ FROM (SELECT file_id, line_number, c, k,
 def raw_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """file_id, line_number and body of every line."""
     return spark.sql(LINES_SQL, events=spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+#: Load, upload and apply-mode lines derived from the orders table.
+LOAD_SQL = r"""
+SELECT file_id, line_number, lpad(CAST(sub AS STRING), 8, '0') || ': 2025-01-' || lpad(CAST(1 + CAST(floor(line_number / 86400) AS BIGINT) % 28 AS STRING), 2, '0') || 'T' || lpad(CAST(CAST(floor(line_number / 3600) AS BIGINT) % 24 AS STRING), 2, '0') || ':' || lpad(CAST(CAST(floor(line_number / 60) AS BIGINT) % 60 AS STRING), 2, '0')
+    || ':' || lpad(CAST(line_number % 60 AS STRING), 2, '0') || ' ' || CASE k
+    WHEN 0 THEN '[TASK_MANAGER    ]I:  Start loading segment #' || seg || ' of 4 of table ''dbo''.''t' || tab || ''' (Id = ' || tab || ') by subtask ' || CAST(sub AS STRING)
+    WHEN 1 THEN '[SOURCE_UNLOAD   ]I:  Unload finished for segment #' || seg || ' of segmented table ''dbo''.''t' || tab || ''' (Id = ' || tab || '). ' || CAST(n AS STRING) || ' rows sent.'
+    WHEN 2 THEN '[TARGET_LOAD     ]I:  Load finished for segment #' || seg || ' of segmented table ''dbo''.''t' || tab || ''' (Id = ' || tab || '). ' || CAST(n AS STRING) || ' rows received. 0 rows skipped. Volume transferred ' || CAST(n * 8 AS STRING) || '.'
+    WHEN 3 THEN CASE WHEN n % 9 = 0 THEN '[TASK_MANAGER    ]W:  Reloading table ' || tab || ' because subtask #' || CAST(sub AS STRING) || ' that was loading segment ' || seg || ' finished with error' ELSE '[TASK_MANAGER    ]I:  Loading goes on' END
+    WHEN 4 THEN '[FILE_FACTORY    ]T:  Going to compress file ''C:\out\CDC0' || tab || '.csv'' to ''C:\out\CDC0' || tab || '.csv.gz'''
+    WHEN 5 THEN '[FILE_FACTORY    ]T:  file compressed'
+    WHEN 6 THEN '[FILE_FACTORY    ]I:  File C:\out\CDC0' || tab || '.csv.gz of size ' || CAST(n * 100 AS STRING) || ' was uploaded successfully'
+    WHEN 7 THEN '[TARGET_APPLY    ]I:  Applying INSERT one-by-one for table ''dbo''.''t' || tab || ''''
+    WHEN 8 THEN '[TARGET_APPLY    ]E:  Failed to execute statement. NativeError: ' || CAST(n % 5 AS STRING)
+    WHEN 9 THEN '[TARGET_APPLY    ]I:  Switch back to bulk apply mode'
+    WHEN 10 THEN '[TARGET_APPLY    ]W:  There is no PK for table id ' || tab
+    WHEN 11 THEN '[SOURCE_CAPTURE  ]T:  Preparing read from ASM statement (' || CAST(n % 3 AS STRING) || ')'
+    WHEN 12 THEN '[TARGET_APPLY    ]D:  Going to run UPDATE statement from seq 1 to seq ' || CAST(n % 20 + 1 AS STRING)
+    WHEN 13 THEN '[SORTER          ]I:  captured ' || CAST(n AS STRING) || ' events'
+    WHEN 14 THEN '[SOURCE_UNLOAD   ]T:  Command ''UNLOAD_TABLE_SEGMENT'' received in component ''st_' || CAST(sub AS STRING) || '_x'''
+    ELSE '[SOURCE_UNLOAD   ]T:  Transformation Where ''id < ' || CAST(n AS STRING) || '''' END AS body
+FROM (SELECT o_custkey % 4 AS file_id, row_number() OVER (PARTITION BY o_custkey % 4 ORDER BY o_orderkey) - 1 AS line_number, CAST(o_orderkey % 7 AS STRING) AS tab, CAST(o_custkey % 4 + 1 AS STRING) AS seg, o_custkey % 6 AS sub, o_orderkey % 1000 AS n,
+      CAST(floor(o_orderkey / 2) AS BIGINT) % 16 AS k FROM {orders}) AS a
+"""
+
+
+def load_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """file_id, line_number and body of load, upload and apply-mode lines."""
+    return spark.sql(LOAD_SQL, orders=spark.read.parquet(f"{sf_dir}/orders.parquet"))
