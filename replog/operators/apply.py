@@ -212,3 +212,29 @@ def cockpit(lines: DataFrame) -> DataFrame:
     for p in parts:
         out = out.join(p, "file_id", "left")
     return out.fillna(0, ["spikes", "batches", "changes", "one_by_one", "tables", "errors"])
+
+
+def top_contributors(cockpit: DataFrame, batches: DataFrame, uploads: DataFrame, pain: DataFrame) -> DataFrame:
+    """What contributes most to a file's latency: its bottleneck, slow uploads, key conflicts, painful tables."""
+    pk = batches.groupBy("file_id").agg(percent(F.count_if(F.col("closure_reason").isin("PKi", "PKu", "PKd")), F.count("*")).alias("pk"))
+    up = uploads.groupBy("file_id").agg(F.avg("total_seconds").alias("upload"))
+    worst = pain.groupBy("file_id").agg(F.max("pain_score").alias("pain"), F.max_by("table_name", "pain_score").alias("worst_table"))
+    j = cockpit.select("file_id", "bottleneck").join(pk, "file_id", "left").join(up, "file_id", "left").join(worst, "file_id", "left")
+    return recommend(j, [(F.col("bottleneck").isin("source", "handling"), 1, "latency", F.concat(F.lit("bottleneck: "), F.col("bottleneck"))), (F.col("upload") > 1, 2, "files", "slow uploads"), (F.col("pk") > 10, 2, "batches", "key conflicts"), (F.col("pain") > 100, 1, "tables", F.concat(F.lit("painful table: "), F.col("worst_table")))])
+
+
+def bulk_apply_insights(batches: DataFrame) -> DataFrame:
+    """Warnings about bulk apply: time that does not grow with size, small batches, memory, timeouts, key conflicts."""
+    n, reason = F.count("*"), F.col("closure_reason")
+    s = batches.groupBy("file_id").agg(F.avg("changes_count").alias("avg"), F.corr("changes_count", "duration_seconds").alias("grows"), percent(F.count_if(reason == "MEM"), n).alias("memory"), percent(F.count_if(reason.isin("TIM", "TMO")), n).alias("timeouts"), percent(F.count_if(reason.isin("PKi", "PKu", "PKd")), n).alias("pk"))
+    return recommend(s, [(F.abs("grows") < 0.2, 2, "bulk", "latency dominates over size"), (F.col("avg") < 100, 2, "bulk", "small batches"), (F.col("memory") > 10, 1, "bulk", "memory closes batches"), (F.col("timeouts") > 20, 2, "bulk", "timeouts close batches"), (F.col("pk") > 0, 1, "bulk", "key conflicts close batches")])
+
+
+def summary_facts(profile: DataFrame, batches: DataFrame, errors: DataFrame) -> DataFrame:
+    """Compact facts of a file: median latencies with the target's delta to the source and its percentage, batches, changes, errors."""
+    mid = profile.groupBy("file_id").agg(*[F.max(F.when(F.col("kind") == k, F.col("p50"))).alias(k) for k in ("source", "target", "handling")])
+    delta = F.col("target") - F.col("source")
+    b = batches.groupBy("file_id").agg(F.count("*").alias("batches"), F.sum("changes_count").alias("changes"))
+    e = errors.groupBy("file_id").agg(F.count("*").alias("errors"))
+    out = mid.join(b, "file_id", "left").join(e, "file_id", "left").fillna(0, ["batches", "changes", "errors"])
+    return out.withColumns({"delta": delta, "delta_percent": F.when(F.col("source") > 0, 100 * delta / F.col("source"))})

@@ -260,3 +260,42 @@ def feedback_mismatch(fb: DataFrame) -> DataFrame:
 def latest_by(df: DataFrame, key: str, order: str) -> DataFrame:
     """The last row of each key."""
     return df.withColumn("_r", F.row_number().over(W.partitionBy(key).orderBy(F.desc(order)))).filter("_r = 1").drop("_r")
+
+
+def endpoint_aliases(df: DataFrame, aliases: DataFrame, col: str = "endpoint") -> DataFrame:
+    """df with the aliases (name, alias) of its endpoint's name, without the words source, target and endpoint."""
+    name = F.trim(F.regexp_replace(F.lower(F.col(col)), r"\b(source|target|endpoint)\b", ""))
+    known = aliases.groupBy(F.lower("name").alias("_name")).agg(F.array_sort(F.collect_set(F.lower("alias"))).alias("aliases"))
+    return df.withColumn("_name", name).join(known, "_name", "left").withColumn("aliases", F.array_union(F.array("_name"), F.coalesce("aliases", F.array().cast("array<string>")))).drop("_name")
+
+
+#: Groups of components, by pattern.
+GROUPS = {"source": r"source|capture|oracle|db2|mysql", "target": r"target|apply|snowflake|redshift|databricks", "server": r"server|rest|api", "ui": r"\bui\b|console|web", "transformation": r"transform|filter|expression", "security": r"security|ssl|certificate|password"}
+
+
+def component_group(col: str = "component") -> Column:
+    return F.coalesce(*[F.when(F.lower(F.col(col)).rlike(p), F.lit(g)) for g, p in GROUPS.items()], F.lit("other"))
+
+
+def filter_fixes(fixes: DataFrame, keyword: str) -> DataFrame:
+    """Fixes with the keyword in any of their columns, and the group of their component."""
+    every = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in fixes.columns]))
+    return fixes.filter(every.contains(keyword.lower())).withColumn("group", component_group())
+
+
+def file_context(docs: DataFrame, k: int = 5) -> DataFrame:
+    """Documents of each file and kind, k at most."""
+    return topk_per_group(docs, ["file_id", "kind"], ["id"], k)
+
+
+def delete_file(docs: DataFrame, file_id: int) -> DataFrame:
+    return docs.filter(F.col("file_id") != file_id)
+
+
+def chunks_by_version(chunks: DataFrame, version: str) -> DataFrame:
+    return chunks.filter(F.col("version") == version)
+
+
+def versions(notes: DataFrame) -> DataFrame:
+    """Distinct versions, the newest first."""
+    return notes.select("version").distinct().withColumn("rank", F.row_number().over(W.orderBy(F.desc(version_key("version")), "version")))

@@ -298,3 +298,17 @@ def dedupe_facts(facts: DataFrame) -> DataFrame:
 
 def empty_response_rate(calls: DataFrame) -> DataFrame:
     return calls.groupBy("model").agg(F.count("*").alias("requests"), F.count_if(F.trim(F.coalesce("response", F.lit(""))) == "").alias("empties")).withColumn("rate", F.round(F.col("empties") / F.col("requests"), 4))
+
+#: Symptoms of a log and what to search for, as name and pattern.
+SYMPTOMS = {"deadlock": r"(?i)deadlock", "lock timeout": r"(?i)lock wait|resource busy", "connection lost": r"(?i)connection (lost|reset|closed)", "timeout": r"(?i)timeout", "memory limit": r"(?i)memory limit|out of memory", "disk space": r"(?i)no space|disk full", "permission denied": r"(?i)permission|privilege|access denied", "primary key": r"(?i)no PK|primary key", "duplicate key": r"(?i)duplicate|unique", "certificate": r"(?i)certificate|ssl|tls", "truncation": r"(?i)truncat"}
+
+
+def kb_queries(errors: DataFrame, config: DataFrame, k: int = 12) -> DataFrame:
+    """Search texts of each file in order: its codes, then symptoms with the vendor that the source's type names, then components."""
+    codes = errors.filter("error_code is not null").select("file_id", F.lit(1).alias("priority"), F.col("error_code").alias("query"))
+    hits = F.array_compact(F.array(*[F.when(F.col("text").rlike(p), F.lit(n)) for n, p in SYMPTOMS.items()]))
+    vendor = config.select("file_id", "source_type")
+    symptoms = errors.select("file_id", F.explode(hits).alias("s")).join(vendor, "file_id", "left").select("file_id", F.lit(2).alias("priority"), F.trim(F.concat_ws(" ", "source_type", "s")).alias("query"))
+    parts = errors.filter("component is not null").select("file_id", F.lit(3).alias("priority"), F.concat("component", F.lit(" error")).alias("query"))
+    counted = codes.unionByName(symptoms).unionByName(parts).groupBy("file_id", "priority", "query").agg(F.count("*").alias("n"))
+    return topk_per_group(counted, FILE, ["priority", F.desc("n"), "query"], k, "rank")

@@ -258,3 +258,8 @@ register("redact_nested", lambda s, d: D.redact_nested(table(s, d, "conversation
 register("page_changes", lambda s, d: K.changed_articles(K.clean_articles(table(s, d, "pages")), K.clean_articles(table(s, d, "pages").withColumn("html", F.regexp_replace("html", "(?i)privacy", "terms")))))
 register("extract_keywords", lambda s, d: I.extract_keywords(table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"))).select("conv_id", "turn", "keywords"))
 register("embed_documents", lambda s, d: K.vector_stats(K.embed_documents(table(s, d, "documents").select(F.col("source").alias("file_id"), F.col("lang").alias("kind"), "text"))), "SELECT source AS file_id, lang AS kind, count(DISTINCT substr(md5(text), 1, 12)) AS documents FROM documents GROUP BY source, lang", base=False)
+over_lines("bulk_apply_insights", batches(A.bulk_apply_insights))
+over_lines("summary_facts", lambda ln: A.summary_facts(L.latency_profile(R.parse_latency(ln)), E.batches(ln), R.error_lines(ln)))
+over_lines("top_contributors", lambda ln: A.top_contributors(A.cockpit(ln), E.batches(ln), E.file_operations(ln), A.pain_tables(E.table_stats(ln))))
+over_lines("kb_queries", lambda ln: I.kb_queries(R.error_lines(ln), R.task_config(ln)))
+over_lines("task_properties", R.task_properties)
