@@ -3,7 +3,7 @@
 Texts are split into pre-tokens by the vocabulary's pattern. A block of neighbouring documents is written down as its distinct pre-tokens
 and, for each position, the number of the pre-token that stands there. Distinct pre-tokens of all blocks are shuffled by their bytes, so that
 each distinct word meets its equals in one task and is encoded once; the ids go back to the blocks, where they are joined to the positions.
-A word comes at most once from a block, so frequent words make no hot group. Decoding joins ids with the table of token bytes.
+A word comes at most once from a block, so frequent words make no hot group; a block's words for one task travel packed in one row. Decoding joins ids with the table of token bytes.
 
 Blocks are cut while a partition is read, so the input should be a stored table, whose partitions are read alike on a second try.
 
@@ -17,11 +17,12 @@ import base64
 from collections import defaultdict
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark import TaskContext
@@ -31,7 +32,9 @@ from pyspark.sql import functions as F
 from .common import map_batches
 
 #: Code points of a block, after which the next document starts a new one.
-BLOCK_CHARS = 32_000_000
+BLOCK_CHARS = 6_000_000
+#: Pre-tokens of a block that are put together at a time.
+SLICE = 200_000
 
 
 @lru_cache(maxsize=2)
@@ -55,24 +58,72 @@ class Splitter:
         unicode = regex.sub(r"\[\^\\s", r"[^\\p{White_Space}", pattern).replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")
         self.find = regex.compile(unicode).findall
 
-    def block(self, held: list[str]) -> tuple[list[str], list[np.ndarray]]:
-        """The sorted distinct pre-tokens of the texts, and each text as places in that list."""
+    def parts(self, text: str) -> tuple[list[str], list[str]]:
+        """The text's first pre-tokens, and the runs after each single space that follows them, to be matched with that space before them."""
+        if text and text.count(" ") + text.count("\n") + 1 == len(text.split()):
+            first, *runs = text.split(" ")
+            return self.find(first), runs
+        return self.find(text), []
+
+    def split(self, run: str) -> tuple[str, ...] | list[str]:
+        """The pre-tokens of a run and the space before it; letters alone are one."""
+        return (" " + run,) if run.isalpha() else self.find(" " + run)
+
+    def words(self, held: list[str], parts: int) -> list[list[bytes]]:
+        """The distinct pre-tokens of the texts, by part and then by their bytes."""
+        words, runs = set(), set()
+        for t in held:
+            first, more = self.parts(t)
+            words.update(first)
+            runs.update(more)
+        for r in runs:
+            words.update(self.split(r))
+        return dealt(words, parts)
+
+    def places(self, held: list[str], parts: int) -> list[np.ndarray]:
+        """Each text as places in what words gives, one part after the other."""
         runs: defaultdict[str, int] = defaultdict()
         runs.default_factory = runs.__len__
-        docs: list[np.ndarray | list[str]] = []
+        words: set[str] = set()
+        docs = []
         for t in held:
-            parts = t.split(" ")
-            if t and len(parts) + t.count("\n") == len(t.split()):
-                docs.append(np.fromiter(map(runs.__getitem__, [parts[0], *[" " + x for x in parts[1:]]]), np.int64))
-            else:
-                docs.append(self.find(t))
-        split = [self.find(r) for r in runs]
-        words = sorted({w for ws in split for w in ws}.union(*[d for d in docs if isinstance(d, list)]))
-        at = {w: k for k, w in enumerate(words)}
-        lengths = np.fromiter(map(len, split), np.int64)
+            first, more = self.parts(t)
+            words.update(first)
+            docs.append((first, np.fromiter(map(runs.__getitem__, more), np.uint32, len(more))))
+        split = [self.split(r) for r in runs]
+        runs.clear()
+        for w in split:
+            words.update(w)
+        at = {w: k for k, w in enumerate(w for part in dealt(words, parts) for w in part)}
+        at = {w: at[encoded(w)] for w in words}
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
         flat = np.fromiter((at[w] for ws in split for w in ws), np.uint32, int(lengths.sum()))
         start = np.cumsum(lengths) - lengths
-        return words, [np.fromiter(map(at.__getitem__, d), np.uint32) if isinstance(d, list) else gather(flat, start[d], lengths[d]) for d in docs]
+        return [np.concatenate((np.fromiter((at[w] for w in first), np.uint32, len(first)), gather(flat, start[d], lengths[d]))) for first, d in docs]
+
+
+def encoded(word: str) -> bytes:
+    return word.encode("utf-8", "replace")
+
+
+def dealt(words: set[str], parts: int) -> list[list[bytes]]:
+    """Words by the part that a hash of their bytes deals them to, sorted."""
+    out: list[list[bytes]] = [[] for _ in range(parts)]
+    for w in map(encoded, words):
+        out[crc32(w) % parts].append(w)
+    for part in out:
+        part.sort()
+    return out
+
+
+def pack(numbers: np.ndarray) -> bytes:
+    """Numbers compressed, their four bytes apart."""
+    return pa.Codec("zstd").compress(np.ascontiguousarray(numbers.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
+
+
+def unpack(packed: bytes, n: int) -> np.ndarray:
+    raw = pa.Codec("zstd").decompress(packed, 4 * n, asbytes=True) if n else b""
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
 
 
 def gather(flat: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -85,9 +136,9 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
     """(number, ids, texts) of the blocks of a partition."""
     block, ids, held, chars = TaskContext.get().partitionId() << 32, [], [], 0
     for b in batches:
-        for i, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            ids.append(i)
-            held.append(t or "")
+        for i, t in zip(b.column(0), b.column(1), strict=True):
+            ids.append(i.as_py())
+            held.append(t.as_py() or "")
             chars += len(held[-1])
             if chars >= size:
                 yield block, ids, held
@@ -96,63 +147,77 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield block, ids, held
 
 
-def _words(pattern: str, size: int) -> Callable:
+def _words(pattern: str, size: int, parts: int) -> Callable:
+    """A row for each block and part: the block's distinct words of this part, one after the other."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter = Splitter(pattern)
+        splitter, codec = Splitter(pattern), pa.Codec("zstd")
         for block, _, held in _blocks(batches, size):
-            words, _ = splitter.block(held)
-            for a in range(0, len(words), 50_000):
-                part = words[a : a + 50_000]
-                yield pa.record_batch([pa.array([block] * len(part), pa.int64()), pa.array(range(a, a + len(part)), pa.int32()), pa.array([w.encode("utf-8", "replace") for w in part], pa.binary())], ["block", "at", "word"])
+            rows = [(part, words, b"".join(words)) for part, words in enumerate(splitter.words(held, parts)) if words]
+            columns = [[part for part, _, _ in rows], [len(w) for _, w, _ in rows], [pack(np.fromiter(map(len, w), np.uint32)) for _, w, _ in rows], [len(x) for _, _, x in rows], [codec.compress(x, asbytes=True) for _, _, x in rows]]
+            if rows:
+                yield pa.record_batch([pa.array([block] * len(rows), pa.int64()), *map(pa.array, columns, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["block", "part", "n", "lengths", "size", "words"])
 
     return run
 
 
-def _positions(pattern: str, size: int, kind: pa.DataType) -> Callable:
+def _positions(pattern: str, size: int, parts: int, kind: pa.DataType) -> Callable:
+    """A row for each block: its documents, and the places of all their pre-tokens."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        splitter, codec = Splitter(pattern), pa.Codec("zstd")
+        splitter = Splitter(pattern)
         for block, ids, held in _blocks(batches, size):
-            _, found = splitter.block(held)
-            every = np.concatenate(found)
-            # the four bytes of the numbers apart, which compresses better
-            packed = codec.compress(np.ascontiguousarray(every.view(np.uint8).reshape(-1, 4).T).tobytes(), asbytes=True)
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([[len(x) for x in found]], pa.list_(pa.int64())), pa.array([packed], pa.binary())], ["block", "ids", "lengths", "packed"])
+            found = splitter.places(held, parts)
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([[len(x) for x in found]], pa.list_(pa.int64())), pa.array([pack(np.concatenate(found))], pa.binary())], ["block", "ids", "lengths", "packed"])
 
     return run
 
 
 def _encode_words(data: bytes, pattern: str) -> Callable:
+    """Encodes the words of a part, each distinct one once, and gives each block the ids of its words in their order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        piece, last, ids = encoder(data, pattern)._core_bpe.encode_single_piece, None, []
-        ranks = read_ranks(data)
+        piece, ranks, codec = encoder(data, pattern)._core_bpe.encode_single_piece, read_ranks(data), pa.Codec("zstd")
+        known: dict[bytes, list[int]] = {}
         for b in batches:
             out = []
-            for w in b.column(2).to_pylist():
-                if w != last:  # equal words are neighbours
-                    rank = ranks.get(w)
-                    last, ids = w, piece(w) if rank is None else [rank]
-                out.append(ids)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(out, pa.list_(pa.int32()))], ["block", "at", "tokens"])
+            for n, lengths, size, words in zip(*(b.column(k).to_pylist() for k in range(2, 6)), strict=True):
+                text, ends = codec.decompress(words, size, asbytes=True), np.cumsum(unpack(lengths, n)).tolist()
+                own = [text[a:z] for a, z in zip([0, *ends], ends)]
+                for w in own:
+                    if w not in known:
+                        rank = ranks.get(w)
+                        known[w] = piece(w) if rank is None else [rank]
+                ids = list(map(known.__getitem__, own))
+                each, every = np.fromiter(map(len, ids), np.uint32, n), np.fromiter(chain.from_iterable(ids), np.uint32)
+                out.append((pack(each), len(every), pack(every)))
+            yield pa.record_batch([*b.columns[:3], *map(pa.array, zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()))], ["block", "part", "n", "lengths", "m", "tokens"])
 
     return run
 
 
 def _reassemble(words: pa.Table, positions: pa.Table) -> pa.Table:
     """The ids of each document of a block, in the order of its positions."""
-    words = words.sort_by("at")
-    tokens = words["tokens"].combine_chunks()
-    tokens = tokens.chunk(0) if isinstance(tokens, pa.ChunkedArray) else tokens
-    lengths = pc.list_value_length(tokens).to_numpy(zero_copy_only=False).astype(np.int64)
-    flat, start = tokens.flatten().to_numpy(), np.cumsum(lengths) - lengths
-    row = positions.slice(0, 1).to_pylist()[0]
-    total = sum(row["lengths"])
-    raw = pa.Codec("zstd").decompress(row["packed"], 4 * total, asbytes=True) if total else b""
-    at = np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
-    n = lengths[at]
-    doc_ends = np.concatenate(([0], np.cumsum(row["lengths"]))).astype(np.int64)
-    offsets = np.concatenate(([0], np.cumsum(n)))[doc_ends].astype(np.int32)
-    ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gather(flat, start[at], n), pa.int32()))
-    return pa.table({"doc_id": pa.array(row["ids"], positions.schema.field("ids").type.value_type), "ids": ids})
+    rows = sorted(words.to_pylist(), key=lambda r: r["part"])
+    lengths = np.concatenate([unpack(r["lengths"], r["n"]) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int64)
+    flat = np.concatenate([unpack(r["tokens"], r["m"]) for r in rows] or [np.zeros(0, np.uint32)]).view(np.int32)
+    start = np.cumsum(lengths) - lengths
+    kind = positions.schema.field("ids").type.value_type
+    out = []
+    for row in positions.to_pylist():
+        every = unpack(row["packed"], sum(row["lengths"]))
+        ends = np.concatenate(([0], np.cumsum(row["lengths"]))).astype(np.int64)
+        # some documents at a time, so that what is in between stays small
+        a = 0
+        while a < len(row["ids"]):
+            z = max(a + 1, min(len(row["ids"]), int(np.searchsorted(ends, ends[a] + SLICE))))
+            at = every[ends[a] : ends[z]]
+            n = lengths[at]
+            offsets = np.concatenate(([0], np.cumsum(n)))[ends[a : z + 1] - ends[a]].astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gather(flat, start[at], n), pa.int32()))
+            out.append(pa.table({"doc_id": pa.array(row["ids"][a:z], kind), "ids": ids}))
+            a = z
+    return pa.concat_tables(out)
 
 
 def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,10 +227,12 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-    words = own.mapInArrow(_words(pattern, block_chars), "block long, at int, word binary")
-    encoded = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(data, pattern), "block long, at int, tokens array<int>")
-    places = own.mapInArrow(_positions(pattern, block_chars, arrow), f"block long, ids array<{kind}>, lengths array<long>, packed binary")
-    return encoded.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(lambda w, p: _reassemble(w, p), f"doc_id {kind}, ids array<int>")
+    # as many parts as there are shuffle partitions, so that each partition's distinct words fit in a task
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = own.mapInArrow(_words(pattern, block_chars, parts), "block long, part int, n int, lengths binary, size int, words binary")
+    encoded_words = words.repartition(parts, "part").mapInArrow(_encode_words(data, pattern), "block long, part int, n int, lengths binary, m int, tokens binary")
+    places = own.mapInArrow(_positions(pattern, block_chars, parts, arrow), f"block long, ids array<{kind}>, lengths array<long>, packed binary")
+    return encoded_words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(lambda w, p: _reassemble(w, p), f"doc_id {kind}, ids array<int>")
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "ids") -> DataFrame:
