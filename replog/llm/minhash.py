@@ -158,7 +158,9 @@ def _links(a: list[int], b: list[int]) -> pa.Table:
 
 
 def within(block: pa.Table) -> pa.Table:
-    """Links that join each group of a block's documents, fewer than there are documents."""
+    """The group of each of a block's documents, by its smallest document: documents of the block that links join."""
+    order = np.argsort(block["doc"].to_numpy(), kind="stable")
+    block = block.take(pa.array(order))
     ids, sets = block["doc"].to_pylist(), _read(block["s"])
     index, root = Postings(sets), list(range(len(sets)))
 
@@ -167,26 +169,29 @@ def within(block: pa.Table) -> pa.Table:
             root[x] = x = root[root[x]]
         return x
 
-    out: tuple[list[int], list[int]] = ([], [])
     for k, s in enumerate(sets):
         for j in index.linked(s):
             if j > k and (x := find(k)) != (y := find(int(j))):
-                root[y] = x
-                out[0].append(ids[k])
-                out[1].append(ids[int(j)])
-    return _links(*out)
+                root[max(x, y)] = min(x, y)
+    return pa.table({"doc": block["doc"], "cluster": block["cluster"], "group": pa.array([ids[find(k)] for k in range(len(ids))], pa.int64())})
+
+
+def between(block: pa.Table) -> pa.Table:
+    """Links between the groups of a block's documents, fewer than there are documents."""
+    group = dict(zip(block["doc"].to_pylist(), block["group"].to_pylist(), strict=True))
+    found = within(block)
+    pairs = {(group[a], group[b]) for a, b in zip(found["doc"].to_pylist(), found["group"].to_pylist(), strict=True) if group[a] != group[b]}
+    return _links([a for a, _ in sorted(pairs)], [b for _, b in sorted(pairs)])
 
 
 def across(outside: pa.Table, block: pa.Table) -> pa.Table:
-    """For each outside document, a link to each group of the block that holds a document linked with it."""
-    out: tuple[list[int], list[int]] = ([], [])
+    """Links between the groups of outside documents and the groups of a block that hold documents linked with them."""
+    pairs: set[tuple[int, int]] = set()
     if outside.num_rows and block.num_rows:
-        ids, group, index = block["doc"].to_pylist(), block["component"].to_pylist(), Postings(_read(block["s"]))
-        for own, s in zip(outside["doc"].to_pylist(), _read(outside["s"]), strict=True):
-            for other in {group[j]: ids[j] for j in index.linked(s)}.values():
-                out[0].append(own)
-                out[1].append(other)
-    return _links(*out)
+        group, index = block["group"].to_pylist(), Postings(_read(block["s"]))
+        for own, s in zip(outside["group"].to_pylist(), _read(outside["s"]), strict=True):
+            pairs.update((own, group[j]) for j in index.linked(s) if group[j] != own)
+    return _links([a for a, _ in sorted(pairs)], [b for _, b in sorted(pairs)])
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -209,11 +214,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
         return map_batches(joined.select(*rows.columns, "text"), _sets, f"{fields}, s binary")
 
-    links = cut(with_sets(members).groupBy("cluster", "block").applyInArrow(lambda g: within(g), "a long, b long"))
-    if not members.filter("blocks > 1").isEmpty():
-        links = link_blocks(members.filter("blocks > 1"), links, with_sets)
-    found = components(links).withColumnRenamed("node", "doc")
-    ruled = classes.join(found, "doc", "left").select("d1", "d2", F.coalesce("component", "doc").alias("component_id"))
+    groups = cut(with_sets(members).groupBy("cluster", "block").applyInArrow(lambda g: within(g), "doc long, cluster long, group long"))
+    several = members.filter("blocks > 1").select("doc", "cluster", "blocks", "block")
+    if not several.isEmpty():
+        groups = link_blocks(several, groups, with_sets)
+    # an id with several sets is in the group of the smallest that any of them reaches
+    found = groups.groupBy("doc").agg(F.min("group").alias("group"))
+    ruled = classes.join(found, "doc", "left").select("d1", "d2", F.coalesce("group", "doc").alias("component_id"))
     known = signed.select("doc", "n", "d1", "d2")
     joined = known.join(ruled, ["d1", "d2"], "left")
     component = F.when(F.col("doc").isNull(), None).otherwise(F.coalesce("component_id", "doc"))
@@ -221,41 +228,44 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def link_blocks(members: DataFrame, links: DataFrame, with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """links, and those between blocks of clusters that have several."""
+def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
+    """groups with those that links join under the smallest name."""
+    found = components(links).select(F.col("node").alias("group"), "component")
+    return cut(groups.join(found, "group", "left").select("doc", "cluster", F.coalesce("component", "group").alias("group")))
 
-    def grouped() -> DataFrame:
-        found = components(links).withColumnRenamed("node", "doc")
-        return members.join(found, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
+def link_blocks(members: DataFrame, groups: DataFrame, with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """groups with those of different blocks of a cluster joined; members are the documents of clusters that have several."""
     last = None
     while True:
-        # some of each large group, drawn by a hash; groups of one block are small, and later ones keep few that stand for them
-        groups = grouped()
-        size = groups.groupBy("cluster", "component").agg(F.count("*").alias("c")).filter(F.col("c") >= LARGE)
+        # some of each large group, drawn by a hash, stand for it
+        own = members.join(groups.select("doc", "group"), "doc")
+        size = own.groupBy("cluster", "group").agg(F.count("*").alias("c")).filter(F.col("c") >= LARGE)
         per = size.groupBy("cluster").agg(F.count("*").alias("large")).filter("large > 1").withColumn("parts", F.ceil(F.col("large") * PIVOTS / BLOCK).cast("int"))
-        state = per.agg(F.sum("large").alias("n"), F.max("parts").alias("parts")).first()
-        if state.n is None or state.n == last:
+        n = per.agg(F.sum("large")).first()[0]
+        if n is None or n == last:
             break
-        last = state.n
-        chosen = groups.join(size, ["cluster", "component"]).join(per, "cluster").withColumn("x", F.pmod(F.xxhash64("doc", F.lit("pivot")), F.lit(1 << 30)))
+        last = n
+        chosen = own.join(size, ["cluster", "group"]).join(per, "cluster").withColumn("x", F.pmod(F.xxhash64("doc", F.lit("pivot")), F.lit(1 << 30)))
         # about four times as many as are needed pass by their hash, of which the first stand for the group
         few = chosen.filter(F.col("x") * F.col("c") < F.lit(4 * PIVOTS * (1 << 30)))
-        turn = F.row_number().over(W.partitionBy("cluster", "component").orderBy("x", "doc"))
-        pivots = few.withColumn("turn", turn).filter(F.col("turn") <= PIVOTS).select("doc", "cluster", F.pmod(F.xxhash64("component", F.lit(last)), F.col("parts")).cast("int").alias("block"))
-        links = cut(links.unionByName(with_sets(pivots).groupBy("cluster", "block").applyInArrow(lambda g: within(g), "a long, b long")))
-    groups = cut(grouped())
-    size = groups.groupBy("cluster", "component").agg(F.count("*").alias("c"))
-    main = size.groupBy("cluster").agg(F.max_by("component", F.struct("c", -F.col("component"))).alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
-    main = main.filter("outside > 0").withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int"))
-    outside = groups.join(main, "cluster").filter("component <> main")
-    outside = with_sets(outside.select("doc", "cluster", "blocks", F.pmod(F.xxhash64("doc", F.lit("outside")), F.col("parts")).cast("int").alias("part")))
+        turn = F.row_number().over(W.partitionBy("cluster", "group").orderBy("x", "doc"))
+        pivots = few.withColumn("turn", turn).filter(F.col("turn") <= PIVOTS).select("doc", "cluster", "group", F.pmod(F.xxhash64("group", F.lit(last)), F.col("parts")).cast("int").alias("block"))
+        groups = merged(groups, with_sets(pivots).groupBy("cluster", "block").applyInArrow(lambda g: between(g), "a long, b long"))
+    own = cut(members.join(groups.select("doc", "group"), "doc"))
+    size = own.groupBy("cluster", "group").agg(F.count("*").alias("c"))
+    main = size.groupBy("cluster").agg(F.max_by("group", F.struct("c", -F.col("group"))).alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
+    main = cut(main.filter("outside > 0").withColumn("parts", F.ceil(F.col("outside") / BLOCK).cast("int")))
+    if main.isEmpty():
+        return groups
+    outside = own.join(main, "cluster").filter("group <> main")
+    outside = with_sets(outside.select("doc", "cluster", "group", "blocks", F.pmod(F.xxhash64("doc", F.lit("outside")), F.col("parts")).cast("int").alias("part")))
     outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = with_sets(groups.join(main.select("cluster", "parts"), "cluster").select("doc", "cluster", "component", "block", "parts"))
+    inside = with_sets(own.join(main.select("cluster", "parts"), "cluster").select("doc", "cluster", "group", "block", "parts"))
     inside = inside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["cluster", "block", "part"]
     more = outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(lambda o, i: across(o, i), "a long, b long")
-    return cut(links.unionByName(more))
+    return merged(groups, more)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
