@@ -24,8 +24,8 @@ from .common import fold, map_batches, plain, texts
 
 #: Dimensions of the hashed vectors.
 DIM = 4096
-#: Labelled documents a language that the centroids are fitted on, at most.
-SAMPLE = 1500
+#: Labelled documents that the centroids are fitted on, about, shared equally by the languages.
+SAMPLE = 5000
 CENTROIDS = 4
 #: A text is rejected if its cosine is below this share of the lowest hundredth of its language's training cosines.
 SLACK = 0.5
@@ -121,22 +121,22 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits centroids on at most about sample documents a language, chosen by a hash of the id among the rows where learn holds."""
+    """Fits centroids on about sample documents, as many of each language, chosen by a hash of the id among the rows where learn holds."""
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     per = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
     langs = sorted(per)
     if not langs:
         return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / per[lang])))])
+    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / len(langs) / per[lang])))])
     chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
-    # vectors are made by the tasks; the driver gets sparse ones, at most about sample a language
-    taken = map_batches(plain(chosen, id_col, text_col, F.col(lang_col).cast("string").alias("lang")), _sparse, "lang string, at array<int>, n array<float>").collect()
+    # vectors are made by the tasks; the driver gets packed sparse ones, about sample in all
+    taken = map_batches(plain(chosen, id_col, text_col, F.col(lang_col).cast("string").alias("lang")), _sparse, "lang string, at binary, n binary").collect()
     idf = inverse_frequencies(plain(docs, id_col, text_col))
     parts, owner, floor = [], [], []
     for k, lang in enumerate(langs):
         x = np.zeros((sum(r.lang == lang for r in taken), DIM), np.float32)
         for j, r in enumerate(r for r in taken if r.lang == lang):
-            x[j, r.at] = r.n
+            x[j, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.float32)
         x = np.log1p(x) * idf
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)
         x = x[x.any(1)]
@@ -155,9 +155,10 @@ def _sparse() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         rows, at, n = texts(b), [], []
         for a in range(0, len(rows), 256):
             for x in counts(rows[a : a + 256]):
-                at.append(np.flatnonzero(x).astype(np.int32))
-                n.append(x[at[-1]])
-        return pa.record_batch([b.column(2), pa.array(at, pa.list_(pa.int32())), pa.array(n, pa.list_(pa.float32()))], ["lang", "at", "n"])
+                some = np.flatnonzero(x)
+                at.append(some.astype(np.uint16).tobytes())
+                n.append(x[some].tobytes())
+        return pa.record_batch([b.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "at", "n"])
 
     return one
 
