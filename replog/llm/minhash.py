@@ -209,15 +209,13 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     per = sized.groupBy("cluster").agg(count(F.count("*"), F.sum("n")).alias("blocks"))
     members = cut(sized.join(per, "cluster").select("doc", "cluster", "blocks", F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int").alias("block")))
 
-    def with_sets(rows: DataFrame) -> DataFrame:
-        joined = rows.join(own, "doc")
-        fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
-        return map_batches(joined.select(*rows.columns, "text"), _sets, f"{fields}, s binary")
-
-    groups = cut(with_sets(members).groupBy("cluster", "block").applyInArrow(lambda g: within(g), "doc long, cluster long, group long"))
-    several = members.filter("blocks > 1").select("doc", "cluster", "blocks", "block")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
+    # texts are read and moved once for the sets of all members; later steps join these sets
+    sets = cut(map_batches(members.join(own, "doc").select(*members.columns, "text"), _sets, f"{fields}, s binary"))
+    groups = cut(sets.groupBy("cluster", "block").applyInArrow(lambda g: within(g), "doc long, cluster long, group long"))
+    several = sets.filter("blocks > 1")
     if not several.isEmpty():
-        groups = link_blocks(several, groups, with_sets)
+        groups = link_blocks(several, groups)
     # an id with several sets is in the group of the smallest that any of them reaches
     found = groups.groupBy("doc").agg(F.min("group").alias("group"))
     ruled = classes.join(found, "doc", "left").select("d1", "d2", F.coalesce("group", "doc").alias("component_id"))
@@ -234,9 +232,9 @@ def merged(groups: DataFrame, links: DataFrame) -> DataFrame:
     return cut(groups.join(found, "group", "left").select("doc", "cluster", F.coalesce("component", "group").alias("group")))
 
 
-def link_blocks(members: DataFrame, groups: DataFrame, with_sets: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """groups with those of different blocks of a cluster joined; members are the documents of clusters that have several."""
-    last = None
+def link_blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
+    """groups with those of different blocks of a cluster joined; sets holds the documents of clusters that have several."""
+    members, own_set, last = sets.drop("s"), sets.select("doc", "s"), None
     while True:
         # some of each large group, drawn by a hash, stand for it
         own = members.join(groups.select("doc", "group"), "doc")
@@ -251,7 +249,7 @@ def link_blocks(members: DataFrame, groups: DataFrame, with_sets: Callable[[Data
         few = chosen.filter(F.col("x") * F.col("c") < F.lit(4 * PIVOTS * (1 << 30)))
         turn = F.row_number().over(W.partitionBy("cluster", "group").orderBy("x", "doc"))
         pivots = few.withColumn("turn", turn).filter(F.col("turn") <= PIVOTS).select("doc", "cluster", "group", F.pmod(F.xxhash64("group", F.lit(last)), F.col("parts")).cast("int").alias("block"))
-        groups = merged(groups, with_sets(pivots).groupBy("cluster", "block").applyInArrow(lambda g: between(g), "a long, b long"))
+        groups = merged(groups, pivots.join(own_set, "doc").groupBy("cluster", "block").applyInArrow(lambda g: between(g), "a long, b long"))
     own = cut(members.join(groups.select("doc", "group"), "doc"))
     size = own.groupBy("cluster", "group").agg(F.count("*").alias("c"))
     main = size.groupBy("cluster").agg(F.max_by("group", F.struct("c", -F.col("group"))).alias("main"), (F.sum("c") - F.max("c")).alias("outside"))
@@ -259,9 +257,9 @@ def link_blocks(members: DataFrame, groups: DataFrame, with_sets: Callable[[Data
     if main.isEmpty():
         return groups
     outside = own.join(main, "cluster").filter("group <> main")
-    outside = with_sets(outside.select("doc", "cluster", "group", "blocks", F.pmod(F.xxhash64("doc", F.lit("outside")), F.col("parts")).cast("int").alias("part")))
+    outside = cut(outside.select("doc", "cluster", "group", "blocks", F.pmod(F.xxhash64("doc", F.lit("outside")), F.col("parts")).cast("int").alias("part")).join(own_set, "doc"))
     outside = outside.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    inside = with_sets(own.join(main.select("cluster", "parts"), "cluster").select("doc", "cluster", "group", "block", "parts"))
+    inside = own.join(main.select("cluster", "parts"), "cluster").select("doc", "cluster", "group", "block", "parts").join(own_set, "doc")
     inside = inside.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     keys = ["cluster", "block", "part"]
     more = outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(lambda o, i: across(o, i), "a long, b long")
