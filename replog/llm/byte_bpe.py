@@ -196,8 +196,28 @@ def _encode_words(data: bytes, pattern: str) -> Callable:
     return run
 
 
-def _reassemble(words: pa.Table, positions: pa.Table) -> pa.Table:
-    """The ids of each document of a block, in the order of its positions."""
+class TokenBytes:
+    """The table of token bytes, as one string of bytes and where each token's are."""
+
+    def __init__(self, data: bytes):
+        ranks = read_ranks(data)
+        self.length = np.zeros(max(ranks.values()) + 1, np.int64)
+        self.length[list(ranks.values())] = list(map(len, ranks))
+        self.start = np.cumsum(self.length) - self.length
+        self.flat = np.frombuffer(b"".join(sorted(ranks, key=ranks.__getitem__)), np.uint8)
+
+    def decode(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes that ids stand for."""
+        return gather(self.flat, self.start[ids], self.length[ids])
+
+
+@lru_cache(maxsize=2)
+def token_bytes(data: bytes) -> TokenBytes:
+    return TokenBytes(data)
+
+
+def _reassemble(words: pa.Table, positions: pa.Table, table: TokenBytes | None) -> pa.Table:
+    """The ids of each document of a block, in the order of its positions; and the bytes that they stand for, with a table of token bytes."""
     rows = sorted(words.to_pylist(), key=lambda r: r["part"])
     lengths = np.concatenate([unpack(r["lengths"], r["n"]) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int64)
     flat = np.concatenate([unpack(r["tokens"], r["m"]) for r in rows] or [np.zeros(0, np.uint32)]).view(np.int32)
@@ -214,14 +234,18 @@ def _reassemble(words: pa.Table, positions: pa.Table) -> pa.Table:
             at = every[ends[a] : ends[z]]
             n = lengths[at]
             offsets = np.concatenate(([0], np.cumsum(n)))[ends[a : z + 1] - ends[a]].astype(np.int32)
-            ids = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(gather(flat, start[at], n), pa.int32()))
-            out.append(pa.table({"doc_id": pa.array(row["ids"][a:z], kind), "ids": ids}))
+            tokens = gather(flat, start[at], n)
+            columns = {"doc_id": pa.array(row["ids"][a:z], kind), "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(tokens, pa.int32()))}
+            if table is not None:
+                ends_at = np.concatenate(([0], np.cumsum(table.length[tokens])))[offsets].astype(np.int32)
+                columns["decoded"] = pa.BinaryArray.from_buffers(pa.binary(), z - a, [None, pa.py_buffer(ends_at), pa.py_buffer(table.decode(tokens))])
+            out.append(pa.table(columns))
             a = z
     return pa.concat_tables(out)
 
 
-def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array of int) for every row of docs. The ranks file is read on the driver."""
+def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public_tokenizers.PATTERN, block_chars: int = BLOCK_CHARS, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:
+    """doc_id and ids (array of int) for every row of docs, and with decoded the bytes that the ids decode to. The ranks file is read on the driver."""
     with open(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         data = f.read()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -232,22 +256,26 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     words = own.mapInArrow(_words(pattern, block_chars, parts), "block long, part int, n int, lengths binary, size int, words binary")
     encoded_words = words.repartition(parts, "part").mapInArrow(_encode_words(data, pattern), "block long, part int, n int, lengths binary, m int, tokens binary")
     places = own.mapInArrow(_positions(pattern, block_chars, parts, arrow), f"block long, ids array<{kind}>, lengths array<long>, packed binary")
-    return encoded_words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(lambda w, p: _reassemble(w, p), f"doc_id {kind}, ids array<int>")
+
+    def reassemble(w: pa.Table, p: pa.Table) -> pa.Table:
+        return _reassemble(w, p, token_bytes(data) if decoded else None)
+
+    return encoded_words.groupBy("block").cogroup(places.groupBy("block")).applyInArrow(reassemble, f"doc_id {kind}, ids array<int>" + ", decoded binary" * decoded)
 
 
 def decode(encoded: DataFrame, ranks_path: str | None = None, ids_col: str = "ids") -> DataFrame:
     """encoded with the column decoded, the bytes that the ids stand for; the table of token bytes is as large as the vocabulary."""
     with open(ranks_path or public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb") as f:
         data = f.read()
-    others = [c for c in encoded.columns]
+    others = encoded.columns
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema.fields)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        table = {i: w for w, i in read_ranks(data).items()}
+        table = token_bytes(data)
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             column = b.column(b.schema.get_field_index(ids_col))
-            out = [b"".join(map(table.__getitem__, ids.values.to_numpy().tolist())) if ids.is_valid else None for ids in column]
+            out = [table.decode(ids.values.to_numpy()).tobytes() if ids.is_valid else None for ids in column]
             return pa.record_batch([*b.columns, pa.array(out, pa.binary())], [*others, "decoded"])
 
         return one

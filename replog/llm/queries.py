@@ -29,7 +29,7 @@ def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    decoded = byte_bpe.decode(byte_bpe.encode(table(spark, sf_dir, "documents")))
+    decoded = byte_bpe.encode(table(spark, sf_dir, "documents"), decoded=True)
     ids = F.sha2(F.array_join("ids", ",").cast("binary"), 256)
     return decoded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 

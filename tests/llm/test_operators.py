@@ -123,6 +123,8 @@ def test_byte_bpe(spark, docs, empty):
     want = collections.Counter((r[0], tuple(enc.encode_ordinary(r[1] or "")), (r[1] or "").encode()) for r in ROWS)
     got = byte_bpe.decode(byte_bpe.encode(docs, block_chars=30_000)).collect()
     assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got) == want
+    both = byte_bpe.encode(docs, block_chars=30_000, decoded=True).collect()
+    assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both) == want
     assert byte_bpe.encode(empty).count() == 0
     r, marks = random.Random(1), [" ", " ", "\n", "a", "b'", "'s", "1", "!", "\x1c", "\x85", "é", "漢", "　"]
     ts = ["".join(r.choice(marks) for _ in range(r.randint(0, 12))) for _ in range(4000)]
