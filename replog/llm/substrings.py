@@ -1,9 +1,11 @@
 """Operator 7: substring deduplication by content-defined chunks.
 
 A gear rolling hash over the last 16 bytes chooses where a text is cut: after about every sixth space or line break, wherever the same bytes
-stand, so that an insertion shifts no chunk but those beside it. Where no such place comes for long, any character may be cut after. Chunks
+stand, so that an insertion shifts no chunk but those beside it. Inside a long stretch without white space (Chinese, Japanese, Thai, base64,
+minified code) characters are cut after instead, about as often. Where no such place comes for long, any character may be cut after. Chunks
 with equal digests are the same; the first in the order of document and place stays, the others are duplicates. Runs of neighbouring
-duplicates with enough words are taken out of their texts.
+duplicates with enough words are taken out of their texts. Text without spaces has no words to count: a stretch of LONG bytes or more without
+white space counts as one word for every SIZE bytes, so that 90 bytes of it (30 Chinese characters) are worth 15 words.
 
 Each block of neighbouring documents sends only its own first chunk of a digest to the shuffle by digest (and says of its others that they are
 duplicates), so that a chunk that many documents share makes no hot group.
@@ -29,6 +31,10 @@ WINDOW = 16
 EVERY, OTHER, GAP, MOST = 6, 32, 160, 1024
 #: Words that a run of duplicate chunks must have to be taken out.
 WORDS = 15
+#: Bytes without white space from which a stretch is not one word, and how many of them are worth a word.
+LONG, SIZE = 24, 6
+#: One ASCII byte in so many of such a stretch is a cut, and one other character in so many, if APART bytes before it have none.
+ASCII, WIDE, APART = 24, 8, 8
 #: Bytes of text in a block.
 BLOCK = 24_000_000
 #: Fixed random values for bytes; the hash of padding is zero.
@@ -49,13 +55,30 @@ def rolling(code: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint32(15))
 
 
+def inside(code: np.ndarray, h: np.ndarray, space: np.ndarray) -> np.ndarray:
+    """The bytes after which long stretches without white space are cut."""
+    edge = np.diff(np.concatenate(([1], space, [1])).astype(np.int8))
+    start, end = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+    long = end - start >= LONG
+    if not long.any():
+        return np.zeros(0, np.int64)
+    step = np.zeros(len(code) + 1, np.int8)
+    step[start[long]] += 1
+    step[end[long]] -= 1
+    begins = np.append((code[1:] & 0xC0) != 0x80, True)
+    low = h < np.where(code < 128, np.uint32((1 << 32) // ASCII), np.uint32((1 << 32) // WIDE))
+    at = np.flatnonzero((np.cumsum(step[:-1]) > 0) & begins & low)
+    # equal bytes for long would be cut everywhere: of places in a row the first stays
+    return at[np.diff(at, prepend=-APART) >= APART]
+
+
 def ends(code: np.ndarray) -> np.ndarray:
     """Where the chunks of a text's bytes end; the last ends with the text."""
     if not len(code):
         return np.zeros(0, np.int64)
     h = rolling(code)
     space = SEPARATOR[code]
-    cuts = np.flatnonzero(space & (h < np.uint32((1 << 32) // EVERY))) + 1
+    cuts = np.union1d(np.flatnonzero(space & (h < np.uint32((1 << 32) // EVERY))), inside(code, h, space)) + 1
     cuts = np.append(cuts[cuts < len(code)], len(code))
     if np.diff(cuts, prepend=0).max() <= GAP:
         return cuts
@@ -147,8 +170,13 @@ def duplicates(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     return dealt.mapInArrow(_duplicates, "doc long, key int, place int, owner long")
 
 
+def worth(code: bytes) -> int:
+    """The words of a passage, a long stretch without white space counted by its bytes."""
+    return sum(1 if len(w) < LONG else len(w) // SIZE for w in code.split())
+
+
 def strip(text: str, places: list[int], owners: list[int], words: int = WORDS) -> tuple[str, list[dict], list[int]]:
-    """The text without runs of duplicate chunks of at least so many words; the runs as spans of code points; documents that have them before."""
+    """The text without runs of duplicate chunks worth at least so many words; the runs as spans of code points; documents that have them before."""
     code = text.encode("utf-8", "replace")
     cut = [0, *ends(np.frombuffer(code, np.uint8)).tolist()]
     owner = dict(zip(places, owners, strict=True))
@@ -159,7 +187,7 @@ def strip(text: str, places: list[int], owners: list[int], words: int = WORDS) -
         while z + 1 < len(marked) and marked[z + 1] == marked[z] + 1:
             z += 1
         a, b = cut[marked[k]], cut[marked[z] + 1]
-        if len(code[a:b].split()) >= words:
+        if worth(code[a:b]) >= words:
             kept.append(code[at:a].decode())
             start = spans[-1]["end"] + len(kept[-1]) if spans else len(kept[-1])
             spans.append({"start": start, "end": start + len(code[a:b].decode())})

@@ -186,6 +186,21 @@ def test_substrings(spark, docs, empty):
         assert b"".join(code[a:b].tobytes() for a, b in zip([0, *e[:-1]], e)).decode() == t if t else not len(e)
 
 
+def test_substrings_without_spaces(spark):
+    r = random.Random(8)
+    han = lambda n: "".join(chr(r.randint(0x4E00, 0x9FA5)) for _ in range(n))
+    base64 = lambda n: "".join(r.choice(string.ascii_letters + string.digits) for _ in range(n))
+    for make, n in ((han, 1800), (han, 300), (base64, 3000), (base64, 600)):
+        passage = make(n)
+        own = [(i, make(300 + 40 * i) + passage + make(500)) for i in range(2)] + [(2, make(2000))]
+        got = {x.doc_id: x for x in substrings.deduplicate(spark.createDataFrame(own, "doc_id long, text string").repartition(2)).collect()}
+        middle = passage[n // 3 : n // 2]
+        assert middle in got[0].text and got[0].removed == [] and got[2].text == own[2][1]
+        assert middle not in got[1].text and got[1].earlier_doc_ids == [0]
+        assert got[1].text.startswith(own[1][1][:340]) and got[1].text.endswith(own[1][1][-500:])
+    assert substrings.worth("漢字".encode() * 15) == 15 and substrings.worth(b"some words, all of them short") == 6
+
+
 def test_quality(docs, empty, spark):
     r = random.Random(3)
     rows = [(i, (words(80, i).upper().replace(" ", "!! ") if i % 5 == 0 else words(80 + r.randint(0, 50), i)), 1) for i in range(600)]
