@@ -7,7 +7,7 @@ for every step and takes the step of the lowest priority that the embedding has,
 whole of their length, and texts with a common part sample it at the same steps. A slot keeps eight bits of what is written there.
 
 Two fingerprints' likeness is the share of equal slots above what chance gives. Near documents are found by banding: bands of slots bring
-together documents that agree on all of one band, and likeness verifies them.
+together documents that agree on all of one band, and likeness verifies all pairs of what bands join.
 
 Edge cases: a null text counts as empty; an empty text has the fingerprint of an embedding without steps, alike only to itself; rows that
 repeat are fingerprinted each; long texts are walked whole; an empty table gives an empty result.
@@ -24,13 +24,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches, plain, texts
+from .common import cut, map_batches, plain, texts
+from .components import components
 
 SLOTS = 128
 #: The shared bits repeat after so many steps; classes of characters that share bits.
 PERIOD, CLASSES = 1024, 256
 #: Bands, and the slots in each.
 BANDS, WIDTH = 24, 4
+#: Classes of a block, about, when a cluster is compared.
+BLOCK = 1024
 
 
 @cache
@@ -117,17 +120,65 @@ def bands(found: DataFrame) -> DataFrame:
     return found.select("doc_id", "fingerprint", F.posexplode(keys).alias("band", "key"))
 
 
+def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
+    """For two blocks of a cluster (or one with itself): each class with links, their number, the smallest id linked, and the smallest that links join it with here."""
+
+    def one(group: pa.Table) -> pa.Table:
+        mark, ids, block = group["fingerprint"].to_pylist(), group["class_id"].to_pylist(), group["block"].to_numpy()
+        x = np.frombuffer(bytes.fromhex("".join(mark)), np.uint8).reshape(-1, SLOTS)
+        low, high = group["low"][0].as_py(), group["high"][0].as_py()
+        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
+        links, near, root = [0] * len(ids), list(ids), list(range(len(ids)))
+
+        def find(k: int) -> int:
+            while root[k] != k:
+                root[k] = k = root[root[k]]
+            return k
+
+        def add(k: int, j: int) -> None:
+            near[k] = ids[j] if not links[k] else min(near[k], ids[j])
+            links[k] += 1
+
+        for k in a.tolist():
+            like = ((x[b] == x[k]).mean(1) - 1 / 256) / (1 - 1 / 256)
+            for j in b[np.maximum(0.0, like) >= least].tolist():
+                if ids[j] == ids[k]:
+                    continue
+                add(k, j)
+                if low != high:
+                    add(j, k)
+                p, q = find(k), find(j)
+                if p != q:
+                    root[p if ids[p] > ids[q] else q] = q if ids[p] > ids[q] else p
+        s = [k for k, n in enumerate(links) if n]
+        kind = group.schema.field("class_id").type
+        return pa.table({"fingerprint": pa.array([mark[k] for k in s], pa.string()), "class_id": pa.array([ids[k] for k in s], kind), "links": pa.array([links[k] for k in s], pa.int64()), "near_id": pa.array([near[k] for k in s], kind), "head": pa.array([ids[find(k)] for k in s], kind)})
+
+    return one
+
+
 def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id with the same fingerprint), and near_id: for a class's representative and each band, the smallest representative in the band that is alike enough."""
-    found = fingerprints(docs, id_col, text_col)
-    classes = found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id"))
-    members = found.join(classes, "fingerprint").select("doc_id", "class_id")
-    banded = bands(classes.withColumnRenamed("class_id", "doc_id"))
-    heads = banded.groupBy("band", "key").agg(F.min_by(F.struct("doc_id", "fingerprint"), "doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    links = banded.join(heads, ["band", "key"]).filter(F.col("doc_id") != F.col("head.doc_id")).dropDuplicates(["doc_id", "fingerprint", "head"])
-    links = links.withColumn("likeness", likeness(F.col("fingerprint"), F.col("head.fingerprint"))).filter(F.col("likeness") >= least)
-    best = links.groupBy(F.col("doc_id").alias("class_id")).agg(F.min(F.col("head.doc_id")).alias("near_id"))
-    return members.join(best, "class_id", "left").select("doc_id", "class_id", "near_id")
+    """doc_id, class_id (the smallest id with the same fingerprint); near_id (the smallest id of another class alike enough), links (how many classes are), and component_id (the smallest class_id reachable over links).
+
+    Buckets that share classes are joined to clusters, and all pairs of a cluster are compared, a pair of blocks of bounded size a task."""
+    kind = docs.schema[id_col].dataType.simpleString()
+    found = cut(fingerprints(docs, id_col, text_col))
+    classes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
+    own = classes.filter("class_id is not null")
+    banded = bands(own.withColumnRenamed("class_id", "doc_id")).select("doc_id", "band", "key")
+    heads = banded.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    candidates = banded.join(heads, ["band", "key"]).filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
+    placed = own.join(components(candidates).select(F.col("node").alias("class_id"), F.col("component").alias("cluster")), "class_id")
+    sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    members = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
+    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("fingerprint", "class_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    verified = _verify(least)
+    linked = cut(pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}"))
+    joined = components(linked.select(F.col("class_id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
+    best = linked.groupBy("fingerprint").agg(F.sum("links").alias("links"), F.min("near_id").alias("near_id"))
+    ruled = classes.join(best, "fingerprint", "left").join(joined, "class_id", "left")
+    members = found.join(ruled, "fingerprint")
+    return members.select("doc_id", "class_id", "near_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "class_id").alias("component_id"))
 
 
 def successors(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -62,6 +62,38 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(docs).count() == len(ROWS)
 
 
+def test_near_documents(spark, empty, monkeypatch):
+    # a template whose least like copy has the smallest id
+    base = words(400, 31).split()
+    r, rows = random.Random(5), []
+    for i in range(60):
+        own = list(base)
+        for _ in range(45 if i == 0 else r.choice((1, 2, 4, 8, 16))):
+            own[r.randrange(len(own))] = words(1, 9000 + r.randrange(5000))
+        rows.append((i, " ".join(own)))
+    rows += [(100, rows[7][1]), (101, words(200, 32)), (102, None)]
+    mark = {i: fingerprints.fingerprint(t or "") for i, t in rows}
+    first = {m: min(i for i in mark if mark[i] == m) for m in mark.values()}
+    ids = sorted(first.values())
+    near = {a: [b for b in ids if a != b and fingerprints._like(mark[a], mark[b]) >= 0.75] for a in ids}
+    reach = {}
+    for a in ids:
+        todo, seen = [a], {a}
+        while todo:
+            new = set(near[todo.pop()]) - seen
+            seen |= new
+            todo += new
+        reach[a] = min(seen)
+    want = {i: (c, min(near[c], default=None), len(near[c]), reach[c]) for i, m in mark.items() for c in [first[m]]}
+    assert sum(bool(v) for v in near.values()) > 20 and any(len(v) < len(ids) - 3 for v in near.values() if v)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    for block in (1024, 8):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        got = {x.doc_id: (x.class_id, x.near_id, x.links, x.component_id) for x in fingerprints.near_documents(df).collect()}
+        assert got == want
+    assert fingerprints.near_documents(empty).count() == 0
+
+
 def test_token_counts(docs, empty):
     m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = collections.Counter((r[0], len((r[1] or "").encode()), len(m.encode(r[1] or "")), len(m.encode(r[1] or "")) > 4096) for r in ROWS)
