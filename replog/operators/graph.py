@@ -40,23 +40,37 @@ def error_edges(errors: DataFrame, batches: DataFrame) -> DataFrame:
 
 
 def neighbors(edges: DataFrame, anchors: DataFrame, hops: int = 2, k: int = 30) -> DataFrame:
-    """The k best nodes around each anchor (file_id, anchor): a path's score halves with each hop and takes the edge's weight; a node has its best. Many anchors go at once."""
-    both = edges.select("file_id", "src", "dst", "weight").unionByName(edges.select("file_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight")).groupBy("file_id", "src", "dst").agg(F.max("weight").alias("weight"))
-    front = anchors.select("file_id", "anchor", F.col("anchor").alias("node"), F.lit(1.0).alias("score"), F.lit(0).alias("hop"))
-    seen = front
+    """The k best nodes around each anchor (file_id, anchor): a path's score starts with its first edge's weight, and each further hop halves it and takes the edge's weight; a node has its best, with the provenance of that path's last edge. Many anchors go at once.
+
+    Edges without the column provenance count as EXTRACTED, as in the reference."""
+    own = edges if "provenance" in edges.columns else edges.withColumn("provenance", F.lit("EXTRACTED"))
+    own = own.select("file_id", "src", "dst", "weight", "provenance")
+    both = own.unionByName(own.select("file_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "provenance"))
+    extracted = lambda: F.coalesce(F.col("provenance") == "EXTRACTED", F.lit(False))
+    both = both.groupBy("file_id", "src", "dst").agg(F.max("weight").alias("weight"), F.max_by("provenance", F.struct("weight", extracted())).alias("provenance"))
+    front = anchors.select("file_id", "anchor", F.col("anchor").alias("node"), F.lit(1.0).alias("score"))
+    found = None
     for hop in range(1, min(hops, 3) + 1):
-        step = front.join(both, (front.file_id == both.file_id) & (front.node == both.src)).select(front.file_id, "anchor", F.col("dst").alias("node"), (F.col("score") * 0.5 * F.col("weight")).alias("score"))
-        front = step.filter("node <> anchor").groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score")).withColumn("hop", F.lit(hop))
-        seen = seen.unionByName(front)
-    best = seen.filter("hop > 0").groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score"), F.min_by("hop", F.struct(-F.col("score"), "hop")).alias("hop"))
+        decay = 1.0 if hop == 1 else 0.5
+        step = front.join(both, (front.file_id == both.file_id) & (front.node == both.src)).select(front.file_id, "anchor", F.col("dst").alias("node"), (F.col("score") * decay * F.col("weight")).alias("score"), "provenance")
+        reached = step.filter("node <> anchor").groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score"), F.max_by("provenance", F.struct("score", extracted())).alias("provenance")).withColumn("hop", F.lit(hop))
+        found = reached if found is None else found.unionByName(reached)
+        front = reached.select("file_id", "anchor", "node", "score")
+    order = F.struct("score", -F.col("hop"), extracted())
+    best = found.groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score"), F.max_by("hop", order).alias("hop"), F.max_by("provenance", order).alias("provenance"))
     return topk_per_group(best, ["file_id", "anchor"], [F.desc("score"), "node"], k, "rank")
 
 
-def rank_neighbors(found: DataFrame, total_lines: int) -> DataFrame:
-    """Scores weighed by hops and by the distance in lines from the anchor."""
+def rank_neighbors(found: DataFrame, files: DataFrame) -> DataFrame:
+    """Scores weighed by hops, by the distance from the anchor as a part of the file's own lines (file_id, line_count), and by 1.2 where the path's last edge was extracted."""
     line = lambda c: F.nullif(F.regexp_extract(c, r"^error:(\d+)$", 1), F.lit("")).cast("long")
-    near = F.coalesce(F.greatest(F.lit(0.2), 1 - F.abs(line("node") - line("anchor")) / F.lit(total_lines)), F.lit(1.0))
-    return found.withColumn("final", F.col("score") / (1 + 0.5 * F.col("hop")) * near)
+    total = F.when(F.col("line_count") > 0, F.col("line_count"))
+    part = F.abs(line("node") - line("anchor")) / total
+    # greatest() passes over nulls, so a node or anchor without a line would have the least
+    near = F.when(part.isNull(), 1.0).otherwise(F.greatest(F.lit(0.2), 1 - part))
+    sure = F.when(F.col("provenance") == "EXTRACTED", 1.2).otherwise(1.0)
+    joined = found.join(files.select("file_id", "line_count"), "file_id", "left")
+    return joined.withColumn("final", F.col("score") / (1 + 0.5 * F.col("hop")) * sure * near).drop("line_count")
 
 
 def related_context(edges: DataFrame, anchors: DataFrame, errors: DataFrame, hops: int = 2, k: int = 30) -> DataFrame:

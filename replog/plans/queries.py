@@ -195,7 +195,7 @@ over_lines("preflight", lambda ln: I.preflight(ln, {"performance": R.parse_laten
 over_lines("retrieval_query", errors(I.retrieval_query))
 over_lines("cooccurring_errors", errors(G.cooccurring_errors), "SELECT a.file_id, a.line_number AS a, b.line_number AS b, CASE WHEN a.component = b.component THEN 'component' WHEN a.error_code = b.error_code THEN 'code' ELSE 'thread' END AS why, round(greatest(0.2, 1 - (b.line_number - a.line_number) / 50.0), 6) AS weight FROM errors a JOIN errors b ON a.file_id = b.file_id AND b.line_number - a.line_number BETWEEN 1 AND 50 AND (a.component = b.component OR a.error_code = b.error_code OR a.thread_id = b.thread_id)")
 over_lines("error_edges", lambda ln: G.error_edges(R.error_lines(ln), E.batches(ln)).groupBy("file_id", "edge_type", "provenance").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")))
-over_lines("neighbors", lambda ln: G.rank_neighbors(G.neighbors(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln)), 10_000))
+over_lines("neighbors", lambda ln: G.rank_neighbors(G.neighbors(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln)), S.register_files(ln)))
 over_lines("preset_pattern_hits", lambda ln: R.preset_pattern_hits(ln, {"ora": P.ORA, "busy": "(?i)busy", "redo": "(?i)redo log"}), "SELECT file_id, label, count(*) AS hits FROM (" + " UNION ALL ".join(f"SELECT file_id, '{k}' AS label FROM lines WHERE {has(p)}" for k, p in (("ora", P.ORA), ("busy", "(?i)busy"), ("redo", "(?i)redo log"))) + ") GROUP BY ALL")
 over_lines("task_config", R.task_config)
 

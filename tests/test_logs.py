@@ -160,6 +160,19 @@ def test_full_load(spark):
     assert (t.reload_count, t.attempt_count) == (1, 2) and "reload_loop" in {r.title for r in L.insights(df).collect()}
 
 
+def test_neighbors_ranked(spark):
+    edges = spark.createDataFrame([(f, s, d, w, p) for f in (1, 2) for s, d, w, p in (("error:100", "error:40100", 1.0, "INFERRED"), ("error:100", "error:200", 0.9, "EXTRACTED"), ("error:200", "code:x", 1.5, "EXTRACTED"), ("error:100", "code:x", 0.5, "INFERRED"))], "file_id long, src string, dst string, weight double, provenance string")
+    anchor = spark.createDataFrame([(1, "error:100"), (2, "error:100")], "file_id long, anchor string")
+    files = spark.createDataFrame([(1, 100_000), (2, 50_000)], "file_id long, line_count long")
+    found = G.neighbors(edges, anchor)
+    got = {(r.file_id, r.node): (r.hop, r.provenance, round(r.score, 9), round(r.final, 9)) for r in G.rank_neighbors(found, files).collect()}
+    for f, n in ((1, 100_000), (2, 50_000)):
+        assert got[f, "error:40100"] == (1, "INFERRED", 1.0, round(1 / 1.5 * max(0.2, 1 - 40_000 / n), 9))
+        assert got[f, "error:200"] == (1, "EXTRACTED", 0.9, round(0.9 / 1.5 * 1.2 * (1 - 100 / n), 9))
+        # two hops by extracted edges beat the inferred edge
+        assert got[f, "code:x"] == (2, "EXTRACTED", 0.675, round(0.675 / 2 * 1.2, 9))
+
+
 def test_graph_and_windows(spark):
     e = spark.createDataFrame([(1, n, "2025-01-01", c, t, "I", "x", code) for n, c, t, code in ((10, "A", "1", "k"), (15, "A", "1", "k"), (200, "B", "2", "z"))], "file_id long, line_number long, timestamp string, component string, thread_id string, severity string, text string, error_code string")
     pairs = G.cooccurring_errors(e).collect()
