@@ -75,7 +75,8 @@ def best(ids: np.ndarray, x: np.ndarray, bits: np.ndarray, length: np.ndarray, c
             continue
         exact = x[first] @ query[j]
         least = np.partition(exact, len(exact) - k)[len(exact) - k] if len(exact) >= k else -np.inf
-        near = np.flatnonzero(upper >= least)
+        # what is scored already stays, even where its own bound falls short
+        near = np.union1d(first, np.flatnonzero(upper >= least))
         # one product a row, summed in the order of the components, so that equal vectors have equal scores
         score = (x[near] * query[j]).sum(1)
         order = np.lexsort((ids[near], -score))[:k]

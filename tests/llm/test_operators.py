@@ -149,6 +149,18 @@ def test_neighbours(spark):
     assert few == {20}
 
 
+def test_neighbours_of_few(spark):
+    r = np.random.default_rng(1)
+    ids = np.arange(21)
+    for _ in range(300):
+        x = r.normal(size=(21, 16))
+        mean = x.mean(0)
+        found = neighbours.best(ids, x, *neighbours.codes(x, mean), mean, ids, x, 20)
+        assert [len(v) for v in found[1]] == [20] * 21
+    df = spark.createDataFrame([(int(i), [float(v) for v in x[i]]) for i in ids], "vec_id long, embedding array<double>")
+    assert {q["count"] for q in neighbours.search(df, F.lit(True), 20).groupBy("query_id").count().collect()} == {20}
+
+
 def test_byte_bpe(spark, docs, empty):
     data = open(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), "rb").read()
     enc = byte_bpe.encoder(data, public_tokenizers.PATTERN)
@@ -320,6 +332,15 @@ def test_held_out_accuracy(spark, name):
     assert np.mean(right) > 0.95
 
 
+def test_pipeline_decodes(spark, docs):
+    import corpus_pipeline
+
+    mixed = docs.unionByName(docs.filter("doc_id in (1, 15)"))
+    got = corpus_pipeline.encode(spark, mixed, SF).collect()
+    want = collections.Counter((r[0], hashlib.sha256((r[1] or "").encode()).hexdigest(), True) for r in [*ROWS, *(r for r in ROWS if r[0] in (1, 15))])
+    assert collections.Counter((r.doc_id, r.decoded_sha256, r.decoded_equal) for r in got) == want
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
