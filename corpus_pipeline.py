@@ -39,8 +39,11 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens and ids of every document in the mix, repeats included."""
-    return byte_bpe.encode(docs).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids")
+    """doc_id, n_tokens and ids of every document in the mix, repeats included; decoded_sha256 of the bytes that the ids decode to, and decoded_equal, whether a text of that id has the same."""
+    coded = byte_bpe.encode(docs, decoded=True).select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    own = docs.select(F.col("doc_id").alias("_doc"), F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("_sha256")).distinct()
+    joined = coded.join(own, (F.col("decoded_sha256") == F.col("_sha256")) & F.col("doc_id").eqNullSafe(F.col("_doc")), "left")
+    return joined.select("doc_id", "n_tokens", "ids", "decoded_sha256", F.col("_sha256").isNotNull().alias("decoded_equal"))
 
 
 STAGES = [("language_id", language_id), ("near_dedup", near_dedup), ("substring_dedup", substring_dedup), ("source_mix", source_mix), ("byte_bpe", encode)]
