@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from replog.plans.scale import range_join, topk_per_group
+from replog.plans.scale import range_join, topk_per_group, written
 
 FILE, LINE = ["file_id"], "line_number"
 
@@ -47,7 +47,7 @@ def neighbors(edges: DataFrame, anchors: DataFrame, hops: int = 2, k: int = 30)
     own = own.select("file_id", "src", "dst", "weight", "provenance")
     both = own.unionByName(own.select("file_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "provenance"))
     extracted = lambda: F.coalesce(F.col("provenance") == "EXTRACTED", F.lit(False))
-    both = both.groupBy("file_id", "src", "dst").agg(F.max("weight").alias("weight"), F.max_by("provenance", F.struct("weight", extracted())).alias("provenance"))
+    both = written(both.groupBy("file_id", "src", "dst").agg(F.max("weight").alias("weight"), F.max_by("provenance", F.struct("weight", extracted())).alias("provenance")))
     front = anchors.select("file_id", "anchor", F.col("anchor").alias("node"), F.lit(1.0).alias("score"))
     found = None
     for hop in range(1, min(hops, 3) + 1):

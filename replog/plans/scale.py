@@ -6,6 +6,8 @@ rows are filtered to the events that matter before the window sorts them.
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -91,3 +93,13 @@ def floor_percentile(df: DataFrame, keys: Sequence[str], value: str, shares: Seq
     ranked = df.filter(F.col(value).isNotNull()).select(*keys, value, (F.row_number().over(w.orderBy(value)) - 1).alias("_k"), F.count("*").over(w).alias("_n"))
     at = [F.max(F.when(F.col("_k") == F.least(F.floor(F.col("_n") * p), F.col("_n") - 1), F.col(value))).alias(n) for p, n in zip(shares, names, strict=True)]
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *at)
+
+
+def written(df: DataFrame) -> DataFrame:
+    """df written to the folder that the cluster names for checkpoints, and read again, so that what goes on from it several times is planned and worked out once."""
+    spark = df.sparkSession
+    if (top := spark.sparkContext.getCheckpointDir()) is None:
+        spark.sparkContext.setCheckpointDir(top := spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    path = f"{top}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
