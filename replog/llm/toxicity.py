@@ -1,186 +1,293 @@
 """Operator 6: toxicity by nearest labelled examples.
 
-Examples are a bounded sample of learnable labelled documents. Their terms that tell labels apart (by chi square over the sample) form the
-vocabulary; document frequencies of these terms are counted over all documents. Examples are TF-IDF vectors in an inverted index whose posting
-lists are cut into blocks with their largest weight. A text's nearest examples by exact cosine are found term by term, heaviest first: a block
-is skipped when the most that it and all later terms could add does not reach the least of the nearest found so far. Votes weighted by
-similarity are calibrated on the examples themselves, each left out of its own neighbours.
-
-Edge cases: a null or empty text, and any text without a vocabulary term, has no neighbour and gets the calibrated score of such examples;
-without labelled examples of both kinds every score is the share of label 1 (0 without any); rows that repeat are scored each; long texts are
-read whole; equal cosines prefer the smaller example id; an empty table gives an empty result.
+Examples are a bounded sample of learnable labelled documents, as normalised vectors over every term that two of them share. A term weighs
+(1 + log tf) * idf * rf: document frequencies are counted over all documents, and rf = log2(2 + a / max(1, c)) raises terms that stand in more
+toxic examples (a) than clean ones (c); it is 1 at least, so no term is left out. Examples lie in an inverted index whose posting lists are
+sorted by weight and cut into blocks with their largest weight. A text's nearest examples by exact cosine are found in groups of terms, those
+that can add most first: blocks that cannot lift an unseen example to the k-th best so far are skipped, and what is left is scored from its
+whole vector. Votes weighted by similarity are calibrated on the examples themselves, each left out of its own neighbours.
+
+Edge cases: a null or empty text, and a text that shares no term with the examples, has no neighbour and gets the calibrated score of such
+examples; without labelled examples every score is 0, and with one kind only it is near that kind's label; of labels that repeat an id the
+larger counts; of documents that repeat a labelled id one is an example (the first by hash of its text); a null id is in the held-out fold
+and teaches nothing; rows that repeat are scored each; long texts are read whole; equal cosines prefer the smaller example id; further
+columns are not looked at; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, plain, sampled_labels, texts
+from .common import cut, fold, map_batches, plain, sampled_labels, texts
 
 #: Labelled examples that the index holds, at most.
-SAMPLE = 12_000
-#: Terms of the vocabulary, at most, and the chi square that a term must reach.
-TERMS, CHI_SQUARE = 4096, 30.0
+SAMPLE = 3_000
 NEIGHBOURS = 16
-#: Postings in a block.
-BLOCK = 64
+#: Postings in a block; terms in the first group, later groups are twice as large as the one before.
+BLOCK, GROUP = 64, 32
+#: Blocks are skipped as long as that hides less than this share of the k-th best; examples that are few enough to be scored one by one.
+SLACK, FEW = 0.05, 256
+#: Bins of the calibration.
+BINS = 21
 TERM = re.compile(r"[^\W_]+")
 
 
-def term_counts(text: str, vocabulary: dict[str, int] | None = None) -> Counter:
-    """How often each term (of the vocabulary) occurs in the lower-cased text."""
-    found = TERM.findall(text.lower())
-    return Counter(found if vocabulary is None else map(vocabulary.__getitem__, filter(vocabulary.__contains__, found)))
+def terms_of(text: str) -> list[str]:
+    """The terms of the lower-cased text, in order."""
+    return TERM.findall(text.lower())
+
+
+def term_counts(text: str, vocabulary: dict[str, int]) -> Counter:
+    """How often each term of the vocabulary occurs, by its number."""
+    return Counter({vocabulary[t]: n for t, n in Counter(terms_of(text)).items() if t in vocabulary})
+
+
+def slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """The places of runs with these starts and lengths, one run after the other."""
+    ends = np.cumsum(length)
+    return np.repeat(start - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)
+
+
+@dataclass
+class Weights:
+    """The vocabulary, sorted, and what each term's frequency in a text is multiplied by."""
+
+    terms: list[str]
+    weight: np.ndarray
+
+    @cached_property
+    def vocabulary(self) -> dict[str, int]:
+        return {t: k for k, t in enumerate(self.terms)}
+
+    def vector(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The text's terms and normalised weights."""
+        n = term_counts(text, self.vocabulary)
+        at = np.fromiter(n, np.int32, len(n))
+        v = (1 + np.log(np.fromiter(n.values(), float, len(n)))) * self.weight[at]
+        return at, v / np.sqrt((v * v).sum()) if len(v) else v
 
 
 @dataclass
 class Index:
-    """Examples as normalised TF-IDF vectors, by term; within a term the heaviest postings come first, so a block's first weight is its largest."""
+    """Examples by term (example, weight from start; the heaviest first) and by example (of, value from begin)."""
 
-    vocabulary: dict[str, int]
-    idf: np.ndarray
+    weights: Weights
     ids: np.ndarray
     label: np.ndarray
     start: np.ndarray
     example: np.ndarray
     weight: np.ndarray
-    curve: np.ndarray
-
-    def vector(self, counts: Counter) -> list[tuple[int, float]]:
-        terms = sorted(counts)
-        v = np.array([1 + np.log(counts[t]) for t in terms]) * self.idf[terms]
-        return list(zip(terms, v / np.sqrt((v * v).sum()), strict=True)) if terms else []
-
-    def nearest(self, vector: list[tuple[int, float]], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the k nearest examples and their cosines; terms go in the order of what they can add at most."""
-        top = np.zeros(len(self.ids))
-        terms = sorted(((q * self.weight[self.start[t]], t, q) for t, q in vector if self.start[t + 1] > self.start[t]), reverse=True)
-        left = sum(x for x, _, _ in terms)
-        least = 0.0
-        for n, (most, t, q) in enumerate(terms, 1):
-            s, e = self.start[t], self.start[t + 1]
-            for a in range(s, e, BLOCK):
-                z = min(e, a + BLOCK)
-                bound = q * self.weight[a] + left - most
-                if bound < least:
-                    # only examples that earlier terms have touched can still be among the nearest
-                    rest, w = self.example[a:e], self.weight[a:e]
-                    live = top[rest] > 0
-                    top[rest[live]] += q * w[live]
-                    break
-                top[self.example[a:z]] += q * self.weight[a:z]
-            left -= most
-            # the least of the nearest so far, where a later list is long enough for blocks of it to be skipped
-            if len(top) > k and any(self.start[x + 1] - self.start[x] > BLOCK for _, x, _ in terms[n:]):
-                least = np.partition(top, len(top) - k - 1)[len(top) - k - 1]
-        if skip >= 0:
-            top[skip] = 0
-        near = np.flatnonzero(top > 0)
-        if len(near) > k:
-            near = near[top[near] >= np.partition(top[near], len(near) - k)[len(near) - k]]
-        near = near[np.lexsort((self.ids[near], -top[near]))][:k]
-        return near, top[near]
+    begin: np.ndarray
+    of: np.ndarray
+    value: np.ndarray
+    #: Posting blocks read and skipped by searches of this process.
+    blocks: tuple[int, int] = (0, 0)
+
+    def cosines(self, some: np.ndarray, at: np.ndarray, v: np.ndarray) -> np.ndarray:
+        """The exact cosines of some examples, each summed over its whole vector in the order of its terms."""
+        dense = np.zeros(len(self.start) - 1)
+        dense[at] = v
+        length = self.begin[some + 1] - self.begin[some]
+        take = slices(self.begin[some], length)
+        return np.add.reduceat(dense[self.of[take]] * self.value[take], np.cumsum(length) - length)
+
+    def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k nearest examples of a vector and their cosines, leaving out those that share no term."""
+        none = np.zeros(0, np.int64), np.zeros(0)
+        long = self.start[at + 1] > self.start[at]
+        at, v = at[long], v[long]
+        if not len(at):
+            return none
+        most = v * self.weight[self.start[at]]
+        order = np.lexsort((at, -most))
+        s, e, q, most = self.start[at[order]], self.start[at[order] + 1], v[order], most[order]
+        after = most.sum() - np.cumsum(most)  # what terms after each can add
+        top, rest, missed, least, read, skipped = np.zeros(len(self.ids)), float(most.sum()), 0.0, 0.0, 0, 0
+        a, size = 0, GROUP
+        while a < len(q):
+            z = min(len(q), a + size)
+            # an example that only stands in skipped blocks gets less than spare from this group, and so stays below the k-th best
+            spare, whole = min(least - missed - after[z - 1], SLACK * least - missed), most[a:z].sum()
+            stop = e[a:z].copy()
+            if spare > 0:
+                share = min(1.0, spare / whole) * (1 - 1e-9)
+                for j in np.flatnonzero((stop - s[a:z] > BLOCK) | (share > 0.99)):
+                    x, y = s[a + j], e[a + j]
+                    stop[j] = min(y, x + BLOCK * int(np.count_nonzero(self.weight[x:y:BLOCK] > share * self.weight[x])))
+                left = stop < e[a:z]
+                missed += float((q[a:z][left] * self.weight[stop[left]]).sum())
+            n = stop - s[a:z]
+            read, skipped = read + int((-(-n // BLOCK)).sum()), skipped + int((-(-(e[a:z] - stop) // BLOCK)).sum())
+            if n.any():
+                take = slices(s[a:z], n)
+                top += np.bincount(self.example[take], self.weight[take] * np.repeat(q[a:z], n), len(top))
+            least = np.partition(top, len(top) - k)[len(top) - k] if len(top) >= k else 0.0
+            rest = missed + max(0.0, float(after[z - 1]))
+            a, size = z, size * 2
+            # few enough examples can still be among the nearest, and none that is unseen: they are scored from their own vectors
+            if rest < least and np.count_nonzero(top >= least - rest) <= FEW:
+                skipped += int((-(-(e[z:] - s[z:]) // BLOCK)).sum())
+                break
+        self.blocks = self.blocks[0] + read, self.blocks[1] + skipped
+        # sums that rounding may have put below the k-th best stay in
+        near = np.flatnonzero((top > 0) & (top + rest >= least * (1 - 1e-9)))
+        exact = self.cosines(near, at, v)
+        first = np.lexsort((self.ids[near], -exact))[:k]
+        return near[first], exact[first]
 
     def vote(self, near: np.ndarray, cosine: np.ndarray) -> float:
         """The share of label 1 among the nearest, weighted by similarity; -1 without any."""
         return float((cosine * self.label[near]).sum() / cosine.sum()) if len(near) else -1.0
 
-    def calibrated(self, vote: float) -> float:
-        """Smoothed share of label 1 among examples with such a vote."""
-        return float(self.curve[0] if vote < 0 else np.interp(vote, np.linspace(0, 1, len(self.curve) - 1), self.curve[1:]))
-
-
-def build(examples: list[tuple[int, int, Counter]], terms: dict[str, int], idf: np.ndarray, k: int = NEIGHBOURS) -> Index:
-    """An index over (id, label, counts by term number), with its calibration."""
-    examples = sorted(examples, key=lambda x: (x[0], x[1]))
-    ids, label = np.array([x[0] for x in examples], np.int64), np.array([x[1] for x in examples], float)
-    index = Index(terms, idf, ids, label, np.zeros(len(terms) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0), np.zeros(12))
-    vectors = [index.vector(x[2]) for x in examples]
-    postings = sorted((t, -w, j) for j, v in enumerate(vectors) for t, w in v)
-    index.example, index.weight = np.array([x[2] for x in postings], np.int64), np.array([-x[1] for x in postings])
-    index.start = np.searchsorted(np.array([x[0] for x in postings], np.int64), np.arange(len(terms) + 1))
-    votes = np.array([index.vote(*index.nearest(v, k, j)) for j, v in enumerate(vectors)])
-    share, width = label.mean() if len(label) else 0.0, len(index.curve) - 1
-    at = np.where(votes < 0, 0, 1 + np.rint(np.maximum(votes, 0) * (width - 1))).astype(int)
-    # each bin's share of label 1, drawn to its vote (or to the share among all) where examples are few, and never falling as votes rise
-    prior = np.concatenate(([share], np.linspace(0, 1, width)))
-    good, seen = np.bincount(at, label, width + 1), np.bincount(at, minlength=width + 1)
-    index.curve = (good + prior * 2) / (seen + 2)
-    index.curve[1:] = np.maximum.accumulate(index.curve[1:])
-    return index
-
-
-def _counted(terms: dict[str, int] | None) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+
+def build(weights: Weights, ids: np.ndarray, label: np.ndarray, vectors: list[tuple[np.ndarray, np.ndarray]]) -> Index:
+    """An index over examples (in ascending order of id) and their vectors."""
+    length = np.array([len(at) for at, _ in vectors], np.int64)
+    begin = np.concatenate((np.zeros(1, np.int64), np.cumsum(length)))
+    of = np.concatenate([at for at, _ in vectors] or [np.zeros(0, np.int32)]).astype(np.int32)
+    value = np.concatenate([v for _, v in vectors] or [np.zeros(0)])
+    owner = np.repeat(np.arange(len(vectors)), length)
+    order = np.lexsort((owner, -value, of))
+    start = np.searchsorted(of[order], np.arange(len(weights.terms) + 1))
+    return Index(weights, ids, label, start, owner[order], value[order], begin, of, value)
+
+
+def calibration(vote: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """The score of a text without neighbours, and then that of votes at BINS places from 0 to 1.
+
+    Each is the share of label 1 among examples with such votes, drawn to the vote (or to the share among all) where they are few, and never
+    falling as votes rise."""
+    share = label.mean() if len(label) else 0.0
+    at = np.where(vote < 0, 0, 1 + np.rint(np.maximum(vote, 0) * (BINS - 1))).astype(int)
+    prior = np.concatenate(([share], np.linspace(0, 1, BINS)))
+    good, seen = np.bincount(at, label, BINS + 1), np.bincount(at, minlength=BINS + 1)
+    curve = (good + prior * 2) / (seen + 2)
+    # falls are levelled by pooling neighbours
+    level: list[list[float]] = []
+    for c, n in zip(curve[1:], seen[1:] + 2.0, strict=True):
+        level.append([c, n, 1])
+        while len(level) > 1 and level[-2][0] > level[-1][0]:
+            (x, n1, k1), (y, n2, k2) = level[-2:]
+            level[-2:] = [[(x * n1 + y * n2) / (n1 + n2), n1 + n2, k1 + k2]]
+    return np.concatenate((curve[:1], np.repeat([x for x, _, _ in level], [int(k) for _, _, k in level])))
+
+
+def calibrated(curve: np.ndarray, vote: float) -> float:
+    return float(curve[0] if vote < 0 else np.interp(vote, np.linspace(0, 1, BINS), curve[1:]))
+
+
+def _terms() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+    """The distinct terms of each text, beside its label."""
+
+    def one(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [list(set(terms_of(t))) for t in texts(b)]
+        return pa.record_batch([b.column(2), pa.array(found, pa.list_(pa.string()))], ["label", "terms"])
+
+    return one
+
+
+def frequencies(docs: DataFrame, terms: list[str]) -> np.ndarray:
+    """Inverse document frequencies of the terms over all of docs (doc_id, text); each task sends its own sums."""
+    shared = docs.sparkSession.sparkContext.broadcast(terms)  # terms of at most SAMPLE documents
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, n, rows = {t: k for k, t in enumerate(shared.value)}, np.zeros(len(shared.value) + 1, np.int64), 0
+        for b in batches:
+            for t in texts(b):
+                found = set(terms_of(t)) & at.keys()
+                n[np.fromiter(map(at.__getitem__, found), np.int64, len(found))] += 1
+            rows += b.num_rows
+        n[-1] = rows
+        some = np.flatnonzero(n)
+        for a in range(0, len(some), 10_000):
+            yield pa.record_batch([pa.array(some[a : a + 10_000], pa.int64()), pa.array(n[some[a : a + 10_000]])], ["term", "n"])
+
+    total = np.zeros(len(terms) + 1)
+    found = docs.mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    total[found["term"].to_numpy()] = found["n"].to_numpy()
+    return np.log((1 + total[-1]) / (1 + total[:-1])) + 1
+
+
+def _vectors(weights) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        own = weights.value
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [term_counts(t, terms) for t in texts(b)]
-            keys = pa.array([list(x) for x in found], pa.list_(pa.string() if terms is None else pa.int32()))
-            return pa.record_batch([b.column(0), b.column(2), keys, pa.array([list(x.values()) for x in found], pa.list_(pa.int32()))], ["doc_id", "label", "terms", "n"])
+            found = [own.vector(t) for t in texts(b)]
+            return pa.record_batch([b.column(0), b.column(2), pa.array([at.tobytes() for at, _ in found], pa.binary()), pa.array([v.tobytes() for _, v in found], pa.binary())], ["doc_id", "label", "at", "v"])
 
         return one
 
     return make
 
 
-def frequencies(docs: DataFrame, terms: dict[str, int]) -> np.ndarray:
-    """Inverse document frequencies of the vocabulary over all of docs (doc_id, text); tasks send sums, one row a term."""
+def _votes(index, k: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]]:
+    """The vote of each example by the others."""
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        own = index.value
+
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            df = Counter()
-            for t in texts(b):
-                df.update(set(TERM.findall(t.lower())) & terms.keys())
-            return pa.record_batch([pa.array([-1, *map(terms.get, df)], pa.int32()), pa.array([b.num_rows, *df.values()], pa.int64())], ["term", "n"])
+            votes = []
+            for i, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
+                near, cosine = own.nearest(*own.weights.vector(t), k + 1)
+                other = own.ids[near] != i
+                votes.append(own.vote(near[other][:k], cosine[other][:k]))
+            return pa.record_batch([b.column(0), b.column(2), pa.array(votes, pa.float64())], ["doc_id", "label", "vote"])
 
         return one
 
-    total = {r.term: r.n for r in map_batches(docs, make, "term int, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return np.log((1 + total.get(-1, 0)) / (1 + np.array([total.get(k, 0) for k in range(len(terms))], float))) + 1
+    return make
 
 
-def train(docs: DataFrame, labels: DataFrame, learn=None, sample: int = SAMPLE) -> Index:
-    """The index over at most sample labelled documents of the rows where learn holds, chosen by a hash of the id."""
+@dataclass
+class Model:
+    index: Index
+    shared: object  # the index as a broadcast variable
+    curve: np.ndarray
+
+
+def train(docs: DataFrame, labels: DataFrame, learn=None, sample: int = SAMPLE, k: int = NEIGHBOURS) -> Model:
+    """The index over at most sample labelled documents of the rows where learn holds, chosen by a hash of the id, and its calibration."""
     learn = fold("doc_id", 5) != 0 if learn is None else learn
+    context = docs.sparkSession.sparkContext
     chosen = sampled_labels(labels.filter(learn), "toxic", sample)
-    own = plain(docs.join(F.broadcast(chosen.withColumnRenamed("label", "_label")), "doc_id"), "doc_id", "text", F.col("_label").alias("label")).dropDuplicates(["doc_id"])
-    counted = map_batches(own, _counted(None), "doc_id long, label int, terms array<string>, n array<int>")
-    # which terms tell labels apart is counted by the tasks; only terms in more than one example matter
-    total = counted.agg(F.count("*").alias("n"), F.coalesce(F.sum("label"), F.lit(0)).alias("p")).first()
-    n, p = float(total.n), float(total.p)
-    told = counted.select("label", F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"), F.sum("label").alias("a")).filter("df > 1")
-    cells = [("a", "df * {p} / {n}"), ("df - a", "df * ({n} - {p}) / {n}"), ("{p} - a", "({n} - df) * {p} / {n}"), ("{n} - df - {p} + a", "({n} - df) * ({n} - {p}) / {n}")]
-    chi = " + ".join(f"coalesce(try_divide(power({o} - {e}, 2), {e}), 0)" for o, e in cells).format(n=n, p=p) if n else "0"
-    best = told.withColumn("chi", F.expr(chi)).filter(F.col("chi") >= CHI_SQUARE).orderBy(F.desc("chi"), "term").limit(TERMS).collect()
-    terms = {r.term: k for k, r in enumerate(best)}
-    rows = map_batches(own, _counted(terms), "doc_id long, label int, terms array<int>, n array<int>").collect()
-    examples = [(r.doc_id, r.label, Counter(dict(zip(r.terms, r.n, strict=True)))) for r in rows]
-    return build(examples, terms, frequencies(plain(docs, "doc_id", "text"), terms))
-
-
-def score(docs: DataFrame, index: Index, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    own = plain(docs.join(F.broadcast(chosen.select("doc_id", F.col("label").alias("_label"))), "doc_id"), "doc_id", "text", F.col("_label").alias("label"))
+    # one row an id, and each text read once
+    own = cut(own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label")))
+    seen = map_batches(own, _terms, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
+    told = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("a")).filter("n > 1").orderBy("term").toArrow()
+    terms, n, a = told["term"].to_pylist(), told["n"].to_numpy().astype(float), told["a"].to_numpy().astype(float)
+    weights = Weights(terms, frequencies(plain(docs, "doc_id", "text"), terms) * np.log2(2 + a / np.maximum(1, n - a)))
+    rows = map_batches(own, _vectors(context.broadcast(weights)), "doc_id long, label int, at binary, v binary").toArrow().sort_by("doc_id")
+    vectors = [(np.frombuffer(at, np.int32), np.frombuffer(v)) for at, v in zip(rows["at"].to_pylist(), rows["v"].to_pylist(), strict=True)]
+    index = build(weights, rows["doc_id"].to_numpy(), rows["label"].to_numpy().astype(float), vectors)
+    shared = context.broadcast(index)  # the vectors of at most sample documents
+    votes = map_batches(own, _votes(shared, k), "doc_id long, label int, vote double").toArrow()
+    return Model(index, shared, calibration(votes["vote"].to_numpy(), votes["label"].to_numpy().astype(float)))
+
+
+def score(docs: DataFrame, model: Model, k: int = NEIGHBOURS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, predicted, and as evidence the ids and cosines of the nearest examples, for every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    shared = docs.sparkSession.sparkContext.broadcast(index)  # bounded by SAMPLE examples of at most TERMS terms
+    shared, curve = model.shared, model.curve
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        found, none = shared.value, shared.value.calibrated(-1.0)
+        index = shared.value
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            scores, ids, cosines = [], [], []
-            for t in texts(b):
-                near, cosine = found.nearest(v, k) if (v := found.vector(term_counts(t, found.vocabulary))) else (np.zeros(0, int), np.zeros(0))
-                scores.append(found.calibrated(found.vote(near, cosine)) if len(near) else none)
-                ids.append(found.ids[near])
-                cosines.append(cosine)
-            return pa.record_batch([b.column(0), pa.array(scores, pa.float64()), pa.array(ids, pa.list_(pa.int64())), pa.array(cosines, pa.list_(pa.float64()))], ["doc_id", "score", "nearest", "cosines"])
+            found = [index.nearest(*index.weights.vector(t), k) for t in texts(b)]
+            scores = [calibrated(curve, index.vote(*x)) for x in found]
+            return pa.record_batch([b.column(0), pa.array(scores, pa.float64()), pa.array([index.ids[x] for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["doc_id", "score", "nearest", "cosines"])
 
         return one
 

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import math
 import random
 import re
 import string
@@ -185,25 +186,62 @@ def test_toxicity(spark, docs, empty):
         rows.append((i, words(60, i) + (" " + " ".join(r.sample(["vile", "scorn", "loath", "wretch"], 2)) if bad else ""), 1))
         labels.append((i, 1, int(bad)))
     df, lab = spark.createDataFrame(rows, "doc_id long, text string, score int"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    index = toxicity.train(df, lab)
-    got = {x.doc_id: x for x in toxicity.score(df, index).collect()}
+    model = toxicity.train(df, lab)
+    index = model.index
+    got = {x.doc_id: x for x in toxicity.score(df, model).collect()}
     held = [i for i in range(400) if __import__("zlib").crc32(str(i).encode()) % 5 == 0]
     assert np.mean([got[i].predicted == int(i % 4 == 0) for i in held]) > 0.95 and all(0 <= x.score <= 1 for x in got.values())
-    # the nearest are those of all exact cosines
-    vectors = np.zeros((len(index.ids), len(index.vocabulary)))
-    for t in range(len(index.vocabulary)):
-        s, e = index.start[t], index.start[t + 1]
-        vectors[index.example[s:e], t] = index.weight[s:e]
-    for text in ("vile scorn vile", "wretch loath", "scorn"):
-        v = index.vector(toxicity.term_counts(text, index.vocabulary))
-        q = np.zeros(vectors.shape[1])
-        for t, w in v:
-            q[t] = w
-        near, cosine = index.nearest(v, 5)
-        assert np.allclose(np.sort(vectors @ q)[::-1][:5], cosine)
-    assert toxicity.score(docs, index).count() == len(ROWS) and toxicity.score(empty, index).count() == 0
+    assert not set(held) & set(index.ids.tolist())
+    # the nearest are those of all exact cosines over every term that two examples share, from their texts alone
+    seen = {i: collections.Counter(re.findall(r"[^\W_]+", t.lower())) for i, t, _ in rows}
+    own = [i for i in range(400) if i not in held]
+    df_own, toxic = collections.Counter(), collections.Counter()
+    for i in own:
+        df_own.update(seen[i].keys())
+        toxic.update(seen[i].keys() if i % 4 == 0 else ())
+    weight = {t: (math.log(401 / (1 + sum(t in s for s in seen.values()))) + 1) * math.log2(2 + toxic[t] / max(1, n - toxic[t])) for t, n in df_own.items() if n > 1}
+    vector = lambda i: {t: (1 + math.log(n)) * weight[t] for t, n in seen[i].items() if t in weight}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    mine = {i: vector(i) for i in range(400)}
+    for i in (0, 1, 4, 8, 77, 399):
+        cosine = {j: sum(x * mine[j].get(t, 0) for t, x in mine[i].items()) / norm(mine[i]) / norm(mine[j]) for j in own}
+        assert np.allclose(sorted(cosine.values(), reverse=True)[:16], got[i].cosines) and np.allclose([cosine[j] for j in got[i].nearest], got[i].cosines)
+    assert toxicity.score(docs, model).count() == len(ROWS) and toxicity.score(empty, model).count() == 0
     none = toxicity.train(df, lab.limit(0))
     assert {x.score for x in toxicity.score(docs, none).collect()} == {0.0}
+    twice = toxicity.train(df.unionByName(df), lab.unionByName(lab))
+    assert twice.index.ids.tolist() == index.ids.tolist()
+
+
+def test_toxicity_blocks(monkeypatch):
+    monkeypatch.setattr(toxicity, "GROUP", 3)
+    # long posting lists, of which only the heaviest blocks can matter
+    r = np.random.default_rng(3)
+    weights = toxicity.Weights([str(t) for t in range(60)], np.ones(60))
+    vectors = []
+    for j in range(3000):
+        at = np.sort(r.choice(60, 12, replace=False)).astype(np.int32)
+        v = r.exponential(size=12) ** 3
+        vectors.append((at, v / np.sqrt((v * v).sum())))
+    index = toxicity.build(weights, np.arange(3000), np.zeros(3000), vectors)
+    dense = np.zeros((3000, 60))
+    for j, (at, v) in enumerate(vectors):
+        dense[j, at] = v
+    for j in range(0, 3000, 30):
+        cosine = dense @ dense[j]
+        near, found = index.nearest(*vectors[j], 16)
+        assert np.allclose(np.sort(cosine)[::-1][:16], found) and np.allclose(cosine[near], found) and near[0] == j
+    assert index.blocks[1] > 0.02 * sum(index.blocks)
+
+
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_toxicity_has_neighbours(spark, sf):
+    sf_dir = f"/root/testdata/{sf}"
+    found = Q.op6_toxicity(spark, sf_dir).select("doc_id", "held_out", "predicted", F.size("nearest").alias("n")).collect()
+    assert np.mean([x.n > 0 for x in found]) >= 0.95
+    truth = dict(duckdb.sql(f"select doc_id, toxic from '{sf_dir}/labels.parquet'").fetchall())
+    held = [(x.predicted, truth[x.doc_id]) for x in found if x.held_out and x.doc_id in truth]
+    assert np.mean([p == y for p, y in held]) > max(np.mean([y for _, y in held]), 1 - np.mean([y for _, y in held]))
 
 
 def test_substrings(spark, docs, empty):
