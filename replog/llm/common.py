@@ -5,10 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: A word: a run of code points other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -24,16 +26,27 @@ def fold(doc_id: str, folds: int) -> Column:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written as a table in the shared folder that the cluster names for checkpoints, and read again: its lineage ends there, and no executor's loss costs more than a read. A temporary folder is taken only if none is named."""
-    spark = df.sparkSession
-    if (top := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(top := spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{top}/cut-{uuid.uuid4().hex}"
+    """df written as a table in the shared folder, and read again: its lineage ends there, and no executor's loss costs more than a read."""
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str) -> DataFrame:
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for tables in between: what spark.checkpoint.dir names. In local mode, where all is one machine, a temporary one stands in."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
     """Applies make()'s function to each Arrow batch; make() runs once a task, so that it can set up models and tables there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -55,6 +68,26 @@ def plain(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
     return df.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), *more)
 
 
+def one_each(df: DataFrame, *more: str) -> DataFrame:
+    """doc_id, text and the columns of more, one row for each doc_id: that of the first text by hash; so a sample of ids bounds the rows."""
+    first = F.struct(F.xxhash64("text"), "text", *more)
+    return df.groupBy("doc_id").agg(F.min_by(F.struct("text", *more), first).alias("x")).select("doc_id", "x.*")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of df has."""
+    taken = {c.lower() for c in df.columns}
+    mark = "_"
+    while any((mark + n).lower() in taken for n in names):
+        mark += "_"
+    return [mark + n for n in names]
+
+
+def named(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores before it as no column of df has it."""
+    return name if name.lower() not in {c.lower() for c in df.columns} else fresh(df, name)[0]
+
+
 def sampled_labels(labels: DataFrame, label: str, bound: int) -> DataFrame:
     """At most bound labelled ids (doc_id, label), the first by a hash of the id: a small table of a proven size."""
     return labels.select("doc_id", F.col(label).cast("int").alias("label")).dropna().dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, fold, map_batches, plain, sampled_labels, texts
+from .common import cut, fold, map_batches, one_each, plain, sampled_labels, texts
 
 #: Labelled examples that the index holds, at most.
 SAMPLE = 3_000
@@ -263,7 +263,7 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, sample: int = SAMPLE,
     chosen = sampled_labels(labels.filter(learn), "toxic", sample)
     own = plain(docs.join(F.broadcast(chosen.select("doc_id", F.col("label").alias("_label"))), "doc_id"), "doc_id", "text", F.col("_label").alias("label"))
     # one row an id, and each text read once
-    own = cut(own.groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"), F.first("label").alias("label")))
+    own = cut(one_each(own, "label"))
     seen = map_batches(own, _terms, "label int, terms array<string>").select("label", F.explode("terms").alias("term"))
     told = seen.groupBy("term").agg(F.count("*").alias("n"), F.sum("label").alias("a")).filter("n > 1").orderBy("term").toArrow()
     terms, n, a = told["term"].to_pylist(), told["n"].to_numpy().astype(float), told["a"].to_numpy().astype(float)
