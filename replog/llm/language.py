@@ -1,12 +1,14 @@
 """Operator 10: language identification by nearest centroid.
 
 A text becomes a vector of hashed letter n-grams (one to three letters, with word ends), weighted by TF-IDF and normalised. Document
-frequencies are counted over all documents. Each language has several centroids, clustered by spherical k-means over a bounded sample of its
+frequencies are counted over all documents that may be learned from. Each language has several centroids, clustered by spherical k-means over a bounded sample of its
 labelled documents; the language of the nearest centroid by cosine is predicted, and a text farther from every centroid than nearly all
 training documents of that language is rejected.
 
 Edge cases: a text that is null or has no letter is `und`, score 0, and rejected; rows without a language teach nothing; without any learnable
-row every text is `und`; equal similarities go to the language first by code point; an empty table gives an empty result.
+row every text is `und`; equal similarities go to the language first by code point; a null id is in fold 0; rows that repeat are predicted
+each, and sampled once; long texts are read whole; `recognised` keeps further columns as they are, whatever their names; more than
+MOST_LANGUAGES values raise an error; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,15 +20,18 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, map_batches, plain, texts
+from .common import fold, fresh, map_batches, plain, texts
 
 #: Dimensions of the hashed vectors.
 DIM = 4096
 #: Labelled documents that the centroids are fitted on, about, shared equally by the languages.
 SAMPLE = 5000
 CENTROIDS = 4
+#: More values than this are no languages.
+MOST_LANGUAGES = 500
 #: A text is rejected if its cosine is below this share of the lowest hundredth of its language's training cosines.
 SLACK = 0.5
 SHARPNESS = 20.0
@@ -121,17 +126,25 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 
 
 def fit(docs: DataFrame, learn, sample: int = SAMPLE, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Model:
-    """Fits centroids on about sample documents, as many of each language, chosen by a hash of the id among the rows where learn holds."""
+    """Fits centroids on about sample documents, as many of each language, chosen by a hash of id and text among the rows where learn holds.
+
+    Equal rows count once in the sample. Nothing of other rows is looked at: document frequencies too are those of the rows where learn holds."""
+    lang, mark = fresh(docs, "lang", "mark")
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    per = {r[0]: r[1] for r in rows.groupBy(F.col(lang_col).cast("string")).count().collect()}
-    langs = sorted(per)
+    rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias(lang), F.xxhash64(id_col, text_col, F.lit("fit")).alias(mark))
+    # one row a language, and one more than there may be
+    langs = sorted(r[0] for r in rows.select(lang).distinct().limit(MOST_LANGUAGES + 1).collect())
+    if len(langs) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages: {lang_col} is no language")
     if not langs:
         return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
-    share = F.create_map(*[x for lang in langs for x in (F.lit(lang), F.lit(min(1.0, sample / len(langs) / per[lang])))])
-    chosen = rows.filter(F.pmod(F.xxhash64(F.col(id_col), F.lit("fit")), F.lit(1 << 20)) < share[F.col(lang_col)] * (1 << 20))
+    # a language's documents up to the hash of that rank; tasks send no more than so many hashes of a language
+    place = F.row_number().over(W.partitionBy(lang).orderBy(mark))
+    last = rows.select(lang, mark).withColumn("place", place).filter(F.col("place") <= max(1, sample // len(langs))).groupBy(lang).agg(F.max(mark).alias("last"))
+    chosen = rows.join(F.broadcast(last), lang).filter(F.col(mark) <= F.col("last")).groupBy(lang, mark).agg(F.min("text").alias("text"))
     # vectors are made by the tasks; the driver gets packed sparse ones, about sample in all
-    taken = map_batches(plain(chosen, id_col, text_col, F.col(lang_col).cast("string").alias("lang")), _sparse, "lang string, at binary, n binary").collect()
-    idf = inverse_frequencies(plain(docs, id_col, text_col))
+    taken = map_batches(chosen.select(mark, "text", lang), _sparse, "lang string, at binary, n binary").collect()
+    idf = inverse_frequencies(rows.select("doc_id", "text"))
     parts, owner, floor = [], [], []
     for k, lang in enumerate(langs):
         x = np.zeros((sum(r.lang == lang for r in taken), DIM), np.float32)
@@ -163,23 +176,33 @@ def _sparse() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     return one
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred, score, cosine and rejected for every row of docs, and the columns named by keep."""
+def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lang_pred, score, cosine and rejected for every row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # centroids: languages times CENTROIDS times DIM floats
+    kind = docs.schema[id_col].dataType.simpleString()
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
         m = shared.value
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            found, score, near, out = m.predict(texts(b, "_text"))
-            new = [pa.array(found), pa.array(score), pa.array(near), pa.array(out)]
-            return pa.record_batch([*b.columns[:-1], *new], [*b.schema.names[:-1], "lang_pred", "score", "cosine", "rejected"])
+            new = m.predict(texts(b))
+            return pa.record_batch([b.column(0), *map(pa.array, new)], ["doc_id", "lang_pred", "score", "cosine", "rejected"])
 
         return one
 
-    own = docs.select(F.col(id_col).alias("doc_id"), *keep, F.col(text_col).cast("string").alias("_text"))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema.fields[:-1])
-    return map_batches(own, make, f"{fields}, lang_pred string, score double, cosine double, rejected boolean")
+    return map_batches(plain(docs, id_col, text_col), make, f"doc_id {kind}, lang_pred string, score double, cosine double, rejected boolean")
+
+
+def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs that are not rejected, with all their columns as they are."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text_col)
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        m = shared.value
+        return lambda b: b.filter(pa.array(~m.predict([t or "" for t in b.column(at).to_pylist()])[3]))
+
+    return map_batches(docs, make, docs.schema)
 
 
 def learnable(id_col: str = "doc_id"):
