@@ -3,11 +3,14 @@
 Each source gets a target size. A document of a source with the rate r = target / size is taken floor(r) times for certain and once more with
 the inclusion probability r - floor(r). These probabilities are rounded to 0 or 1 by the flight phase of the cube method: a vector of
 probabilities walks along the null space of the balancing constraints (the source's words and its number of documents), so that both totals
-stay exactly where they were, until no more than two are fractional. Flights run in parallel over blocks of a source; what each leaves
-fractional flies again in larger company, until one small landing problem a source remains.
+stay where they were. Units of like size fly together, large ones first; the few left of each size go on along the words alone against smaller
+ones, so that the last one left is small. Flights run in parallel over blocks of a source; what each leaves fractional flies again in larger
+company, until one small landing problem a source remains.
 
 Edge cases: a null text has size 0 and is taken 0 times; a null source is a source of its own, ranked last; rows that share id, source and
-size are copies, among which the copies taken are dealt out evenly; an empty table gives an empty result.
+text are copies, among which the copies taken are dealt out evenly, whichever of them; a null id is an id like any other; units of equal size
+fly in the order of a hash; long texts are counted whole; further columns are kept as they are, whatever their names, by sample_documents; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -20,32 +23,40 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, fresh
 
-#: Documents in one flight.
-BLOCK = 4096
+#: Documents in one flight, and how many small ones of them wait for the last.
+BLOCK, HELD = 4096, 64
+#: As near to 0 or 1 as this, a probability is settled.
+EDGE = 1e-9
 
 
-def flight(seed: int, land: bool) -> Callable[[pa.Table], pa.Table]:
-    """Flies one block of units, large ones first, so that small ones are left to land; the order does not depend on how they came."""
+def flight(level: int) -> Callable[[pa.Table], pa.Table]:
+    """Flies one block of units, large ones first; the order and the chances do not depend on how they came. A source's only block lands."""
 
     def one(g: pa.Table) -> pa.Table:
-        g = g.drop_columns("block").sort_by([("size", "descending"), ("_k1", "ascending"), ("_k2", "ascending")])
-        p = fly(g["size"].to_numpy().astype(float), g["p"].to_numpy(), seed, land)
-        return g.set_column(g.schema.get_field_index("p"), "p", pa.array(p))
+        g = g.sort_by([("size", "descending"), ("_k1", "ascending"), ("_k2", "ascending")])
+        size, p = g["size"].to_pylist(), g["p"].to_pylist()
+        land = g["blocks"][0].as_py() == 1
+        wait = set() if land else set(np.linspace(len(p) // 2, len(p) - 1, HELD).astype(int).tolist())
+        own = [k for k in range(len(p)) if k not in wait]
+        flown = fly([size[k] for k in own], [p[k] for k in own], [level, int(g["_k1"][0].as_py()) & 0xFFFFFFFF], land)
+        for k, x in zip(own, flown, strict=True):
+            p[k] = x
+        return g.set_column(g.schema.get_field_index("p"), "p", pa.array(p, pa.float64())).drop_columns(["block", "blocks"])
 
     return one
 
 
-def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs with two hashes of id and text, which equal rows share, and the number of words."""
-    own = [F.col(id_col), F.col(text_col)]
-    return docs.withColumns({"_k1": F.xxhash64(*own), "_k2": F.hash(*own), "_size": F.coalesce(F.regexp_count(own[1], F.lit(WORD)), F.lit(0)).cast("long")})
+def marks(id_col: str, text_col: str) -> list[Column]:
+    """Two hashes of id and text, which equal rows share, and the number of words."""
+    return [F.xxhash64(id_col, text_col), F.hash(id_col, text_col), F.coalesce(F.regexp_count(text_col, F.lit(WORD)), F.lit(0)).cast("long")]
 
 
 def sizes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source and size, the number of words, of every document, and the hashes that equal rows share."""
-    return keyed(docs, id_col, text_col).select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), F.col("_size").alias("size"), "_k1", "_k2")
+    k1, k2, size = marks(id_col, text_col)
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), size.alias("size"), k1.alias("_k1"), k2.alias("_k2"))
 
 
 def targets(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0) -> DataFrame:
@@ -68,37 +79,80 @@ def targets(sized: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     return per.select("source", "source_size", F.coalesce(F.least("cap", F.col("x") * F.col("weight")), "cap").alias("target"))
 
 
-def fly(size: np.ndarray, p: np.ndarray, seed: int, land: bool) -> np.ndarray:
-    """The flight phase over one block: p moves in the null space of (size * p summed, p summed) until at most two entries are fractional.
-
-    Units enter in the given order; three fractional ones at a time determine a direction. With land, what is left is rounded so that the
-    block's words come nearest to what they were."""
-    p, rng, held = p.copy(), np.random.default_rng(seed), []
-    start = float((p * size).sum())
-    for k in range(len(p)):
-        if 1e-9 < p[k] < 1 - 1e-9:
+def step(p: list[float], held: list[int], u: list[float], chance: float) -> list[int]:
+    """Moves p of the held units along u, one way or the other so that each keeps its mean, until one of them is 0 or 1; gives those that are not."""
+    up = min(((1 - p[h]) / x if x > 0 else -p[h] / x for h, x in zip(held, u, strict=True) if x), default=0.0)
+    down = min((p[h] / x if x > 0 else (p[h] - 1) / x for h, x in zip(held, u, strict=True) if x), default=0.0)
+    by = up if chance * (up + down) < down else -down
+    for h, x in zip(held, u, strict=True):
+        y = p[h] + by * x
+        p[h] = 0.0 if y < EDGE else 1.0 if y > 1 - EDGE else y
+    return [h for h in held if 0 < p[h] < 1]
+
+
+def fly(size: list[int], p: list[float], seed: list[int], land: bool) -> list[float]:
+    """The flight phase over one block, whose units come with the largest first.
+
+    Units of like size (within a power of two) fly three at a time in the null space of both constraints, words and documents. At most two of
+    them are left; along the words alone they go on until one is. It flies on against the next smaller units, words alone, until it is settled,
+    so that what is left at the end is small. With land, that last one is rounded, and small documents make up for it."""
+    p, rng, left = list(p), np.random.default_rng(seed), None
+    chance, kinds = iter(rng.random(4 * len(p) + 8).tolist()), {}
+    start = 0.0
+    for k, n in enumerate(size):
+        if EDGE < p[k] < 1 - EDGE:
+            kinds.setdefault(int(n).bit_length(), []).append(k)
+            start += p[k] * n
+        else:
+            p[k] = float(round(p[k]))
+    for kind in sorted(kinds, reverse=True):
+        held: list[int] = []
+        for k in kinds[kind]:
+            if left is not None:
+                rest = step(p, [left, k], [size[k], -size[left]], next(chance))
+                if left in rest:
+                    continue
+                held, left = rest, None
+                continue
             held.append(k)
-        while len(held) == 3:
-            a, b, c = held
-            u = np.array([size[b] - size[c], size[c] - size[a], size[a] - size[b]], dtype=float)
-            if not u.any():
-                u = np.array([1.0, -1.0, 0.0])
-            q = p[held]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                up = np.where(u > 0, (1 - q) / u, np.where(u < 0, -q / u, np.inf)).min()
-                down = np.where(u > 0, q / u, np.where(u < 0, (q - 1) / u, np.inf)).min()
-            q = q + (up if rng.random() * (up + down) < down else -down) * u
-            q[q < 1e-9], q[q > 1 - 1e-9] = 0.0, 1.0
-            p[held] = q
-            held = [h for h in held if 0 < p[h] < 1]
-    if land and held:
-        base = float((p * size).sum()) - float((p[held] * size[held]).sum())
-        ways = [[bool(m >> j & 1) for j in range(len(held))] for m in range(1 << len(held))]
-        p[held] = min(ways, key=lambda w: (abs(base + float((np.array(w) * size[held]).sum()) - start), sum(w)))
-    p[p < 1e-9], p[p > 1 - 1e-9] = 0.0, 1.0
+            if len(held) == 3:
+                a, b, c = (size[h] for h in held)
+                held = step(p, held, [b - c, c - a, a - b] if a != b or b != c else [1, -1, 0], next(chance))
+        while len(held) > 1:
+            held = step(p, held[:2], [size[held[1]], -size[held[0]]], next(chance)) + held[2:]
+        if held:
+            left = held[0]
+    if land and left is not None:
+        p[left] = float(round(p[left]))
+        mend(size, p, [k for ks in kinds.values() for k in ks], start)
     return p
 
 
+def mend(size: list[int], p: list[float], own: list[int], goal: float) -> None:
+    """Takes or leaves one document or two, always those that bring the words nearest to the goal, until none bring them nearer."""
+    n, taken = np.array([size[k] for k in own], float), np.array([p[k] for k in own])
+    over = float((n * taken).sum()) - goal
+    while True:
+        change = n * (1 - 2 * taken)
+        order = np.argsort(change, kind="stable")
+        # alone, or with the one whose change comes nearest to what is then left
+        place = np.searchsorted(change[order], -over - change)
+        found = [(abs(over + change[k]), (k,)) for k in [int(np.abs(over + change).argmin())]]
+        for shift in (-1, 0):
+            other = order[np.clip(place + shift, 0, len(n) - 1)]
+            both = np.where(other == np.arange(len(n)), np.inf, np.abs(over + change + change[other]))
+            k = int(both.argmin())
+            found.append((both[k], (k, int(other[k]))))
+        near, some = min(found)
+        if near >= abs(over) - 1e-9:
+            break
+        for k in some:
+            over += change[k]
+            taken[k] = 1 - taken[k]
+    for k, t in zip(own, taken.tolist(), strict=True):
+        p[k] = t
+
+
 def mixed_units(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float = 3.0, block: int = BLOCK, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size, the hashes, source_size, target, rows (how many equal rows there are) and total (the copies that they get together)."""
     sized = cut(sizes(docs, id_col, text_col, source_col))
@@ -108,20 +162,21 @@ def mixed_units(docs: DataFrame, weights: Sequence[float] = (1, 2, 3), most: flo
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     units = units.withColumn("want", F.when(F.col("size") > 0, rate * F.col("rows")).otherwise(0.0))
     units = units.withColumn("sure", F.floor("want")).withColumn("p", F.col("want") - F.col("sure")).drop("want")
-    per = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0
+    per = units.groupBy("source").agg(F.count("*").alias("n"))
+    most = per.agg(F.max("n")).first()[0] or 0
+    units = units.join(per.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).drop("of")
     schema = ", ".join(f"`{n}` {t}" for n, t in units.dtypes)
     level = 0
     while True:
-        blocks = max(1, -(-per // block))
-
         # a hash deals a source's documents out evenly, however many it has
-        dealt = units.withColumn("block", F.pmod(F.xxhash64("_k1", F.lit(level)), F.lit(blocks)))
+        dealt = units.withColumn("blocks", F.ceil(F.col("n") / F.lit(block))).withColumn("block", F.pmod(F.xxhash64("_k1", F.lit(level)), F.col("blocks")))
         moving = (F.col("p") > 0) & (F.col("p") < 1)
-        flown = dealt.filter(moving).groupBy("source", "block").applyInArrow(flight(seed + level, blocks == 1), schema)
-        units = cut(flown.unionByName(dealt.filter(~moving).drop("block")))
-        if blocks == 1:
+        flown = dealt.filter(moving).groupBy("source", "block").applyInArrow(flight(seed + level), schema)
+        units = cut(flown.unionByName(dealt.filter(~moving).drop("block", "blocks")))
+        if most <= block:
             break
-        per, level = 2 * blocks, level + 1
+        units = units.withColumn("n", F.lit(HELD + 1) * F.ceil(F.col("n") / F.lit(block)))
+        most, level = (HELD + 1) * -(-most // block), level + 1
     return units.select("doc_id", "source", "size", "_k1", "_k2", "source_size", "target", "rows", (F.col("sure") + F.round("p").cast("long")).alias("total"))
 
 
@@ -136,10 +191,14 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return rows.select("doc_id", "source", "size", "source_size", "target", share("_nth").alias("copies"))
 
 
-def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs as the mix takes them: a document taken twice comes twice, one taken 0 times not at all."""
-    taken = mixed_units(docs, id_col=id_col, text_col=text_col, **options).filter("total > 0").select("_k1", "_k2", "rows", "total")
-    rows = keyed(docs, id_col, text_col).join(taken, ["_k1", "_k2"])
-    rows = rows.withColumn("_nth", F.row_number().over(W.partitionBy("_k1", "_k2").orderBy("_size")))
-    rows = rows.withColumn("_copies", share("_nth")).filter("_copies > 0")
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+def sample_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
+    """The rows of docs as the mix takes them: a document taken twice comes twice, one taken 0 times not at all; all columns stay as they are."""
+    k1, k2, source, nth, copy, rows, total = fresh(docs, "k1", "k2", "source", "nth", "copy", "rows", "total")
+    taken = mixed_units(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options).filter("total > 0")
+    taken = taken.select(F.col("_k1").alias(k1), F.col("_k2").alias(k2), F.col("source").alias(source), F.col("rows").alias(rows), F.col("total").alias(total))
+    a, b, _ = marks(id_col, text_col)
+    own = docs.withColumns({f"{k1}_": a, f"{k2}_": b})
+    same = (F.col(f"{k1}_") == F.col(k1)) & (F.col(f"{k2}_") == F.col(k2)) & F.col(source_col).cast("string").eqNullSafe(F.col(source))
+    found = own.join(taken, same).withColumn(nth, F.row_number().over(W.partitionBy(k1, k2, source).orderBy(k1)))
+    copies = (F.floor(F.col(total) / F.col(rows)) + F.when(F.col(nth) <= F.col(total) % F.col(rows), 1).otherwise(0)).cast("long")
+    return found.withColumn(copy, copies).filter(F.col(copy) > 0).withColumn(copy, F.explode(F.sequence(F.lit(1).cast("long"), F.col(copy)))).select(*docs.columns)
