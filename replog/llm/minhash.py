@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, map_batches, texts
+from .common import cut, fresh, map_batches, texts
 from .components import components
 
 #: Words of a shingle; permutations, each with a minimum and a maximum; values in a band.
@@ -268,7 +268,8 @@ def link_blocks(sets: DataFrame, groups: DataFrame) -> DataFrame:
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose document is the first of its group, one for each id (of several the first by text), and all rows without an id."""
-    kept = near_groups(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias("_doc")).distinct()
+    doc, turn = fresh(docs, "doc", "turn")
+    kept = near_groups(docs, id_col, text_col).filter("kept and doc_id is not null").select(F.col("doc_id").alias(doc)).distinct()
     first = F.row_number().over(W.partitionBy(id_col).orderBy(F.xxhash64(text_col), text_col))
-    stay = docs.join(kept, F.col(id_col) == F.col("_doc"), "left_semi").withColumn("_turn", first).filter("_turn = 1").drop("_turn")
+    stay = docs.join(kept, F.col(id_col) == F.col(doc), "left_semi").withColumn(turn, first).filter(F.col(turn) == 1).drop(turn)
     return stay.unionByName(docs.filter(F.col(id_col).isNull()))

@@ -11,7 +11,8 @@ Each block of neighbouring documents sends only its own first chunk of a digest
 duplicates), so that a chunk that many documents share makes no hot group.
 
 Edge cases: a null text stays null and an empty one empty; rows that share id and text count as one document, and all are treated alike; rows
-with a null id come before all others; long texts are cut whole; further columns are kept as they are; an empty table gives an empty result.
+with a null id come before all others; long texts are cut whole; further columns are kept as they are, whatever their names; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_batches
+from .common import fresh, map_batches, named
 
 WINDOW = 16
 #: One space in so many is a cut; after GAP bytes without one, one character in OTHER is; after MOST bytes any.
@@ -199,14 +200,17 @@ def strip(text: str, places: list[int], owners: list[int], words: int = WORDS) -
 
 
 def deduplicate(docs: DataFrame, words: int = WORDS, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs, the text without its repeated passages, and two more: removed (spans of code points in the old text) and earlier_doc_ids (documents that have the passages before)."""
-    keyed = docs.withColumns({"_doc": F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), "_key": F.hash(F.col(text_col))})
-    found = duplicates(keyed.select(F.col("_doc").alias("doc"), F.col("_key").alias("key"), F.col(text_col).cast("string").alias("text")), block)
+    """The columns of docs, the text without its repeated passages, and two more: removed (spans of code points in the old text) and earlier_doc_ids (documents that have the passages before); if docs has columns of these names, the new ones' begin with an underscore."""
+    doc, key, places, owners = fresh(docs, "doc", "key", "places", "owners")
+    keyed = docs.withColumns({doc: F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))), key: F.hash(F.col(text_col))})
+    found = duplicates(keyed.select(F.col(doc).alias("doc"), F.col(key).alias("key"), F.col(text_col).cast("string").alias("text")), block)
     # equal rows may have been in different blocks, and so have been told of the same chunk twice
-    lists = found.groupBy("doc", "key").agg(F.collect_set(F.struct("place", "owner")).alias("_found")).select(F.col("doc").alias("_doc"), F.col("key").alias("_key"), "_found")
-    joined = keyed.join(lists, ["_doc", "_key"], "left").select(*docs.columns, F.col("_found.place").alias("_places"), F.col("_found.owner").alias("_owners"))
+    pairs = F.collect_set(F.struct("place", "owner"))
+    lists = found.groupBy(F.col("doc").alias(doc), F.col("key").alias(key)).agg(pairs.alias("found"))
+    lists = lists.select(doc, key, F.col("found.place").alias(places), F.col("found.owner").alias(owners))
+    joined = keyed.join(lists, [doc, key], "left").select(*docs.columns, places, owners)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    columns = docs.columns
+    columns, removed, earlier = docs.columns, named(docs, "removed"), named(docs, "earlier_doc_ids")
     at, n = columns.index(text_col), len(columns)
 
     def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
@@ -217,8 +221,8 @@ def deduplicate(docs: DataFrame, words: int = WORDS, block: int = BLOCK, id_col:
             new = list(b.columns[:n])
             new[at] = pa.array([r[0] for r in rows], pa.string())
             spans = pa.array([r[1] for r in rows], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            return pa.record_batch([*new, spans, pa.array([r[2] for r in rows], pa.list_(pa.int64()))], [*columns, "removed", "earlier_doc_ids"])
+            return pa.record_batch([*new, spans, pa.array([r[2] for r in rows], pa.list_(pa.int64()))], [*columns, removed, earlier])
 
         return one
 
-    return map_batches(joined, make, f"{fields}, removed array<struct<start: long, end: long>>, earlier_doc_ids array<long>")
+    return map_batches(joined, make, f"{fields}, `{removed}` array<struct<start: long, end: long>>, `{earlier}` array<long>")
