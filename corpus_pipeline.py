@@ -1,40 +1,40 @@
 """From raw documents to token ids: language identification, near-deduplication, substring deduplication, source mixing, encoding.
 
 Each stage takes (spark, docs, sf_dir) and works on all documents that the one before kept; all but the last return the columns of documents.
+Further columns, whatever their names, go through the stages as they are. An empty table gives an empty result at every stage. Ties are
+resolved by id and then by hashes, so that reruns agree; very long texts are worked on whole.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from replog.llm import byte_bpe, language, minhash, mixing, substrings
-from replog.llm.common import WORD
+from replog.llm.common import WORD, named, shared_folder
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is recognised; those too far from every language, or without a letter, go."""
-    model = language.fit(docs, language.learnable())
-    return language.identify(docs, model, keep=("text", "lang", "source", "n_chars")).filter("not rejected").select(docs.columns)
+    """Documents whose language is recognised; those too far from every language, or without a letter (null and empty ones too), go."""
+    return language.recognised(docs, language.fit(docs, language.learnable()))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near-duplicates."""
+    """The first document of each group of near-duplicates, one row an id; documents without words and rows without an id stay."""
     return minhash.keep_first(docs)
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without passages that stand in an earlier one; those of which no word is left go, and n_chars follows the text."""
-    found = substrings.deduplicate(docs)
-    left = found.filter((F.size("removed") == 0) | F.col("text").rlike(WORD))
-    return left.withColumn("n_chars", F.when(F.size("removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    """Documents without passages that stand in an earlier one; those of which no word is left go, and n_chars follows the text. Untouched rows (null and empty texts too) stay as they are."""
+    found, removed = substrings.deduplicate(docs), named(docs, "removed")
+    left = found.filter((F.size(removed) == 0) | F.col("text").rlike(WORD))
+    return left.withColumn("n_chars", F.when(F.size(removed) > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
+    """Documents as often as the mix takes them; those without words are not taken."""
     return mixing.sample_documents(docs)
 
 
@@ -54,8 +54,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows; every stage's result is written to the shared folder and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    top = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-pipeline-")
-    place = f"{top}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{place}/{k}-{name}")
         docs = spark.read.parquet(f"{place}/{k}-{name}")
