@@ -135,7 +135,7 @@ def script_table_totals(lines: DataFrame, high: int = 40) -> DataFrame:
 def script_summary(lines: DataFrame) -> DataFrame:
     """Batches of the third dialect summed up."""
     b = E.script_batches(lines)
-    return b.groupBy("file_id").agg(F.count("*").alias("batches"), F.max("changes_count").alias("largest"), F.max("duration_seconds").alias("longest"), F.count_if(F.col("changes_count") == 1).alias("singles"), F.sum("changes_count").alias("changes"), F.try_divide(F.sum("changes_count"), F.sum("duration_seconds")).alias("changes_a_second"), F.max_by(LINE, "changes_count").alias("largest_line"))
+    return b.groupBy("file_id").agg(F.count("*").alias("batches"), F.max("changes_count").alias("largest"), F.max("duration_seconds").alias("longest"), F.count_if(F.col("changes_count") == 1).alias("singles"), F.sum("changes_count").alias("changes"), F.try_divide(F.sum("changes_count"), F.sum("duration_seconds")).alias("changes_a_second"), F.max_by(LINE, F.struct("changes_count", -F.col(LINE))).alias("largest_line"))
 
 
 def no_bulk_no_pk(lines: DataFrame) -> DataFrame:

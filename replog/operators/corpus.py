@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator, Sequence
+from itertools import accumulate
 from html.parser import HTMLParser
 
 import pyarrow as pa
@@ -77,17 +79,20 @@ def discover_urls(sitemaps: DataFrame, pattern: str = ".*", words: Sequence[str]
 
 
 def chunk_text(text: str, size: int = 2000, overlap: int = 200, least: int = 100) -> list[str]:
-    """Sentences packed to about size characters; each chunk begins with the end of the one before. A sentence is never cut."""
-    chunks: list[str] = []
-    held, n = "", 0
-    for sentence in re.split(r"(?<=[.!?])\s+", text):
-        if held and n + len(sentence) > size:
-            chunks.append(held)
-            held = held[-overlap:]
-            n = len(held)
-        held = f"{held} {sentence}" if held else sentence
-        n += len(sentence) + 1
-    return [c for c in [*chunks, held] if len(c) > least]
+    """Sentences packed to about size characters; each chunk begins with the end of the one before. A sentence is never cut.
+
+    Sums of the sentences' lengths, each with the space after it, say how far a chunk that begins at one of them reaches."""
+    sentences = re.split(r"(?<=[.!?])\s+", text)
+    reach = [0, *accumulate(len(s) + 1 for s in sentences)]
+    chunks, begin, tail = [], 0, ""
+    while begin < len(sentences):
+        # the first sentence is always taken, later ones while they fit beside the tail
+        end = max(begin + 1, bisect_right(reach, size - len(tail) + reach[begin] + 1) - 1)
+        chunk = " ".join(([tail] if tail else []) + sentences[begin:end])
+        if len(chunk) > least:
+            chunks.append(chunk)
+        begin, tail = end, chunk[max(0, len(chunk) - overlap) :]
+    return chunks
 
 
 def chunk_documents(docs: DataFrame, key: str, text: str, source: str = "doc", size: int = 2000, overlap: int = 200) -> DataFrame:
@@ -210,10 +215,11 @@ def report_sections(reports: DataFrame, key: str, col: str = "text") -> DataFram
     return filled.filter("h is not null").groupBy(key, "h").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(~heading, F.struct("at", "line")))), lambda x: x["line"]), "\n").alias("text")).select(key, F.col("h.at").alias("at"), F.length(F.regexp_extract("h.head", r"^(#+)", 1)).alias("level"), F.trim(F.regexp_replace("h.head", r"^#+\s*", "")).alias("section"), "text")
 
 
-def invalid_line_citations(reports: DataFrame, errors: DataFrame, key: str, col: str = "text") -> DataFrame:
-    """Lines that a report cites although no error stands there."""
-    cited = reports.select(key, F.explode(F.regexp_extract_all(col, F.lit(r"(?i)LINE (\d+)"), F.lit(1))).alias("n")).select(key, F.col("n").cast("long").alias("line_number")).distinct()
-    return cited.join(errors.select("line_number").distinct(), "line_number", "left_anti")
+def invalid_line_citations(reports: DataFrame, errors: DataFrame, key: str = "file_id", col: str = "text") -> DataFrame:
+    """Lines (counted from 0) that a report (key, file_id, text) cites, counted from 1, although no error of its file stands there."""
+    number = F.explode(F.regexp_extract_all(col, F.lit(r"(?i)LINE (\d+)"), F.lit(1)))
+    cited = reports.select(*dict.fromkeys((key, "file_id")), number.alias("n")).withColumn("line_number", F.col("n").cast("long") - 1).drop("n").distinct()
+    return cited.join(errors.select("file_id", "line_number").distinct(), ["file_id", "line_number"], "left_anti")
 
 
 def unknown_params(reports: DataFrame, allowed: DataFrame, key: str, col: str = "text") -> DataFrame:

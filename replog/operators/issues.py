@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from py4j.protocol import Py4JError
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replog.operators import parse as R
-from replog.plans.scale import topk_per_group
+from replog.plans.scale import islands, topk_per_group
 
 FILE, LINE = ["file_id"], "line_number"
 
@@ -68,20 +70,34 @@ MERGED = "file_id long, start long, end long, hits array<long>"
 
 
 def merge_windows(hits: DataFrame, before: int = 3, after: int = 3, cap: int = 20) -> DataFrame:
-    """Windows around hits, merged where they touch, as long as they stay within cap lines. The cap makes the merge run along a file's hits."""
-
-    def merge(g: pd.DataFrame) -> pd.DataFrame:
-        out: list[list] = []
-        for line in sorted(set(g[LINE])):
-            a, b = max(0, line - before), line + after
-            if out and a <= out[-1][2] + 1 and b - out[-1][1] + 1 <= cap:
-                out[-1][2] = max(out[-1][2], b)
-                out[-1][3].append(line)
-            else:
-                out.append([g["file_id"].iloc[0], a, b, [line]])
-        return pd.DataFrame(out, columns=["file_id", "start", "end", "hits"])
-
-    return hits.select(F.col("file_id").cast("long").alias("file_id"), F.col(LINE).cast("long").alias(LINE)).groupBy("file_id").applyInPandas(merge, MERGED)
+    """Windows around hits (file_id, start, end, hits), merged where they touch. A merged window is cut cap lines behind its start; hits whose window touches what is left still join it.
+
+    Hits too far apart to touch part a file into islands. An island that stays within the cap is one window; only the others are walked, each
+    by itself, as there the cut decides what touches."""
+    own = hits.select(F.col("file_id").cast("long").alias("file_id"), F.col(LINE).cast("long").alias(LINE)).dropna().distinct()
+    w = W.partitionBy("file_id").orderBy(LINE)
+    parted = islands(own.withColumn("_far", F.coalesce(F.col(LINE) - F.lag(LINE).over(w) > before + after + 1, F.lit(True))), FILE, LINE, F.col("_far"))
+    g = parted.groupBy("file_id", "island").agg((F.min(LINE) - before).alias("start"), (F.max(LINE) + after).alias("end"), F.array_sort(F.collect_list(LINE)).alias("hits"))
+    narrow = (F.col("end") - F.col("start") <= cap) | (F.size("hits") == 1)
+
+    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for file_id, lines in zip(b["file_id"], b["hits"], strict=True):
+                own: list[int] = []
+                start = end = 0
+                for line in lines:
+                    if own and line - before <= end + 1:
+                        end = min(max(end, line + after), start + cap)
+                    else:
+                        if own:
+                            out.append((file_id, start, end, own))
+                        start, end, own = line - before, line + after, []
+                    own.append(line)
+                out.append((file_id, start, end, own))
+            yield pd.DataFrame(out, columns=["file_id", "start", "end", "hits"])
+
+    return g.filter(narrow).select("file_id", "start", "end", "hits").unionByName(g.filter(~narrow).select("file_id", "hits").mapInPandas(walk, MERGED))
 
 
 def lines_in_time_range(lines: DataFrame, after: str, before: str) -> DataFrame:
@@ -127,14 +143,14 @@ def issue_timeline(errors: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def regex_search(lines: DataFrame, pattern: str, limit: int = 200, case: bool = False) -> DataFrame:
-    """The first matches of each file in order; nothing for a pattern that is not valid."""
-    import re
-
+    """The first matches of each file in order; nothing for a pattern that the engine does not take."""
+    whole = pattern if case else f"(?i){pattern}"
     try:
-        re.compile(pattern)
-    except re.error:
+        # the engine that matches says whether the pattern is valid, on one empty row
+        lines.sparkSession.sql("SELECT rlike('', :p)", args={"p": whole}).collect()
+    except (PySparkException, Py4JError):
         return lines.limit(0)
-    return topk_per_group(lines.filter(F.col("body").rlike(pattern if case else f"(?i){pattern}")), FILE, [LINE], limit)
+    return topk_per_group(lines.filter(F.col("body").rlike(whole)), FILE, [LINE], limit)
 
 
 def build_token_index(lines: DataFrame) -> DataFrame:

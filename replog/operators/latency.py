@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -69,7 +70,8 @@ PLATEAU = "file_id long, start_line long, end_line long, start timestamp_ntz, en
 def plateaus(perf: DataFrame, window: int = 10, variation: float = 0.15) -> DataFrame:
     """High and steady stretches: a window whose mean is above 1.3 times the overall one and whose coefficient of variation is low, grown while it stays near; the search goes on after it.
 
-    As the search resumes behind what it found, it runs along a file's samples; files without a window that could start one skip it."""
+    Windows that could start a stretch are found by native windows; files without one end there. In the others the search runs along a file's
+    samples (one for every 30 seconds of a log), over running sums."""
     w = ordered(FILE, ["timestamp", LINE])
     ahead = w.rowsBetween(0, window - 1)
     mean, dev = F.avg("target_latency").over(ahead), F.stddev_samp("target_latency").over(ahead)
@@ -78,25 +80,40 @@ def plateaus(perf: DataFrame, window: int = 10, variation: float = 0.15) -> Data
     some = own.groupBy("file_id").agg(F.max("_hit").alias("_any")).filter("_any").select("file_id")
 
     def scan(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["timestamp", "line_number"], kind="stable").reset_index(drop=True)
-        v, every = g["target_latency"], g["target_latency"].mean()
-        steady = lambda x, most: x.mean() > 0 and x.std() / x.mean() < most
-        found, i = [], 0
-        while i < len(v) - window:
-            j = i + window
-            if v[i:j].mean() > 1.3 * every and steady(v[i:j], variation):
-                while j < len(v) and v[i : j + 1].mean() > every and steady(v[i : j + 1], variation * 1.5):
-                    j += 1
-                found.append((g.file_id[0], g.line_number[i], g.line_number[j - 1], g.timestamp[i], g.timestamp[j - 1], j - i, v[i:j].mean()))
-                i = j
-            else:
-                i += 1
-        return pd.DataFrame(found, columns=[x.split()[0] for x in PLATEAU.split(", ")])
+        g = g.sort_values(["timestamp", "line_number"], kind="stable")
+        found = stretches(g["target_latency"].to_numpy(float), window, variation)
+        first, last = [a for a, _, _ in found], [b - 1 for _, b, _ in found]
+        line, time = g["line_number"].to_numpy(), g["timestamp"].to_numpy()
+        return pd.DataFrame({"file_id": g["file_id"].iloc[0], "start_line": line[first], "end_line": line[last], "start": time[first], "end": time[last], "samples": [b - a for a, b, _ in found], "avg_latency": [m for _, _, m in found]})
 
     rows = perf.join(some, "file_id", "left_semi").select(F.col("file_id").cast("long").alias("file_id"), LINE, "timestamp", "target_latency")
     return rows.groupBy("file_id").applyInPandas(scan, PLATEAU)
 
 
+def stretches(v: np.ndarray, window: int, variation: float) -> list[tuple[int, int, float]]:
+    """(first, one past the last, mean) of the high and steady stretches of a series."""
+    level = v.mean()
+    one, two = (np.concatenate(([0.0], np.cumsum((v - level) ** k))) for k in (1, 2))
+
+    def spread(a: np.ndarray | int, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, s = b - a, one[b] - one[a]
+        return level + s / n, np.sqrt(np.maximum(0.0, two[b] - two[a] - s * s / n) / (n - 1))
+
+    # a stretch needs a sample behind its first window
+    starts = np.arange(max(0, len(v) - window))
+    mean, dev = spread(starts, starts + window)
+    open_, out, a = starts[(mean > 1.3 * level) & (mean > 0) & (dev < variation * mean)], [], 0
+    while (k := np.searchsorted(open_, a)) < len(open_):
+        a = int(open_[k])
+        longer = np.arange(a + window + 1, len(v) + 1)
+        mean, dev = spread(a, longer)
+        ends = np.flatnonzero(~((mean > level) & (mean > 0) & (dev < 1.5 * variation * mean)))
+        b = a + window + (int(ends[0]) if len(ends) else len(longer))
+        out.append((a, b, float(level + (one[b] - one[a]) / (b - a))))
+        a = b
+    return out
+
+
 def high_latency_windows(perf: DataFrame) -> DataFrame:
     """Longest stretches of samples above the value at three quarters of the sorted ones."""
     limit = floor_percentile(perf, FILE, "target_latency", (0.75,), ("limit",)).select("file_id", "limit")

@@ -173,7 +173,9 @@ def pipeline_events(lines: DataFrame) -> DataFrame:
 
 def sorter_metrics(lines: DataFrame) -> DataFrame:
     """Numbers and positions that pipeline components report, one row for each."""
-    pairs = F.array_compact(F.array(*[F.when(matches("body", p), F.struct(F.lit(k).alias("metric"), found("body", p).alias("value"))) for k, p in P.SORTER.items()]))
+    # a queue's depth stands in either of its pattern's two groups
+    value = lambda k, p: F.coalesce(found("body", p), found("body", p, 2)) if k == "queue_depth" else found("body", p)
+    pairs = F.array_compact(F.array(*[F.when(matches("body", p), F.struct(F.lit(k).alias("metric"), value(k, p).alias("value"))) for k, p in P.SORTER.items()]))
     return lines.select("file_id", "line_number", "timestamp", F.explode(pairs).alias("m")).select("file_id", "line_number", "timestamp", "m.metric", "m.value")
 
 

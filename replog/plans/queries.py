@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,8 @@ from replog.operators import issues as I
 from replog.operators import latency as L
 from replog.operators import parse as R
 from replog.operators import redact as D
-from replog.plans.scale import floor_percentile, runs, topk_per_group
+from replog.plans.oracles import more
+from replog.plans.scale import floor_percentile, runs, shared_folder, topk_per_group
 from replog.sources import logs as S
 from replog.sources.synth import LINES_SQL, LOAD_SQL, load_lines, raw_lines
 
@@ -252,7 +254,7 @@ over_lines("latency_series", perf(L.latency_series), f"SELECT file_id, line_numb
 over_lines("filter_batches", batches(lambda b: I.filter_batches(b, ["TIM", "TMO"]).select("file_id", "line_number", "closure_reason")), "SELECT file_id, line_number, closure_reason FROM timed WHERE closure_reason IN ('TIM', 'TMO')")
 over_lines("error_mentions", errors(lambda e: I.error_mentions(e, e)))
 over_lines("related_context", lambda ln: G.related_context(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln), R.error_lines(ln)))
-over_lines("invalid_line_citations", lambda ln: K.invalid_line_citations(I.regex_search(ln, "ora-").select("file_id", F.concat(F.lit("LINE "), F.col("line_number") + 1).alias("text")), R.error_lines(ln), "file_id"))
+over_lines("invalid_line_citations", lambda ln: K.invalid_line_citations(ln.filter(F.col("body").rlike("(?i)ora-")).select("file_id", F.concat(F.lit("LINE "), F.col("line_number") + 1).alias("text")), R.error_lines(ln)), "SELECT file_id, line_number FROM lines WHERE regexp_matches(body, '(?i)ora-') AND NOT EXISTS (SELECT 1 FROM errors e WHERE e.file_id = lines.file_id AND e.line_number = lines.line_number)")
 register("sensitive_rows", lambda s, d: D.drop_false_positives(D.sensitive_rows(table(s, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "text", ["key"])))
 register("redact_nested", lambda s, d: D.redact_nested(table(s, d, "conversations").select("conv_id", "turn", F.struct("role", F.array("text").alias("texts")).alias("m"))).select("conv_id", "turn", F.col("m.role").alias("role"), F.col("m.texts")[0].alias("text")))
 register("page_changes", lambda s, d: K.changed_articles(K.clean_articles(table(s, d, "pages")), K.clean_articles(table(s, d, "pages").withColumn("html", F.regexp_replace("html", "(?i)privacy", "terms")))))
@@ -263,3 +265,116 @@ over_lines("summary_facts", lambda ln: A.summary_facts(L.latency_profile(R.parse
 over_lines("top_contributors", lambda ln: A.top_contributors(A.cockpit(ln), E.batches(ln), E.file_operations(ln), A.pain_tables(E.table_stats(ln))))
 over_lines("kb_queries", lambda ln: I.kb_queries(R.error_lines(ln), R.task_config(ln)))
 over_lines("task_properties", R.task_properties)
+
+# operators that no other query runs
+REASONS = {"reason": R.closure_reason, "activity": R.closure_reason_activity, "script": R.closure_reason_script}
+_WHY = {"MEM": "contains(lower(body), 'memory')", "TIM": "contains(lower(body), 'stream timeout')", "TMO": "contains(lower(body), 'bulk timeout')", "RES": "contains(lower(body), 'resume')"}
+
+
+def _why(kinds: tuple[str, ...], rest: str) -> str:
+    return "CASE " + " ".join(f"WHEN {_WHY[k]} THEN '{k}'" for k in kinds) + f" ELSE '{rest}' END"
+
+
+over_lines(
+    "closure_reasons",
+    lambda ln: ln.filter(F.col("body").contains("Finish bulk")).select("file_id", "line_number", *[f().alias(n) for n, f in REASONS.items()]),
+    f"SELECT file_id, line_number, {_why(('MEM', 'TIM', 'TMO', 'RES'), 'Normal')} AS reason, {_why(('TIM', 'TMO', 'MEM'), 'Normal')} AS activity, {_why(('MEM', 'TIM', 'TMO', 'RES'), '!!!')} AS script FROM lines WHERE contains(body, 'Finish bulk')",
+)
+over_lines(
+    "first_timestamps",
+    lambda ln: ln.select("file_id", "line_number", R.first_timestamp().alias("moment")).filter("moment is not null"),
+    f"SELECT file_id, line_number, strftime(strptime({rx(P.TIMESTAMP)}, '%Y-%m-%dT%H:%M:%S'), '%Y-%m-%d %H:%M:%S') AS moment FROM lines WHERE {has(P.TIMESTAMP)}",
+)
+over_lines(
+    "messages",
+    lambda ln: ln.select("file_id", "line_number", R.strip_prefix().alias("message")),
+    r"SELECT file_id, line_number, CASE WHEN regexp_matches(body, '^\s*\d+:\s+\d{4}-\d{2}-\d{2}T[\d:]+\s*\[[^\]]*\][A-Z]:\s*') THEN regexp_replace(body, '^\s*\d+:\s+\d{4}-\d{2}-\d{2}T[\d:]+\s*\[[^\]]*\][A-Z]:\s*', '') ELSE coalesce(nullif(regexp_extract(body, '(?is)((?:RetCode|SqlState|NativeError|ORA-\d|error|failed).*)$', 1), ''), body) END AS message FROM lines",
+)
+over_lines(
+    "database_errors",
+    errors(lambda e: e.filter(R.is_db_error()).groupBy("file_id").agg(F.count("*").alias("n"))),
+    "SELECT file_id, count(*) AS n FROM errors WHERE regexp_matches(text, '(?i)odbc|oci|sql_error|sqlstate|rtcode|retcode') GROUP BY file_id",
+)
+over_lines(
+    "component_descriptions",
+    lambda ln: R.component_description(
+        E.component_stats(ln).select("file_id", "component", "thread_id"),
+        ln.filter("component like 'S%'").select("component", F.concat(F.lit("about "), F.lower("component")).alias("description")).distinct(),
+    ),
+    "SELECT DISTINCT file_id, component, thread_id, CASE WHEN starts_with(component, 'S') THEN 'about ' || lower(component) END AS description FROM lines WHERE component IS NOT NULL AND thread_id IS NOT NULL",
+)
+over_lines(
+    "statement_targets",
+    E.statement_target,
+    rf"""SELECT file_id, line_number, upper(nullif(regexp_extract(s, '(?i)\b(INSERT|UPDATE|DELETE|MERGE)\b', 1), '')) AS verb, nullif(regexp_extract(s, '(?i)(?:INTO|UPDATE|FROM)\s+([\[\]\w."`]+)', 1), '') AS target
+    FROM (SELECT *, lead(body) {ORDER} AS s FROM lines) WHERE component = 'TARGET_APPLY' AND {has(P.RUN_STATEMENT)}""",
+)
+over_lines("read_lines", lambda ln: I.read_lines(ln, 100, 50).select("file_id", "line_number", "body"), "SELECT file_id, line_number, body FROM lines WHERE line_number >= 100 AND line_number < 150")
+over_lines(
+    "lines_in_time_range",
+    lambda ln: I.lines_in_time_range(ln, "2024-01-05 00:00:00", "2024-01-20 00:00:00").select("file_id", "line_number", "timestamp"),
+    f"SELECT file_id, line_number, {TIME('timestamp')} FROM (SELECT *, min(CASE WHEN timestamp >= TIMESTAMP '2024-01-20 00:00:00' THEN line_number END) OVER (PARTITION BY file_id) AS stop FROM lines) WHERE timestamp >= TIMESTAMP '2024-01-05 00:00:00' AND (stop IS NULL OR line_number < stop)",
+)
+over_lines(
+    "error_excerpts",
+    errors(I.error_excerpts),
+    f"SELECT file_id, line_number, {TIME('timestamp')}, component, thread_id, severity, text, error_code, rank FROM (SELECT *, row_number() {ORDER} AS rank FROM errors) WHERE rank <= 10",
+)
+over_lines(
+    "file_versions",
+    lambda ln: S.file_version(S.register_files(ln), "v1").select("file_id", "fingerprint"),
+    "SELECT file_id, sha256('v1|' || file_id || '|' || (max(line_number) + 1) || '|' || CAST(sum(strlen(body) + 1) AS BIGINT)) AS fingerprint FROM lines GROUP BY file_id",
+)
+over_lines(
+    "evidence_gaps",
+    errors(lambda e: I.evidence_gap(e.groupBy("file_id").agg(F.count("*").alias("errors")), most=200)),
+    "SELECT file_id, count(*) AS errors, CASE WHEN count(*) > 200 THEN 'too many errors' ELSE '' END AS reasons, count(*) > 200 AS insufficient FROM errors GROUP BY file_id",
+)
+over_lines(
+    "distinct_redo_logs",
+    lambda ln: A.distinct_values(ln, "'(/redo/[0-9]+)'"),
+    "SELECT DISTINCT file_id, unnest(regexp_extract_all(body, '''(/redo/[0-9]+)''', 1)) AS value FROM lines",
+)
+register(
+    "releases",
+    lambda s, d: table(s, d, "events").select("event_id", F.concat(F.lit("version "), F.date_format("ts", "yyyy.M"), F.lit(".7")).alias("v")).select("event_id", R.release_of_version("v").alias("release")),
+    "SELECT event_id, strftime(ts, '%B %Y') AS release FROM events",
+    base=False,
+)
+register(
+    "tuning_modes",
+    lambda s, d: A.tuning_modes(table(s, d, "pages").withColumn("text", F.coalesce("html", F.lit("")))).select("page_id", "timeout_tuning", "batch_tuning"),
+    "SELECT page_id, regexp_matches(coalesce(html, ''), '(?i)timeout') AS timeout_tuning, regexp_matches(coalesce(html, ''), '(?i)bulk|batch') AS batch_tuning FROM pages",
+    base=False,
+)
+_SECTIONS = ", ".join(f"CASE WHEN regexp_matches(text, {q('(?i)' + p)}) THEN '{k}' END" for k, p in I.SECTIONS.items())
+register(
+    "section_choice",
+    lambda s, d: I.relevant_sections(table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"))).select("conv_id", "turn", "sections"),
+    f"SELECT conv_id, turn, CASE WHEN len(h) > 0 THEN array_to_string(list_sort(h), ',') ELSE 'errors,summary' END AS sections FROM (SELECT conv_id, turn, list_filter([{_SECTIONS}], lambda x: x IS NOT NULL) AS h FROM conversations)",
+    base=False,
+)
+
+
+def stored_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Errors written as facts by file, twice as a second run would, and read again."""
+    path = f"{shared_folder(spark)}/facts-{uuid.uuid4().hex}"
+    for _ in range(2):
+        S.write_facts(R.error_lines(lines(spark, sf_dir)).select("line_number", "error_code", "file_id"), path)
+    return spark.read.parquet(path).select(F.col("file_id").cast("long").alias("file_id"), "line_number", "error_code")
+
+
+def lines_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines written as text files, one folder a log file, and read back: numbered by file and place in it, filled in two levels."""
+    path = f"{shared_folder(spark)}/logs-{uuid.uuid4().hex}"
+    raw = raw_lines(spark, sf_dir)
+    raw.repartition("file_id").sortWithinPartitions("file_id", "line_number").select("file_id", F.col("body").alias("value")).write.partitionBy("file_id").text(path)
+    found = R.fill_continuations(R.parse_prefix(S.read_logs(spark, f"{path}/*/*.txt")), split="split")
+    return found.select(F.regexp_extract("file_id", r"file_id=(\d+)", 1).cast("long").alias("file_id"), "line_number", "timestamp", "component", "severity")
+
+
+register("stored_facts", stored_facts, "SELECT file_id, line_number, error_code FROM errors")
+register("lines_from_files", lines_from_files, f"SELECT file_id, line_number, {TIME('timestamp')}, component, severity FROM lines")
+
+# SQL that goes on from the common tables and from other queries' SQL
+ORACLES.update(more(BASE, LOADS, lambda name: ORACLES[name].removeprefix(BASE).strip(), rx, has, q, TIME))

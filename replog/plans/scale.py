@@ -9,8 +9,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Sequence
+from functools import cache
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -95,11 +96,22 @@ def floor_percentile(df: DataFrame, keys: Sequence[str], value: str, shares: Seq
     return ranked.groupBy(*keys).agg(F.count("*").alias("n"), *at)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share for tables in between: what spark.checkpoint.dir names. In local mode, where all is one machine, a temporary one stands in."""
+    if found := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return _own_folder()
+
+
+@cache
+def _own_folder() -> str:
+    return tempfile.mkdtemp(prefix="spark-checkpoint-")
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df written to the folder that the cluster names for checkpoints, and read again, so that what goes on from it several times is planned and worked out once."""
-    spark = df.sparkSession
-    if (top := spark.sparkContext.getCheckpointDir()) is None:
-        spark.sparkContext.setCheckpointDir(top := spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-checkpoint-"))
-    path = f"{top}/written-{uuid.uuid4().hex}"
+    """df written to the shared folder, and read again, so that what goes on from it several times is planned and worked out once."""
+    path = f"{shared_folder(df.sparkSession)}/written-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -13,17 +13,17 @@ FROM (SELECT file_id, line_number, c, k,
     lpad(CAST(thread AS STRING), 8, '0') || ': ' || replace(substr(CAST(ts AS STRING), 1, 19), ' ', 'T') || ' ' AS prefix,
     CASE
     WHEN k = 'perf' THEN '[PERFORMANCE     ]I:  Source latency ' || CAST(CAST(floor(c / 100) AS BIGINT) AS STRING) || '.' || lpad(CAST(c % 100 AS STRING), 2, '0') || ' seconds, Target latency '
-        || CAST(c % 37 AS STRING) || '.5 seconds, Handling latency ' || CAST(c % 11 AS STRING) || '.25 seconds'
+        || CAST(CASE WHEN day(ts) % 6 = 0 THEN 60 + c % 3 ELSE c % 37 END AS STRING) || '.5 seconds, Handling latency ' || CAST(c % 11 AS STRING) || '.25 seconds'
     WHEN k = 'start' THEN '[TARGET_APPLY    ]T:  Start applying ''' || CASE c % 3 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' ELSE 'DELETE' END || ' (' || CAST(c % 9 + 1 AS STRING) || ')'' changes for table ''dbo''.''t' || CAST(c % 5 AS STRING) || ''''
     WHEN k = 'finish' THEN '[TARGET_APPLY    ]T:  Finished applying of ' || CAST(c % 9 + 1 AS STRING) || ' ''INSERT (3)'' events for table ''dbo''.''t' || CAST(c % 5 AS STRING) || ''''
     WHEN k = 'bulk' THEN '[TARGET_APPLY    ]I:  Going to start applying bulk changes'
     WHEN k = 'run' THEN '[TARGET_APPLY    ]D:  Going to run INSERT statement for table ''dbo''.''t' || CAST(c % 5 AS STRING) || ''' from seq 1 to seq ' || CAST(c % 50 + 1 AS STRING)
     WHEN k = 'end' THEN '[TARGET_APPLY    ]I:  Bulk finished.'
-    WHEN k = 'reason' THEN '[TARGET_APPLY    ]I:  Finish bulk because of ' || CASE c % 4 WHEN 0 THEN 'memory limit' WHEN 1 THEN 'stream timeout' WHEN 2 THEN 'bulk timeout' ELSE 'resume' END
-    WHEN k = 'map' THEN '[TARGET_APPLY    ]T:  bulk_map: seq 1:' || CAST(c % 40 + 1 AS STRING) || ' ' || CASE c % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'UNKNOWN' END || ' ''dbo''.''t' || CAST(c % 5 AS STRING) || ''''
+    WHEN k = 'reason' THEN '[TARGET_APPLY    ]I:  Finish bulk because of ' || CASE CASE WHEN file_id % 4 = 1 THEN c % 2 + 1 ELSE c % 4 END WHEN 0 THEN 'memory limit' WHEN 1 THEN 'stream timeout' WHEN 2 THEN 'bulk timeout' ELSE 'resume' END
+    WHEN k = 'map' THEN '[TARGET_APPLY    ]T:  bulk_map: seq 1:' || CAST(CASE WHEN file_id % 2 = 0 THEN c % 4 + 1 ELSE c % 40 + 1 END AS STRING) || ' ' || CASE c % 4 WHEN 0 THEN 'INSERT' WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'UNKNOWN' END || ' ''dbo''.''t' || CAST(c % 5 AS STRING) || ''''
     WHEN k = 'open' THEN '[SOURCE_CAPTURE  ]I:  Going to open Redo Log with original name ''/redo/' || CAST(c % 7 AS STRING) || ''''
     WHEN k = 'close' THEN '[SOURCE_CAPTURE  ]I:  Close Redo log ''/redo/' || CAST(c % 7 AS STRING) || ''''
-    WHEN k = 'read' THEN '[PERFORMANCE     ]T:  Completed to read from archived Redo log ' || CAST(c * 10 AS STRING) || ' bytes. Read time: ' || CAST(c % 900 AS STRING) || ' ms (oracdc.c:' || CAST(c % 90 + 10 AS STRING) || ')'
+    WHEN k = 'read' THEN '[PERFORMANCE     ]T:  Completed to read from archived Redo log ' || CAST((c % 2 + 1) * 1000 AS STRING) || ' bytes. Read time: ' || CAST(c % 900 AS STRING) || ' ms (oracdc.c:' || CAST(c % 2 + 10 AS STRING) || ')'
     WHEN k = 'sort' THEN '[SORTER          ]W:  Memory limit reached, buffer full, pending ' || CAST(c % 70 AS STRING) || ' events'
     WHEN k = 'state' THEN '[TARGET_APPLY    ]E:  Failed to execute statement. SqlState: HY000 NativeError: ' || CAST(c % 4 + 1200 AS STRING) || ' on t' || CAST(c % 5 AS STRING)
     WHEN k = 'ora' THEN '[SOURCE_CAPTURE  ]E:  ORA-000' || CAST(c % 40 + 50 AS STRING) || ' resource busy, connection timeout'
@@ -53,7 +53,7 @@ SELECT file_id, line_number, lpad(CAST(sub AS STRING), 8, '0') || ': 2025-01-' |
     WHEN 3 THEN CASE WHEN n % 9 = 0 THEN '[TASK_MANAGER    ]W:  Reloading table ' || tab || ' because subtask #' || CAST(sub AS STRING) || ' that was loading segment ' || seg || ' finished with error' ELSE '[TASK_MANAGER    ]I:  Loading goes on' END
     WHEN 4 THEN '[FILE_FACTORY    ]T:  Going to compress file ''C:\out\CDC0' || tab || '.csv'' to ''C:\out\CDC0' || tab || '.csv.gz'''
     WHEN 5 THEN '[FILE_FACTORY    ]T:  file compressed'
-    WHEN 6 THEN '[FILE_FACTORY    ]I:  File C:\out\CDC0' || tab || '.csv.gz of size ' || CAST(n * 100 AS STRING) || ' was uploaded successfully'
+    WHEN 6 THEN '[FILE_FACTORY    ]I:  File C:\out\CDC0' || tab || '.csv.gz of size ' || CAST(n * CASE WHEN file_id % 2 = 0 THEN 10 ELSE 100 END AS STRING) || ' was uploaded successfully'
     WHEN 7 THEN '[TARGET_APPLY    ]I:  Applying INSERT one-by-one for table ''dbo''.''t' || tab || ''''
     WHEN 8 THEN '[TARGET_APPLY    ]E:  Failed to execute statement. NativeError: ' || CAST(n % 5 AS STRING)
     WHEN 9 THEN '[TARGET_APPLY    ]I:  Switch back to bulk apply mode'
