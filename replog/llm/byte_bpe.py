@@ -5,10 +5,11 @@ and, for each position, the number of the pre-token that stands there. Distinct
 each distinct word meets its equals in one task and is encoded once; the ids go back to the blocks, where they are joined to the positions.
 A word comes at most once from a block, so frequent words make no hot group; a block's words for one task travel packed in one row. Decoding joins ids with the table of token bytes.
 
-Blocks are cut while a partition is read, so the input should be a stored table, whose partitions are read alike on a second try.
+Blocks are cut while a partition is read, and it is read twice, so the input should be a stored table, whose partitions are read alike on a
+second try; each block carries a checksum of its documents, and a block that was cut differently raises an error.
 
 Edge cases: a null or empty text has no ids; rows that repeat are encoded each; long texts are read whole, and a block holds one text at least;
-an empty table gives an empty result. Bytes that no token covers alone cannot occur: the vocabulary holds all 256.
+a null id is an id like any other; further columns are not looked at; an empty table gives an empty result. Bytes that no token covers alone cannot occur: the vocabulary holds all 256.
 """
 
 from __future__ import annotations
@@ -25,6 +26,7 @@ import public_tokenizers
 import pyarrow as pa
 import regex
 import tiktoken
+import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -147,16 +149,25 @@ def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[int,
         yield block, ids, held
 
 
+def digest(ids: list, held: list[str]) -> int:
+    """A checksum of a block's documents, by which both readings of it are told to be the same."""
+    mark = xxhash.xxh3_64(repr(ids).encode())
+    for t in held:
+        mark.update(encoded(t))
+        mark.update(b"\xff")
+    return mark.intdigest() >> 1
+
+
 def _words(pattern: str, size: int, parts: int) -> Callable:
     """A row for each block and part: the block's distinct words of this part, one after the other."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         splitter, codec = Splitter(pattern), pa.Codec("zstd")
-        for block, _, held in _blocks(batches, size):
+        for block, ids, held in _blocks(batches, size):
             rows = [(part, words, b"".join(words)) for part, words in enumerate(splitter.words(held, parts)) if words]
             columns = [[part for part, _, _ in rows], [len(w) for _, w, _ in rows], [pack(np.fromiter(map(len, w), np.uint32)) for _, w, _ in rows], [len(x) for _, _, x in rows], [codec.compress(x, asbytes=True) for _, _, x in rows]]
             if rows:
-                yield pa.record_batch([pa.array([block] * len(rows), pa.int64()), *map(pa.array, columns, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary()))], ["block", "part", "n", "lengths", "size", "words"])
+                yield pa.record_batch([pa.array([block] * len(rows), pa.int64()), *map(pa.array, columns, (pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())), pa.array([digest(ids, held)] * len(rows), pa.int64())], ["block", "part", "n", "lengths", "size", "words", "mark"])
 
     return run
 
@@ -168,7 +179,7 @@ def _positions(pattern: str, size: int, parts: int, kind: pa.DataType) -> Callab
         splitter = Splitter(pattern)
         for block, ids, held in _blocks(batches, size):
             found = splitter.places(held, parts)
-            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([[len(x) for x in found]], pa.list_(pa.int64())), pa.array([pack(np.concatenate(found))], pa.binary())], ["block", "ids", "lengths", "packed"])
+            yield pa.record_batch([pa.array([block], pa.int64()), pa.array([ids], pa.list_(kind)), pa.array([[len(x) for x in found]], pa.list_(pa.int64())), pa.array([pack(np.concatenate(found))], pa.binary()), pa.array([digest(ids, held)], pa.int64())], ["block", "ids", "lengths", "packed", "mark"])
 
     return run
 
@@ -191,7 +202,7 @@ def _encode_words(data: bytes, pattern: str) -> Callable:
                 ids = list(map(known.__getitem__, own))
                 each, every = np.fromiter(map(len, ids), np.uint32, n), np.fromiter(chain.from_iterable(ids), np.uint32)
                 out.append((pack(each), len(every), pack(every)))
-            yield pa.record_batch([*b.columns[:3], *map(pa.array, zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary()))], ["block", "part", "n", "lengths", "m", "tokens"])
+            yield pa.record_batch([*b.columns[:3], *map(pa.array, zip(*out, strict=True), (pa.binary(), pa.int32(), pa.binary())), b.column(6)], ["block", "part", "n", "lengths", "m", "tokens", "mark"])
 
     return run
 
@@ -219,6 +230,8 @@ def token_bytes(data: bytes) -> TokenBytes:
 def _reassemble(words: pa.Table, positions: pa.Table, table: TokenBytes | None) -> pa.Table:
     """The ids of each document of a block, in the order of its positions; and the bytes that they stand for, with a table of token bytes."""
     rows = sorted(words.to_pylist(), key=lambda r: r["part"])
+    if {r["mark"] for r in rows} - set(positions["mark"].to_pylist()):
+        raise ValueError("a block was not read alike twice: write the documents to a table first")
     lengths = np.concatenate([unpack(r["lengths"], r["n"]) for r in rows] or [np.zeros(0, np.uint32)]).astype(np.int64)
     flat = np.concatenate([unpack(r["tokens"], r["m"]) for r in rows] or [np.zeros(0, np.uint32)]).view(np.int32)
     start = np.cumsum(lengths) - lengths
@@ -253,9 +266,9 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
     arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
     # as many parts as there are shuffle partitions, so that each partition's distinct words fit in a task
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = own.mapInArrow(_words(pattern, block_chars, parts), "block long, part int, n int, lengths binary, size int, words binary")
-    encoded_words = words.repartition(parts, "part").mapInArrow(_encode_words(data, pattern), "block long, part int, n int, lengths binary, m int, tokens binary")
-    places = own.mapInArrow(_positions(pattern, block_chars, parts, arrow), f"block long, ids array<{kind}>, lengths array<long>, packed binary")
+    words = own.mapInArrow(_words(pattern, block_chars, parts), "block long, part int, n int, lengths binary, size int, words binary, mark long")
+    encoded_words = words.repartitionById(parts, F.col("part")).mapInArrow(_encode_words(data, pattern), "block long, part int, n int, lengths binary, m int, tokens binary, mark long")
+    places = own.mapInArrow(_positions(pattern, block_chars, parts, arrow), f"block long, ids array<{kind}>, lengths array<long>, packed binary, mark long")
 
     def reassemble(w: pa.Table, p: pa.Table) -> pa.Table:
         return _reassemble(w, p, token_bytes(data) if decoded else None)
