@@ -235,6 +235,6 @@ def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     Documents are ordered by id, equal ids by text; the next of the last is the first. Rows with a null id have no place and are left out."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    rows = successors(docs, parts, id_col, text_col).repartition(parts, "part").sortWithinPartitions("part", "ahead", "doc_id", "text")
+    rows = successors(docs, parts, id_col, text_col).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", "text")
     kind = docs.schema[id_col].dataType.simpleString()
     return rows.mapInArrow(_compare, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
