@@ -118,9 +118,15 @@ def _encode(means: dict[int, list[float]]) -> Callable:
     return run
 
 
+def taking_part(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """vec_id, v and dim of every valid vector."""
+    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
+    return own.filter(valid("v") & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
+
+
 def index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding") -> tuple[DataFrame, dict[int, list[float]]]:
     """vec_id, v, dim, code, length and caught of every valid vector; and the mean by dimension, from sums over all vectors."""
-    own = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v")).filter(valid("v") & F.col("vec_id").isNotNull()).withColumn("dim", F.size("v"))
+    own = taking_part(vectors, id_col, vector_col)
     sums = own.select("dim", F.posexplode("v").alias("at", "x")).groupBy("dim", "at").agg(F.avg("x").alias("x"))
     means: dict[int, list[float]] = {}
     for r in sums.orderBy("dim", "at").collect():
@@ -133,7 +139,8 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec
     """query_id, rank (from 1), vec_id and score of the k nearest vectors of every vector whose row meets is_query (a condition on vec_id)."""
     coded, means = index(vectors, id_col, vector_col)
     queries = coded.filter(is_query).select("vec_id", "v", "dim")
-    n, m = coded.count(), queries.count()
+    # counted before anything is encoded
+    n, m = taking_part(vectors, id_col, vector_col).agg(F.count("*"), F.count_if(is_query)).first()
     blocks, query_blocks = max(1, -(-n // BLOCK)), max(1, -(-m // QUERY_BLOCK))
     # a pair of blocks is one task's work; there are at least as many as the session has shuffle partitions where vectors are many
     blocks = max(blocks, min(int(coded.sparkSession.conf.get("spark.sql.shuffle.partitions")), n // 512))
