@@ -10,6 +10,7 @@ import string
 import duckdb
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -208,6 +209,10 @@ def test_byte_bpe(spark, docs, empty):
     both = byte_bpe.encode(docs, block_chars=30_000, decoded=True).collect()
     assert collections.Counter((r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in both) == want
     assert byte_bpe.encode(empty).count() == 0
+    # a block that is not read alike twice
+    w = pa.table({"part": [0], "mark": [1]})
+    with pytest.raises(ValueError, match="alike"):
+        byte_bpe._reassemble(w, pa.table({"mark": [2]}), None)
     r, marks = random.Random(1), [" ", " ", "\n", "a", "b'", "'s", "1", "!", "\x1c", "\x85", "é", "漢", "　"]
     ts = ["".join(r.choice(marks) for _ in range(r.randint(0, 12))) for _ in range(4000)]
     s = byte_bpe.Splitter(public_tokenizers.PATTERN)
