@@ -96,6 +96,23 @@ def test_near_documents(spark, empty, monkeypatch):
     assert fingerprints.near_documents(empty).count() == 0
 
 
+def test_near_documents_recall(spark):
+    # banding against all pairs of fingerprints of a given table
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    mark = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
+    first = {}
+    for i in sorted(mark):
+        first.setdefault(mark[i], i)
+    ids = np.array(sorted(first.values()))
+    x = np.array([np.frombuffer(bytes.fromhex(mark[i]), np.uint8) for i in ids.tolist()])
+    want = 0
+    for k in range(len(ids)):
+        like = ((x == x[k]).mean(1) - 1 / 256) / (1 - 1 / 256)
+        want += int((like >= 0.75).sum()) - 1
+    got = {r.class_id: r.links for r in fingerprints.near_documents(docs).collect()}
+    assert want > 0 and 0.98 * want <= sum(got.values()) <= want
+
+
 def test_token_counts(docs, empty):
     m = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = collections.Counter((r[0], len((r[1] or "").encode()), len(m.encode(r[1] or "")), len(m.encode(r[1] or "")) > 4096) for r in ROWS)
