@@ -15,6 +15,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.compare_with_next(table(spark, sf_dir, "documents"))
 
 
+def fingerprint_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Banding and verification of operator 1 over all documents; a query of its own, so that op1_fingerprints moves each text once."""
+    return fingerprints.near_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -63,7 +68,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_token_counts, op3_source_mix, op4_neighbours, op5_byte_bpe, op6_toxicity, op7_substrings, op8_quality, op9_near_duplicates, op10_language)}
+    return {f.__name__: f for f in (op1_fingerprints, fingerprint_links, op2_token_counts, op3_source_mix, op4_neighbours, op5_byte_bpe, op6_toxicity, op7_substrings, op8_quality, op9_near_duplicates, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
