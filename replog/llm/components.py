@@ -8,6 +8,16 @@ from pyspark.sql import functions as F
 from .common import cut
 
 
+def fewer_links(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """Links that join the same nodes, where each of many nodes a has links to a bounded number of nodes b: a is tied to the smallest of its own, and they to it.
+
+    Nodes that share their b, as all of a large group do, then have one link each, and those among the b are the same for all."""
+    own = links.groupBy(F.col(a).alias("a")).agg(F.collect_set(b).alias("every"), F.min(b).alias("b"))
+    others = F.transform("every", lambda x: F.struct(x.alias("a"), F.col("b").alias("b")))
+    both = F.concat(F.array(F.struct("a", "b")), others)
+    return own.select(F.explode(both).alias("x")).select("x.a", "x.b").filter("a <> b").distinct()
+
+
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """node and component (its smallest node) of every node that has a link.
 

@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, plain, texts
-from .components import components
+from .components import components, fewer_links
 
 SLOTS = 128
 #: The shared bits repeat after so many steps; classes of characters that share bits.
@@ -167,12 +167,14 @@ def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id",
     own = classes.filter("class_id is not null")
     banded = bands(own.withColumnRenamed("class_id", "doc_id")).select("doc_id", "band", "key")
     heads = banded.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    candidates = banded.join(heads, ["band", "key"]).filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-    placed = own.join(components(candidates).select(F.col("node").alias("class_id"), F.col("component").alias("cluster")), "class_id")
+    candidates = banded.join(heads, ["band", "key"]).filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    placed = own.join(components(fewer_links(candidates)).select(F.col("node").alias("class_id"), F.col("component").alias("cluster")), "class_id")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
     pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("fingerprint", "class_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     verified = _verify(least)
+    # dealt out by pairs of blocks: by clusters alone, a large one would be one task's
+    pairs = pairs.repartition("cluster", "low", "high")
     linked = cut(pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}"))
     joined = components(linked.select(F.col("class_id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     best = linked.groupBy("fingerprint").agg(F.sum("links").alias("links"), F.min("near_id").alias("near_id"))

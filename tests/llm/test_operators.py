@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from replog.llm import byte_bpe, fingerprints, language, minhash, mixing, neighbours, quality, substrings, token_counts, toxicity
 from replog.llm import queries as Q
-from replog.llm.components import components
+from replog.llm.components import components, fewer_links
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, n int, block string"
 SF = "/root/testdata/sf0.001"
@@ -488,3 +488,13 @@ def test_pipeline(spark):
     assert 0 < sizes[2] <= sizes[1] < sizes[0] and sizes[4] == sizes[3] > 0
     got = corpus_pipeline.run(spark, SF)
     assert sorted(map(str, got.select("doc_id", "n_tokens").collect())) == sorted(map(str, docs.select("doc_id", "n_tokens").collect()))
+
+
+def test_fewer_links(spark):
+    r = random.Random(5)
+    rows = [(a, b) for a in range(20, 400) for b in r.sample(range(20), r.randint(1, 4))] + [(9, 3), (500, 501), (501, 502), (502, 502)]
+    links = spark.createDataFrame(rows, "a long, b long")
+    few = fewer_links(links)
+    whole, less = ({r.node: r.component for r in components(x).collect()} for x in (links, few))
+    assert whole == less and few.count() < len(set(rows))
+    assert fewer_links(links.limit(0)).count() == 0
