@@ -188,9 +188,18 @@ def bulk_map_insights(m: DataFrame) -> DataFrame:
 
 
 def file_ops_insights(f: DataFrame) -> DataFrame:
-    """Warnings about uploads: a fixed cost, many small files, slow ones."""
-    s = f.filter("total_seconds > 0 and size_bytes > 0").groupBy("file_id").agg((F.max("size_bytes") / F.min("size_bytes")).alias("sizes"), (F.max("total_seconds") / F.min("total_seconds")).alias("times"), percent(F.count_if(F.col("size_bytes") < 10240), F.count("*")).alias("small"))
-    return recommend(s, [((F.col("sizes") > 10) & (F.col("times") < 2), 1, "files", "a fixed cost prevails over size"), (F.col("small") > 30, 2, "files", "many small files")])
+    """Warnings about uploads: a fixed cost, many small files, a share of time that size does not explain, and uploads far below the mean rate."""
+    own = f.filter("total_seconds > 0 and size_bytes > 0")
+    rate, size, took = F.col("throughput_kbps"), F.col("size_bytes"), F.col("total_seconds")
+    s = own.groupBy("file_id").agg(F.count("*").alias("n"), (F.max(size) / F.min(size)).alias("sizes"), (F.max(took) / F.min(took)).alias("times"), percent(F.count_if(size < 10240), F.count("*")).alias("small"), F.min(took).alias("least"), F.avg(rate).alias("mean"), F.stddev_pop(rate).alias("dev"))
+    # one row a file meets its uploads again: what their rates are without the least time, and how many are slow
+    beyond = took - F.col("least")
+    again = own.join(s.select("file_id", "least", "mean", "dev"), "file_id").groupBy("file_id").agg(F.avg(F.when(beyond > 0.1, size / 1024 / beyond)).alias("net"), F.count_if((rate < F.col("mean") - F.col("dev")) & (size > 50 * 1024)).alias("slow"))
+    j = s.join(again, "file_id")
+    return recommend(j, [
+        ((F.col("sizes") > 10) & (F.col("times") < 2), 1, "files", "a fixed cost prevails over size"), (F.col("small") > 30, 2, "files", "many small files"),
+        ((F.col("n") >= 3) & (F.col("sizes") > 5) & (F.col("net") > 1.5 * F.col("mean")), 3, "files", "a fixed overhead for each upload"), ((F.col("n") >= 3) & (F.col("slow") > 0), 2, "files", "uploads far below the mean rate"),
+    ])
 
 
 def tuning_modes(files: DataFrame, col: str = "text") -> DataFrame:
@@ -223,11 +232,12 @@ def top_contributors(cockpit: DataFrame, batches: DataFrame, uploads: DataFrame,
     return recommend(j, [(F.col("bottleneck").isin("source", "handling"), 1, "latency", F.concat(F.lit("bottleneck: "), F.col("bottleneck"))), (F.col("upload") > 1, 2, "files", "slow uploads"), (F.col("pk") > 10, 2, "batches", "key conflicts"), (F.col("pain") > 100, 1, "tables", F.concat(F.lit("painful table: "), F.col("worst_table")))])
 
 
-def bulk_apply_insights(batches: DataFrame) -> DataFrame:
-    """Warnings about bulk apply: time that does not grow with size, small batches, memory, timeouts, key conflicts."""
+def bulk_apply_insights(batches: DataFrame, stats: DataFrame) -> DataFrame:
+    """Warnings about bulk apply: time that does not grow with size, small batches, memory, timeouts, key conflicts, tables applied one by one."""
     n, reason = F.count("*"), F.col("closure_reason")
     s = batches.groupBy("file_id").agg(F.avg("changes_count").alias("avg"), F.corr("changes_count", "duration_seconds").alias("grows"), percent(F.count_if(reason == "MEM"), n).alias("memory"), percent(F.count_if(reason.isin("TIM", "TMO")), n).alias("timeouts"), percent(F.count_if(reason.isin("PKi", "PKu", "PKd")), n).alias("pk"))
-    return recommend(s, [(F.abs("grows") < 0.2, 2, "bulk", "latency dominates over size"), (F.col("avg") < 100, 2, "bulk", "small batches"), (F.col("memory") > 10, 1, "bulk", "memory closes batches"), (F.col("timeouts") > 20, 2, "bulk", "timeouts close batches"), (F.col("pk") > 0, 1, "bulk", "key conflicts close batches")])
+    single = recommend(stats.groupBy("file_id").agg(F.sum("one_by_one_count").alias("n")), [(F.col("n") > 0, 1, "bulk", "tables are applied one by one")])
+    return single.unionByName(recommend(s, [(F.abs("grows") < 0.2, 2, "bulk", "latency dominates over size"), (F.col("avg") < 100, 2, "bulk", "small batches"), (F.col("memory") > 10, 1, "bulk", "memory closes batches"), (F.col("timeouts") > 20, 2, "bulk", "timeouts close batches"), (F.col("pk") > 0, 1, "bulk", "key conflicts close batches")]))
 
 
 def summary_facts(profile: DataFrame, batches: DataFrame, errors: DataFrame) -> DataFrame:

@@ -80,3 +80,15 @@ def insights(lines: DataFrame) -> DataFrame:
     t = tables(lines).groupBy("file_id").agg(F.sum("reload_count").alias("reloads"), F.max("max_gap_seconds").alias("gap"), F.count_if(F.col("rows_sent") != F.col("rows_received")).alias("differ"), F.count_if(F.col("status") != "loaded").alias("open"))
     s = segments(lines).groupBy("file_id").agg(F.count_if(F.col("total_seconds") >= 3600).alias("slow"))
     return recommend(t.join(s, "file_id", "left"), [(F.col("reloads") > 0, 1, "full load", "reload_loop"), (F.col("slow") > 0, 2, "full load", "slow_segments"), (F.col("gap") >= 30, 2, "full load", "load_gap"), (F.col("differ") > 0, 1, "full load", "row_mismatch"), (F.col("open") > 0, 3, "full load", "in_progress")])
+
+
+def insight_segments(lines: DataFrame) -> DataFrame:
+    """The segments that warnings speak of, ranked: the five slowest of an hour or more, the three longest gaps of 30 s or more, the first five whose rows differ."""
+    own = segments(lines)
+    kinds = (("slow_segment", F.col("total_seconds") >= 3600, F.col("total_seconds"), True, 5), ("load_gap", F.col("gap_seconds") >= 30, F.col("gap_seconds"), True, 3), ("row_mismatch", F.col("rows_sent") != F.col("rows_received"), (F.col("rows_sent") - F.col("rows_received")).cast("double"), False, 5))
+    out = None
+    for kind, cond, value, largest, k in kinds:
+        hits = own.filter(cond).select("file_id", "table_id", "attempt", "seg", value.alias("value"))
+        best = topk_per_group(hits, FILE, [*([F.desc("value")] if largest else []), "table_id", "attempt", "seg"], k, "rank").withColumn("kind", F.lit(kind))
+        out = best if out is None else out.unionByName(best)
+    return out.select("file_id", "kind", "rank", "table_id", "attempt", "seg", "value")

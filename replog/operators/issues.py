@@ -162,14 +162,14 @@ def build_token_index(lines: DataFrame) -> DataFrame:
     return lines.select("file_id", LINE, F.posexplode(words).alias("position", "token")).select("token", "file_id", LINE, "position")
 
 
-def full_text(index: DataFrame, every: Sequence[str] = (), phrase: Sequence[str] = (), none: Sequence[str] = (), prefix: Sequence[str] = ()) -> DataFrame:
-    """Lines with every term, the phrase, terms with the prefixes, and none of the others."""
+def full_text(index: DataFrame, every: Sequence[str] = (), phrase: Sequence[str] = (), none: Sequence[str] = (), prefix: Sequence[str] = (), some: Sequence[str] = ()) -> DataFrame:
+    """Lines with every term, the phrase, terms with the prefixes, one of some at least if there are any, and none of the others."""
     wanted = list(dict.fromkeys([*every, *phrase]))
-    cond = F.col("token").isin([*wanted, *none]) if wanted or none else F.lit(False)
+    cond = F.col("token").isin([*wanted, *none, *some]) if wanted or none or some else F.lit(False)
     for p in prefix:
         cond = cond | F.col("token").startswith(p)
     has = lambda c: F.max(c.cast("int"))
-    g = index.filter(cond).groupBy("file_id", LINE).agg(*[has(F.col("token") == t).alias(f"_w{k}") for k, t in enumerate(wanted)], *[has(F.col("token").startswith(p)).alias(f"_p{k}") for k, p in enumerate(prefix)], *[has(F.col("token") == t).alias(f"_n{k}") for k, t in enumerate(none)])
+    g = index.filter(cond).groupBy("file_id", LINE).agg(*[has(F.col("token") == t).alias(f"_w{k}") for k, t in enumerate(wanted)], *[has(F.col("token").startswith(p)).alias(f"_p{k}") for k, p in enumerate(prefix)], *[has(F.col("token") == t).alias(f"_n{k}") for k, t in enumerate(none)], has(F.col("token").isin(list(some)) if some else F.lit(True)).alias("_some")).filter("_some = 1")
     for k in range(len(wanted)):
         g = g.filter(F.col(f"_w{k}") == 1)
     for k in range(len(prefix)):

@@ -95,7 +95,7 @@ script AS (SELECT *, CAST(epoch(end_timestamp) - epoch(lag(end_timestamp) {order
         "summary_facts": f"SELECT m.*, round(target - source, 6) AS delta, CASE WHEN source > 0 THEN round(100 * (target - source) / source, 6) END AS delta_percent, coalesce(b.n, 0) AS batches, CAST(coalesce(b.c, 0) AS BIGINT) AS changes, coalesce(e.n, 0) AS errors FROM (SELECT file_id, max(p50) FILTER (WHERE kind = 'source') AS source, max(p50) FILTER (WHERE kind = 'target') AS target, max(p50) FILTER (WHERE kind = 'handling') AS handling FROM ({known('latency_profile')}) GROUP BY file_id) m LEFT JOIN (SELECT file_id, count(*) AS n, sum(changes_count) AS c FROM {done} GROUP BY 1) b ON m.file_id = b.file_id LEFT JOIN (SELECT file_id, count(*) AS n FROM errors GROUP BY 1) e ON m.file_id = e.file_id",
         "batch_inefficiencies": rules(f"SELECT file_id, {share('changes_count = 1')} AS single, {share(chr(99) + 'losure_reason IN (' + chr(39) + 'PKi' + chr(39) + ',' + chr(39) + 'PKu' + chr(39) + ',' + chr(39) + 'PKd' + chr(39) + ')')} AS pk, {share('closure_reason IN (' + q('TIM') + ', ' + q('TMO') + ')')} AS timeouts FROM {done} GROUP BY file_id", [("single > 40", 1, "batches", "single-record batches prevail"), ("single BETWEEN 20.000001 AND 40", 2, "batches", "many single-record batches"), ("pk > 10", 1, "batches", "key conflicts close batches"), ("timeouts > 30", 2, "batches", "timeouts close batches")]),
         "bulk_map_insights": rules(f"SELECT file_id, {share('rows = 1')} AS single, avg(rows) AS mean, stddev_pop(rows) AS dev FROM maps GROUP BY file_id", [("single > 20", 1, "bulk", "single-record operations"), ("mean < 10", 2, "bulk", "small operations"), ("dev > mean", 3, "bulk", "uneven operations")]),
-        "bulk_apply_insights": rules(f"SELECT file_id, avg(changes_count) AS mean, corr(changes_count, duration_seconds) AS grows, {share('closure_reason = ' + q('MEM'))} AS memory, {share('closure_reason IN (' + q('TIM') + ', ' + q('TMO') + ')')} AS timeouts, {share('starts_with(closure_reason, ' + q('PK') + ')')} AS pk FROM {done} GROUP BY file_id", [("abs(grows) < 0.2", 2, "bulk", "latency dominates over size"), ("mean < 100", 2, "bulk", "small batches"), ("memory > 10", 1, "bulk", "memory closes batches"), ("timeouts > 20", 2, "bulk", "timeouts close batches"), ("pk > 0", 1, "bulk", "key conflicts close batches")]),
+        "bulk_apply_insights": rules(f"SELECT file_id, avg(changes_count) AS mean, corr(changes_count, duration_seconds) AS grows, {share('closure_reason = ' + q('MEM'))} AS memory, {share('closure_reason IN (' + q('TIM') + ', ' + q('TMO') + ')')} AS timeouts, {share('starts_with(closure_reason, ' + q('PK') + ')')} AS pk FROM {done} GROUP BY file_id", [("abs(grows) < 0.2", 2, "bulk", "latency dominates over size"), ("mean < 100", 2, "bulk", "small batches"), ("memory > 10", 1, "bulk", "memory closes batches"), ("timeouts > 20", 2, "bulk", "timeouts close batches"), ("pk > 0", 1, "bulk", "key conflicts close batches")]) + " UNION ALL SELECT file_id, CAST(1 AS BIGINT), 'bulk', 'tables are applied one by one' FROM stats GROUP BY file_id HAVING sum(one_by_one_count) > 0",
     }
     walk = "hit AS (SELECT file_id, line_number, row_number() OVER (PARTITION BY file_id ORDER BY line_number) AS k FROM (SELECT DISTINCT file_id, line_number FROM errors)), walk AS (SELECT file_id, k, line_number, line_number - 3 AS start, line_number + 3 AS e FROM hit WHERE k = 1 UNION ALL SELECT h.file_id, h.k, h.line_number, CASE WHEN h.line_number - 3 <= w.e + 1 THEN w.start ELSE h.line_number - 3 END, CASE WHEN h.line_number - 3 <= w.e + 1 THEN least(greatest(w.e, h.line_number + 3), w.start + 20) ELSE h.line_number + 3 END FROM walk w JOIN hit h ON h.file_id = w.file_id AND h.k = w.k + 1)"
     out["merge_windows"] = f', {walk} SELECT file_id, start, max(e) AS "end", count(*) AS hits FROM walk GROUP BY file_id, start'
@@ -131,6 +131,7 @@ fg AS (SELECT file_id, name, part, max(line_number) FILTER (WHERE kind = 'upload
 ups AS (SELECT file_id, line_number, name AS file_name, size_bytes, round(coalesce(c - s, 0.1 * coalesce(u - s, 0.0)), 6) AS compress_seconds, round(coalesce(u - s, 0.0) - coalesce(c - s, 0.1 * coalesce(u - s, 0.0)), 6) AS upload_seconds, coalesce(u - s, 0.0) AS total_seconds, CASE WHEN u - s > 0 THEN round(size_bytes / 1024.0 / (u - s), 6) END AS throughput_kbps FROM fg WHERE line_number IS NOT NULL)
 """
     dated = "* REPLACE (" + ", ".join(f"strftime({c}, '%Y-%m-%d %H:%M:%S') AS {c}" for c in ("started", "loaded")) + ")"
+    sums = f"SELECT file_id, count(*) AS n, max(size_bytes) / min(size_bytes) AS sizes, max(total_seconds) / min(total_seconds) AS times, {share('size_bytes < 10240')} AS small, min(total_seconds) AS least, avg(throughput_kbps) AS mean, stddev_pop(throughput_kbps) AS dev FROM ups WHERE total_seconds > 0 AND size_bytes > 0 GROUP BY file_id"
     out = {
         "full_load_segments": f"SELECT {dated.replace('REPLACE (', 'REPLACE (strftime(unloaded, ' + q('%Y-%m-%d %H:%M:%S') + ') AS unloaded, ')} FROM segs",
         "full_load_tables": f"SELECT {dated} FROM tabs",
@@ -141,7 +142,8 @@ ups AS (SELECT file_id, line_number, name AS file_name, size_bytes, round(coales
         "file_operations": "SELECT * FROM ups",
         "file_ops_summary": "SELECT file_id, count(*) AS files, CAST(sum(size_bytes) AS BIGINT) AS total_bytes, round(avg(nullif(size_bytes, 0)), 6) AS avg_bytes, round(avg(nullif(total_seconds, 0)), 6) AS avg_seconds, round(avg(nullif(throughput_kbps, 0)), 6) AS avg_kbps FROM ups GROUP BY file_id",
         "file_ops_stats": "SELECT file_id, count(*) AS files, min(size_bytes) AS min_size_bytes, max(size_bytes) AS max_size_bytes, round(avg(size_bytes), 6) AS avg_size_bytes, CAST(sum(size_bytes) AS BIGINT) AS sum_size_bytes, min(total_seconds) AS min_total_seconds, max(total_seconds) AS max_total_seconds, round(avg(total_seconds), 6) AS avg_total_seconds, sum(total_seconds) AS sum_total_seconds FROM ups GROUP BY file_id HAVING count(*) >= 2",
-        "file_ops_insights": rules(f"SELECT file_id, max(size_bytes) / min(size_bytes) AS sizes, max(total_seconds) / min(total_seconds) AS times, {share('size_bytes < 10240')} AS small FROM ups WHERE total_seconds > 0 AND size_bytes > 0 GROUP BY file_id", [("sizes > 10 AND times < 2", 1, "files", "a fixed cost prevails over size"), ("small > 30", 2, "files", "many small files")]),
+        "file_ops_insights": rules(f"SELECT s.*, net, slow FROM ({sums}) s JOIN (SELECT u.file_id, avg(size_bytes / 1024.0 / (total_seconds - least)) FILTER (WHERE total_seconds - least > 0.1) AS net, count(*) FILTER (WHERE throughput_kbps < mean - dev AND size_bytes > 50 * 1024) AS slow FROM ups u JOIN ({sums}) t ON u.file_id = t.file_id WHERE total_seconds > 0 AND size_bytes > 0 GROUP BY u.file_id) a ON s.file_id = a.file_id", [("sizes > 10 AND times < 2", 1, "files", "a fixed cost prevails over size"), ("small > 30", 2, "files", "many small files"), ("n >= 3 AND sizes > 5 AND net > 1.5 * mean", 3, "files", "a fixed overhead for each upload"), ("n >= 3 AND slow > 0", 2, "files", "uploads far below the mean rate")]),
+        "full_load_insight_segments": " UNION ALL ".join(f"SELECT file_id, '{kind}' AS kind, rank, table_id, attempt, seg, CAST({v} AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {o}table_id, attempt, seg) AS rank FROM segs WHERE {c}) WHERE rank <= {k}" for kind, c, v, o, k in (("slow_segment", "total_seconds >= 3600", "total_seconds", "total_seconds DESC, ", 5), ("load_gap", "gap_seconds >= 30", "gap_seconds", "gap_seconds DESC, ", 3), ("row_mismatch", "rows_sent <> rows_received", "rows_sent - rows_received", "", 5))),
         "no_bulk_no_pk": rf"SELECT o.*, table_name FROM (SELECT file_id, CAST({rx('(?i)table' + chr(92) + 's+(?:id' + chr(92) + 's*)?#?(' + chr(92) + 'd+)')} AS BIGINT) AS table_id, count(*) AS n FROM lines WHERE {has(P.NO_PK)} AND {rx('(?i)table' + chr(92) + 's+(?:id' + chr(92) + 's*)?#?(' + chr(92) + 'd+)')} IS NOT NULL GROUP BY 1, 2) o LEFT JOIN (SELECT file_id, CAST({rx('(?i)Id' + chr(92) + 's*=' + chr(92) + 's*(' + chr(92) + 'd+)')} AS BIGINT) AS table_id, arg_max({rx(P.TABLE)} || '.' || {rx(P.TABLE, 2)}, line_number) AS table_name FROM lines WHERE regexp_matches(body, '(?i)Id\s*=\s*\d+') AND {has(P.TABLE)} GROUP BY 1, 2) n ON o.file_id = n.file_id AND o.table_id = n.table_id",
     }
     found |= {name: f"{loads} {sql}" for name, sql in out.items()}

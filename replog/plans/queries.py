@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable
 
@@ -18,8 +19,9 @@ from replog.operators import issues as I
 from replog.operators import latency as L
 from replog.operators import parse as R
 from replog.operators import redact as D
+from replog.operators import report as RP
 from replog.plans.oracles import more
-from replog.plans.scale import floor_percentile, runs, shared_folder, topk_per_group
+from replog.plans.scale import floor_percentile, runs, shared_folder, topk_per_group, written
 from replog.sources import logs as S
 from replog.sources.synth import LINES_SQL, LOAD_SQL, load_lines, raw_lines
 
@@ -231,6 +233,7 @@ over_loads("full_load_segments", FL.segments)
 over_loads("full_load_tables", FL.tables)
 over_loads("full_load_report", FL.report)
 over_loads("full_load_insights", FL.insights)
+over_loads("full_load_insight_segments", FL.insight_segments)
 over_loads("full_load_condensed", FL.condensed)
 over_loads("split_predicates", FL.split_predicates)
 over_loads("file_operations", E.file_operations)
@@ -260,7 +263,7 @@ register("redact_nested", lambda s, d: D.redact_nested(table(s, d, "conversation
 register("page_changes", lambda s, d: K.changed_articles(K.clean_articles(table(s, d, "pages")), K.clean_articles(table(s, d, "pages").withColumn("html", F.regexp_replace("html", "(?i)privacy", "terms")))))
 register("extract_keywords", lambda s, d: I.extract_keywords(table(s, d, "conversations").select("conv_id", "turn", F.col("text").alias("question"))).select("conv_id", "turn", "keywords"))
 register("embed_documents", lambda s, d: K.vector_stats(K.embed_documents(table(s, d, "documents").select(F.col("source").alias("file_id"), F.col("lang").alias("kind"), "text"))), "SELECT source AS file_id, lang AS kind, count(DISTINCT substr(md5(text), 1, 12)) AS documents FROM documents GROUP BY source, lang", base=False)
-over_lines("bulk_apply_insights", batches(A.bulk_apply_insights))
+over_lines("bulk_apply_insights", lambda ln: A.bulk_apply_insights(E.batches(ln), E.table_stats(ln)))
 over_lines("summary_facts", lambda ln: A.summary_facts(L.latency_profile(R.parse_latency(ln)), E.batches(ln), R.error_lines(ln)))
 over_lines("top_contributors", lambda ln: A.top_contributors(A.cockpit(ln), E.batches(ln), E.file_operations(ln), A.pain_tables(E.table_stats(ln))))
 over_lines("kb_queries", lambda ln: I.kb_queries(R.error_lines(ln), R.task_config(ln)))
@@ -378,3 +381,73 @@ register("lines_from_files", lines_from_files, f"SELECT file_id, line_number, {T
 
 # SQL that goes on from the common tables and from other queries' SQL
 ORACLES.update(more(BASE, LOADS, lambda name: ORACLES[name].removeprefix(BASE).strip(), rx, has, q, TIME))
+
+
+def known(name: str) -> str:
+    """A query's SQL without the common tables, to go on from."""
+    return ORACLES[name].removeprefix(BASE).strip()
+
+
+def _head(sql: str, order: str, columns: str) -> str:
+    return f"SELECT file_id, {columns} FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {order}) AS turn FROM ({sql})) WHERE turn = 1"
+
+
+_hot = known("errors_in_high_latency").removeprefix(f", {_HIGH}").strip()
+_pain = "SELECT *, coalesce(total_apply_time_seconds, 0.0) + 10 * coalesce(error_count, 0) + 5 * coalesce(one_by_one_count, 0) AS pain_score FROM stats"
+_DETAILS = f""", {_HIGH}, stats AS ({known('table_stats')}), d AS (SELECT f.file_id, a.* EXCLUDE (file_id), coalesce(periods, 0) AS periods, coalesce(source_periods, 0) AS source_periods, coalesce(handling_periods, 0) AS handling_periods,
+  c.* EXCLUDE (file_id), z.* EXCLUDE (file_id), t.* EXCLUDE (file_id), r.* EXCLUDE (file_id), p.* EXCLUDE (file_id), m.* EXCLUDE (file_id), coalesce(redo_sessions, 0) AS redo_sessions, longest_redo_seconds, coalesce(uneven_reads, 0) AS uneven_reads,
+  coalesce(errors_in_high_latency, 0) AS errors_in_high_latency, k.* EXCLUDE (file_id) FROM (SELECT DISTINCT file_id FROM lines) f
+LEFT JOIN (SELECT file_id, {", ".join(f"round(max({p}) FILTER (WHERE kind = '{k}'), 6) AS {k}_{p}" for k in L.KINDS for p in ("p50", "p95"))} FROM ({known('latency_profile')}) GROUP BY 1) a ON f.file_id = a.file_id
+LEFT JOIN (SELECT file_id, count(*) AS periods, count(*) FILTER (WHERE bottleneck = 'source') AS source_periods, count(*) FILTER (WHERE bottleneck = 'handling') AS handling_periods FROM ({known('bottleneck_periods')}) GROUP BY 1) b ON f.file_id = b.file_id
+LEFT JOIN ({_head(known('batch_closure_counts'), 'batches DESC, closure_reason', 'closure_reason AS main_reason, percent AS main_reason_percent')}) c ON f.file_id = c.file_id
+LEFT JOIN (SELECT file_id, avg AS avg_changes, median AS median_changes, max AS max_changes, single_percent FROM ({known('batch_size_stats')})) z ON f.file_id = z.file_id
+LEFT JOIN (SELECT file_id, avg AS avg_seconds, p95 AS p95_seconds FROM ({known('batch_duration_stats')})) t ON f.file_id = t.file_id
+LEFT JOIN ({_head(known('rps_distribution'), 'batches DESC, bucket', 'bucket AS main_rate')}) r ON f.file_id = r.file_id
+LEFT JOIN ({_head(_pain, 'pain_score DESC, table_name', 'table_name AS worst_table, pain_score AS worst_score, one_by_one_count AS worst_one_by_one')}) p ON f.file_id = p.file_id
+LEFT JOIN (SELECT file_id, CASE WHEN m + s > 0 THEN round(100.0 * m / (m + s), 6) ELSE 0.0 END AS merge_percent FROM (SELECT file_id, sum(total_merges) AS m, sum(total_inserts + total_updates + total_deletes) AS s FROM stats GROUP BY 1)) m ON f.file_id = m.file_id
+LEFT JOIN (SELECT file_id, count(*) AS redo_sessions, max(duration_seconds) AS longest_redo_seconds FROM ({known('redo_sessions')}) GROUP BY 1) s ON f.file_id = s.file_id
+LEFT JOIN (SELECT file_id, count(*) AS uneven_reads FROM ({known('redo_read_variance')}) GROUP BY 1) v ON f.file_id = v.file_id
+LEFT JOIN (SELECT file_id, count(*) AS errors_in_high_latency FROM ({_hot}) GROUP BY 1) e ON f.file_id = e.file_id
+LEFT JOIN ({_head(known('errors_by_component'), 'errors DESC, component', 'component AS main_error_component')}) k ON f.file_id = k.file_id)"""
+over_lines("cockpit_details", lambda ln: RP.cockpit_details(written(ln)), f"{_DETAILS} SELECT * FROM d")
+over_loads("named_values", RP.named_values, " UNION ".join(
+    "SELECT file_id, '" + kind + "' AS kind, value FROM (SELECT file_id, "
+    + " || ".join(f"trim(regexp_extract(body, {q(pattern)}, {x[1]}))" if x.startswith("$") else q(x) for x in re.split(r"(\$\d)", form) if x)
+    + " AS value FROM lines WHERE " + " AND ".join(has(x) for x in (*needs, pattern)) + ") WHERE value <> ''"
+    for kind, (needs, pattern, form) in RP.NAMED_VALUES.items()
+))
+over_lines("full_text_any", lambda ln: I.full_text(I.build_token_index(ln), some=["hy000", "ora"], none=["t1"]), "SELECT file_id, line_number FROM lines WHERE regexp_matches(lower(body), '\\b(hy000|ora)\\b') AND NOT regexp_matches(lower(body), '\\bt1\\b')")
+
+
+_MILESTONES = {"full_load_completed": r"full\s+load\s+completed", "cdc_started": "start processing changes|cdc started", "consistency": "transaction consistency reached", "init_completed": "initialization completed", "stop_reason": "stop reason", "stopped": "task stopped|closing log file"}
+_EVENTS = lambda time: " UNION ALL ".join(f"SELECT file_id, line_number, {time}'{k}' AS event FROM lines WHERE regexp_matches(lower(body), {q(p)})" for k, p in _MILESTONES.items())
+over_loads("key_events", E.key_events, _EVENTS(f"{TIME('timestamp')}, "))
+_ONE = RP.NAMED_VALUES["one_by_one_table"][1]
+
+
+def recommendations_all(ln: DataFrame) -> DataFrame:
+    """The overview's advice and the details', with plateaus."""
+    own = written(ln)
+    more_advice = RP.advice(RP.cockpit_details(own), A.batch_inefficiencies(E.batches(own)), L.plateaus(R.parse_latency(own)))
+    return A.recommendations(A.cockpit(own)).unionByName(more_advice)
+
+
+over_lines("recommendations_all", recommendations_all)
+over_lines(
+    "log_summary_details",
+    lambda ln: RP.log_summary_details(written(ln)),
+    f"SELECT f.*, first_errors, first_warnings, one_by_one_tables, coalesce(t.n, 0) AS tables, coalesce(k.n, 0) AS key_events, coalesce(c.n, 0) AS connection_events FROM (SELECT file_id, CAST(epoch(max(timestamp)) - epoch(min(timestamp)) AS DOUBLE) AS seconds FROM lines GROUP BY 1) f"
+    + "".join(f" LEFT JOIN (SELECT file_id, string_agg(body, ',' ORDER BY body) AS {n} FROM (SELECT *, row_number() {ORDER} AS turn FROM lines WHERE severity = '{v}') WHERE turn <= {k} GROUP BY 1) {v} ON f.file_id = {v}.file_id" for n, v, k in (("first_errors", "E", 5), ("first_warnings", "W", 3)))
+    + f" LEFT JOIN (SELECT file_id, string_agg(DISTINCT {rx(_ONE, 1)} || '.' || {rx(_ONE, 2)}, ',') AS one_by_one_tables FROM lines WHERE {has('(?i)one-by-one')} AND {has('Applying')} AND {has(_ONE)} GROUP BY 1) o ON f.file_id = o.file_id"
+    + "".join(f" LEFT JOIN (SELECT file_id, count(*) AS n FROM ({n}) GROUP BY 1) {a} ON f.file_id = {a}.file_id" for n, a in ((known("tables_seen"), "t"), (_EVENTS(""), "k"), (known("connection_events"), "c"))),
+)
+
+
+def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each answer of a conversation as a report, with what was asked before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").dropDuplicates(["conv_id", "turn"])
+    asked = turns.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("summary"))
+    return turns.join(asked, ["conv_id", "turn"]).select("conv_id", "turn", F.col("text").alias("report"), "summary", F.lit(None).cast("string").alias("error_code"), F.col("role").alias("component"))
+
+
+register("report_matches", lambda s, d: RP.match_report_sections(_talk(s, d), ["conv_id", "turn"]), base=False)

@@ -50,7 +50,9 @@ SELECT file_id, line_number, lpad(CAST(sub AS STRING), 8, '0') || ': 2025-01-' |
     WHEN 0 THEN '[TASK_MANAGER    ]I:  Start loading segment #' || seg || ' of 4 of table ''dbo''.''t' || tab || ''' (Id = ' || tab || ') by subtask ' || CAST(sub AS STRING)
     WHEN 1 THEN '[SOURCE_UNLOAD   ]I:  Unload finished for segment #' || seg || ' of segmented table ''dbo''.''t' || tab || ''' (Id = ' || tab || '). ' || CAST(n AS STRING) || ' rows sent.'
     WHEN 2 THEN '[TARGET_LOAD     ]I:  Load finished for segment #' || seg || ' of segmented table ''dbo''.''t' || tab || ''' (Id = ' || tab || '). ' || CAST(n AS STRING) || ' rows received. 0 rows skipped. Volume transferred ' || CAST(n * 8 AS STRING) || '.'
-    WHEN 3 THEN CASE WHEN n % 9 = 0 THEN '[TASK_MANAGER    ]W:  Reloading table ' || tab || ' because subtask #' || CAST(sub AS STRING) || ' that was loading segment ' || seg || ' finished with error' ELSE '[TASK_MANAGER    ]I:  Loading goes on' END
+    WHEN 3 THEN CASE WHEN n % 9 = 0 THEN '[TASK_MANAGER    ]W:  Reloading table ' || tab || ' because subtask #' || CAST(sub AS STRING) || ' that was loading segment ' || seg || ' finished with error' WHEN n % 9 = 1 THEN '[SERVER          ]I:  Log level of component ''SORTER'' was changed from ''INFO'' to ''DEBUG'''
+        WHEN n % 9 = 2 THEN '[TARGET_LOAD     ]I:  ODBC driver: Native Client ' || CAST(n % 4 AS STRING) WHEN n % 9 = 3 THEN '[SERVER          ]I:  Licensed to Acme Works, all rights'
+        WHEN n % 9 = 4 THEN '[TASK_MANAGER    ]I:  Task initialization completed' WHEN n % 9 = 5 THEN '[SORTER          ]I:  Start processing changes' ELSE '[TASK_MANAGER    ]I:  Loading goes on' END
     WHEN 4 THEN '[FILE_FACTORY    ]T:  Going to compress file ''C:\out\CDC0' || tab || '.csv'' to ''C:\out\CDC0' || tab || '.csv.gz'''
     WHEN 5 THEN '[FILE_FACTORY    ]T:  file compressed'
     WHEN 6 THEN '[FILE_FACTORY    ]I:  File C:\out\CDC0' || tab || '.csv.gz of size ' || CAST(n * CASE WHEN file_id % 2 = 0 THEN 10 ELSE 100 END AS STRING) || ' was uploaded successfully'
