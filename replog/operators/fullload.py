@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from replog.operators import parse as R
 from replog.operators.apply import recommend
 from replog.operators.events import seconds
-from replog.plans.scale import islands, topk_per_group
+from replog.plans.scale import islands, topk_per_group, written
 
 FILE, LINE = ["file_id"], "line_number"
 KEYS = ["file_id", "table_id"]
@@ -84,7 +84,7 @@ def insights(lines: DataFrame) -> DataFrame:
 
 def insight_segments(lines: DataFrame) -> DataFrame:
     """The segments that warnings speak of, ranked: the five slowest of an hour or more, the three longest gaps of 30 s or more, the first five whose rows differ."""
-    own = segments(lines)
+    own = written(segments(lines))
     kinds = (("slow_segment", F.col("total_seconds") >= 3600, F.col("total_seconds"), True, 5), ("load_gap", F.col("gap_seconds") >= 30, F.col("gap_seconds"), True, 3), ("row_mismatch", F.col("rows_sent") != F.col("rows_received"), (F.col("rows_sent") - F.col("rows_received")).cast("double"), False, 5))
     out = None
     for kind, cond, value, largest, k in kinds:

@@ -143,18 +143,24 @@ def parse_bulk_map(lines: DataFrame) -> DataFrame:
     return hits.select("file_id", "line_number", "timestamp", a.alias("from_seq"), b.alias("to_seq"), (b - a + 1).alias("rows"), F.when(op == "UNKNOWN", "MERGE").otherwise(op).alias("op"), table_name().alias("table_name"))
 
 
-def parse_full_load(lines: DataFrame) -> DataFrame:
-    """One typed row for each full-load message."""
-    kinds = {k: matches("body", p) for k, (p, _) in P.FULL_LOAD.items()}
-    kind = F.coalesce(*[F.when(c, F.lit(k)) for k, c in kinds.items()])
-    hits = lines.filter(kind.isNotNull()).withColumn("kind", kind)
+#: Where the fields of full-load messages stand in what a message's pattern matched; numbers are read with all quoted names left out.
+FULL_LOAD_NAMES = {"schema": r"(?i)table '([^']+)'\.'", "table": r"(?i)table '[^']+'\.'([^']+)'", "predicate": r"(?i)^Transformation Where\s+'([^']*)'", "task": r"(?i)^Task\s+'([^']+)'", "mode": r"(?i)^Task .*\s+in\s+(.+?)\s+mode$"}
+FULL_LOAD_NUMBERS = {
+    "table_id": r"(?i)(?:\(Id\s*=\s*|^Reloading table\s+)(\d+)", "subtask": r"(?i)subtask\s*#?(\d+)", "seg": r"(?i)(?:segment #|loading segment\s+)(\d+)", "seg_total": r"(?i)segment #\d+\s+of\s+(\d+)\s+of",
+    "rows": r"(?i)(\d+)\s+(?:rows sent|rows received|records transferred)", "skipped": r"(?i)(\d+)\s+rows skipped", "volume": r"(?i)Volume transferred\s+(\d+)",
+}
 
-    def field(name: str, kind_of: str) -> Column:
-        options = [F.when(F.col("kind") == k, found("body", p, names.index(name) + 1)) for k, (p, names) in P.FULL_LOAD.items() if name in names]
-        return F.coalesce(*options).cast(kind_of).alias(name)
 
-    texts = ("schema", "table", "predicate", "task", "mode")
-    return hits.select("file_id", "line_number", "timestamp", "thread_id", "kind", *[field(n, "string") for n in texts], *[field(n, "long") for n in ("table_id", "subtask", "seg", "seg_total", "rows", "skipped", "volume")])
+def parse_full_load(lines: DataFrame) -> DataFrame:
+    """One typed row for each full-load message: its kind by the first pattern that matches, then the fields out of what matched."""
+    every = "|".join(f"(?:{p})" for p, _ in P.FULL_LOAD.values())
+    said = F.coalesce(*[F.when(matches("body", p), F.struct(F.lit(k).alias("kind"), F.regexp_extract("body", p, 0).alias("part"))) for k, (p, _) in P.FULL_LOAD.items()])
+    # a list of one: what later steps ask of the fields stays above it, so that no filter works the patterns out again
+    hits = lines.filter(F.col("body").rlike(every)).select("file_id", "line_number", "timestamp", "thread_id", F.explode(F.array(said)).alias("said"))
+    known = hits.select("file_id", "line_number", "timestamp", "thread_id", "said.kind", "said.part", F.regexp_replace("said.part", "'[^']*'", "''").alias("bare"))
+    numbers = {n: found("bare", p) for n, p in FULL_LOAD_NUMBERS.items()}
+    numbers["subtask"] = F.coalesce(numbers["subtask"], found("part", P.FULL_LOAD["command"][0]))
+    return known.select("file_id", "line_number", "timestamp", "thread_id", "kind", *[found("part", p).alias(n) for n, p in FULL_LOAD_NAMES.items()], *[c.cast("long").alias(n) for n, c in numbers.items()])
 
 
 def parse_file_ops(lines: DataFrame) -> DataFrame:
