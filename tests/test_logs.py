@@ -18,6 +18,7 @@ from replog.operators import issues as I
 from replog.operators import latency as T
 from replog.operators import parse as R
 from replog.operators import redact as D
+from replog.operators import report as RP
 from replog.plans import queries as Q
 from replog.plans import scale as S
 from replog.sources import logs
@@ -295,3 +296,42 @@ def test_small_faults(spark):
 @pytest.mark.parametrize("name", ["plateaus", "redo_read_variance", "batch_inefficiencies", "bulk_map_insights", "file_ops_insights"])
 def test_derived_lines_hold_such_cases(spark, name):
     assert not Q.QUERIES[name](spark, "/root/testdata/sf0.01").isEmpty()
+
+
+def test_report_sections_that_match(spark):
+    text = "# Intro\nnothing\n# Locks\nORA-00054 on orders, lock wait\n# Apply\nlock wait again\n" + "# Long\nlock " + "x" * 900
+    rows = [(1, text, "lock wait on orders", "ORA-00054", None), (2, "plain words", "deadlock", None, None), (3, None, "lock", None, None), (4, "", None, None, None), (5, "a\n\nb lock\n\nc", "lock", None, None), (6, "y" * 900, "none", None, "")]
+    df = spark.createDataFrame(rows, "k long, report string, summary string, error_code string, component string")
+    got = {r.k: (r.score, r.excerpt) for r in RP.match_report_sections(df, ["k"]).collect()}
+    # the best section first; the next fits, the long one does not
+    assert got[1] == (4, "# Locks\nORA-00054 on orders, lock wait\n\n# Apply\nlock wait again")
+    assert got[2] == (0, "plain words") and got[3][1] is None and got[4][1] is None
+    assert got[5] == (1, "b lock") and got[6] == (0, "y" * 800 + "…")
+    assert RP.match_report_sections(df.limit(0), ["k"]).count() == 0
+
+
+def test_latest_reports(spark):
+    rows = [(1, n, f"2025-01-{n + 1:02d} 00:00:00", "m", "t" * 300) for n in range(7)] + [(1, 9, None, "m", "x"), (2, 1, None, None, None)]
+    df = spark.createDataFrame(rows, "file_id long, report_id long, generated_at string, model string, text string").withColumn("generated_at", F.col("generated_at").cast("timestamp"))
+    got = sorted((r.file_id, r["rank"], r.report_id, len(r.preview)) for r in RP.latest_reports(df).collect())
+    assert got == [(1, k, 7 - k, 200) for k in range(1, 6)] + [(2, 1, 1, 0)]
+
+
+def test_values_named_in_lines(spark):
+    bodies = ["Using ODBC driver: Native Client 11.0; more", "Using ODBC driver: Native Client 11.0, again", "Applying INSERT one-by-one for table 'dbo'.'t1'", "Log level of 'SORTER' was changed from 'INFO' to 'TRACE'", "Licensed to Acme Works, all", "one-by-one without a table", None]
+    df = spark.createDataFrame([(1, k, b) for k, b in enumerate(bodies)], "file_id long, line_number long, body string")
+    assert {(r.kind, r.value) for r in RP.named_values(df).collect()} == {("odbc_driver", "Native Client 11.0"), ("one_by_one_table", "dbo.t1"), ("level_change", "SORTER: INFO > TRACE"), ("license", "Acme Works")}
+    assert RP.named_values(df).count() == 4 and RP.named_values(df.limit(0)).count() == 0
+
+
+def test_upload_insights(spark):
+    rows = [(1, 1_000_000, 10.0, 97.7), (1, 100_000, 9.0, 10.9), (1, 50_000, 9.5, 5.1), (1, 90_000, 9.6, 9.2), (2, 100_000, 1.0, 100.0), (2, 100_000, 1.0, 100.0), (2, 100_000, 1.0, 100.0), (2, 100_000, 5.0, 20.0), (3, 0, 0.0, None)]
+    df = spark.createDataFrame(rows, "file_id long, size_bytes long, total_seconds double, throughput_kbps double")
+    got = {(r.file_id, r.title) for r in A.file_ops_insights(df).collect()}
+    assert got == {(1, "a fixed cost prevails over size"), (1, "a fixed overhead for each upload"), (2, "uploads far below the mean rate")}
+
+
+def test_full_text_some(spark):
+    df = spark.createDataFrame([(1, k, b) for k, b in enumerate(["alpha beta", "beta gamma", "gamma", "alpha delta"])], "file_id long, line_number long, body string")
+    find = lambda **x: sorted(r.line_number for r in I.full_text(I.build_token_index(df), **x).collect())
+    assert find(some=["alpha", "gamma"]) == [0, 1, 2, 3] and find(some=["alpha", "gamma"], none=["beta"]) == [2, 3] and find(every=["beta"], some=["gamma"]) == [1]
