@@ -22,7 +22,13 @@ RECOGNIZERS = (
     ("TASK_SERVER_INFO", r"\(V\d+[\w.\-]*.*?PID:\s*\d+\s*\)", 0.9), ("TASK_SERVER_INFO", r"Task Server Log\s*-\s*[A-Za-z0-9_.-]+", 0.65), ("REVISION_HASH", r"Revision:[a-f0-9]{40}", 0.9),
 )
 TAGS = {"IP_ADDRESS": "[IP_ADDRESS]", "EMAIL_ADDRESS": "[EMAIL]", "URL": "[URL]", "PHONE_NUMBER": "[PHONE]", "HOST_AFTER_VERSION": "[HOST]", "CONNECTION_HOST": "[HOST]", "CONNECTION_PASSWORD": "[PASSWORD]", "HOSTNAME": "[HOSTNAME]", "UNC_PATH": "[UNC_PATH]", "CONNECTION_STRING": "[REDACTED]", "LICENSE_INFO": "[COMPANY_NAME]", "WINDOWS_PATH": "[PATH]", "CLOUD_RESOURCE": "[CLOUD_RESOURCE]", "HTTP_PATH": "[REDACTED]", "TASK_SERVER_INFO": "[SERVER_INFO]", "REVISION_HASH": "[REVISION]"}
-DENIED = r"\bHY\d+\b|\bNativeError\b|\bSQLSTATE\b|\bORA-\d+\b|\bSQL\d+\b|^[A-Z_]+\.[A-Z_]+$"
+#: What is never sensitive. Unlike the original, letters must match in case and SCHEMA.TABLE must be all of a span, for else host names and addresses would be kept.
+DENIED = "|".join((
+    r"\bHY\d+\b", r"\bNativeError\b", r"\bSQLSTATE\b", r"\bORA-\d+\b", r"\bSQL\d+\b", r"\bATT-\d+\b",
+    r"\bTarget\s+Load\b", r"\bSource\s+Capture\b", r"\bFull\s+Load\b", r"\bChange\s+Processing\b", r"\bApply\s+Changes\b",
+    r"\b[A-Z][a-z]+Task\b", r"\b[A-Z][a-z]+Manager\b", r"\b[A-Z][a-z]+Handler\b", r"\b[A-Z][a-z]+Processor\b", r"\b[A-Z][a-z]+Service\b",
+    r"^[A-Z_]+\.[A-Z_]+$",
+))
 SPAN = "array<struct<start: int, end: int, kind: string, score: double>>"
 
 

@@ -335,3 +335,9 @@ def test_full_text_some(spark):
     df = spark.createDataFrame([(1, k, b) for k, b in enumerate(["alpha beta", "beta gamma", "gamma", "alpha delta"])], "file_id long, line_number long, body string")
     find = lambda **x: sorted(r.line_number for r in I.full_text(I.build_token_index(df), **x).collect())
     assert find(some=["alpha", "gamma"]) == [0, 1, 2, 3] and find(some=["alpha", "gamma"], none=["beta"]) == [2, 3] and find(every=["beta"], some=["gamma"]) == [1]
+
+
+def test_deny_list(spark):
+    found = ["HY000", "ATT-123", "Full  Load", "SorterTask", "StreamManager", "DBO.ORDERS", "host.example.com", "a@example.com", "10.0.0.1", "https://x.example/StreamManager"]
+    df = spark.createDataFrame([(f,) for f in found], "found string")
+    assert {r.found for r in D.drop_false_positives(df).collect()} == {"host.example.com", "a@example.com", "10.0.0.1"}
