@@ -451,3 +451,4 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("report_matches", lambda s, d: RP.match_report_sections(_talk(s, d), ["conv_id", "turn"]), base=False)
+register("sensitive_pages", lambda s, d: D.drop_false_positives(D.sensitive_rows(table(s, d, "pages"), "url", ["page_id"])), base=False)
