@@ -156,8 +156,7 @@ def stirling(discount: float, size: int = EXACT) -> np.ndarray:
 def sample_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, theta: float, seed: np.ndarray) -> np.ndarray:
     """Tables of dishes with c customers each, by Gibbs: drawn from their distribution given the tables of the restaurant's other dishes and the parent's probability.
 
-    Beyond EXACT customers, they sit down one after another, in runs of one in 64 of those who sit, in each of which the chance of a new table is
-    held and the number of new ones is rounded at random."""
+    Beyond EXACT customers the distribution is narrow: its likeliest number is taken, rounded at random."""
     t = np.minimum(c, 1).astype(np.int64)
     r, logs = uniform(seed), stirling(round(discount, 3))
     for size in np.unique(c[(c > 1) & (c <= EXACT)]):
@@ -170,18 +169,26 @@ def sample_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, discoun
             weight = np.cumsum(np.exp(weight - weight.max(axis=1, keepdims=True)), axis=1)
             t[own] = 1 + (weight < r[own, None] * weight[:, -1:]).sum(axis=1)
     heavy = np.flatnonzero(c > EXACT)
-    if len(heavy):
-        n, o, p, now, sat, step = c[heavy], others[heavy], parent[heavy], np.ones(len(heavy)), np.ones(len(heavy)), 0
-        while (sat < n).any():
-            run = np.minimum(np.maximum(1, sat // 64), n - sat)
-            new = (theta + discount * (o + now)) * p
-            now += np.floor(run * new / (new + sat - discount * now) + uniform(seed[heavy] + np.uint64(step := step + 1)))
-            sat += run
-            now = np.minimum(now, sat)
-        t[heavy] = now.astype(np.int64)
+    t[heavy] = np.floor(likely_tables(c[heavy].astype(np.float64), others[heavy], parent[heavy], discount, theta) + r[heavy])
     return np.minimum(t, c)
 
 
+def likely_tables(c: np.ndarray, others: np.ndarray, parent: np.ndarray, discount: float, theta: float) -> np.ndarray:
+    """The number of tables at the end of the likeliest path of seatings.
+
+    With j seated at t tables, a new table weighs (q + d t) p and an old one j - d t, where q is theta plus the discounts of the other tables. Hamilton's equations of the
+    paths' weight have the closed solution q + d t = A / (1 - u), u / (1 - u) ~ exp(d s), j + q - A ~ exp(s), with u = p at the end; A follows from the begin (one
+    customer, one table) by bisection on e = q + d - A."""
+    q, p = theta + discount * others, np.minimum(parent, 1 - 1e-12)
+    low, high = np.full(len(c), -100.0), np.log(q + discount)
+    for _ in range(80):
+        middle = (low + high) / 2
+        e = np.exp(middle)
+        more = np.log(p / (1 - p)) + np.log(np.maximum(q + discount - e, 1e-300)) - middle > discount * (np.log(c - discount + e) - np.log(1 - discount + e))
+        low, high = np.where(more, middle, low), np.where(more, high, middle)
+    return np.clip(((q + discount - np.exp(low)) / (1 - p) - q) / discount, 1, c)
+
+
 class State(NamedTuple):
     """A seating: tables of pairs and of words; and what the next one of shared words hangs on: other words' tables, discount and base."""
 

@@ -113,15 +113,22 @@ class Items:
 
     @staticmethod
     def ordered(vectors: list[dict[int, int]], some: list[int]) -> list[int]:
-        """Items so that alike ones are near each other: halved again and again by which of two unlike ones each is more like."""
+        """Items so that alike ones are near each other: halved again and again, by which half's sum of weights each is more like."""
         if len(some) <= LEAF_ITEMS:
             return some
-        like = lambda a, b: sum(w * b[t] for t, w in a.items() if t in b) / (1 + math.sqrt(sum(w * w for w in b.values())))
-        first = [like(vectors[k], vectors[some[0]]) for k in some]
-        far = vectors[some[int(np.argmin(first))]]
-        side = np.array(first) - np.array([like(vectors[k], far) for k in some])
-        by = [some[k] for k in np.argsort(side, kind="stable")]
-        half = max(LEAF_ITEMS, (len(by) // 2 + LEAF_ITEMS - 1) // LEAF_ITEMS * LEAF_ITEMS)
+        half = max(LEAF_ITEMS, (len(some) // 2 + LEAF_ITEMS - 1) // LEAF_ITEMS * LEAF_ITEMS)
+        by = some
+        for _ in range(6):
+            sums: list[dict[int, float]] = []
+            for part in (by[:half], by[half:]):
+                total: dict[int, float] = {}
+                for k in part:
+                    for t, w in vectors[k].items():
+                        total[t] = total.get(t, 0.0) + w
+                norm = math.sqrt(sum(w * w for w in total.values())) or 1.0
+                sums.append({t: w / norm for t, w in total.items()})
+            side = [sum(w * (sums[1].get(t, 0.0) - sums[0].get(t, 0.0)) for t, w in vectors[k].items()) for k in some]
+            by = [some[k] for k in np.argsort(side, kind="stable")]
         return Items.ordered(vectors, by[:half]) + Items.ordered(vectors, by[half:])
 
     def node(self, a: int, z: int) -> tuple[int, int, np.ndarray, np.ndarray]:
@@ -140,7 +147,7 @@ class Search:
         self.items, self.k, self.documents, self.words = items, k, documents, words
         self.least = least.copy()  # a document must reach it
         self.found: list[list[tuple]] = [[] for _ in items.ids]
-        self.pairs = self.opened = 0
+        self.scored = 0  # pairs of leaves
 
     def block(self, r: dict) -> None:
         items = self.items
@@ -186,10 +193,9 @@ class Search:
         at, most = at[here], most[here]
         if not len(at):
             return
-        self.pairs += len(nodes)
         bound = tree[depth][nodes[:, None], at] @ most
-        nodes, bound = nodes[bound >= max(1, self.least[a:z].min())], bound[bound >= max(1, self.least[a:z].min())]
-        self.opened += len(nodes)
+        may = bound >= max(1, self.least[a:z].min())
+        nodes, bound = nodes[may], bound[may]
         if not len(nodes):
             return
         deeper, lower = depth + 1 < len(tree), level + 1 < len(self.items.levels)
@@ -214,6 +220,7 @@ class Search:
             if -bound[a] < self.least[first:last].min():
                 break
             few = leaves[a : a + FAN]
+            self.scored += len(few)
             dense = np.zeros((len(few) * LEAF_DOCS, len(at)), self.items.exact)
             for k, x in enumerate(few.tolist()):
                 rows = slice(ends[x], ends[x + 1])
