@@ -4,17 +4,19 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
-from itertools import accumulate
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 from html.parser import HTMLParser
+from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replog.operators.parse import found
-from replog.plans.scale import forward_fill, topk_per_group
+from replog.plans.scale import forward_fill, topk_per_group, written
 
 #: Phrases of a page's frame.
 BOILERPLATE = (r"Was this article helpful\?\s*(Yes|No)?\s*(Yes|No)?", r"Labels:\s*[\w\s,]+(?=\s{2}|$)", r"Tags:\s*[\w\s,]+(?=\s{2}|$)", "Share this article", "Print this article", "Email this article", "Mark as New", "Bookmark", "Subscribe to RSS Feed", "Subscribe", "Mute", "Permalink", "Print", "Report Inappropriate Content")
@@ -160,18 +162,72 @@ def changed_articles(old: DataFrame, new: DataFrame) -> DataFrame:
     return a.join(b, "url", "full_outer").withColumn("change", F.when(F.col("old_hash").isNull(), "new").when(F.col("new_hash").isNull(), "gone").when(F.col("old_hash") == F.col("new_hash"), "same").otherwise("changed"))
 
 
+def _nearest(block: list, k: int, same: Sequence[str], ids: pa.DataType) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The k best vectors that one task has for each query of a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(block[0]["q"])
+        asked = np.array([r["q"] for r in block], np.float64)
+        length = np.sqrt(np.einsum("ij,ij->i", asked, asked))
+        best: list[list[tuple]] = [[] for _ in block]
+        for b in batches:
+            rows = [r for r in b.to_pylist() if r["v"] is not None and len(r["v"]) == width]
+            if not rows:
+                continue
+            v = np.array([[np.nan if x is None else x for x in r["v"]] for r in rows], np.float64)
+            # the same sum for a pair wherever it stands, so that equal vectors are equally near
+            dots, norms = np.einsum("ij,kj->ik", asked, v), np.sqrt(np.einsum("ij,ij->i", v, v))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                near = np.maximum(dots / (length[:, None] * norms), 0.0)
+            near[np.isnan(near)] = -1.0
+            for i, q in enumerate(block):
+                kept = np.flatnonzero((near[i] >= (best[i][-1][0] if len(best[i]) == k else 0.0)) & np.isfinite(near[i]))
+                more = [(float(near[i, j]), rows[j]["id"]) for j in kept.tolist() if rows[j]["id"] is not None and all(q[c] is not None and q[c] == rows[j][c] for c in same)]
+                best[i] = sorted(best[i] + more, key=lambda x: (-x[0], x[1]))[:k]
+        out = [(q["_n"], s, i) for q, found in zip(block, best) for s, i in found]
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out) if out else ((), (), ()), (pa.int32(), pa.float64(), ids))], ["_n", "similarity", "id"])
+
+    return run
+
+
+#: Queries that go over the vectors at once.
+QUERY_BLOCK = 512
+
+
 def vector_topk(queries: DataFrame, vectors: DataFrame, k: int = 5, same: Sequence[str] = ()) -> DataFrame:
     """The k vectors (id, v) nearest to each query (query_id, q) by cosine distance among those with equal metadata; similarity is 1 less the distance, 0 at least.
 
-    Queries are a small set by definition (a file's questions); they meet the vectors by their metadata or, without any, as one block."""
-    keys = list(same) or ["_one"]
-    a, b = (queries, vectors) if same else (queries.withColumn("_one", F.lit(1)), vectors.withColumn("_one", F.lit(1)))
-    dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, p: s + p)
-    # lengths are taken once for each row, before rows meet
-    a = a.withColumn("_qn", F.sqrt(dot(F.col("q"), F.col("q"))))
-    b = b.withColumn("_vn", F.sqrt(dot(F.col("v"), F.col("v"))))
-    similar = F.greatest(F.lit(0.0), F.try_divide(dot(F.col("q"), F.col("v")), F.col("_qn") * F.col("_vn")))
-    return topk_per_group(a.join(b, keys).withColumn("similarity", similar), ["query_id"], [F.desc("similarity"), "id"], k, "rank").select("query_id", "rank", "id", "similarity")
+    Queries go over the vectors in blocks of a fixed number, one reading each. A task keeps the k best of what it reads for each query, so that no more than k rows a task and
+    query are shuffled. Vectors or queries of another width, null, of length 0 or with parts that are not numbers take no part; ties go by id."""
+    spark, out = queries.sparkSession, []
+    asked = queries.select("query_id", F.col("q").cast("array<double>").alias("q"), *same).filter("q is not null and size(q) > 0 and not exists(q, x -> x is null)")
+    numbered = written(asked.withColumn("_at", F.monotonically_increasing_id()))
+    own = vectors.select("id", F.col("v").cast("array<double>").alias("v"), *same)
+    kind, ids = vectors.schema["id"].dataType.simpleString(), vectors.select("id").limit(0).toArrow().schema.field("id").type
+    held: list = []
+    names = spark.createDataFrame([], queries.select("query_id").schema).withColumn("_n", F.lit(0))
+
+    def search() -> None:
+        for width in sorted({len(r["q"]) for r in held}):
+            block = [r | {"_n": n} for n, r in enumerate(held) if len(r["q"]) == width]
+            found = own.mapInArrow(_nearest(block, k, same, ids), f"_n int, similarity double, id {kind}")
+            who = spark.createDataFrame([(r["query_id"], r["_n"]) for r in block], names.schema)
+            out.append(found.join(F.broadcast(who), "_n"))
+        held.clear()
+
+    for r in numbered.orderBy("_at").toLocalIterator():
+        held.append(r.asDict())
+        if len(held) >= QUERY_BLOCK:
+            search()
+    search()
+    every = reduce(DataFrame.unionByName, out) if out else own.limit(0).select(F.lit(0).alias("_n"), F.lit(0.0).alias("similarity"), "id").join(names, "_n")
+    return topk_per_group(every, ["query_id"], [F.desc("similarity"), "id"], k, "rank").select("query_id", "rank", "id", "similarity")
+
+
+def collections_topk(queries: DataFrame, collections: dict[str, DataFrame], k: int = 5, same: Sequence[str] = ()) -> DataFrame:
+    """The 2 k best of what several collections of vectors each have among their k nearest, with the collection's name."""
+    found = [vector_topk(queries, v, k, same).withColumn("collection", F.lit(name)).drop("rank") for name, v in collections.items()]
+    return topk_per_group(reduce(DataFrame.unionByName, found), ["query_id"], [F.desc("similarity"), "collection", "id"], 2 * k, "rank").select("query_id", "rank", "collection", "id", "similarity")
 
 
 def fuse_matches(matches: DataFrame, k: int = 3) -> DataFrame:

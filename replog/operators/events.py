@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from replog.functions import patterns as P
 from replog.operators import parse as R
-from replog.plans.scale import asof_backward, islands, next_value, ordered, pair_events, runs
+from replog.plans.scale import asof_backward, islands, lagged, next_value, ordered, pair_events, runs
 
 FILE, LINE = ["file_id"], "line_number"
 
@@ -22,19 +22,23 @@ def _last(value: Column) -> Column:
     return F.max_by(value, F.when(value.isNotNull(), F.col(LINE)))
 
 
-def _apply_lines(lines: DataFrame) -> DataFrame:
+def _with(split: str | None) -> list[str]:
+    return [split] if split else []
+
+
+def _apply_lines(lines: DataFrame, split: str | None = None) -> DataFrame:
     """Lines of the apply component that batches are made of, with their parts as columns."""
     reason = (F.col("body").contains("Finish Bulk") | F.col("body").contains("Finish bulk") | (F.col("body").contains("same bulk") & (F.col("body").contains("same PK") | F.col("body").contains("changes PK"))))
     a, b = R.found("body", P.RUN_STATEMENT, 2).cast("long"), R.found("body", P.RUN_STATEMENT, 3).cast("long")
     table = F.when(R.matches("body", P.START_APPLYING), F.concat(R.found("body", P.START_APPLYING, 3), F.lit("."), R.found("body", P.START_APPLYING, 4)))
     own = lines.filter((F.col("component") == "TARGET_APPLY") & F.col("body").rlike(r"(?i)bulk|Going to run|Start applying"))
-    cols = own.select("file_id", LINE, "timestamp", "body", R.matches("body", P.BATCH_START).alias("starts"), F.col("body").contains("Bulk finished.").alias("ends"), F.when(reason, R.closure_reason()).alias("reason"), (b - a + 1).alias("changes"), table.alias("table_name"))
+    cols = own.select("file_id", LINE, *_with(split), "timestamp", "body", R.matches("body", P.BATCH_START).alias("starts"), F.col("body").contains("Bulk finished.").alias("ends"), F.when(reason, R.closure_reason()).alias("reason"), (b - a + 1).alias("changes"), table.alias("table_name"))
     return cols.filter("starts or ends or reason is not null or changes is not null or table_name is not null")
 
 
-def batches(lines: DataFrame) -> DataFrame:
+def batches(lines: DataFrame, split: str | None = None) -> DataFrame:
     """Apply batches: from a start line to the first end line after it; reasons, changes and tables between count. The last start wins."""
-    marked = islands(_apply_lines(lines), FILE, LINE, F.col("starts")).filter("island > 0")
+    marked = islands(_apply_lines(lines, split), FILE, LINE, F.col("starts"), split=split).filter("island > 0")
     first_end = F.min(F.when(F.col("ends"), F.col(LINE))).over(W.partitionBy("file_id", "island"))
     own = marked.withColumn("end_line", first_end).filter(F.col(LINE) <= F.col("end_line"))
     out = own.groupBy("file_id", "island").agg(
@@ -66,10 +70,10 @@ def script_batches(lines: DataFrame) -> DataFrame:
     return out.withColumn("duration_seconds", seconds(F.col("end_timestamp"), F.lag("end_timestamp").over(ordered(FILE, [LINE])))).drop("island")
 
 
-def table_apply_pairs(lines: DataFrame) -> DataFrame:
+def table_apply_pairs(lines: DataFrame, split: str | None = None) -> DataFrame:
     """Finished applies with the start before of the same table, and the seconds between."""
-    own = R.parse_apply(lines).filter("kind in ('start', 'finish') and timestamp is not null")
-    pairs = pair_events(own, ["file_id", "table_name"], LINE, F.col("kind") == "start", [LINE, "timestamp", "op", "n"])
+    own = R.parse_apply(lines, *_with(split)).filter("kind in ('start', 'finish') and timestamp is not null")
+    pairs = pair_events(own, ["file_id", "table_name"], LINE, F.col("kind") == "start", [LINE, "timestamp", "op", "n"], split)
     return pairs.select("file_id", "table_name", F.col(f"open_{LINE}").alias("start_line"), F.col(LINE).alias("finish_line"), F.col("open_op").alias("op"), F.col("n").alias("events"), seconds(F.col("timestamp"), F.col("open_timestamp")).alias("duration_seconds"))
 
 
@@ -86,9 +90,9 @@ def table_stats(lines: DataFrame) -> DataFrame:
     )
 
 
-def redo_sessions(lines: DataFrame) -> DataFrame:
+def redo_sessions(lines: DataFrame, split: str | None = None) -> DataFrame:
     """Redo logs from opening to closing, by path; the thread is the message's, else the opening line's, else the closing one's."""
-    pairs = pair_events(R.parse_redo(lines), ["file_id", "redo_path"], LINE, F.col("opens"), [LINE, "timestamp", "thread_id", "thread_in_message"])
+    pairs = pair_events(R.parse_redo(lines, *_with(split)), ["file_id", "redo_path"], LINE, F.col("opens"), [LINE, "timestamp", "thread_id", "thread_in_message"], split)
     out = pairs.select("file_id", F.coalesce("open_thread_in_message", "open_thread_id", "thread_id").alias("thread_id"), "redo_path", F.col(f"open_{LINE}").alias("line_open"), F.col(LINE).alias("line_close"), F.col("open_timestamp").alias("timestamp_open"), F.col("timestamp").alias("timestamp_close"), seconds(F.col("timestamp"), F.col("open_timestamp")).alias("duration_seconds"))
     return out.filter("duration_seconds >= 0")
 
@@ -135,15 +139,15 @@ def file_operations(lines: DataFrame, simple: bool = False) -> DataFrame:
     return out.withColumn("compress_seconds", compress).select("file_id", LINE, F.col("name").alias("file_name"), "size_bytes", "compress_seconds", (F.col("total_seconds") - F.col("compress_seconds")).alias("upload_seconds"), "total_seconds", "throughput_kbps")
 
 
-def one_by_one_intervals(lines: DataFrame, strict_end: bool = False) -> DataFrame:
+def one_by_one_intervals(lines: DataFrame, strict_end: bool = False, split: str | None = None) -> DataFrame:
     """From a switch to one-by-one to the switch back: table, times and failed executions between. With strict_end the closing line must name both modes."""
     low = F.lower(F.col("body"))
     starts, back = R.matches("body", P.ONE_BY_ONE), low.contains("back to bulk")
     if strict_end:
         back = back & low.contains("one-by-one")
     fails = low.contains("failed to execute")
-    own = lines.filter(starts | back | fails).select("file_id", LINE, "timestamp", starts.alias("starts"), back.alias("back"), fails.alias("fails"), F.coalesce(R.table_name(), R.found("body", P.ONE_BY_ONE)).alias("table_name"))
-    marked = islands(own, FILE, LINE, F.col("starts")).filter("island > 0")
+    own = lines.filter(starts | back | fails).select("file_id", LINE, *_with(split), "timestamp", starts.alias("starts"), back.alias("back"), fails.alias("fails"), F.coalesce(R.table_name(), R.found("body", P.ONE_BY_ONE)).alias("table_name"))
+    marked = islands(own, FILE, LINE, F.col("starts"), split=split).filter("island > 0")
     end = F.min(F.when(F.col("back"), F.col(LINE))).over(W.partitionBy("file_id", "island"))
     inside = marked.withColumn("end_line", end).filter("end_line is not null").filter(F.col(LINE) <= F.col("end_line"))
     return inside.groupBy("file_id", "island").agg(F.min_by("table_name", LINE).alias("table_name"), F.min(LINE).alias("start_line"), F.max("end_line").alias("end_line"), F.min_by("timestamp", LINE).alias("start_timestamp"), F.max_by("timestamp", LINE).alias("end_timestamp"), F.count_if("fails").alias("failed")).drop("island")
@@ -174,10 +178,11 @@ def statement_target(lines: DataFrame) -> DataFrame:
     return following.select("file_id", LINE, F.upper(R.found("sql", r"(?i)\b(INSERT|UPDATE|DELETE|MERGE)\b")).alias("verb"), R.found("sql", r"(?i)(?:INTO|UPDATE|FROM)\s+([\[\]\w.\"`]+)").alias("target"))
 
 
-def time_gaps(lines: DataFrame) -> DataFrame:
+def time_gaps(lines: DataFrame, split: str | None = None) -> DataFrame:
     """Seconds since the timed line before, with a class at 1 and 10 seconds."""
-    gap = seconds(F.col("timestamp"), F.lag("timestamp").over(ordered(FILE, [LINE])))
-    out = lines.filter("timestamp is not null").select("file_id", LINE, "timestamp", gap.alias("gap_seconds"))
+    timed = lines.filter("timestamp is not null").select("file_id", LINE, *_with(split), "timestamp")
+    out = lagged(timed, FILE, LINE, {"_t": F.col("timestamp")}, split)
+    out = out.select("file_id", LINE, "timestamp", seconds(F.col("timestamp"), F.col("_t")).alias("gap_seconds"))
     return out.withColumn("gap_class", F.when(F.col("gap_seconds") >= 10, "large").when(F.col("gap_seconds") >= 1, "medium").when(F.col("gap_seconds").isNotNull(), "small"))
 
 
@@ -189,13 +194,18 @@ def thread_activity(lines: DataFrame, component: str, thread: str | None = None)
     return own.select("file_id", LINE, "thread_id", "timestamp", gap.alias("gap_seconds")).withColumn("gap_class", F.when(F.col("gap_seconds") >= 5, "large").when(F.col("gap_seconds") >= 0.5, "medium"))
 
 
-def collapse_noise(lines: DataFrame, min_run: int = 3) -> DataFrame:
-    """Runs of lines with the same message: the first and the last stay, with the number hidden between them."""
-    keyed = runs(lines.withColumn("message_key", R.message_key()), FILE, LINE, F.col("message_key"))
-    w = W.partitionBy("file_id", "run")
-    sized = keyed.withColumns({"_k": F.row_number().over(w.orderBy(LINE)), "_n": F.count("*").over(w)})
-    stay = (F.col("_n") < min_run) | (F.col("_k") == 1) | (F.col("_k") == F.col("_n"))
-    return sized.filter(stay).select("file_id", LINE, "message_key", F.when((F.col("_n") >= min_run) & (F.col("_k") == 1), F.col("_n") - 2).otherwise(0).cast("long").alias("hidden"))
+def collapse_noise(lines: DataFrame, min_run: int = 3, split: str | None = None) -> DataFrame:
+    """Runs of lines with the same message: the first and the last stay, with the number hidden between them. Runs are counted before their lines are looked at, so that one of any length is never in one task."""
+    keyed = runs(lines.select("file_id", LINE, *_with(split), R.message_key().alias("message_key")), FILE, LINE, F.col("message_key"), split=split)
+    sized = keyed.groupBy("file_id", "run").agg(F.count("*").alias("n"), F.min(LINE).alias("first"), F.max(LINE).alias("last"), F.first("message_key").alias("message_key"))
+    ends = sized.select("file_id", F.explode(F.array_distinct(F.array("first", "last"))).alias(LINE), "message_key", F.col("first"), "n")
+    hidden = F.when((F.col("n") >= min_run) & (F.col(LINE) == F.col("first")), F.col("n") - 2).otherwise(0).cast("long")
+    ends = ends.select("file_id", LINE, "message_key", hidden.alias("hidden"))
+    if min_run <= 3:
+        return ends
+    short = sized.filter((F.col("n") > 2) & (F.col("n") < min_run)).select("file_id", "run", "first", "last")
+    between = keyed.join(short, ["file_id", "run"]).filter((F.col(LINE) > F.col("first")) & (F.col(LINE) < F.col("last")))
+    return ends.unionByName(between.select("file_id", LINE, "message_key", F.lit(0).cast("long").alias("hidden")))
 
 
 def connection_events(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -39,25 +39,45 @@ def error_edges(errors: DataFrame, batches: DataFrame) -> DataFrame:
     return out.unionByName(near)
 
 
-def neighbors(edges: DataFrame, anchors: DataFrame, hops: int = 2, k: int = 30) -> DataFrame:
-    """The k best nodes around each anchor (file_id, anchor): a path's score starts with its first edge's weight, and each further hop halves it and takes the edge's weight; a node has its best, with the provenance of that path's last edge. Many anchors go at once.
-
-    Edges without the column provenance count as EXTRACTED, as in the reference."""
+def _adjacency(edges: DataFrame) -> DataFrame:
+    """Edges both ways, one for each pair of nodes: the greatest weight, and that edge's provenance (EXTRACTED first)."""
     own = edges if "provenance" in edges.columns else edges.withColumn("provenance", F.lit("EXTRACTED"))
     own = own.select("file_id", "src", "dst", "weight", "provenance")
     both = own.unionByName(own.select("file_id", F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "provenance"))
-    extracted = lambda: F.coalesce(F.col("provenance") == "EXTRACTED", F.lit(False))
-    both = written(both.groupBy("file_id", "src", "dst").agg(F.max("weight").alias("weight"), F.max_by("provenance", F.struct("weight", extracted())).alias("provenance")))
-    front = anchors.select("file_id", "anchor", F.col("anchor").alias("node"), F.lit(1.0).alias("score"))
-    found = None
+    return both.groupBy("file_id", "src", "dst").agg(F.max("weight").alias("weight"), F.max_by("provenance", F.struct("weight", _extracted())).alias("provenance"))
+
+
+def _extracted() -> Column:
+    return F.coalesce(F.col("provenance") == "EXTRACTED", F.lit(False))
+
+
+def neighbors(edges: DataFrame, anchors: DataFrame, hops: int = 2, k: int = 30) -> DataFrame:
+    """The k best nodes around each anchor (file_id, anchor): a path's score starts with its first edge's weight, and each further hop halves it and takes the edge's weight; a node has its best, with the provenance of that path's last edge. All nodes can be anchors.
+
+    While half of the greatest weight is below 1, a further hop only lowers a score. Then (a) of a node's edges the k + 1 heaviest are all that can matter, for each of the
+    others has k better ones with the same begin; so a hub has k + 1 rows, however many edges it has; and (b) only nodes among an anchor's k best so far can lead to one that
+    belongs there. Each hop is so at most anchors x k x (k + 1) rows, and is written before the next. With heavier edges, or weights below 0, nothing is left out.
+
+    Edges without the column provenance count as EXTRACTED. Equal scores: fewer hops first, then extracted edges; of nodes, in the order of their names."""
+    both = written(_adjacency(edges))
+    least, most = both.agg(F.min("weight"), F.max("weight")).first()
+    falls = least is None or (least >= 0 and most < 2.0)
+    near = written(topk_per_group(both, ["file_id", "src"], [F.desc("weight"), "dst"], k + 1)) if falls else both
+    near = near.select(F.col("file_id").alias("_file"), F.col("src").alias("_src"), F.col("dst").alias("_dst"), F.col("weight").alias("_weight"), F.col("provenance"))
+    order = F.struct("score", -F.col("hop"), _extracted())
+    one = lambda df: df.groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score"), F.max_by("hop", order).alias("hop"), F.max_by("provenance", order).alias("provenance"))
+    front, best = anchors.select("file_id", "anchor", F.col("anchor").alias("node"), F.lit(1.0).alias("score")).distinct(), None
     for hop in range(1, min(hops, 3) + 1):
         decay = 1.0 if hop == 1 else 0.5
-        step = front.join(both, (front.file_id == both.file_id) & (front.node == both.src)).select(front.file_id, "anchor", F.col("dst").alias("node"), (F.col("score") * decay * F.col("weight")).alias("score"), "provenance")
-        reached = step.filter("node <> anchor").groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score"), F.max_by("provenance", F.struct("score", extracted())).alias("provenance")).withColumn("hop", F.lit(hop))
-        found = reached if found is None else found.unionByName(reached)
-        front = reached.select("file_id", "anchor", "node", "score")
-    order = F.struct("score", -F.col("hop"), extracted())
-    best = found.groupBy("file_id", "anchor", "node").agg(F.max("score").alias("score"), F.max_by("hop", order).alias("hop"), F.max_by("provenance", order).alias("provenance"))
+        step = front.join(near, (F.col("file_id") == F.col("_file")) & (F.col("node") == F.col("_src"))).filter("_dst <> anchor")
+        reached = step.select("file_id", "anchor", F.col("_dst").alias("node"), (F.col("score") * decay * F.col("_weight")).alias("score"), F.lit(hop).alias("hop"), "provenance")
+        own = one(reached)
+        best = own if best is None else one(best.unionByName(own))
+        if falls:
+            best = topk_per_group(best, ["file_id", "anchor"], [F.desc("score"), "node"], k)
+        best = written(best)
+        front = best.filter(F.col("hop") == hop) if falls else written(own)
+        front = front.select("file_id", "anchor", "node", "score")
     return topk_per_group(best, ["file_id", "anchor"], [F.desc("score"), "node"], k, "rank")
 
 

@@ -83,11 +83,11 @@ def parse_redo_read(lines: DataFrame, slower_than: float = 200, any_component: b
     return out.filter(F.col("read_ms") > slower_than)
 
 
-def parse_redo(lines: DataFrame) -> DataFrame:
-    """Openings and closings of redo logs."""
+def parse_redo(lines: DataFrame, *more: str) -> DataFrame:
+    """Openings and closings of redo logs, with more columns of the lines."""
     path = F.coalesce(found("body", P.REDO_OPEN), found("body", P.REDO_CLOSE))
     opens = matches("body", P.REDO_OPEN)
-    return lines.filter((F.col("component") == "SOURCE_CAPTURE") & F.col("timestamp").isNotNull()).select("file_id", "line_number", "timestamp", "thread_id", opens.alias("opens"), path.alias("redo_path"), F.when(opens, found("body", P.REDO_THREAD)).alias("thread_in_message")).filter("redo_path is not null")
+    return lines.filter((F.col("component") == "SOURCE_CAPTURE") & F.col("timestamp").isNotNull()).select("file_id", "line_number", *more, "timestamp", "thread_id", opens.alias("opens"), path.alias("redo_path"), F.when(opens, found("body", P.REDO_THREAD)).alias("thread_in_message")).filter("redo_path is not null")
 
 
 def table_name(col: str = "body") -> Column:
@@ -122,14 +122,14 @@ def closure_reason_script(col: str = "body") -> Column:
     return F.when(closure_reason(col) == "Normal", "!!!").otherwise(closure_reason(col))
 
 
-def parse_apply(lines: DataFrame) -> DataFrame:
-    """Start-applying, finished-applying and run-statement events of the apply component."""
+def parse_apply(lines: DataFrame, *more: str) -> DataFrame:
+    """Start-applying, finished-applying and run-statement events of the apply component, with more columns of the lines."""
     kind = F.when(matches("body", P.START_APPLYING), "start").when(matches("body", P.FINISHED_APPLYING), "finish").when(matches("body", P.RUN_STATEMENT), "run")
     number = lambda p, k: found("body", p, k).cast("long")
     name = lambda p: F.when(matches("body", p), F.concat(found("body", p, 3), F.lit("."), found("body", p, 4)))
     hits = lines.filter((F.col("component") == "TARGET_APPLY") & kind.isNotNull())
     return hits.select(
-        "file_id", "line_number", "timestamp", "thread_id", kind.alias("kind"),
+        "file_id", "line_number", *more, "timestamp", "thread_id", kind.alias("kind"),
         F.upper(F.coalesce(found("body", P.START_APPLYING, 1), found("body", P.FINISHED_APPLYING, 2), found("body", P.RUN_STATEMENT, 1))).alias("op"),
         F.coalesce(number(P.START_APPLYING, 2), number(P.FINISHED_APPLYING, 1)).alias("n"), F.coalesce(name(P.START_APPLYING), name(P.FINISHED_APPLYING)).alias("table_name"),
         number(P.RUN_STATEMENT, 2).alias("from_seq"), number(P.RUN_STATEMENT, 3).alias("to_seq"),

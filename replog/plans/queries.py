@@ -199,7 +199,7 @@ over_lines("preflight", lambda ln: I.preflight(ln, {"performance": R.parse_laten
 over_lines("retrieval_query", errors(I.retrieval_query))
 over_lines("cooccurring_errors", errors(G.cooccurring_errors), "SELECT a.file_id, a.line_number AS a, b.line_number AS b, CASE WHEN a.component = b.component THEN 'component' WHEN a.error_code = b.error_code THEN 'code' ELSE 'thread' END AS why, round(greatest(0.2, 1 - (b.line_number - a.line_number) / 50.0), 6) AS weight FROM errors a JOIN errors b ON a.file_id = b.file_id AND b.line_number - a.line_number BETWEEN 1 AND 50 AND (a.component = b.component OR a.error_code = b.error_code OR a.thread_id = b.thread_id)")
 over_lines("error_edges", lambda ln: G.error_edges(R.error_lines(ln), E.batches(ln)).groupBy("file_id", "edge_type", "provenance").agg(F.count("*").alias("n"), F.sum("weight").alias("weight")))
-over_lines("neighbors", lambda ln: G.rank_neighbors(G.neighbors(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln)), S.register_files(ln)))
+over_lines("neighbors", lambda ln: _neighbors(ln, first_errors))
 over_lines("preset_pattern_hits", lambda ln: R.preset_pattern_hits(ln, {"ora": P.ORA, "busy": "(?i)busy", "redo": "(?i)redo log"}), "SELECT file_id, label, count(*) AS hits FROM (" + " UNION ALL ".join(f"SELECT file_id, '{k}' AS label FROM lines WHERE {has(p)}" for k, p in (("ora", P.ORA), ("busy", "(?i)busy"), ("redo", "(?i)redo log"))) + ") GROUP BY ALL")
 over_lines("task_config", R.task_config)
 
@@ -256,7 +256,6 @@ over_lines("latest_errors", errors(I.latest_errors), f"SELECT file_id, line_numb
 over_lines("latency_series", perf(L.latency_series), f"SELECT file_id, line_number, {TIME('timestamp')}, source_latency, target_latency, handling_latency FROM perf")
 over_lines("filter_batches", batches(lambda b: I.filter_batches(b, ["TIM", "TMO"]).select("file_id", "line_number", "closure_reason")), "SELECT file_id, line_number, closure_reason FROM timed WHERE closure_reason IN ('TIM', 'TMO')")
 over_lines("error_mentions", errors(lambda e: I.error_mentions(e, e)))
-over_lines("related_context", lambda ln: G.related_context(G.error_edges(R.error_lines(ln), E.batches(ln)), first_errors(ln), R.error_lines(ln)))
 over_lines("invalid_line_citations", lambda ln: K.invalid_line_citations(ln.filter(F.col("body").rlike("(?i)ora-")).select("file_id", F.concat(F.lit("LINE "), F.col("line_number") + 1).alias("text")), R.error_lines(ln)), "SELECT file_id, line_number FROM lines WHERE regexp_matches(body, '(?i)ora-') AND NOT EXISTS (SELECT 1 FROM errors e WHERE e.file_id = lines.file_id AND e.line_number = lines.line_number)")
 register("sensitive_rows", lambda s, d: D.drop_false_positives(D.sensitive_rows(table(s, d, "conversations").withColumn("key", F.concat_ws(":", "conv_id", "turn")), "text", ["key"])))
 register("redact_nested", lambda s, d: D.redact_nested(table(s, d, "conversations").select("conv_id", "turn", F.struct("role", F.array("text").alias("texts")).alias("m"))).select("conv_id", "turn", F.col("m.role").alias("role"), F.col("m.texts")[0].alias("text")))
@@ -452,3 +451,81 @@ def _talk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("report_matches", lambda s, d: RP.match_report_sections(_talk(s, d), ["conv_id", "turn"]), base=False)
 register("sensitive_pages", lambda s, d: D.drop_false_positives(D.sensitive_rows(table(s, d, "pages"), "url", ["page_id"])), base=False)
+
+
+def split_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The derived lines with the number of their split of a file, as read_logs has it, filled over splits."""
+    return R.fill_continuations(R.parse_prefix(raw_lines(spark, sf_dir).withColumn("split", F.floor(F.col("line_number") / 4096))), split="split")
+
+
+def split_loads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return R.fill_continuations(R.parse_prefix(load_lines(spark, sf_dir).withColumn("split", F.floor(F.col("line_number") / 4096))), split="split")
+
+
+# the same answers without a window over a whole file
+for _name, _make in (("batches", E.batches), ("table_apply_pairs", E.table_apply_pairs), ("redo_sessions", E.redo_sessions), ("collapse_noise", E.collapse_noise), ("time_gaps", E.time_gaps)):
+    QUERIES[f"{_name}_by_split"] = lambda s, d, f=_make: plain(f(split_lines(s, d), split="split"))
+    ORACLES[f"{_name}_by_split"] = ORACLES[_name]
+QUERIES["one_by_one_intervals_by_split"] = lambda s, d: plain(E.one_by_one_intervals(split_loads(s, d), split="split"))
+ORACLES["one_by_one_intervals_by_split"] = ORACLES["one_by_one_intervals"]
+
+#: Neighbours by joins of whole tables, hop by hop, with nothing left out.
+_EDGES = f"""edge AS (SELECT file_id, 'error:' || line_number AS src, 'component:' || component AS dst, 1.0 AS weight, 'EXTRACTED' AS provenance FROM errors WHERE component IS NOT NULL
+  UNION ALL SELECT file_id, 'error:' || line_number, 'thread:' || thread_id, 0.5, 'EXTRACTED' FROM errors WHERE thread_id IS NOT NULL
+  UNION ALL SELECT file_id, 'error:' || line_number, 'code:' || error_code, 1.5, 'EXTRACTED' FROM errors WHERE error_code IS NOT NULL
+  UNION ALL SELECT DISTINCT w.file_id, 'error:' || w.line_number, 'batch:' || t.b, 0.8, 'EXTRACTED' FROM (SELECT file_id, line_number, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS word FROM errors) w
+    JOIN (SELECT file_id, line_number AS b, lower(regexp_extract(unnest(tabs), '([^.]+)$', 1)) AS word FROM timed WHERE start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL) t ON w.file_id = t.file_id AND w.word = t.word WHERE t.word <> ''
+  UNION ALL SELECT file_id, 'error:' || a, 'error:' || b, CAST(weight AS DOUBLE), 'INFERRED' FROM ({ORACLES["cooccurring_errors"].removeprefix(BASE)})),
+near AS (SELECT file_id, src, dst, max(weight) AS weight, arg_max(provenance, {{'w': weight, 'e': provenance = 'EXTRACTED'}}) AS provenance
+  FROM (SELECT file_id, src, dst, weight, provenance FROM edge UNION ALL SELECT file_id, dst, src, weight, provenance FROM edge) GROUP BY ALL)"""
+_NEIGHBORS = f"""{BASE}, {_EDGES}, anchor AS (ANCHORS),
+hop1 AS (SELECT a.file_id, anchor, dst AS node, weight AS score, 1 AS hop, provenance FROM anchor a JOIN near n ON a.file_id = n.file_id AND a.anchor = n.src WHERE dst <> anchor),
+hop2 AS (SELECT h.file_id, anchor, dst AS node, max(score * 0.5 * weight) AS score, 2 AS hop, arg_max(n.provenance, {{'s': score * 0.5 * weight, 'e': n.provenance = 'EXTRACTED'}}) AS provenance
+  FROM hop1 h JOIN near n ON h.file_id = n.file_id AND h.node = n.src WHERE dst <> anchor GROUP BY ALL),
+best AS (SELECT file_id, anchor, node, max({{'s': score, 'h': -hop, 'e': provenance = 'EXTRACTED', 'p': provenance}}) AS b FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2) GROUP BY ALL),
+found AS (SELECT *, row_number() OVER (PARTITION BY file_id, anchor ORDER BY b.s DESC, node) AS rank FROM best)
+SELECT f.file_id, anchor, node, round(b.s, 6) AS score, CAST(-b.h AS BIGINT) AS hop, b.p AS provenance, rank,
+  round(b.s / (1 - 0.5 * b.h) * CASE WHEN b.e THEN 1.2 ELSE 1.0 END * CASE WHEN starts_with(node, 'error:') AND starts_with(anchor, 'error:')
+    THEN greatest(0.2, 1 - abs(CAST(substr(node, 7) AS BIGINT) - CAST(substr(anchor, 7) AS BIGINT)) / n) ELSE 1.0 END, 6) AS final
+FROM found f JOIN (SELECT file_id, max(line_number) + 1 AS n FROM lines GROUP BY file_id) c ON f.file_id = c.file_id WHERE rank <= 30"""
+ORACLES["neighbors"] = _NEIGHBORS.replace("ANCHORS", "SELECT file_id, 'error:' || min(line_number) AS anchor FROM errors GROUP BY file_id, component")
+
+
+
+
+def _neighbors(ln: DataFrame, anchors: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Neighbours of the anchors that are chosen from the lines; lines and errors are parsed once."""
+    own = written(ln)
+    errors = written(R.error_lines(own))
+    return G.rank_neighbors(G.neighbors(G.error_edges(errors, E.batches(own)), anchors(own)), S.register_files(own))
+
+
+def every_error(ln: DataFrame) -> DataFrame:
+    return R.error_lines(ln).select("file_id", F.concat(F.lit("error:"), F.col("line_number").cast("string")).alias("anchor"))
+
+
+def _context(ln: DataFrame) -> DataFrame:
+    own = written(ln)
+    errors = written(R.error_lines(own))
+    return G.related_context(G.error_edges(errors, E.batches(own)), first_errors(own), errors)
+
+
+over_lines("neighbors_of_all", lambda ln: _neighbors(ln, every_error))
+ORACLES["neighbors_of_all"] = _NEIGHBORS.replace("ANCHORS", "SELECT DISTINCT file_id, 'error:' || line_number AS anchor FROM errors")
+over_lines("related_context", _context)
+ORACLES["related_context"] = (
+    f"SELECT n.file_id, anchor, node, score, hop, provenance, n.rank, regexp_extract(node, '^(\\w+):', 1) AS kind, regexp_extract(node, '^\\w+:(.*)$', 1) AS label, text, error_code, count(*) OVER (PARTITION BY n.file_id, anchor) < 2 AS weak "
+    f"FROM ({ORACLES['neighbors']}) n LEFT JOIN ({BASE} SELECT file_id, 'error:' || line_number AS error, text, error_code FROM errors) e ON n.file_id = e.file_id AND n.node = e.error"
+)
+
+
+def _collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    asked = own.filter("id % 100 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("q"))
+    return K.collections_topk(asked, {"even": own.filter("id % 2 = 0"), "odd": own.filter("id % 2 = 1")}, 3)
+
+
+_NEAR = "greatest(0.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])))"
+register("collections_topk", _collections, f"""SELECT query_id, rank, collection, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, collection, id) AS rank FROM (
+  SELECT a.vec_id AS query_id, CASE WHEN b.vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, b.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY a.vec_id, b.vec_id % 2 ORDER BY {_NEAR} DESC, b.vec_id) AS own
+  FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0) WHERE own <= 3) WHERE rank <= 6""", base=False)
