@@ -117,14 +117,39 @@ def parse_fix_entries(notes: DataFrame, col: str = "text") -> DataFrame:
     return topk_per_group(out, ["fix_id"], ["version"], 1)
 
 
+#: Titles that open a section on the end of support and those that close it, and words that keep a short line of plain text from being a title.
+EOL_OPENS, EOL_OTHER = r"no longer supported|has been discontinued|\bend of support\b", r"end of life.*support features|support features.*end of life|end of support features"
+EOL_CLOSES, EOL_PLAIN_CLOSES = r"^(newly supported|resolved issues|what'?s new|known issues|downloads)\b", r"^(newly supported|resolved issues|known issues|what'?s new|downloads|migration and upgrade)\b"
+EOL_KEEPS = "discontinued|deprecated|support for|minimum|xml configuration"
+
+
 def parse_eol_entries(notes: DataFrame, col: str = "text", most: int = 50) -> DataFrame:
-    """Bullets below headings about the end of support, most for each section."""
-    rows = notes.select("version", F.posexplode(F.split(col, "\n")).alias("at", "line"))
-    heading = F.col("line").rlike(r"^\s*#+\s") | F.col("line").rlike(r"(?i)^(end of (life|support)|deprecat|newly supported|resolved issues).*")
-    marked = rows.withColumn("section", F.when(heading, F.trim(F.regexp_replace("line", r"^\s*#+\s*", ""))))
-    filled = forward_fill(marked, ["version"], "at", ["section"])
-    bullets = filled.filter(F.col("section").rlike(r"(?i)end of (life|support)|discontinu|no longer supported") & F.col("line").rlike(r"^\s*[-*•]\s+"))
-    return topk_per_group(bullets, ["version", "section"], ["at"], most).select("version", "section", "at", F.trim(F.regexp_replace("line", r"^\s*[-*•]\s+", "")).alias("entry"))
+    """Lines of the sections on the end of support, the first `most` of each; version, section (its number in the text), at (line) and entry.
+
+    A text with Markdown headings: a section ends at a heading of a higher level than its own or at one of another topic. A text without: it begins at a line that says just
+    `end of support`, ends at another topic's, and short titles in between are passed over."""
+    rows = notes.select("version", F.posexplode(F.split(col, "\n")).alias("at", "raw"), F.col(col).rlike(r"(?m)^\s*#{1,6}\s+\S").alias("marked"))
+    own = rows.withColumns({"line": F.trim("raw"), "body": F.lower(F.trim(F.regexp_replace(F.trim("raw"), r"^#{1,6}\s+", "")))})
+    level = F.when(F.col("marked") & F.col("line").rlike(r"^#{1,6}\s+.+$"), F.length(F.regexp_extract("line", r"^(#{1,6})", 1)))
+    opens = F.when(F.col("marked"), level.isNotNull() & F.col("body").rlike(EOL_OPENS) & ~F.col("body").rlike(EOL_OTHER)).otherwise(F.col("body").rlike(r"^end of support\s*$") & ~F.col("line").startswith("-"))
+    topic = F.when(F.col("marked"), level.isNotNull() & F.col("body").rlike(EOL_CLOSES)).otherwise(F.col("body").rlike(EOL_PLAIN_CLOSES))
+    event = own.withColumns({"level": F.coalesce(level, F.lit(0)), "opens": opens, "topic": topic}).filter("opens or topic or level > 0")
+    # headings of a text are few; what state they leave is worked out over them alone: (open, level, number of the section)
+    state = F.struct(F.lit(False).alias("open"), F.lit(0).alias("level"), F.lit(0).alias("section"), F.lit(-1).alias("at"))
+
+    def step(s: Column, e: Column) -> Column:
+        shuts = s["open"] & (e["topic"] | (e["level"] < s["level"]))
+        still = s["open"] & ~shuts
+        starts = e["opens"] & ~still
+        return F.struct((still | starts).alias("open"), F.when(starts, e["level"]).otherwise(s["level"]).alias("level"), (s["section"] + F.when(starts, 1).otherwise(0)).alias("section"), e["at"].alias("at"))
+
+    heads = event.groupBy("version").agg(F.array_sort(F.collect_list(F.struct("at", "level", "opens", "topic"))).alias("e"))
+    prefix = F.transform(F.sequence(F.lit(1), F.size("e")), lambda n: F.aggregate(F.slice("e", F.lit(1), n), state, step))
+    marks = heads.select("version", F.explode(prefix).alias("s")).select("version", F.col("s.at").alias("at"), F.when(F.col("s.open"), F.col("s.section")).otherwise(0).alias("section"), F.lit(True).alias("head"))
+    filled = forward_fill(own.join(marks, ["version", "at"], "left"), ["version"], "at", ["section"])
+    title = ~F.col("marked") & ~F.col("line").rlike(r"^[-*]") & (F.length("line") < 72) & ~F.col("line").contains(".") & ~F.lower("line").rlike(EOL_KEEPS) & (F.size(F.split("line", r"\s+")) <= 8)
+    kept = filled.filter((F.col("section") > 0) & F.col("head").isNull() & (F.length("line") > 3) & ~title)
+    return topk_per_group(kept, ["version", "section"], ["at"], most).select("version", "section", "at", F.col("line").alias("entry"))
 
 
 def endpoint_types(notes: DataFrame, names: Sequence[str], col: str = "text") -> DataFrame:
@@ -139,13 +164,80 @@ def version_key(col: str) -> Column:
     return found(col, r"(20\d{2})").cast("int") * 100 + month
 
 
+#: Components that are any endpoint's.
+GENERIC = ("server", "engine", "sorter", "log stream", "security", "batch optimized apply", "common", "general", "setup")
+
+
+def contains_pairs(texts: DataFrame, needles: DataFrame) -> DataFrame:
+    """(text, needle) where a distinct text contains a distinct needle (columns text and needle; neither null nor empty).
+
+    They meet by a needle's first three characters (or all, if it has fewer) and those that stand at any place of a text; then the whole is looked for."""
+    own = texts.select("text").filter("text <> ''").distinct()
+    place = own.select("text", F.explode(F.sequence(F.lit(1), F.length("text"))).alias("p"))
+    grams = place.select("text", F.explode(F.array(*[F.substring(F.col("text"), F.col("p"), F.lit(n)) for n in (1, 2, 3)])).alias("gram")).distinct()
+    first = needles.select("needle").filter("needle <> ''").distinct().withColumn("gram", F.substring("needle", 1, 3))
+    return grams.join(first, "gram").filter(F.contains("text", F.col("needle"))).select("text", "needle").distinct()
+
+
+def endpoint_matches(texts: DataFrame, endpoints: DataFrame) -> DataFrame:
+    """(endpoint, text) of lower-case texts (text) that name an endpoint (endpoint), whole or by one of its words of more than three letters."""
+    keys = endpoints.select(F.lower("endpoint").alias("endpoint")).filter("endpoint <> ''").distinct()
+    parts = F.array_union(F.array("endpoint"), F.filter(F.split("endpoint", r"\s+"), lambda p: F.length(p) > 3))
+    needles = keys.select("endpoint", F.explode(parts).alias("needle"))
+    return contains_pairs(texts, needles).join(needles, "needle").select("endpoint", "text").distinct()
+
+
+def _since(rows: DataFrame, files: DataFrame, name: str, order: list, k: int) -> DataFrame:
+    """The first k of rows (endpoint, name, key, ...) for each distinct endpoint and month (own) of files: those of its month, of later ones and without a month; each name once, by its
+    first row in order. Rows that an earlier one of the same name hides from a month are known by the months between which they count."""
+    w = W.partitionBy("endpoint", name)
+    # hidden from months up to that of the row before; an undated one hides all later ones
+    before = F.lag(F.coalesce("key", F.lit(-1))).over(w.orderBy(F.asc_nulls_first("key"), *order))
+    undated = F.max(F.col("key").isNull()).over(w) & F.col("key").isNotNull()
+    shown = rows.withColumn("_before", F.when(undated, -1).otherwise(before))
+    pairs = files.select("own", F.col("endpoint").alias("_e")).distinct()
+    met = pairs.join(shown, F.col("_e") == F.col("endpoint")).drop("_e")
+    counts = F.col("key").isNull() & F.col("_before").isNull() | (F.col("own").isNull() & F.col("_before").isNull()) | ((F.col("key") >= F.col("own")) & (F.col("_before").isNull() | ((F.col("_before") >= 0) & (F.col("_before") < F.col("own")))))
+    return topk_per_group(met.filter(counts).drop("_before"), ["own", "endpoint"], [F.asc_nulls_first("key"), *order], k)
+
+
+def _file_keys(files: DataFrame) -> DataFrame:
+    """file_id, own (its version's month) and endpoint in lower case, `*` without one."""
+    return files.select("file_id", version_key("version").alias("own"), F.coalesce(F.nullif(F.trim(F.lower("endpoint")), F.lit("")), F.lit("*")).alias("endpoint"))
+
+
 def relevant_fixes(fixes: DataFrame, files: DataFrame, k: int = 30) -> DataFrame:
-    """Fixes of the file's version and later ones (and of versions that are not months), first those for its endpoint."""
-    own = files.select("file_id", version_key("version").alias("own"), F.lower("endpoint").alias("endpoint"))
-    f = fixes.withColumn("key", version_key("version"))
-    joined = f.join(F.broadcast(own), F.col("key").isNull() | F.col("own").isNull() | (F.col("key") >= F.col("own")))
-    specific = F.coalesce(F.contains(F.lower(F.concat_ws(" ", "component", "description")), F.col("endpoint")), F.lit(False))
-    return topk_per_group(joined.withColumns({"specific": specific, "future": F.col("key") > F.col("own")}), ["file_id"], [F.desc("specific"), F.desc("key"), "fix_id"], k, "rank")
+    """The first k fixes (fix_id, version, component, ...) for each file (file_id, version, endpoint): of its version and later ones, the oldest first; those of versions that are not months come before.
+
+    Of a file with an endpoint, only fixes whose component names it (specific), or is one of those that are any endpoint's. A fix counts once, with its first version that
+    is not older than the file's. future says that it came after the file's version. Files ask by endpoint and month, of which there are few; no file meets all fixes."""
+    keys = _file_keys(files)
+    named = fixes.withColumns({"key": version_key("version"), "_comp": F.lower(F.coalesce("component", F.lit("")))})
+    match = endpoint_matches(named.select(F.col("_comp").alias("text")).filter(~F.col("_comp").isin(*GENERIC)), keys.select("endpoint").filter("endpoint <> '*'"))
+    specific = named.join(match, F.col("_comp") == F.col("text")).drop("text").withColumn("specific", F.lit(True))
+    general = named.withColumns({"endpoint": F.lit("*"), "specific": F.lit(False)})
+    shared = named.filter(F.col("_comp").isin(*GENERIC)).withColumns({"endpoint": F.lit("?"), "specific": F.lit(False)})
+    rows = specific.unionByName(general).unionByName(shared).drop("_comp")
+    asked = keys.unionByName(keys.filter("endpoint <> '*'").withColumn("endpoint", F.lit("?"))).withColumnRenamed("endpoint", "_list")
+    lists = _since(rows, asked.withColumnRenamed("_list", "endpoint"), "fix_id", ["fix_id", "version"], k).withColumnsRenamed({"own": "_own", "endpoint": "_endpoint"})
+    met = asked.join(lists, F.col("own").eqNullSafe(F.col("_own")) & (F.col("_list") == F.col("_endpoint"))).drop("_own", "_endpoint")
+    # a fix that both lists have, with two components, counts once: as one of the endpoint's own
+    once = topk_per_group(met, ["file_id", "fix_id"], [F.desc("specific"), F.asc_nulls_first("key")], 1)
+    out = topk_per_group(once, ["file_id"], [F.asc_nulls_first("key"), "fix_id"], k, "rank")
+    return out.withColumn("future", F.coalesce(F.col("key") > F.col("own"), F.lit(False))).drop("_list", "own")
+
+
+def relevant_eol(entries: DataFrame, files: DataFrame, k: int = 10) -> DataFrame:
+    """The first k entries on the end of support (version, section, at, entry) for each file: of its version and later ones, the oldest first, once for each first 80 characters; of a file with an
+    endpoint, those that name it."""
+    keys = _file_keys(files)
+    e = entries.withColumns({"key": version_key("version"), "head": F.substring(F.trim("entry"), 1, 80), "_low": F.lower("entry")})
+    match = endpoint_matches(e.select(F.col("_low").alias("text")), keys.select("endpoint").filter("endpoint <> '*'"))
+    rows = e.join(match, F.col("_low") == F.col("text")).drop("text").unionByName(e.withColumn("endpoint", F.lit("*"))).drop("_low")
+    lists = _since(rows, keys, "head", ["version", "section", "at"], k).withColumnsRenamed({"own": "_own", "endpoint": "_endpoint"})
+    ranked = lists.withColumn("rank", F.row_number().over(W.partitionBy("_own", "_endpoint").orderBy(F.asc_nulls_first("key"), "version", "section", "at")))
+    met = keys.join(ranked, F.col("own").eqNullSafe(F.col("_own")) & (F.col("endpoint") == F.col("_endpoint")))
+    return met.select("file_id", "rank", "version", "entry")
 
 
 def fix_notes_by_version(fixes: DataFrame) -> DataFrame:
@@ -303,12 +395,23 @@ def tuning_params(endpoints: DataFrame, params: DataFrame, names: Sequence[str],
     return topk_per_group(chain.join(own, "ancestor"), ["endpoint", "name"], ["depth"], 1).select("endpoint", "name", "value", "depth")
 
 
+#: Releases that go by numbers.
+TRAINS = r"\b(6\.[456]|5\.5)\b"
+
+
 def support_status(files: DataFrame, schedule: DataFrame, as_of: str) -> DataFrame:
-    """Each file's row of the support schedule (release, end_date): the same month and year, else a release that its hint contains; and whether support has ended."""
-    j = files.join(F.broadcast(schedule), F.lower(F.col("release_hint")) == F.lower(F.col("release")), "left").withColumn("rank", F.lit(0)).filter("release is not null")
-    k = files.join(F.broadcast(schedule), F.contains(F.lower(F.col("release_hint")), F.lower(F.col("release")))).withColumn("rank", F.lit(1))
-    best = topk_per_group(j.unionByName(k), ["file_id"], ["rank", "release"], 1)
-    return best.withColumn("out_of_support", F.lit(as_of).cast("date") > F.col("end_date"))
+    """Each file's row of the support schedule (release, end_date): that of the same month and year, else of the same numbered train, else one whose text contains the hint or is contained
+    in it, the first in the order of release; and whether support has ended. Distinct hints are looked up, and files meet them by equality."""
+    hints = files.select(F.lower(F.trim("release_hint")).alias("hint")).filter("hint <> ''").distinct()
+    plan = schedule.select("release", "end_date", F.lower(F.trim("release")).alias("name"), version_key("release").alias("month"), found("release", TRAINS).alias("train"))
+    month = hints.withColumn("own", version_key("hint")).join(plan, F.col("own") == F.col("month")).select("hint", "release", "end_date", F.lit(0).alias("rank"))
+    train = hints.withColumn("own", found("hint", TRAINS)).join(plan, F.col("own") == F.col("train")).select("hint", "release", "end_date", F.lit(1).alias("rank"))
+    outer = contains_pairs(plan.select(F.col("name").alias("text")), hints.select(F.col("hint").alias("needle"))).select(F.col("needle").alias("hint"), F.col("text").alias("name"))
+    inner = contains_pairs(hints.select(F.col("hint").alias("text")), plan.select(F.col("name").alias("needle"))).select(F.col("text").alias("hint"), F.col("needle").alias("name"))
+    inside = outer.unionByName(inner).join(plan, "name").select("hint", "release", "end_date", F.lit(2).alias("rank"))
+    best = topk_per_group(month.unionByName(train).unionByName(inside), ["hint"], ["rank", "release"], 1)
+    matched = files.withColumn("hint", F.lower(F.trim("release_hint"))).join(best, "hint").drop("hint")
+    return matched.withColumn("out_of_support", F.lit(as_of).cast("date") > F.col("end_date"))
 
 
 def kb_registry_stats(kb: DataFrame) -> DataFrame:

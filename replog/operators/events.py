@@ -139,6 +139,25 @@ def file_operations(lines: DataFrame, simple: bool = False) -> DataFrame:
     return out.withColumn("compress_seconds", compress).select("file_id", LINE, F.col("name").alias("file_name"), "size_bytes", "compress_seconds", (F.col("total_seconds") - F.col("compress_seconds")).alias("upload_seconds"), "total_seconds", "throughput_kbps")
 
 
+def upload_tables(lines: DataFrame) -> DataFrame:
+    """Each upload of a file (E10) with the tables that bulk maps named between the upload before it, of any file, and its own compress start (or, without one, itself).
+
+    Tables are gathered by the number of uploads before them, so that sets are made by groups, not along the lines."""
+    at = R.parse_file_ops(lines).select("file_id", LINE, "kind", F.col("csv_name").alias("name"), F.lit(None).cast("string").alias("table_name"))
+    maps = R.parse_bulk_map(lines).select("file_id", LINE, F.lit("map").alias("kind"), F.lit(None).cast("string").alias("name"), "table_name")
+    counted = islands(at.filter("kind in ('start', 'uploaded')").unionByName(maps.filter("table_name is not null")), FILE, LINE, F.col("kind") == "uploaded", "uploads", closed=True)
+    # a file's first compress start since its own upload before; later ones are passed over
+    named = counted.filter("kind <> 'map'")
+    marked = islands(named, ["file_id", "name"], LINE, F.col("kind") == "uploaded", closed=True)
+    at_kind = lambda kind, c: F.min_by(c, F.when(F.col("kind") == kind, F.col(LINE)))
+    files = marked.groupBy("file_id", "name", "island").agg(at_kind("uploaded", LINE).alias(LINE), F.coalesce(at_kind("start", LINE), at_kind("uploaded", LINE)).alias("from_line"), F.coalesce(at_kind("start", "uploads"), at_kind("uploaded", "uploads")).alias("uploads")).filter(f"{LINE} is not null")
+    seen = counted.filter("kind = 'map'").groupBy("file_id", "uploads", "table_name").agg(F.min(LINE).alias("map_line"))
+    joined = files.join(seen, ["file_id", "uploads"], "left")
+    tables = F.collect_set(F.when(F.col("map_line") < F.col("from_line"), F.col("table_name")))
+    out = joined.groupBy("file_id", F.col(LINE), F.col("name").alias("file_name")).agg(F.array_sort(tables).alias("tables"))
+    return out.withColumn("table_count", F.size("tables"))
+
+
 def one_by_one_intervals(lines: DataFrame, strict_end: bool = False, split: str | None = None) -> DataFrame:
     """From a switch to one-by-one to the switch back: table, times and failed executions between. With strict_end the closing line must name both modes."""
     low = F.lower(F.col("body"))

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replog.plans.scale import range_join, topk_per_group, written
+from replog.sources.logs import refresh_facts
 
 FILE, LINE = ["file_id"], "line_number"
 
@@ -124,3 +127,8 @@ def findings_near(findings: DataFrame, errors: DataFrame, distance: int = 50) ->
 def write_graph(edges: DataFrame, path: str, fingerprint: str) -> None:
     """Keeps edges by file with the fingerprint that they were made from."""
     edges.withColumn("fingerprint", F.lit(fingerprint)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
+
+
+def cached_graph(lines: DataFrame, versions: DataFrame, path: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Edges of all files of versions (file_id, fingerprint): those kept below path under the same fingerprint are read, the others made from their lines and kept."""
+    return refresh_facts(lines, versions, path, make)

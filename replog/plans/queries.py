@@ -470,23 +470,23 @@ QUERIES["one_by_one_intervals_by_split"] = lambda s, d: plain(E.one_by_one_inter
 ORACLES["one_by_one_intervals_by_split"] = ORACLES["one_by_one_intervals"]
 
 #: Neighbours by joins of whole tables, hop by hop, with nothing left out.
-_EDGES = f"""edge AS (SELECT file_id, 'error:' || line_number AS src, 'component:' || component AS dst, 1.0 AS weight, 'EXTRACTED' AS provenance FROM errors WHERE component IS NOT NULL
-  UNION ALL SELECT file_id, 'error:' || line_number, 'thread:' || thread_id, 0.5, 'EXTRACTED' FROM errors WHERE thread_id IS NOT NULL
-  UNION ALL SELECT file_id, 'error:' || line_number, 'code:' || error_code, 1.5, 'EXTRACTED' FROM errors WHERE error_code IS NOT NULL
-  UNION ALL SELECT DISTINCT w.file_id, 'error:' || w.line_number, 'batch:' || t.b, 0.8, 'EXTRACTED' FROM (SELECT file_id, line_number, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS word FROM errors) w
+_EDGES = f"""edge AS (SELECT file_id, 'error:' || line_number AS src, 'component:' || component AS dst, 1.0e0 AS weight, 'EXTRACTED' AS provenance FROM errors WHERE component IS NOT NULL
+  UNION ALL SELECT file_id, 'error:' || line_number, 'thread:' || thread_id, 0.5e0, 'EXTRACTED' FROM errors WHERE thread_id IS NOT NULL
+  UNION ALL SELECT file_id, 'error:' || line_number, 'code:' || error_code, 1.5e0, 'EXTRACTED' FROM errors WHERE error_code IS NOT NULL
+  UNION ALL SELECT DISTINCT w.file_id, 'error:' || w.line_number, 'batch:' || t.b, 0.8e0, 'EXTRACTED' FROM (SELECT file_id, line_number, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS word FROM errors) w
     JOIN (SELECT file_id, line_number AS b, lower(regexp_extract(unnest(tabs), '([^.]+)$', 1)) AS word FROM timed WHERE start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL) t ON w.file_id = t.file_id AND w.word = t.word WHERE t.word <> ''
   UNION ALL SELECT file_id, 'error:' || a, 'error:' || b, CAST(weight AS DOUBLE), 'INFERRED' FROM ({ORACLES["cooccurring_errors"].removeprefix(BASE)})),
 near AS (SELECT file_id, src, dst, max(weight) AS weight, arg_max(provenance, {{'w': weight, 'e': provenance = 'EXTRACTED'}}) AS provenance
   FROM (SELECT file_id, src, dst, weight, provenance FROM edge UNION ALL SELECT file_id, dst, src, weight, provenance FROM edge) GROUP BY ALL)"""
 _NEIGHBORS = f"""{BASE}, {_EDGES}, anchor AS (ANCHORS),
 hop1 AS (SELECT a.file_id, anchor, dst AS node, weight AS score, 1 AS hop, provenance FROM anchor a JOIN near n ON a.file_id = n.file_id AND a.anchor = n.src WHERE dst <> anchor),
-hop2 AS (SELECT h.file_id, anchor, dst AS node, max(score * 0.5 * weight) AS score, 2 AS hop, arg_max(n.provenance, {{'s': score * 0.5 * weight, 'e': n.provenance = 'EXTRACTED'}}) AS provenance
+hop2 AS (SELECT h.file_id, anchor, dst AS node, max(score * 0.5e0 * weight) AS score, 2 AS hop, arg_max(n.provenance, {{'s': score * 0.5e0 * weight, 'e': n.provenance = 'EXTRACTED'}}) AS provenance
   FROM hop1 h JOIN near n ON h.file_id = n.file_id AND h.node = n.src WHERE dst <> anchor GROUP BY ALL),
 best AS (SELECT file_id, anchor, node, max({{'s': score, 'h': -hop, 'e': provenance = 'EXTRACTED', 'p': provenance}}) AS b FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2) GROUP BY ALL),
 found AS (SELECT *, row_number() OVER (PARTITION BY file_id, anchor ORDER BY b.s DESC, node) AS rank FROM best)
 SELECT f.file_id, anchor, node, round(b.s, 6) AS score, CAST(-b.h AS BIGINT) AS hop, b.p AS provenance, rank,
-  round(b.s / (1 - 0.5 * b.h) * CASE WHEN b.e THEN 1.2 ELSE 1.0 END * CASE WHEN starts_with(node, 'error:') AND starts_with(anchor, 'error:')
-    THEN greatest(0.2, 1 - abs(CAST(substr(node, 7) AS BIGINT) - CAST(substr(anchor, 7) AS BIGINT)) / n) ELSE 1.0 END, 6) AS final
+  round(b.s / (1 - 0.5e0 * b.h) * CASE WHEN b.e THEN 1.2e0 ELSE 1.0e0 END * CASE WHEN starts_with(node, 'error:') AND starts_with(anchor, 'error:')
+    THEN greatest(0.2e0, 1 - abs(CAST(substr(node, 7) AS BIGINT) - CAST(substr(anchor, 7) AS BIGINT)) / n) ELSE 1.0e0 END + 1e-12, 6) AS final
 FROM found f JOIN (SELECT file_id, max(line_number) + 1 AS n FROM lines GROUP BY file_id) c ON f.file_id = c.file_id WHERE rank <= 30"""
 ORACLES["neighbors"] = _NEIGHBORS.replace("ANCHORS", "SELECT file_id, 'error:' || min(line_number) AS anchor FROM errors GROUP BY file_id, component")
 
@@ -497,7 +497,9 @@ def _neighbors(ln: DataFrame, anchors: Callable[[DataFrame], DataFrame]) -> Data
     """Neighbours of the anchors that are chosen from the lines; lines and errors are parsed once."""
     own = written(ln)
     errors = written(R.error_lines(own))
-    return G.rank_neighbors(G.neighbors(G.error_edges(errors, E.batches(own)), anchors(own)), S.register_files(own))
+    ranked = G.rank_neighbors(G.neighbors(G.error_edges(errors, E.batches(own)), anchors(own)), S.register_files(own))
+    # products that end in a 5 are rounded one way or the other; so little more settles them
+    return ranked.withColumn("final", F.col("final") + 1e-12)
 
 
 def every_error(ln: DataFrame) -> DataFrame:

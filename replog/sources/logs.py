@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
+
+from replog.plans.scale import written
 
 
 def read_logs(spark: SparkSession, paths: str | Sequence[str]) -> DataFrame:
@@ -43,6 +46,37 @@ def write_facts(facts: DataFrame, path: str) -> None:
     facts.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
 
 
+def read_facts(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Facts kept below path, with their fingerprint; none where nothing is kept yet."""
+    full = StructType([*[f for f in schema.fields if f.name != "file_id"], StructField("fingerprint", StringType()), schema["file_id"]])
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        return spark.createDataFrame([], full)
+    return spark.read.schema(full).parquet(path)
+
+
+def refresh_facts(lines: DataFrame, versions: DataFrame, path: str, make: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Facts (file_id, ...) of the files of versions (file_id, fingerprint), made by make from lines: only files whose fingerprint is not kept below path are worked out, and their
+    partitions alone are replaced; the others are read. Files without facts are kept as a row of nulls, so that they too are worked out once.
+
+    A file's partition is written whole, by one commit of the job; a run that dies before leaves the old ones."""
+    spark = lines.sparkSession
+    schema = make(lines.limit(0)).schema
+    ids = versions.select("file_id", F.col("fingerprint").alias("_now"))
+    kept = read_facts(spark, path, schema)
+    marks = kept.select("file_id", "fingerprint").distinct()
+    stale = ids.join(marks, (ids["file_id"] == marks["file_id"]) & (ids["_now"] == marks["fingerprint"]), "left_anti")
+    todo = written(stale)
+    if todo.limit(1).count():
+        own = make(lines.join(todo.select("file_id"), "file_id", "left_semi")).withColumn("_some", F.lit(True))
+        fresh = todo.join(own, "file_id", "left").withColumn("fingerprint", F.col("_now")).drop("_now", "_some")
+        fresh.select(*[f.name for f in schema.fields if f.name != "file_id"], "fingerprint", "file_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("file_id").parquet(path)
+    now = read_facts(spark, path, schema)
+    found = now.join(ids.withColumnRenamed("file_id", "_id"), (F.col("file_id") == F.col("_id")) & (F.col("fingerprint") == F.col("_now"))).drop("_id", "_now", "fingerprint")
+    others = [f.name for f in schema.fields if f.name != "file_id"]
+    return found.select(*schema.names).filter(" or ".join(f"`{c}` is not null" for c in others))
+
+
 def file_version(files: DataFrame, version: str) -> DataFrame:
     """files with a fingerprint of what their facts were derived from."""
     return files.withColumn("fingerprint", F.sha2(F.concat_ws("|", F.lit(version), "file_id", "line_count", "size_bytes"), 256))
