@@ -6,6 +6,7 @@ longer span, then the one further left. People's names need a language model and
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -42,9 +43,11 @@ def spans(text: str, deny: bool = True) -> list[tuple[int, int, str, float]]:
                 found.append((a, b, kind, score))
     kept: list[tuple[int, int, str, float]] = []
     for s in sorted(found, key=lambda s: (-s[3], s[0] - s[1], s[0])):
-        if all(s[1] <= k[0] or s[0] >= k[1] for k in kept):
-            kept.append(s)
-    return sorted(kept)
+        # spans that are kept do not overlap, so that only the last one that begins before this one's end can reach into it
+        k = bisect_left(kept, (s[1],))
+        if not k or kept[k - 1][1] <= s[0]:
+            kept.insert(k, s)
+    return kept
 
 
 def find_sensitive(df: DataFrame, col: str, deny: bool = True) -> DataFrame:

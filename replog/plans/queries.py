@@ -18,6 +18,7 @@ from replog.operators import graph as G
 from replog.operators import issues as I
 from replog.operators import latency as L
 from replog.operators import parse as R
+from replog.operators import questions as QU
 from replog.operators import redact as D
 from replog.operators import report as RP
 from replog.plans.oracles import more
@@ -531,3 +532,124 @@ _NEAR = "greatest(0.0, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAS
 register("collections_topk", _collections, f"""SELECT query_id, rank, collection, id, round(similarity, 6) AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, collection, id) AS rank FROM (
   SELECT a.vec_id AS query_id, CASE WHEN b.vec_id % 2 = 0 THEN 'even' ELSE 'odd' END AS collection, b.vec_id AS id, {_NEAR} AS similarity, row_number() OVER (PARTITION BY a.vec_id, b.vec_id % 2 ORDER BY {_NEAR} DESC, b.vec_id) AS own
   FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 100 = 0) WHERE own <= 3) WHERE rank <= 6""", base=False)
+
+
+#: Questions about files, derived from events.
+PHRASES = (
+    "How many errors are in the log?", "how many tables", "Number of batches", "total inserts and updates", "count of lines", "count the records", "List the tables", "Which errors occurred?", "show components", "list batch closure reasons", "most frequent errors",
+    "top tables", "worst tables of all", "What is the latency?", "where is the bottleneck", "anything about connection string?", "find 'lock wait' in the log", "search for deadlock", "is there any mention of timeouts?", "look for ORA-00054", "some info about the driver",
+    "What does ORA-00054 mean?", "known issue with bulk", "what version is it", "When did it start?", "how long did it take", "summary please", "health check", "show me the dashboard", "table schema and sql timeout", "is it slow", "tell me about this log", "nothing to see", 'what of "memory" and "disk"', "",
+)
+QUESTIONS_SQL = "SELECT event_id AS question_id, user_id % 8 AS file_id, CASE event_id % {n} {cases} END AS question FROM events".format(n=len(PHRASES) + 1, cases=" ".join(f"WHEN {k} THEN {q(p)}" for k, p in enumerate(PHRASES)))
+
+
+def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    at = (F.col("event_id") % (len(PHRASES) + 1)).cast("int")
+    return table(spark, sf_dir, "events").select(F.col("event_id").alias("question_id"), (F.col("user_id") % 8).alias("file_id"), F.get(F.array(*map(F.lit, PHRASES)), at).alias("question"))
+
+
+_ASKED = f"asked AS ({QUESTIONS_SQL})"
+_LOW = "lower(trim(question))"
+_INTENT = " ".join([*[f"WHEN regexp_matches({_LOW}, {q(p)}) THEN {{'mode': 'kb', 'type': 'KB_LOOKUP', 'entity': NULL}}" for p in QU.KB_PATTERNS], *[f"WHEN regexp_matches({_LOW}, {q(p)}) THEN {{'mode': 'local', 'type': '{k}', 'entity': '{e}'}}" for k, p, e in QU.INTENTS]])
+_CLASSIFIED = f"{_ASKED}, classified AS (SELECT *, CASE {_INTENT} ELSE {{'mode': 'kb', 'type': 'GENERAL', 'entity': NULL}} END AS h FROM asked)"
+register("question_intents", lambda s, d: QU.classify(questions(s, d)), f"WITH {_CLASSIFIED} SELECT question_id, file_id, question, h.mode AS mode, h.type AS type, h.entity AS entity FROM classified", base=False)
+_SUBJECT = lambda p: f"regexp_replace(trim(regexp_extract(lower(question), {q(p)}, 1)), {q(QU.SUBJECT_END)}, '')"
+_KEYWORDS = " ".join(f"WHEN regexp_matches(lower(question), {q(p)}) AND length({_SUBJECT(p)}) > 2 THEN [{_SUBJECT(p)}]" for p in QU.SUBJECTS)
+register(
+    "question_keywords", lambda s, d: QU.search_keywords(questions(s, d)).withColumn("keywords", F.array_join(F.array_sort("keywords"), ",")).drop("question"),
+    f"WITH {_ASKED} SELECT question_id, file_id, array_to_string(list_sort(CASE {_KEYWORDS} WHEN len(regexp_extract_all(question, {q(QU.QUOTED)}, 1)) > 0 THEN regexp_extract_all(question, {q(QU.QUOTED)}, 1) "
+    f"ELSE list_distinct(regexp_extract_all(lower(question), {q(QU.TERMS)}, 1)) END), ',') AS keywords FROM asked", base=False,
+)
+
+
+def _answers(ln: DataFrame) -> DataFrame:
+    own = written(ln)
+    return QU.answers(own, R.error_lines(own), E.table_stats(own), E.batches(own))
+
+
+_TIMED = "(SELECT * FROM timed WHERE start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL)"
+_ONE_SQL = lambda kind, entity, label, value, rows: f"SELECT file_id, '{kind}' AS type, '{entity}' AS entity, 0 AS place, '{label}' AS label, CAST({value} AS BIGINT) AS value FROM {rows} GROUP BY file_id"
+_LIST_SQL = lambda kind, entity, order, label, value, rows, most: f"SELECT file_id, '{kind}', '{entity}', place, {label}, CAST({value} AS BIGINT) FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY {order}) AS place FROM {rows}) WHERE place <= {most}"
+_OPS = "total_inserts + total_updates + total_deletes + total_merges"
+_FACTS = " UNION ALL ".join((
+    _ONE_SQL("COUNT", "errors", "errors", "count(*)", "errors"), _ONE_SQL("COUNT", "tables", "tables", "count(*)", "tstats"), _ONE_SQL("COUNT", "batches", "batches", "count(*)", _TIMED), _ONE_SQL("COUNT", "lines", "lines", "max(line_number) + 1", "lines"),
+    _ONE_SQL("COUNT", "operations", "operations", f"sum({_OPS})", "tstats"), *(f"SELECT file_id, 'COUNT', 'operations', {k}, '{c}', CAST(sum(total_{c}) AS BIGINT) FROM tstats GROUP BY file_id" for k, c in enumerate(("inserts", "updates", "deletes", "merges"), 1)),
+    _ONE_SQL("LIST", "tables", "tables", "count(*)", "tstats"), _LIST_SQL("LIST", "tables", "total_apply_time_seconds DESC NULLS LAST, table_name", "table_name", _OPS, "tstats", 20),
+    _ONE_SQL("LIST", "errors", "errors", "count(*)", "errors"), _LIST_SQL("LIST", "errors", "timestamp DESC NULLS LAST, line_number DESC", "substr(text, 1, 100)", "line_number", "errors", 10),
+    _ONE_SQL("LIST", "components", "components", "count(DISTINCT component)", "(SELECT * FROM lines WHERE component IS NOT NULL AND thread_id IS NOT NULL)"),
+    _LIST_SQL("LIST", "components", "component", "component", "n", "(SELECT file_id, component, count(*) AS n FROM lines WHERE component IS NOT NULL AND thread_id IS NOT NULL GROUP BY ALL)", 10**9),
+    _ONE_SQL("LIST", "batch_reasons", "batches", "count(*)", _TIMED), _LIST_SQL("LIST", "batch_reasons", "n DESC, closure_reason", "closure_reason", "n", f"(SELECT file_id, closure_reason, count(*) AS n FROM {_TIMED} GROUP BY ALL)", 10**9),
+    _LIST_SQL("TOP", "top_errors", "n DESC, text", "substr(text, 1, 140)", "n", "(SELECT file_id, text, count(*) AS n FROM errors GROUP BY ALL)", 5),
+    _LIST_SQL("TOP", "top_tables", "error_count DESC, total_apply_time_seconds DESC NULLS LAST, table_name", "table_name", _OPS, "tstats", 5),
+))
+_FACTS = f"tstats AS ({ORACLES['table_stats'].removeprefix(BASE)}), facts AS ({_FACTS})"
+over_lines("question_facts", _answers, f", {_FACTS} SELECT * FROM facts")
+register("question_answers", lambda s, d: QU.answer(questions(s, d), _answers(lines(s, d))), f", {_FACTS}, {_CLASSIFIED} SELECT question_id, c.file_id, h.type AS type, h.entity AS entity, place, label, value FROM classified c JOIN facts f ON c.file_id = f.file_id AND h.type = f.type AND h.entity = f.entity")
+
+#: Release notes derived from orders, and files from customers.
+NOTES_SQL = "SELECT 'F' || CAST(o_orderkey % 2003 AS STRING) AS fix_id, CASE WHEN o_orderkey % 97 = 0 THEN 'Preview' ELSE CASE CAST(month(o_orderdate) AS INT) WHEN 1 THEN 'January' WHEN 2 THEN 'February' WHEN 3 THEN 'March' WHEN 4 THEN 'April' WHEN 5 THEN 'May' WHEN 6 THEN 'June' WHEN 7 THEN 'July' WHEN 8 THEN 'August' WHEN 9 THEN 'September' WHEN 10 THEN 'October' WHEN 11 THEN 'November' ELSE 'December' END || ' 20' || CAST(10 + CAST(year(o_orderdate) AS INT) % 20 AS STRING) END AS version, CASE (o_orderkey % 2003) % 7 WHEN 0 THEN 'Oracle Source' WHEN 1 THEN 'PostgreSQL' WHEN 2 THEN 'Server' WHEN 3 THEN 'UI' WHEN 4 THEN 'Log Stream' WHEN 5 THEN 'MySQL target, Oracle' ELSE NULL END AS component FROM {orders}"
+ASKERS_SQL = "SELECT c_custkey AS file_id, CASE WHEN c_custkey % 13 = 0 THEN NULL ELSE CASE c_custkey % 3 WHEN 0 THEN 'May' WHEN 1 THEN 'November' ELSE 'March' END || ' 20' || CAST(10 + c_custkey % 19 AS STRING) END AS version, CASE c_custkey % 5 WHEN 0 THEN 'Oracle source' WHEN 1 THEN 'mysql' WHEN 2 THEN NULL WHEN 3 THEN 'PostgreSQL Target' ELSE 'Kafka' END AS endpoint FROM {customer}"
+
+
+def notes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(NOTES_SQL, orders=table(spark, sf_dir, "orders"))
+
+
+def askers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.sql(ASKERS_SQL, customer=table(spark, sf_dir, "customer"))
+
+
+_KEY = lambda c: "CAST(nullif(regexp_extract({0}, '(20[0-9][0-9])', 1), '') AS INT) * 100 + CASE ".format(c) + " ".join(f"WHEN {c} LIKE '{m}%' THEN {k}" for k, m in enumerate(K.MONTHS, 1)) + " END"
+_GENERIC = "(" + ", ".join(q(g) for g in K.GENERIC) + ")"
+_LISTED = f"""WITH fixes AS (SELECT DISTINCT fix_id, version, lower(coalesce(component, '')) AS comp, {_KEY('version')} AS key FROM ({NOTES_SQL.format(orders='orders').replace('STRING', 'VARCHAR')})),
+files AS (SELECT file_id, version, {_KEY('version')} AS own, lower(endpoint) AS endpoint FROM ({ASKERS_SQL.format(customer='customer').replace('STRING', 'VARCHAR')})),
+asks AS (SELECT DISTINCT own, endpoint FROM files),
+said AS (SELECT DISTINCT comp, endpoint, comp NOT IN {_GENERIC} AND comp <> '' AND (contains(comp, endpoint) OR len(list_filter(string_split(endpoint, ' '), lambda p: length(p) > 3 AND contains(comp, p))) > 0) AS specific FROM (SELECT DISTINCT comp FROM fixes), (SELECT DISTINCT endpoint FROM files)),
+met AS (SELECT own, a.endpoint, fix_id, f.version, f.key, coalesce(specific, FALSE) AS specific, row_number() OVER (PARTITION BY own, a.endpoint, fix_id ORDER BY f.key NULLS FIRST, f.version) AS k
+  FROM asks a JOIN fixes f ON f.key IS NULL OR own IS NULL OR f.key >= own JOIN said s ON s.comp = f.comp AND s.endpoint IS NOT DISTINCT FROM a.endpoint WHERE a.endpoint IS NULL OR specific OR f.comp IN {_GENERIC}),
+best AS (SELECT *, row_number() OVER (PARTITION BY own, endpoint ORDER BY key NULLS FIRST, fix_id) AS rank FROM met WHERE k = 1)
+SELECT file_id, fix_id, b.version AS version, specific, coalesce(key > f.own, FALSE) AS future, rank FROM files f JOIN best b ON b.own IS NOT DISTINCT FROM f.own AND b.endpoint IS NOT DISTINCT FROM f.endpoint WHERE rank <= 30"""
+register("relevant_fixes", lambda s, d: K.relevant_fixes(notes(s, d).distinct(), askers(s, d)).select("file_id", "fix_id", "version", "specific", "future", "rank"), _LISTED, base=False)
+
+
+def _support(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ends = notes(spark, sf_dir).filter("version <> 'Preview'").select(F.concat(F.lit("Replicate "), "version").alias("release")).distinct()
+    schedule = ends.withColumn("end_date", F.make_date(F.regexp_extract("release", r"(20\d\d)", 1).cast("int") + 2, F.lit(6), F.lit(30)))
+    hints = askers(spark, sf_dir).select("file_id", F.when(F.col("file_id") % 4 == 0, F.concat(F.lit("build of "), "version")).otherwise(F.col("version")).alias("release_hint"))
+    return K.support_status(hints, schedule, "2022-01-01").select("file_id", "release", "out_of_support")
+
+
+register("support_status", _support, f"""WITH plan AS (SELECT DISTINCT 'Replicate ' || version AS release, {_KEY('version')} AS key FROM ({NOTES_SQL.format(orders='orders').replace('STRING', 'VARCHAR')}) WHERE version <> 'Preview'),
+files AS (SELECT file_id, {_KEY('version')} AS own FROM ({ASKERS_SQL.format(customer='customer').replace('STRING', 'VARCHAR')}) WHERE version IS NOT NULL)
+SELECT file_id, release, DATE '2022-01-01' > make_date(key // 100 + 2, 6, 30) AS out_of_support FROM files JOIN plan ON own = key""", base=False)
+
+
+def mixed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of both kinds in turn, as a file with bulk maps and uploads has them."""
+    both = raw_lines(spark, sf_dir).withColumn("line_number", F.col("line_number") * 2).unionByName(load_lines(spark, sf_dir).withColumn("line_number", F.col("line_number") * 2 + 1))
+    return R.fill_continuations(R.parse_prefix(both))
+
+
+register("upload_tables", lambda s, d: E.upload_tables(mixed_lines(s, d)), f""", mixed AS (SELECT file_id, line_number * 2 AS line_number, body FROM ({LINES_SQL.format(events="events")}) UNION ALL SELECT file_id, line_number * 2 + 1, body FROM ({LOAD_SQL.format(orders="orders")})),
+map AS (SELECT file_id, line_number * 2 AS line_number, table_name FROM maps WHERE table_name IS NOT NULL),
+op AS (SELECT file_id, line_number, {has(P.UPLOADED)} AS up, upper({rx(P.CSV_NAME)}) AS name FROM mixed WHERE {has(P.UPLOADED)} OR {has(P.COMPRESS_START)}),
+u AS (SELECT *, coalesce((SELECT max(o.line_number) FROM op o WHERE o.file_id = a.file_id AND o.name = a.name AND o.up AND o.line_number < a.line_number), -1) AS own_before FROM op a WHERE up AND name IS NOT NULL),
+s AS (SELECT *, coalesce((SELECT min(o.line_number) FROM op o WHERE o.file_id = u.file_id AND o.name = u.name AND NOT o.up AND o.line_number > own_before AND o.line_number < u.line_number), u.line_number) AS from_line FROM u),
+t AS (SELECT *, coalesce((SELECT max(o.line_number) FROM op o WHERE o.file_id = s.file_id AND o.up AND o.line_number < from_line), -1) AS since FROM s)
+SELECT t.file_id, t.line_number, name AS file_name, coalesce(string_agg(DISTINCT table_name, ',' ORDER BY table_name), '') AS tables, count(DISTINCT table_name) AS table_count FROM t LEFT JOIN map m ON m.file_id = t.file_id AND m.line_number > since AND m.line_number < from_line GROUP BY ALL""")
+
+
+def kept_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges kept by file: all are made at first, then those of half of the files again, whose version has changed."""
+    own = written(lines(spark, sf_dir))
+    path = f"{shared_folder(spark)}/graph-{uuid.uuid4().hex}"
+    make = lambda ln: G.error_edges(R.error_lines(ln), E.batches(ln))
+    files = S.register_files(own)
+    first = S.file_version(files, "1")
+    G.cached_graph(own, first, path, make)
+    second = S.file_version(files.filter("file_id % 2 = 0"), "2").unionByName(first.filter("file_id % 2 = 1"))
+    return G.cached_graph(own, second, path, make).groupBy("file_id", "edge_type", "provenance").agg(F.count("*").alias("n"), F.sum("weight").alias("weight"))
+
+
+register("kept_graph", kept_graph)
+ORACLES["kept_graph"] = ORACLES["error_edges"]
