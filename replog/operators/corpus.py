@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replog.operators.parse import found
+from replog.operators.terms import with_longest
 from replog.plans.scale import forward_fill, topk_per_group, written
 
 #: Phrases of a page's frame.
@@ -153,9 +154,8 @@ def parse_eol_entries(notes: DataFrame, col: str = "text", most: int = 50) -> Da
 
 
 def endpoint_types(notes: DataFrame, names: Sequence[str], col: str = "text") -> DataFrame:
-    """Distinct endpoint names that a text mentions; longer names are tried first."""
-    pattern = "(?i)(" + "|".join(sorted(map(re.escape, names), key=len, reverse=True)) + ")"
-    return notes.withColumn("endpoints", F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(col, F.lit(pattern), F.lit(1)), F.lower))))
+    """Distinct endpoint names that a text mentions; at each place the longest counts. All names are looked for in one pass."""
+    return with_longest(notes, col, names, "endpoints")
 
 
 def version_key(col: str) -> Column:
@@ -326,7 +326,18 @@ def fuse_matches(matches: DataFrame, k: int = 3) -> DataFrame:
     """Matches above the threshold (lower where the query has a code), code hits lifted, the best k, with confidence."""
     least = F.when(F.col("has_code"), 0.15).otherwise(0.3)
     scored = matches.filter(F.col("similarity") >= least).withColumn("score", F.col("similarity") + F.when(F.col("code_in_text"), 0.2).otherwise(0.0))
-    return topk_per_group(scored, ["query_id"], [F.desc("score"), "id"], k, "rank").withColumn("confident", F.col("score") > 0.6)
+    return topk_per_group(scored, ["query_id"], [F.desc("score"), "id"], k, "rank").withColumn("confident", F.first("similarity").over(W.partitionBy("query_id").orderBy("rank")) > 0.6)
+
+
+#: How alike an article must be, and how many of the nearest are looked at, by what is asked: one error code, a question without a file, an issue.
+SIBLINGS = {"code": (0.25, 2), "no_file": (0.4, 2), "issue": (0.5, 5)}
+
+
+def sibling_matches(matches: DataFrame, kind: str) -> DataFrame:
+    """Of the nearest matches (query_id, id, similarity) to questions of a kind, those above its threshold; for a code, confident says high where the file has it (occurrences > 0)."""
+    least, k = SIBLINGS[kind]
+    out = topk_per_group(matches, ["query_id"], [F.desc("similarity"), "id"], k, "rank").filter(F.col("similarity") > least)
+    return out.withColumn("confidence", F.when(F.col("occurrences") > 0, "high").otherwise("medium")) if kind == "code" else out
 
 
 def context_matches(matches: DataFrame, least: float = 0.22, k: int = 10) -> DataFrame:
@@ -344,15 +355,54 @@ def vector_stats(docs: DataFrame) -> DataFrame:
     return docs.groupBy("file_id", "kind").agg(F.count("*").alias("documents"))
 
 
-#: What a report is graded on, as name and pattern.
-RUBRIC = (("has_summary", r"(?im)^#+\s*(executive )?summary"), ("has_findings", r"(?im)^#+\s*.*findings"), ("has_recommendations", r"(?im)^#+\s*.*recommendations?"), ("cites_lines", r"(?i)\bLINE \d+"), ("has_numbers", r"\d+(\.\d+)?\s*(ms|s|seconds|%)"), ("names_tables", r"(?i)\btable"), ("no_placeholder", r"(?s)^((?!TODO|lorem ipsum).)*$"))
-
-
-def grade_reports(reports: DataFrame, col: str = "text", passing: float = 0.6) -> DataFrame:
-    """A column for each check of the rubric, the share that holds, and whether it is enough."""
-    checks = {n: F.col(col).rlike(p) for n, p in RUBRIC}
-    score = sum((F.when(c, 1.0).otherwise(0.0) for c in checks.values()), F.lit(0.0)) / len(checks)
-    return reports.withColumns({**checks, "score": score}).withColumn("passed", F.col("score") >= passing)
+#: Sections that a report must have, and patterns of what it must and must not say.
+REQUIRED_SECTIONS = ("Executive Summary", "Key Findings", "Performance", "Issues", "Error", "Risk Assessment")
+HEADER = r"(?m)^#{1,3}\s+\*?\*?([^*\n]+?)\*?\*?\s*$"
+HEALTH_SCORE = r"(?is)\b[1-5]\s*/\s*5\b|Health Score.*?[1-5]\s*/\s*5"
+VAGUE, COUNTED = r"(?i)\b(several|multiple|many)\b", r"(?i)\b(several|multiple|many)\b\s*[0-9×]"
+CHART_CLAIM = r"(?i)latency over time graph|attached.*chart|as shown in the graph"
+NUMBERED_SECTION = r"(?im)^\d+\.\s+\*\*(Executive Summary|Key Findings|Performance|Issues|Error|Risk Assessment)"
+TRUNCATION = r"(?m)\S/{2,}\s*$"
+NAMED_PARAM, CITED_LINE = r"`([a-zA-Z][a-zA-Z0-9_]*)`", r"(?i)\bLINE\s+(\d+)\b"
+
+
+def grade_reports(reports: DataFrame, key: str, col: str = "text", params: DataFrame | None = None, valid_lines: DataFrame | None = None, counts: DataFrame | None = None, chart_attached: bool = False, passing: float = 0.85, least_sections: int = 4) -> DataFrame:
+    """A column for each check of the rubric (null where it is not asked), score, max_score, normalized (their share) and passed, of each report (key).
+
+    Asked only if their tables are given: names in backticks are among params (name); cited lines among valid_lines (key, line_number); and all counts (key, label, expected) stand in the
+    text (reports without any are not asked). An empty report has no other check than non_empty and a score of 0 of 10. A report passes with a health score, enough sections and enough of all."""
+    text = F.col(col)
+    headers = F.transform(F.regexp_extract_all(text, F.lit(HEADER), F.lit(1)), lambda h: F.lower(F.trim(h)))
+    contains = lambda n: lambda h: F.contains(h, F.lit(n.lower()))
+    checks = {
+        "markdown_h2_sections": (F.size(headers) >= 4) & ~text.rlike(NUMBERED_SECTION),
+        "no_truncation_artifacts": ~text.rlike(TRUNCATION),
+        **{f"section_{n.lower().replace(' ', '_')}": F.size(F.filter(headers, contains(n))) > 0 for n in REQUIRED_SECTIONS},
+        "health_score_x_of_5": text.rlike(HEALTH_SCORE),
+        "no_unsupported_chart_claims": ~text.rlike(CHART_CLAIM) | F.lit(chart_attached),
+        "no_vague_counts": F.size(F.regexp_extract_all(text, F.lit(VAGUE), F.lit(1))) == F.size(F.regexp_extract_all(text, F.lit(COUNTED), F.lit(1))),
+    }
+    own = reports.withColumn("non_empty", F.coalesce(F.trim(col) != "", F.lit(False)))
+    out = own.withColumns({n: F.when(F.col("non_empty"), c) for n, c in checks.items()})
+    asked = {}
+    if params is not None:
+        named = own.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(NAMED_PARAM), F.lit(1)))).alias("name"))
+        asked["params_in_allowlist"] = named.join(params.select("name").distinct(), "name", "left_anti").select(key).distinct()
+    if valid_lines is not None:
+        cited = own.select(key, F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(CITED_LINE), F.lit(1)))).alias("n")).select(key, F.col("n").cast("long").alias("line_number"))
+        asked["line_citations_valid"] = cited.join(valid_lines.select(key, "line_number").distinct(), [key, "line_number"], "left_anti").select(key).distinct()
+    for n, wrong in asked.items():
+        out = out.join(wrong.withColumn("_wrong", F.lit(True)), key, "left").withColumn(n, F.when(F.col("non_empty"), F.col("_wrong").isNull())).drop("_wrong")
+    if counts is not None:
+        told = counts.join(own.select(key, text.alias("_text")), key).groupBy(key).agg(F.every(F.contains("_text", F.col("expected").cast("string"))).alias("_told"))
+        out = out.join(told, key, "left").withColumn("authoritative_counts_present", F.when(F.col("non_empty"), F.col("_told"))).drop("_told")
+        asked["authoritative_counts_present"] = told
+    every = [*checks, *asked]
+    total = lambda names, c: reduce(lambda x, y: x + y, [F.when(c(n), 1).otherwise(0) for n in names])
+    out = out.withColumns({"score": total(every, F.col), "max_score": F.when(F.col("non_empty"), total(every, lambda n: F.col(n).isNotNull())).otherwise(10)})
+    sections = total([n for n in checks if n.startswith("section_")], F.col)
+    out = out.withColumn("normalized", F.round(F.col("score") / F.col("max_score"), 4))
+    return out.withColumn("passed", F.col("non_empty") & F.coalesce("health_score_x_of_5", F.lit(False)) & (sections >= least_sections) & (F.col("normalized") >= passing))
 
 
 def report_sections(reports: DataFrame, key: str, col: str = "text") -> DataFrame:

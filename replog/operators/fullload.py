@@ -75,6 +75,14 @@ def condensed(lines: DataFrame, k: int = 15) -> DataFrame:
     return topk_per_group(tables(lines), FILE, ["table_id"], k, "rank")
 
 
+def condensed_warnings(lines: DataFrame, most_insights: int = 8, most_reloads: int = 10) -> DataFrame:
+    """What goes with the first tables: of each file the first insights, by priority, and the first reloads, by line: (file_id, kind, rank, line_number, title, table_id, seg, timestamp)."""
+    own = written(lines)
+    told = topk_per_group(insights(own), FILE, ["priority", "area", "title"], most_insights, "rank").select("file_id", F.lit("insight").alias("kind"), "rank", "title")
+    again = topk_per_group(R.parse_full_load(own).filter("kind = 'reload'"), FILE, [LINE], most_reloads, "rank").select("file_id", F.lit("reload").alias("kind"), "rank", LINE, "table_id", "seg", "timestamp")
+    return told.unionByName(again, True)
+
+
 def insights(lines: DataFrame) -> DataFrame:
     """Warnings about loads: reloads, slow segments, gaps, rows that differ, loads in progress."""
     t = tables(lines).groupBy("file_id").agg(F.sum("reload_count").alias("reloads"), F.max("max_gap_seconds").alias("gap"), F.count_if(F.col("rows_sent") != F.col("rows_received")).alias("differ"), F.count_if(F.col("status") != "loaded").alias("open"))

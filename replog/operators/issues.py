@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from functools import reduce
+from operator import or_
 
 import pandas as pd
 from py4j.protocol import Py4JError
@@ -12,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from replog.operators import parse as R
+from replog.operators.terms import with_terms
 from replog.plans.scale import islands, topk_per_group
 
 FILE, LINE = ["file_id"], "line_number"
@@ -27,6 +30,16 @@ def error_aggregates(errors: DataFrame, k: int = 10) -> DataFrame:
     return topk_per_group(g, FILE, [F.desc("occurrences"), "pattern"], k, "rank")
 
 
+#: Codes that are counted as they stand.
+CODES = r"\[\d{5,8}\]"
+
+
+def code_counts(errors: DataFrame, k: int = 10) -> DataFrame:
+    """The k codes that come most often in the errors of each file, every place counted."""
+    each = errors.select("file_id", F.explode(F.regexp_extract_all("text", F.lit(f"({CODES})"), F.lit(1))).alias("code"))
+    return topk_per_group(each.groupBy("file_id", "code").agg(F.count("*").alias("n")), FILE, [F.desc("n"), "code"], k, "rank")
+
+
 def top_errors(errors: DataFrame, k: int = 10) -> DataFrame:
     return topk_per_group(errors.groupBy("file_id", "text").agg(F.count("*").alias("n")), FILE, [F.desc("n"), "text"], k, "rank")
 
@@ -192,16 +205,20 @@ def search(lines: DataFrame, index: DataFrame, component: str | None = None, lim
 
 
 def keyword_search(lines: DataFrame, words: Sequence[str], k: int = 8) -> DataFrame:
-    """The first k distinct lines of each file with any of the words."""
-    low = F.lower("body")
-    cond = F.lit(False)
-    for w in words:
-        cond = cond | low.contains(w.lower())
+    """The first k distinct lines of each file with any of the words: few are looked for inside the JVM, many by one automaton."""
+    if len(words) > FEW:
+        hits = with_terms(lines, "body", words, "_terms").filter(F.size("_terms") > 0).drop("_terms")
+    else:
+        hits = lines.filter(reduce(or_, [F.contains(F.lower("body"), F.lit(w.lower())) for w in words], F.lit(False)))
     key = F.regexp_replace(F.regexp_replace("body", r"\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}", ""), r"\b[0-9a-fA-F]{8}\b", "")
-    once = topk_per_group(lines.filter(cond).withColumn("_key", key), ["file_id", "_key"], [LINE], 1)
+    once = topk_per_group(hits.withColumn("_key", key), ["file_id", "_key"], [LINE], 1)
     return topk_per_group(once, FILE, [LINE], k, "rank").select("file_id", "rank", LINE, "body")
 
 
+#: Up to so many words are looked for one by one.
+FEW = 16
+
+
 #: Rules in order: mode, intent and pattern.
 QUESTION_RULES = (
     ("kb", "known_issue", r"known issue|knowledge base|documentation|how to (fix|resolve)"), ("local", "count_errors", r"how many (errors|warnings)"), ("local", "top_errors", r"(top|most (common|frequent)) errors?"), ("local", "latency", r"latency|slow|lag"),

@@ -653,3 +653,64 @@ def kept_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 register("kept_graph", kept_graph)
 ORACLES["kept_graph"] = ORACLES["error_edges"]
+
+
+#: Reports derived from events: every part of one is there or not by its number.
+_PARTS = (
+    (2, "## Executive Summary\n"), (3, "## **Key Findings**\n"), (5, "### Performance of the task\n"), (7, "## Issues\n"), (2, "## Error Analysis\n"), (3, "## Risk Assessment\n"), (4, "Health Score: 4/5\n"), (11, "as shown in the graph\n"), (13, "several tables and many 5 rows\n"),
+    (17, "1. **Issues** first\n"), (19, "cut off ///\n"), (3, "see LINE 7 and line 40\n"), (4, "set `MaxFileSize` and `Other_1`\n"), (5, "found 42 errors\n"),
+)
+
+
+def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    whole = F.concat(*[F.when((F.col("event_id") + k) % n != (0 if n < 10 else 1), F.lit(t if n < 10 else "")).otherwise(F.lit("" if n < 10 else t)) for k, (n, t) in enumerate(_PARTS)])
+    own = table(spark, sf_dir, "events")
+    return own.select(F.col("event_id").alias("report_id"), F.when(F.col("event_id") % 101 == 0, " ").otherwise(whole).alias("text"))
+
+
+def report_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = _reports(spark, sf_dir)
+    params = spark.createDataFrame([("MaxFileSize",), ("Other_1",)], "name string").filter("name <> 'Other_1'")
+    lines_ = own.filter("report_id % 4 > 0").select("report_id", F.explode(F.array(F.lit(7), F.lit(40))).alias("line_number"))
+    counts = own.filter("report_id % 2 = 0").select("report_id", F.lit("errors").alias("label"), F.lit(42).alias("expected"))
+    return K.grade_reports(own, "report_id", "text", params, lines_, counts).drop("text")
+
+
+_TEXT = " || ".join(f"CASE WHEN (event_id + {k}) % {n} {'<>' if n < 10 else '='} {0 if n < 10 else 1} THEN {q(t)} ELSE '' END" for k, (n, t) in enumerate(_PARTS))
+_TEXT = f"CASE WHEN event_id % 101 = 0 THEN ' ' ELSE {_TEXT} END".replace("\n", "' || chr(10) || '")
+_CHECKS = {
+    "markdown_h2_sections": f"len(heads) >= 4 AND NOT regexp_matches(text, {q(K.NUMBERED_SECTION)})", "no_truncation_artifacts": f"NOT regexp_matches(text, {q(K.TRUNCATION)})",
+    **{f"section_{n.lower().replace(' ', '_')}": f"len(list_filter(heads, lambda h: contains(lower(h), {q(n.lower())}))) > 0" for n in K.REQUIRED_SECTIONS},
+    "health_score_x_of_5": f"regexp_matches(text, {q(K.HEALTH_SCORE)})", "no_unsupported_chart_claims": f"NOT regexp_matches(text, {q(K.CHART_CLAIM)})",
+    "no_vague_counts": f"len(regexp_extract_all(text, {q(K.VAGUE)}, 1)) = len(regexp_extract_all(text, {q(K.COUNTED)}, 1))",
+    "params_in_allowlist": "NOT contains(text, '`Other_1`')", "line_citations_valid": "report_id % 4 > 0 OR NOT contains(text, 'LINE 7')", "authoritative_counts_present": "CASE WHEN report_id % 2 = 0 THEN contains(text, '42') END",
+}
+_SCORE = " + ".join(f"CASE WHEN {n} THEN 1 ELSE 0 END" for n in _CHECKS)
+_SECTIONS = " + ".join(f"CASE WHEN {n} THEN 1 ELSE 0 END" for n in _CHECKS if n.startswith("section_"))
+register("report_grades", report_grades, f"""WITH r AS (SELECT event_id AS report_id, {_TEXT} AS text FROM events), h AS (SELECT *, trim(text) <> '' AS non_empty, regexp_extract_all(text, {q(K.HEADER)}, 1) AS heads FROM r),
+c AS (SELECT report_id, non_empty, {", ".join(f"CASE WHEN non_empty THEN {c} END AS {n}" for n, c in _CHECKS.items())} FROM h),
+s AS (SELECT *, CAST({_SCORE} AS BIGINT) AS score, CAST(CASE WHEN non_empty THEN {len(_CHECKS)} - CASE WHEN authoritative_counts_present IS NULL THEN 1 ELSE 0 END ELSE 10 END AS BIGINT) AS max_score FROM c)
+SELECT *, round(score::DOUBLE / max_score, 4) AS normalized, non_empty AND coalesce(health_score_x_of_5, FALSE) AND {_SECTIONS} >= 4 AND round(score::DOUBLE / max_score, 4) >= 0.85 AS passed FROM s""", base=False)
+
+_CODED = "text || ' [' || CAST(1020000 + line_number % 7 AS VARCHAR) || ']'"
+over_lines("code_counts", errors(lambda e: I.code_counts(e.withColumn("text", F.concat("text", F.lit(" ["), (F.lit(1020000) + F.col("line_number") % 7).cast("string"), F.lit("]"))))), f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY n DESC, code) AS rank FROM (SELECT file_id, code, count(*) AS n FROM (SELECT file_id, unnest(regexp_extract_all({_CODED}, {q(I.CODES)})) AS code FROM errors) GROUP BY ALL)) WHERE rank <= 10")
+over_loads("full_load_condensed_warnings", FL.condensed_warnings)
+
+#: Words of logs, more than are looked for one by one.
+WORDS = ("busy", "memory", "ORA-00054", "lock wait", "timeout", "deadlock", "refused", "denied", "overflow", "disconnect", "reconnect", "license", "swap", "corrupt", "retry", "abort", "rollback", "truncated", "nowait", "not found")
+_ANY = " OR ".join(f"contains(lower(body), {q(w.lower())})" for w in WORDS)
+_DIGITS = r"regexp_replace(regexp_replace(body, '\d{4}-\d{2}-\d{2}T\d{2}:\d{2}:\d{2}', '', 'g'), '\b[0-9a-fA-F]{8}\b', '', 'g')"
+over_lines("keyword_search_many", lambda ln: I.keyword_search(ln, WORDS), f"SELECT file_id, rank, line_number, body FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY line_number) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY file_id, {_DIGITS} ORDER BY line_number) AS k FROM lines WHERE {_ANY}) WHERE k = 1) WHERE rank <= 8")
+
+ENDPOINTS = ("in", "ing", "tion", "the", "then", "there", "er", "ver", "verein", "keit", "ción", "que", "ment", "le", "la", "ea", "eau", "zu", "schen", "ble")
+_ALTERNATIVES = "|".join(sorted(ENDPOINTS, key=len, reverse=True))
+register("endpoint_types", lambda s, d: K.endpoint_types(table(s, d, "documents").select("doc_id", "text"), ENDPOINTS).drop("text"), f"SELECT doc_id, coalesce(array_to_string(list_sort(list_distinct(regexp_extract_all(lower(text), {q(_ALTERNATIVES)}))), ','), '') AS endpoints FROM documents", base=False)
+
+
+def _siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    near = QUERIES["vector_topk"](spark, sf_dir).drop("rank").withColumn("occurrences", F.col("query_id") % 3)
+    parts = [K.sibling_matches(near, kind).withColumn("kind", F.lit(kind)).drop("occurrences") for kind in K.SIBLINGS]
+    return parts[0].unionByName(parts[1], True).unionByName(parts[2], True)
+
+
+register("sibling_matches", _siblings, " UNION ALL ".join(f"SELECT query_id, rank, id, similarity, '{kind}' AS kind, " + ("CASE WHEN query_id % 3 > 0 THEN 'high' ELSE 'medium' END" if kind == "code" else "NULL") + f" AS confidence FROM ({ORACLES['vector_topk']}) WHERE rank <= {k} AND similarity > {least}" for kind, (least, k) in K.SIBLINGS.items()), base=False)

@@ -143,3 +143,23 @@ def test_graph_is_kept(spark, tmp_path, hops):
     edges = G.cached_graph(lines, version, str(tmp_path / "graph"), make)
     anchors = spark.createDataFrame([(0, "line 1")], "file_id long, anchor string")
     assert {x.node for x in G.neighbors(edges, anchors, hops).collect()} == ({"x"} if hops == 1 else {"x", "line 0", "line 2"})
+
+
+def test_many_terms_in_one_pass(spark):
+    from replog.operators import issues as I
+    from replog.operators import terms as T
+
+    r = random.Random(4)
+    words = sorted({"".join(r.choice("abC") for _ in range(r.randint(1, 5))) for _ in range(1000)})
+    texts = [(k, "".join(r.choice("abcABC ") for _ in range(r.randint(0, 60)))) for k in range(50)] + [(99, None), (98, "")]
+    df = spark.createDataFrame(texts, "id long, text string").repartition(3)
+    first = list({w.lower(): w for w in reversed(words)}.values())
+    got = {x.id: set(x.terms) for x in T.with_terms(df, "text", words).collect()}
+    assert got == {k: {w for w in first if w.lower() in (t or "").lower()} for k, t in texts}
+    some = words[::7]
+    got = {x.id: x.terms for x in T.with_longest(df, "text", some).collect()}
+    assert got == {k: T.plain_longest(t or "", some) for k, t in texts}
+    assert T.with_terms(df, "text", []).filter("size(terms) > 0").count() == 0
+    lines = df.select((F.col("id") % 3).alias("file_id"), F.col("id").alias("line_number"), F.coalesce("text", F.lit("")).alias("body"))
+    many, few = (sorted(map(tuple, I.keyword_search(lines, w, 100).collect())) for w in (["abca", "bab", *["zz"] * 20], ["abca", "bab"]))
+    assert many == few and few
