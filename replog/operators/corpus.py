@@ -484,18 +484,40 @@ def endpoint_aliases(df: DataFrame, aliases: DataFrame, col: str = "endpoint") -
     return df.withColumn("_name", name).join(known, "_name", "left").withColumn("aliases", F.array_union(F.array("_name"), F.coalesce("aliases", F.array().cast("array<string>")))).drop("_name")
 
 
-#: Groups of components, by pattern.
-GROUPS = {"source": r"source|capture|oracle|db2|mysql", "target": r"target|apply|snowflake|redshift|databricks", "server": r"server|rest|api", "ui": r"\bui\b|console|web", "transformation": r"transform|filter|expression", "security": r"security|ssl|certificate|password"}
-
-
-def component_group(col: str = "component") -> Column:
-    return F.coalesce(*[F.when(F.lower(F.col(col)).rlike(p), F.lit(g)) for g, p in GROUPS.items()], F.lit("other"))
-
-
-def filter_fixes(fixes: DataFrame, keyword: str) -> DataFrame:
-    """Fixes with the keyword in any of their columns, and the group of their component."""
-    every = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in fixes.columns]))
-    return fixes.filter(every.contains(keyword.lower())).withColumn("group", component_group())
+#: Groups of components, and the columns that a keyword is looked for in.
+GROUPS = {
+    "Server / Engine": ("server", "engine", "common", "general", "setup"),
+    "Security": ("security",),
+    "Sorter": ("sorter",),
+    "Logging": ("logging", "log stream"),
+    "Apply / Load": ("batch optimized apply", "transactional apply", "full load"),
+    "Metadata": ("metadata manager", "metadata"),
+}
+FIX_FIELDS = ("fix_id", "description", "component", "type", "version", "title", "case")
+
+
+def component_group(col: str = "component", specific: Column | None = None) -> Column:
+    """The group of a component: Endpoint-Specific where the fix names the file's endpoint, Other for none of the groups and without a component."""
+    own = F.lower(F.col(col))
+    named = F.coalesce(*[F.when(own.isin(*words), F.lit(g)) for g, words in GROUPS.items()], F.lit("Other"))
+    sure = F.coalesce(specific, F.lit(False)) if specific is not None else F.lit(False)
+    return F.when(F.coalesce(F.col(col), F.lit("")) == "", "Other").when(sure, "Endpoint-Specific").otherwise(named)
+
+
+def filter_fixes(fixes: DataFrame, keyword: str = "") -> DataFrame:
+    """Fixes with the keyword in any of their fields, whatever its case (all without one), and the group of their component; a column specific says that a fix names the endpoint."""
+    every = F.lower(F.concat_ws(" ", *[F.nullif(F.col(c).cast("string"), F.lit("")) for c in FIX_FIELDS if c in fixes.columns]))
+    specific = F.col("specific") if "specific" in fixes.columns else None
+    return fixes.filter(F.contains(every, F.lit(keyword.lower()))).withColumn("group", component_group(specific=specific))
+
+
+def kb_list(kb: DataFrame, source: str | None = None, status: str | None = None, search: str | None = None, page: int = 1, size: int = 20) -> DataFrame:
+    """A page of the articles (source, status, title, indexed_at, url) of a source and status whose title has the text, the newest first, then by address."""
+    out = kb
+    for c, wanted in (("source", source), ("status", status)):
+        out = out.filter(F.col(c) == wanted) if wanted else out
+    out = out.filter(F.contains(F.lower("title"), F.lit(search.lower()))) if search else out
+    return out.orderBy(F.desc("indexed_at"), "url").offset((page - 1) * size).limit(size)
 
 
 def file_context(docs: DataFrame, k: int = 5) -> DataFrame:

@@ -714,3 +714,71 @@ def _siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 register("sibling_matches", _siblings, " UNION ALL ".join(f"SELECT query_id, rank, id, similarity, '{kind}' AS kind, " + ("CASE WHEN query_id % 3 > 0 THEN 'high' ELSE 'medium' END" if kind == "code" else "NULL") + f" AS confidence FROM ({ORACLES['vector_topk']}) WHERE rank <= {k} AND similarity > {least}" for kind, (least, k) in K.SIBLINGS.items()), base=False)
+
+
+# Queries of operators that take tables of their own, derived from the given ones.
+_NOTES = NOTES_SQL.format(orders="orders").replace("STRING", "VARCHAR")
+_ASKERS = ASKERS_SQL.format(customer="customer").replace("STRING", "VARCHAR")
+_NOTE = "'Intro ' || fix_id || '\\nJira issue: RECOB-' || substr(fix_id, 2) || '\\nSalesforce case: C' || substr(fix_id, 2) || '\\nType: Issue\\nComponent/Process: Oracle\\nDescription: text of ' || fix_id"
+register("fix_entries", lambda s, d: K.parse_fix_entries(notes(s, d).withColumn("text", F.expr(_NOTE))), "SELECT min(version) AS version, 'RECOB-' || substr(fix_id, 2) AS fix_id, 'C' || substr(fix_id, 2) AS case, 'Issue' AS type, 'Oracle' AS component, 'text of ' || fix_id AS description FROM (" + _NOTES + ") GROUP BY fix_id", base=False)
+register("fix_notes_by_version", lambda s, d: K.fix_notes_by_version(notes(s, d)), f"SELECT version, count(*) AS entries, coalesce(string_agg(DISTINCT component, ',' ORDER BY component), '') AS components FROM ({_NOTES}) GROUP BY version", base=False)
+_GROUP = "CASE WHEN coalesce(component, '') = '' THEN 'Other' WHEN fix_id LIKE '%7' THEN 'Endpoint-Specific' " + " ".join(f"WHEN lower(component) IN ({', '.join(q(w) for w in words)}) THEN {q(g)}" for g, words in K.GROUPS.items()) + " ELSE 'Other' END"
+register(
+    "filter_fixes", lambda s, d: K.filter_fixes(notes(s, d).distinct().withColumn("specific", F.col("fix_id").endswith("7")), "LOG").drop("specific"),
+    f"SELECT DISTINCT fix_id, version, component, {_GROUP} AS \"group\" FROM ({_NOTES}) WHERE contains(lower(concat_ws(' ', fix_id, component, version)), 'log')", base=False,
+)
+register("note_versions", lambda s, d: K.versions(notes(s, d)), f"SELECT version, row_number() OVER (ORDER BY {_KEY('version')} DESC NULLS LAST, version) AS rank FROM (SELECT DISTINCT version FROM ({_NOTES}))", base=False)
+register("chunks_by_version", lambda s, d: K.chunks_by_version(notes(s, d), "May 2015"), f"SELECT * FROM ({_NOTES}) WHERE version = 'May 2015'", base=False)
+
+
+def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    names = F.get(F.array(*map(F.lit, ("Oracle", "MySQL", "PostgreSQL"))), (F.col("n_nationkey") % 4).cast("int"))
+    known = table(spark, sf_dir, "nation").select(names.alias("name"), F.concat(F.lit("A"), F.col("n_nationkey").cast("string")).alias("alias")).filter("name is not null")
+    return K.endpoint_aliases(askers(spark, sf_dir).filter("endpoint is not null"), known).select("file_id", F.array_join(F.array_sort("aliases"), ",").alias("aliases"))
+
+
+_NAME = "trim(regexp_replace(lower(endpoint), '\\b(source|target|endpoint)\\b', '', 'g'))"
+register("endpoint_aliases", _aliases, f"""WITH known AS (SELECT CASE n_nationkey % 4 WHEN 0 THEN 'oracle' WHEN 1 THEN 'mysql' WHEN 2 THEN 'postgresql' END AS name, 'a' || n_nationkey AS alias FROM nation)
+SELECT file_id, array_to_string(list_sort(list_distinct(list_append(coalesce(list(alias) FILTER (alias IS NOT NULL), []), any_value(own)))), ',') AS aliases FROM (SELECT file_id, {_NAME} AS own FROM ({_ASKERS}) WHERE endpoint IS NOT NULL) LEFT JOIN known ON own = name GROUP BY file_id""", base=False)
+
+
+def _tuning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = lambda c: F.concat(F.lit("e"), c.cast("long").cast("string"))
+    key = F.col("n_nationkey")
+    ends = table(spark, sf_dir, "nation").select(text(key).alias("endpoint"), F.when(key > 0, text(F.floor(key / 3))).alias("based_on"))
+    own = table(spark, sf_dir, "supplier").filter("s_nationkey % 4 = 1 or s_nationkey = 0").groupBy(text(F.col("s_nationkey")).alias("endpoint"), F.concat(F.lit("p"), (F.col("s_suppkey") % 5).cast("string")).alias("name")).agg(F.max("s_suppkey").alias("value"))
+    return K.tuning_params(ends, own, ["p0", "p2", "p4"])
+
+
+register("tuning_params", _tuning, """WITH RECURSIVE own AS (SELECT s_nationkey AS e, 'p' || (s_suppkey % 5) AS name, max(s_suppkey) AS value FROM supplier WHERE s_nationkey % 4 = 1 OR s_nationkey = 0 GROUP BY ALL),
+up AS (SELECT n_nationkey AS e, n_nationkey AS a, 0 AS depth FROM nation UNION ALL SELECT e, a // 3, depth + 1 FROM up WHERE a > 0 AND depth < 5)
+SELECT 'e' || e AS endpoint, name, value, depth FROM (SELECT up.e, name, value, depth, row_number() OVER (PARTITION BY up.e, name ORDER BY depth) AS k FROM up JOIN own ON own.e = a WHERE name IN ('p0', 'p2', 'p4')) WHERE k = 1""", base=False)
+register("unknown_params", lambda s, d: K.unknown_params(_reports(s, d), s.createDataFrame([("MaxFileSize",)], "name string"), "report_id", "text"), f"SELECT report_id, name FROM (SELECT DISTINCT event_id AS report_id, unnest(regexp_extract_all({_TEXT}, '`([A-Za-z_]\\w+)`', 1)) AS name FROM events) WHERE name <> 'MaxFileSize'", base=False)
+register("unseen_articles", lambda s, d: K.unseen_articles(table(s, d, "pages").select("url"), table(s, d, "pages").filter("page_id % 3 = 0").select("url")), "SELECT url FROM pages WHERE url NOT IN (SELECT url FROM pages WHERE page_id % 3 = 0)", base=False)
+
+
+def _kb(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pick = lambda c, *names: F.get(F.array(*map(F.lit, names)), (c % len(names)).cast("int"))
+    key = F.col("page_id")
+    return table(spark, sf_dir, "pages").select("url", pick(key, "kb_article", "markdown").alias("source"), pick(key, "indexed", "failed", "pending").alias("status"), F.col("url").alias("title"), (key * 7 % 1000).alias("indexed_at"), (key % 5).alias("chunks_count"))
+
+
+_KB = "(SELECT url, CASE page_id % 2 WHEN 0 THEN 'kb_article' ELSE 'markdown' END AS source, CASE page_id % 3 WHEN 0 THEN 'indexed' WHEN 1 THEN 'failed' ELSE 'pending' END AS status, url AS title, page_id * 7 % 1000 AS indexed_at, page_id % 5 AS chunks_count FROM pages)"
+register("kb_registry_stats", lambda s, d: K.kb_registry_stats(_kb(s, d)), f"SELECT source, status, count(*) AS articles, CAST(sum(chunks_count) AS BIGINT) AS chunks FROM {_KB} GROUP BY ALL", base=False)
+register("kb_list", lambda s, d: K.kb_list(_kb(s, d), "markdown", "failed", "A", 2, 10), f"SELECT * FROM {_KB} WHERE source = 'markdown' AND status = 'failed' AND contains(lower(title), 'a') ORDER BY indexed_at DESC, url LIMIT 10 OFFSET 10", base=False)
+register("feedback_mismatch", lambda s, d: K.feedback_mismatch(table(s, d, "events").select("event_id", F.array("event_type", F.lit("view")).alias("suggested_sources"), F.when(F.col("event_id") % 3 == 0, "view").otherwise("error").alias("actual_source"))), "SELECT event_id, array_to_string(list_sort([event_type, 'view']), ',') AS suggested_sources, CASE WHEN event_id % 3 = 0 THEN 'view' ELSE 'error' END AS actual_source, CASE WHEN event_id % 3 = 0 THEN FALSE ELSE event_type <> 'error' END AS mismatch FROM events", base=False)
+register("empty_response_rate", lambda s, d: I.empty_response_rate(table(s, d, "conversations").select(F.col("role").alias("model"), F.when(F.col("turn") % 3 > 0, F.col("text")).otherwise(F.when(F.col("turn") == 0, "  ")).alias("response"))), "SELECT role AS model, count(*) AS requests, count(*) FILTER (turn % 3 = 0 OR trim(coalesce(text, '')) = '') AS empties, round(count(*) FILTER (turn % 3 = 0 OR trim(coalesce(text, '')) = '')::DOUBLE / count(*), 4) AS rate FROM conversations GROUP BY role", base=False)
+
+_NEAREST = lambda s, d: QUERIES["vector_topk"](s, d).drop("rank")
+register("fuse_matches", lambda s, d: K.fuse_matches(_NEAREST(s, d).withColumns({"has_code": F.col("query_id") % 2 == 0, "code_in_text": F.col("id") % 3 == 0})), f"""SELECT *, first_value(similarity) OVER (PARTITION BY query_id ORDER BY rank) > 0.6 AS confident FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM (
+  SELECT query_id, id, similarity, query_id % 2 = 0 AS has_code, id % 3 = 0 AS code_in_text, round(similarity + CASE WHEN id % 3 = 0 THEN 0.2 ELSE 0.0 END, 6) AS score FROM ({ORACLES['vector_topk']}) WHERE similarity >= CASE WHEN query_id % 2 = 0 THEN 0.15 ELSE 0.3 END)) WHERE rank <= 3""", base=False)
+register("context_matches", lambda s, d: K.context_matches(_NEAREST(s, d).select((F.col("query_id") % 300).alias("file_id"), "query_id", F.concat(F.lit("u"), (F.col("id") % 7).cast("string")).alias("url"), "similarity")), f"""SELECT file_id, query_id, url, similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY file_id ORDER BY similarity DESC, url) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY file_id, url ORDER BY similarity DESC, query_id) AS k FROM (SELECT query_id % 300 AS file_id, query_id, 'u' || (id % 7) AS url, similarity FROM ({ORACLES['vector_topk']})) WHERE similarity >= 0.22) WHERE k = 1) WHERE rank <= 10""", base=False)
+register("file_context", lambda s, d: K.file_context(K.embed_documents(table(s, d, "documents").select(F.col("source").alias("file_id"), F.col("lang").alias("kind"), F.coalesce("text", F.lit("")).alias("text")))).select("file_id", "kind", "id"), "SELECT file_id, kind, id FROM (SELECT *, row_number() OVER (PARTITION BY file_id, kind ORDER BY id) AS k FROM (SELECT DISTINCT source AS file_id, lang AS kind, concat_ws('_', source, lang, substr(md5(coalesce(text, '')), 1, 12)) AS id FROM documents)) WHERE k <= 5", base=False)
+
+over_lines("packed_errors", errors(lambda e: G.pack_to_budget(e.select("file_id", "line_number", "text"), 300, ["file_id"], ["line_number"])), "SELECT * FROM (SELECT *, CAST(sum(tokens) OVER (PARTITION BY file_id ORDER BY line_number) AS BIGINT) AS used FROM (SELECT file_id, line_number, text, greatest(1, length(text) // 4) AS tokens FROM errors)) WHERE used <= 300")
+over_lines("anchor_budgets", errors(lambda e: G.anchor_budget(e.select("file_id", F.col("line_number").alias("anchor"), (F.col("line_number") % 3 == 0).alias("weak")))), "SELECT file_id, anchor, weak, greatest(80, 600 // count(*) OVER (PARTITION BY file_id)) AS budget FROM (SELECT file_id, line_number AS anchor, FALSE AS weak, row_number() OVER (PARTITION BY file_id ORDER BY line_number) AS k FROM errors WHERE line_number % 3 <> 0) WHERE k <= 3")
+over_lines("findings_near", errors(lambda e: G.findings_near(e.filter("line_number % 5 = 0").select("file_id", "line_number"), e).select("file_id", "line_number", "error_line")), "SELECT a.file_id, a.line_number, b.line_number AS error_line FROM errors a JOIN errors b ON a.file_id = b.file_id AND abs(a.line_number - b.line_number) < 50 WHERE a.line_number % 5 = 0")
+over_lines("recent_files", lambda ln: I.recent_files(S.register_files(ln).select("file_id", F.col("last_timestamp").alias("upload_time")), 3, [7]), f"SELECT file_id, {TIME('t', 'upload_time')} FROM (SELECT *, row_number() OVER (ORDER BY t DESC, file_id) AS k FROM (SELECT file_id, max(timestamp) AS t FROM lines GROUP BY file_id)) WHERE k <= 3 OR file_id = 7")
+over_lines("facts_once", errors(lambda e: I.dedupe_facts(e.select("file_id", F.when(F.col("line_number") % 2 == 0, F.col("line_number")).alias("line_number"), F.col("component").alias("label"), F.col("line_number").alias("ord")))), "SELECT file_id, line_number, label, ord FROM (SELECT *, row_number() OVER (PARTITION BY file_id, coalesce(CAST(line_number AS VARCHAR), label) ORDER BY ord) AS k FROM (SELECT file_id, CASE WHEN line_number % 2 = 0 THEN line_number END AS line_number, component AS label, line_number AS ord FROM errors)) WHERE k = 1")
+over_lines("apply_methods", lambda ln: A.apply_methods(R.parse_apply(ln).filter("kind = 'start'").select("file_id", "table_name", F.col("op").alias("apply_method"), F.col("n").alias("operation_count"))), "SELECT file_id, table_name, op AS apply_method, CAST(sum(n) AS BIGINT) AS operations FROM applied WHERE kind = 'start' GROUP BY ALL")
