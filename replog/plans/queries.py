@@ -177,8 +177,8 @@ over_lines("pain_tables", lambda ln: A.pain_tables(E.table_stats(ln)))
 over_lines("merge_breakdown", lambda ln: A.merge_breakdown(E.table_stats(ln)))
 over_lines("tables_seen", A.tables_seen, f"SELECT DISTINCT file_id, {rx(P.TABLE)} || '.' || {rx(P.TABLE, 2)} AS table_name FROM lines WHERE component = 'TARGET_APPLY' AND {has(P.TABLE)}")
 over_lines("unified_tables", lambda ln: K.unified_tables(E.table_stats(ln), R.parse_bulk_map(ln)))
-over_lines("cockpit", A.cockpit)
-over_lines("recommendations", lambda ln: A.recommendations(A.cockpit(ln)))
+over_lines("cockpit", lambda ln: A.cockpit(written(ln)))
+over_lines("recommendations", lambda ln: A.recommendations(A.cockpit(written(ln))))
 over_lines("errors_by_component", errors(I.errors_by_component), "SELECT file_id, component, count(*) AS errors FROM errors GROUP BY ALL")
 over_lines("error_aggregates", errors(I.error_aggregates))
 over_lines("top_errors", errors(I.top_errors), "SELECT file_id, text, n, rank FROM (SELECT file_id, text, count(*) AS n, row_number() OVER (PARTITION BY file_id ORDER BY count(*) DESC, text) AS rank FROM errors GROUP BY file_id, text) WHERE rank <= 10")
@@ -728,7 +728,7 @@ register(
     f"SELECT DISTINCT fix_id, version, component, {_GROUP} AS \"group\" FROM ({_NOTES}) WHERE contains(lower(concat_ws(' ', fix_id, component, version)), 'log')", base=False,
 )
 register("note_versions", lambda s, d: K.versions(notes(s, d)), f"SELECT version, row_number() OVER (ORDER BY {_KEY('version')} DESC NULLS LAST, version) AS rank FROM (SELECT DISTINCT version FROM ({_NOTES}))", base=False)
-register("chunks_by_version", lambda s, d: K.chunks_by_version(notes(s, d), "May 2015"), f"SELECT * FROM ({_NOTES}) WHERE version = 'May 2015'", base=False)
+register("chunks_by_version", lambda s, d: K.chunks_by_version(notes(s, d), "May 2025"), f"SELECT * FROM ({_NOTES}) WHERE version = 'May 2025'", base=False)
 
 
 def _aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -782,3 +782,18 @@ over_lines("findings_near", errors(lambda e: G.findings_near(e.filter("line_numb
 over_lines("recent_files", lambda ln: I.recent_files(S.register_files(ln).select("file_id", F.col("last_timestamp").alias("upload_time")), 3, [7]), f"SELECT file_id, {TIME('t', 'upload_time')} FROM (SELECT *, row_number() OVER (ORDER BY t DESC, file_id) AS k FROM (SELECT file_id, max(timestamp) AS t FROM lines GROUP BY file_id)) WHERE k <= 3 OR file_id = 7")
 over_lines("facts_once", errors(lambda e: I.dedupe_facts(e.select("file_id", F.when(F.col("line_number") % 2 == 0, F.col("line_number")).alias("line_number"), F.col("component").alias("label"), F.col("line_number").alias("ord")))), "SELECT file_id, line_number, label, ord FROM (SELECT *, row_number() OVER (PARTITION BY file_id, coalesce(CAST(line_number AS VARCHAR), label) ORDER BY ord) AS k FROM (SELECT file_id, CASE WHEN line_number % 2 = 0 THEN line_number END AS line_number, component AS label, line_number AS ord FROM errors)) WHERE k = 1")
 over_lines("apply_methods", lambda ln: A.apply_methods(R.parse_apply(ln).filter("kind = 'start'").select("file_id", "table_name", F.col("op").alias("apply_method"), F.col("n").alias("operation_count"))), "SELECT file_id, table_name, op AS apply_method, CAST(sum(n) AS BIGINT) AS operations FROM applied WHERE kind = 'start' GROUP BY ALL")
+
+_MERGED = f""", stats0 AS (SELECT file_id, component, thread_id, count(*) AS message_count, arg_min(timestamp, line_number) AS first_ts, arg_max(timestamp, line_number) AS last_ts FROM lines WHERE component IS NOT NULL AND thread_id IS NOT NULL GROUP BY ALL),
+asm AS (SELECT file_id, thread_id, {rx(P.ASM_READ)} AS stmt, count(*) AS n FROM lines WHERE component = 'SOURCE_CAPTURE' AND {has(P.ASM_READ)} GROUP BY ALL),
+worker AS (SELECT s.* FROM stats0 s JOIN (SELECT file_id, thread_id, sum(n) AS n FROM asm GROUP BY ALL) t ON s.file_id = t.file_id AND s.thread_id = t.thread_id AND s.component = 'SOURCE_CAPTURE' AND s.message_count = t.n),
+merged AS (SELECT * FROM stats0 s WHERE NOT EXISTS (SELECT 1 FROM worker w WHERE w.file_id = s.file_id AND w.component = s.component AND w.thread_id = s.thread_id)
+  UNION ALL SELECT a.file_id, 'SOURCE_CAPTURE', '__asm:' || stmt || ':' || count(DISTINCT a.thread_id), CAST(sum(n) AS BIGINT), min(first_ts), max(last_ts) FROM asm a JOIN worker w ON a.file_id = w.file_id AND a.thread_id = w.thread_id GROUP BY a.file_id, stmt)
+SELECT file_id, component, thread_id, message_count, {TIME('first_ts')}, {TIME('last_ts')} FROM merged"""
+ORACLES["merge_worker_threads"] = f"{BASE} {_MERGED}"
+over_loads("merge_worker_threads_of_loads", lambda ln: E.merge_worker_threads(E.component_stats(ln), ln), _MERGED)
+_SPAN = "epoch(strptime(end_timestamp, '%Y-%m-%d %H:%M:%S')) - epoch(strptime(start_timestamp, '%Y-%m-%d %H:%M:%S'))"
+ORACLES["one_by_one_script"] = f"""{LOADS}, span AS ({ORACLES["one_by_one_intervals"].removeprefix(LOADS)}),
+ran AS (SELECT file_id, line_number, CAST({rx(P.RUN_STATEMENT, 3)} AS BIGINT) - CAST({rx(P.RUN_STATEMENT, 2)} AS BIGINT) + 1 AS events FROM lines WHERE {has(P.RUN_STATEMENT)})
+SELECT s.file_id, table_name, count(*) AS switches, CAST(sum(events) AS BIGINT) AS events, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum({_SPAN}) AS DOUBLE) AS total_seconds, CAST(max({_SPAN}) AS DOUBLE) AS max_seconds
+FROM span s ASOF LEFT JOIN ran r ON s.file_id = r.file_id AND s.start_line >= r.line_number GROUP BY ALL"""
+ORACLES["worker_threads"] = f"SELECT file_id, component, thread_id, message_count FROM ({ORACLES['merge_worker_threads_of_loads']})"
