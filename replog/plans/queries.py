@@ -476,7 +476,7 @@ _EDGES = f"""edge AS (SELECT file_id, 'error:' || line_number AS src, 'component
   UNION ALL SELECT file_id, 'error:' || line_number, 'code:' || error_code, 1.5e0, 'EXTRACTED' FROM errors WHERE error_code IS NOT NULL
   UNION ALL SELECT DISTINCT w.file_id, 'error:' || w.line_number, 'batch:' || t.b, 0.8e0, 'EXTRACTED' FROM (SELECT file_id, line_number, unnest(regexp_split_to_array(lower(text), '[^\\w]+')) AS word FROM errors) w
     JOIN (SELECT file_id, line_number AS b, lower(regexp_extract(unnest(tabs), '([^.]+)$', 1)) AS word FROM timed WHERE start_timestamp IS NOT NULL AND end_timestamp IS NOT NULL) t ON w.file_id = t.file_id AND w.word = t.word WHERE t.word <> ''
-  UNION ALL SELECT file_id, 'error:' || a, 'error:' || b, CAST(weight AS DOUBLE), 'INFERRED' FROM ({ORACLES["cooccurring_errors"].removeprefix(BASE)})),
+  UNION ALL SELECT file_id, 'error:' || a, 'error:' || b, greatest(0.2e0, 1 - (b - a) / 50e0), 'INFERRED' FROM ({ORACLES["cooccurring_errors"].removeprefix(BASE)})),
 near AS (SELECT file_id, src, dst, max(weight) AS weight, arg_max(provenance, {{'w': weight, 'e': provenance = 'EXTRACTED'}}) AS provenance
   FROM (SELECT file_id, src, dst, weight, provenance FROM edge UNION ALL SELECT file_id, dst, src, weight, provenance FROM edge) GROUP BY ALL)"""
 _NEIGHBORS = f"""{BASE}, {_EDGES}, anchor AS (ANCHORS),
