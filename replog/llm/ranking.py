@@ -34,7 +34,7 @@ from .hashed import TERMS, hashed, slices
 
 GROUP_BYTES, SAMPLE = 4_000_000, 32
 #: Documents of a block and its postings, at most about; documents and items of a leaf; children of a node.
-BLOCK, POSTINGS, LEAF_DOCS, LEAF_ITEMS, FAN = 512, 400_000, 16, 8, 8
+BLOCK, POSTINGS, LEAF_DOCS, LEAF_ITEMS, FAN = 512, 400_000, 2, 2, 8
 BLOCKS = "block long, docs int, words long, ids array<{kind}>, sizes binary, lengths binary, m int, terms binary, counts binary"
 
 
