@@ -1,16 +1,19 @@
 """Operator 1: document fingerprints by a randomised edit embedding.
 
-All texts take the same random walk over their characters: at each step of the embedding the current character is written down, and a bit
+All texts take the same random walks over their characters: at each step of an embedding the current character is written down, and a bit
 shared by all texts, drawn for the step and the character, says whether to move on to the next one. Texts at a small edit distance fall back
-into step, so their embeddings are at a small Hamming distance. A fingerprint samples the embedding: each of its slots has a random priority
-for every step and takes the step of the lowest priority that the embedding has, so that long and short texts are sampled alike, over the
-whole of their length, and texts with a common part sample it at the same steps. A slot keeps eight bits of what is written there.
+into step, so their embeddings are at a small Hamming distance. One walk may miss where two texts meet again and then differs to their end, so
+there are several independent walks, each sampled by itself. A fingerprint samples the embeddings: each of its slots has a random priority
+for every step of its walk and takes the step of the lowest priority that the embedding has, so that long and short texts are sampled alike,
+over the whole of their length, and texts with a common part sample it at the same steps. A slot keeps sixteen bits of what is written there.
 
-Two fingerprints' likeness is the share of equal slots above what chance gives. Near documents are found by banding: bands of slots bring
-together documents that agree on all of one band, and likeness verifies all pairs of what bands join.
+Two fingerprints' likeness is the mean, over the better half of the walks, of the share of equal slots above what chance gives. Near documents
+are found by banding: bands of slots of one walk bring together documents that agree on all of one band, so that one walk that held suffices.
+Likeness verifies all pairs of what bands join; pairs less alike that share a bucket with its smallest id are verified by their texts' edit distance.
 
 Edge cases: a null text counts as empty; an empty text has the fingerprint of an embedding without steps, alike only to itself; rows that
-repeat are fingerprinted each; long texts are walked whole; an empty table gives an empty result.
+repeat are fingerprinted each; long texts are walked whole; a row with a null id has no place in the order of ids, so that what follows it is
+the empty text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,24 +30,38 @@ from pyspark.sql import functions as F
 from .common import cut, map_batches, plain, texts
 from .components import components, fewer_links
 
-SLOTS = 128
-#: The shared bits repeat after so many steps; classes of characters that share bits.
-PERIOD, CLASSES = 1024, 256
-#: Bands, and the slots in each.
-BANDS, WIDTH = 24, 4
+#: Independent walks, and the slots of a fingerprint, as many of each walk.
+WALKS, SLOTS = 8, 128
+PER_WALK = SLOTS // WALKS
+#: Characters that a slot looks at from its step on, its hexadecimal digits, and the chance that unlike ones are equal.
+READ, DIGITS, CHANCE = 6, 4, 1 / 65536
+FACTORS = np.array([pow(0x9E3779B1, k + 1, 1 << 32) for k in range(READ)], np.uint32)
+#: The walks read one sequence of random bits, of this length, from a place of its own for each walk and class of characters.
+PERIOD, CLASSES = 1 << 17, 256
+#: Bands of each walk, and the slots in each.
+BANDS, WIDTH = 8, 2
 #: Classes of a block, about, when a cluster is compared.
 BLOCK = 1024
+#: Pairs of one head and one copy of its text, about, when texts are compared.
+HEAD_PAIRS = 1000
+#: Characters walked at once, about; texts left in step below which each is walked by itself.
+GROUP, FEW = 4_000_000, 6
+#: Least likeness at which texts are compared, and the edits that near texts may be apart, as a share of the longer.
+PLAUSIBLE, EDITS = 0.03, 0.05
 
 
 @cache
-def walk_table() -> list[list[int]]:
-    """For a class of characters and a step: how many steps the character stays."""
-    bits = np.random.default_rng(20240101).integers(0, 2, (CLASSES, PERIOD), dtype=np.int8)
-    out = []
-    for row in bits:
-        ones = np.flatnonzero(np.concatenate((row, row)))
-        out.append((ones[np.searchsorted(ones, np.arange(PERIOD))] + 1 - np.arange(PERIOD)).tolist())
-    return out
+def stays() -> np.ndarray:
+    """For a place in the sequence of bits: how many steps a character stays."""
+    bits = np.random.default_rng(20240101).integers(0, 2, PERIOD, dtype=np.int8)
+    ones = np.flatnonzero(np.concatenate((bits, bits)))
+    return (ones[np.searchsorted(ones, np.arange(PERIOD))] + 1 - np.arange(PERIOD)).astype(np.uint8)
+
+
+@cache
+def places() -> np.ndarray:
+    """Where the bits of a class of characters (row) begin for a walk (column)."""
+    return np.random.default_rng(11).integers(0, PERIOD, (CLASSES, WALKS))
 
 
 @cache
@@ -63,61 +80,154 @@ def sample_steps() -> np.ndarray:
     return out
 
 
-def walk(text: str, start: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """The text's code points, and for each the step of the embedding at which the walk leaves it."""
-    code = np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
-    kind = ((code * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8).tobytes()
-    table, mask, j = walk_table(), PERIOD - 1, start
-    return code, np.fromiter([j := j + table[c][j & mask] for c in kind], np.int64, len(code))
+def code_points(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "replace"), np.uint32)
+
+
+def walks(codes: list[np.ndarray], start: np.ndarray | None = None) -> list[np.ndarray]:
+    """For each text and walk, and each of its characters, the step of the embedding at which the walk leaves it; start has the step at which each begins.
+
+    Texts go in step, the longest first, so that one operation moves all of them by a character; the last few go by themselves."""
+    if not codes:
+        return []
+    stay, place, mask = stays(), places(), PERIOD - 1
+    n = np.array([len(c) for c in codes], np.int64)
+    kind = ((np.concatenate(codes) * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype(np.uint8)
+    flat, first = np.empty(WALKS * int(n.sum()), np.uint32), np.cumsum(n) - n
+    order = np.argsort(-n, kind="stable")
+    size, at = n[order], first[order]
+    to = WALKS * at[:, None] + size[:, None] * np.arange(WALKS)
+    j = (np.zeros((len(n), WALKS), np.int64) if start is None else np.asarray(start, np.int64))[order]
+    done = 0
+    for left in np.searchsorted(-size, -np.arange(int(size[0])), "left").tolist():
+        if left < FEW:
+            break
+        here = j[:left]
+        here += stay[(here + place[kind[at[:left] + done]]) & mask]
+        flat[to[:left] + done] = here
+        done += 1
+    steps = stay.tobytes()
+    for d in range(int((size > done).sum())):
+        rest = kind[at[d] + done : at[d] + size[d]].tobytes()
+        for w in range(WALKS):
+            begin, x = place[:, w].tolist(), int(j[d, w])
+            flat[to[d, w] + done : to[d, w] + size[d]] = np.fromiter((x := x + steps[(x + begin[c]) & mask] for c in rest), np.int64, len(rest))
+    return [flat[WALKS * a : WALKS * (a + b)].reshape(WALKS, b) for a, b in zip(first.tolist(), n.tolist(), strict=True)]
 
 
 def sample(code: np.ndarray, ends: np.ndarray) -> str:
-    """The fingerprint of a walked text, two hexadecimal digits for each slot."""
+    """The fingerprint of a walked text, four hexadecimal digits for each slot, walk by walk."""
     if not len(code):
-        return "00" * SLOTS
+        return "0" * DIGITS * SLOTS
     steps = sample_steps()
-    steps = steps[np.arange(SLOTS), (steps < ends[-1]).sum(1) - 1]
-    at = np.searchsorted(ends, steps, side="right")
-    # what is written at a step: the character there and the next two, mixed to eight bits
-    a, b, c = code[at], code[np.minimum(at + 1, len(code) - 1)], code[np.minimum(at + 2, len(code) - 1)]
-    mixed = (a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA6B) + c * np.uint32(0xC2B2AE35)) ^ (steps.astype(np.uint32) * np.uint32(0x27D4EB2F))
+    steps = steps[np.arange(SLOTS), (steps < np.repeat(ends[:, -1].astype(np.int64), PER_WALK)[:, None]).sum(1) - 1]
+    at = np.concatenate([np.searchsorted(ends[w], steps[PER_WALK * w : PER_WALK * (w + 1)].astype(np.uint32), side="right") for w in range(WALKS)])
+    # what is written at a step: the character there and the next few, mixed to sixteen bits
+    near = code[np.minimum(at[:, None] + np.arange(READ), len(code) - 1)]
+    mixed = (near * FACTORS).sum(1, dtype=np.uint32) ^ (steps.astype(np.uint32) * np.uint32(0x27D4EB2F))
     mixed = (mixed ^ (mixed >> np.uint32(15))) * np.uint32(0x2C1B3C6D)
-    return (mixed >> np.uint32(24)).astype(np.uint8).tobytes().hex()
+    return (mixed >> np.uint32(16)).astype(np.uint16).tobytes().hex()
 
 
-def fingerprint(text: str) -> str:
-    return sample(*walk(text))
+def groups(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of consecutive texts with most characters, about, in all."""
+    a = total = 0
+    for k, n in enumerate(sizes):
+        total += n
+        if total >= most:
+            yield a, k + 1
+            a, total = k + 1, 0
+    if a < len(sizes):
+        yield a, len(sizes)
 
 
-def edited_fingerprint(walked: tuple[np.ndarray, np.ndarray], keep: int, tail: str) -> str:
-    """The fingerprint of a walked text's first characters followed by tail; the walk goes on from where they end."""
-    code, ends = walked
-    more, later = walk(tail, int(ends[keep - 1]) if keep else 0)
-    return sample(np.concatenate((code[:keep], more)), np.concatenate((ends[:keep], later)))
+def marks(every: list[str]) -> list[str]:
+    """The fingerprints of texts."""
+    out = []
+    for a, z in groups([len(t) for t in every], GROUP):
+        codes = [code_points(t) for t in every[a:z]]
+        out += [sample(c, e) for c, e in zip(codes, walks(codes), strict=True)]
+    return out
+
+
+def fingerprint(text: str) -> str:
+    return marks([text])[0]
 
 
 def likeness(a: Column, b: Column) -> Column:
     """The likeness (0 to 1) of two fingerprints."""
-    same = F.size(F.filter(F.sequence(F.lit(0), F.lit(SLOTS - 1)), lambda i: F.substring(a, i * 2 + 1, F.lit(2)) == F.substring(b, i * 2 + 1, F.lit(2))))
-    return F.greatest(F.lit(0.0), (same / SLOTS - 1 / 256) / (1 - 1 / 256))
+    slot = lambda x, i: F.substring(x, i * DIGITS + 1, F.lit(DIGITS))
+    same = lambda w: F.size(F.filter(F.sequence(w * PER_WALK, (w + 1) * PER_WALK - 1), lambda i: slot(a, i) == slot(b, i)))
+    share = F.transform(F.sequence(F.lit(0), F.lit(WALKS - 1)), lambda w: F.greatest(F.lit(0.0), (same(w) / PER_WALK - CHANCE) / (1 - CHANCE)))
+    best = F.slice(F.sort_array(share, asc=False), 1, WALKS // 2)
+    return F.aggregate(best, F.lit(0.0), lambda total, x: total + x) / (WALKS // 2)
+
+
+def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The likeness of fingerprints (rows of x) to one (y), or of rows to rows."""
+    same = (x == y).reshape(-1, WALKS, PER_WALK).mean(2)
+    share = np.maximum(0.0, (same - CHANCE) / (1 - CHANCE))
+    return np.sort(share, 1)[:, WALKS - WALKS // 2 :].mean(1)
 
 
 def _like(a: str, b: str) -> float:
-    x, y = (np.frombuffer(bytes.fromhex(v), np.uint8) for v in (a, b))
-    return max(0.0, (float((x == y).mean()) - 1 / 256) / (1 - 1 / 256))
+    return float(alike(*(np.frombuffer(bytes.fromhex(v), np.uint16)[None] for v in (a, b)))[0])
+
+
+def within(a: np.ndarray, b: np.ndarray, most: int) -> bool:
+    """Whether two texts (code points) are at most so many edits apart.
+
+    Differences of a column of the edit table are bits of two whole numbers, of which only the band that so few edits can reach is kept; what lies
+    outside counts as larger than it is, which no cheapest path within the band minds. It ends where a whole column is beyond the bound."""
+    n = min(len(a), len(b))
+    head = n if (same := a[:n] == b[:n]).all() else int(same.argmin())
+    a, b = a[head:], b[head:]
+    n = min(len(a), len(b))
+    same = a[len(a) - n :][::-1] == b[len(b) - n :][::-1]
+    tail = n if same.all() else int(same.argmin())
+    a, b = a[: len(a) - tail], b[: len(b) - tail]
+    if abs(len(a) - len(b)) > most:
+        return False
+    if not len(a) or not len(b):
+        return True
+    step, top, low, high, up, down = max(64, most), 0, 0, 0, 0, 0
+    for begin in range(0, len(b), step):
+        end = min(len(b), begin + step)
+        if (new := max(0, begin - most)) > low:
+            gone = (1 << (new - low)) - 1
+            top += (up & gone).bit_count() - (down & gone).bit_count()
+            up, down, low = up >> (new - low), down >> (new - low), new
+        bottom = min(len(a), end + most)
+        up |= ((1 << (bottom - high)) - 1) << (high - low)
+        high = bottom
+        rows, full, where = a[low:high], (1 << (high - low)) - 1, {}
+        for c in b[begin:end].tolist():
+            if (eq := where.get(c)) is None:
+                eq = where[c] = int.from_bytes(np.packbits(rows == c, bitorder="little").tobytes(), "little")
+            vertical = eq | down
+            across = (((eq & up) + up) ^ up) | eq
+            more, less = ((down | ~(across | up)) << 1 | 1) & full, ((up & across) << 1) & full
+            up, down = (less | ~(vertical | more)) & full, more & vertical & full
+            top += 1
+        size = (high - low + 7) // 8
+        column = [np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), bitorder="little").astype(np.int64) for v in (up, down)]
+        if min(top, top + int(np.cumsum(column[0] - column[1])[: high - low].min())) > most:
+            return False
+    return top + up.bit_count() - down.bit_count() <= most
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and fingerprint for every row of docs."""
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_batches(plain(docs, id_col, text_col), lambda: lambda b: pa.record_batch([b.column(0), pa.array(map(fingerprint, texts(b)), pa.string())], ["doc_id", "fingerprint"]), f"doc_id {kind}, fingerprint string")
+    return map_batches(plain(docs, id_col, text_col), lambda: lambda b: pa.record_batch([b.column(0), pa.array(marks(texts(b)), pa.string())], ["doc_id", "fingerprint"]), f"doc_id {kind}, fingerprint string")
 
 
 def bands(found: DataFrame) -> DataFrame:
-    """doc_id, fingerprint and one row a band: its number and the bits sampled for it."""
-    size = 2 * WIDTH
-    keys = F.array(*[F.substring("fingerprint", 1 + size * k, size) for k in range(BANDS)])
-    return found.select("doc_id", "fingerprint", F.posexplode(keys).alias("band", "key"))
+    """doc_id and one row a band: the key of its bucket, a hash of the band's number and the bits sampled for it."""
+    size = DIGITS * WIDTH
+    starts = [(w * BANDS + k, 1 + DIGITS * PER_WALK * w + size * k) for w in range(WALKS) for k in range(BANDS)]
+    keys = F.array(*[F.xxhash64(F.lit(n), F.substring("fingerprint", at, size)) for n, at in starts])
+    return found.select("doc_id", F.explode(keys).alias("key"))
 
 
 def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
@@ -125,7 +235,7 @@ def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
 
     def one(group: pa.Table) -> pa.Table:
         mark, ids, block = group["fingerprint"].to_pylist(), group["class_id"].to_pylist(), group["block"].to_numpy()
-        x = np.frombuffer(bytes.fromhex("".join(mark)), np.uint8).reshape(-1, SLOTS)
+        x = np.frombuffer(bytes.fromhex("".join(mark)), np.uint16).reshape(-1, SLOTS)
         low, high = group["low"][0].as_py(), group["high"][0].as_py()
         a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
         links, near, root = [0] * len(ids), list(ids), list(range(len(ids)))
@@ -140,8 +250,7 @@ def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
             links[k] += 1
 
         for k in a.tolist():
-            like = ((x[b] == x[k]).mean(1) - 1 / 256) / (1 - 1 / 256)
-            for j in b[np.maximum(0.0, like) >= least].tolist():
+            for j in b[alike(x[b], x[k]) >= least].tolist():
                 if ids[j] == ids[k]:
                     continue
                 add(k, j)
@@ -157,17 +266,41 @@ def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
     return one
 
 
+def near_in_text(candidates: DataFrame, own: DataFrame, docs: DataFrame, least: float, kind: str) -> DataFrame:
+    """Links (as _verify gives them, both ways) of the candidates a, b whose likeness is below least, but whose texts are at most EDITS of the longer apart.
+
+    own has class_id and fingerprint, docs doc_id and text. A head's text is copied once for about HEAD_PAIRS of its pairs, so that none has all of them in one task."""
+    marked = candidates.join(own.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("mark_a")), "a").join(own.select(F.col("class_id").alias("b"), F.col("fingerprint").alias("mark_b")), "b")
+    pairs = cut(marked.withColumn("like", likeness(F.col("mark_a"), F.col("mark_b"))).filter((F.col("like") >= PLAUSIBLE) & (F.col("like") < least)).drop("like"))
+    copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HEAD_PAIRS)).cast("int").alias("copies"))
+    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("x")).select("doc_id", F.coalesce("x.text", F.lit("")).alias("text"))
+    heads = one.join(copies, one.doc_id == copies.b).select("b", "copies", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
+    placed = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
+    both = placed.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(heads.drop("copies"), ["b", "copy"])
+
+    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def near(x: str, y: str) -> bool:
+            return within(code_points(x), code_points(y), int(EDITS * max(len(x), len(y))))
+
+        return lambda b: b.filter(pa.array(map(near, texts(b, "text_a"), texts(b, "text_b")))).select(["a", "mark_a", "b", "mark_b"])
+
+    found = map_batches(both.select("a", "mark_a", "b", "mark_b", "text_a", "text_b"), make, f"a {kind}, mark_a string, b {kind}, mark_b string")
+    ways = F.explode(F.array(F.struct(F.col("mark_a").alias("fingerprint"), F.col("a").alias("class_id"), F.col("b").alias("near_id")), F.struct(F.col("mark_b").alias("fingerprint"), F.col("b").alias("class_id"), F.col("a").alias("near_id"))))
+    return found.select(ways.alias("x")).select("x.fingerprint", "x.class_id", F.lit(1).cast("long").alias("links"), "x.near_id", F.col("x.near_id").alias("head"))
+
+
 def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id (the smallest id with the same fingerprint); near_id (the smallest id of another class alike enough), links (how many classes are), and component_id (the smallest class_id reachable over links).
+    """doc_id, class_id (the smallest id with the same fingerprint); near_id (the smallest id of another class that is near), links (how many classes are), and component_id (the smallest class_id reachable over links).
 
-    Buckets that share classes are joined to clusters, and all pairs of a cluster are compared, a pair of blocks of bounded size a task."""
+    Near are classes of a likeness of at least least, and those less alike that share a bucket, one of them its smallest, if their texts are at most EDITS of the longer apart.
+    Buckets that share classes are joined to clusters, and all pairs of a cluster are compared, a pair of blocks of bounded size a task. Rows with a null id are of no class of their own."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = cut(fingerprints(docs, id_col, text_col))
     classes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
     own = classes.filter("class_id is not null")
-    banded = bands(own.withColumnRenamed("class_id", "doc_id")).select("doc_id", "band", "key")
-    heads = banded.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
-    candidates = banded.join(heads, ["band", "key"]).filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    banded = bands(own.withColumnRenamed("class_id", "doc_id"))
+    heads = banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
+    candidates = cut(banded.join(heads, "key").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct())
     placed = own.join(components(fewer_links(candidates)).select(F.col("node").alias("class_id"), F.col("component").alias("cluster")), "class_id")
     sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
     members = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
@@ -175,7 +308,8 @@ def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id",
     verified = _verify(least)
     # dealt out by pairs of blocks: by clusters alone, a large one would be one task's
     pairs = pairs.repartition("cluster", "low", "high")
-    linked = cut(pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}"))
+    alike_ones = pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}")
+    linked = cut(alike_ones.unionByName(near_in_text(candidates, own, plain(docs, id_col, text_col), least, kind)))
     joined = components(linked.select(F.col("class_id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
     best = linked.groupBy("fingerprint").agg(F.sum("links").alias("links"), F.min("near_id").alias("near_id"))
     ruled = classes.join(best, "fingerprint", "left").join(joined, "class_id", "left")
@@ -184,8 +318,11 @@ def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id",
 
 
 def successors(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and text dealt out by ranges of the id (part), where each range also has the first row of the range after it (ahead = 1), and the last the first of all."""
-    own = plain(docs, id_col, text_col).filter(F.col(id_col).isNotNull())
+    """doc_id and text dealt out by ranges of the id (part), where each range also has the first row of the range after it (ahead = 1), and the last the first of all.
+
+    Rows with a null id are dealt out by their text, and marked by ahead = 2."""
+    every = plain(docs, id_col, text_col)
+    own = every.filter("doc_id is not null")
     if parts > 1:
         bounds = sorted(set(own.agg(F.percentile_approx("doc_id", [k / parts for k in range(1, parts)], 10_000)).first()[0] or []))
     else:
@@ -197,45 +334,55 @@ def successors(docs: DataFrame, parts: int, id_col: str = "doc_id", text_col: st
     before = [(first, firsts[k - 1][0]) for k, (_, first) in enumerate(firsts)]
     wanted = F.create_map(*[F.lit(x) for pair in before for x in pair]) if before else F.create_map(F.lit(-1), F.lit(0))
     both = F.array_compact(F.array(F.struct("part", F.lit(0).alias("ahead")), F.when(F.col("doc_id").isin([x for x, _ in before]), F.struct(wanted[F.col("doc_id")].alias("part"), F.lit(1).alias("ahead")))))
-    return own.select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.part", "to.ahead")
+    placed = own.select("doc_id", "text", F.explode(both).alias("to")).select("doc_id", "text", "to.part", "to.ahead")
+    others = every.filter("doc_id is null").select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(parts)).cast("int").alias("part"), F.lit(2).alias("ahead"))
+    return placed.unionByName(others)
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows by part, ahead, doc_id: each document, its edited text with the next document's beginning, and the likeness to both."""
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    held, out = None, []
-
-    def close(held: tuple, text: str, mark: str) -> None:
-        i, own, walked, own_mark = held
-        cut = len(own) // 4
-        edited = own[: len(own) - cut] + text[:cut]
-        edited_mark = edited_fingerprint(walked, len(own) - cut, text[:cut])
-        out.append((i, len(own), hashlib.sha256(edited.encode("utf-8", "replace")).hexdigest(), own_mark, edited_mark, _like(own_mark, edited_mark), _like(own_mark, mark)))
-
-    def flush() -> pa.RecordBatch:
-        rows = [pa.array(x) for x in zip(*out, strict=True)]
-        out.clear()
-        return pa.record_batch(rows, names)
-
+    held = None
     for b in batches:
-        for i, text, _, ahead in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-            text = text or ""
-            if held is None and ahead:
-                continue
-            walked = walk(text)
-            mark = sample(*walked)
+        rows = [(i, t or "", ahead) for i, t, _, ahead in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True)]
+        for a, z in groups([len(t) for _, t, _ in rows], GROUP):
+            codes = [code_points(t) for _, t, _ in rows[a:z]]
+            ends = walks(codes)
+            pairs = []
+            for (i, text, ahead), code, end in zip(rows[a:z], codes, ends, strict=True):
+                one = (i, text, code, end, sample(code, end))
+                if ahead == 2:
+                    pairs.append((one, ("", "0" * DIGITS * SLOTS)))
+                    continue
+                if held is not None:
+                    pairs.append((held, (text, one[4])))
+                # of what lies ahead only the first row counts
+                held = None if ahead else one
             if held is not None:
-                close(held, text, mark)
-            # of what lies ahead only the first row counts
-            held = None if ahead else (i, text, walked, mark)
-        if out:
-            yield flush()
+                # not the whole group's steps with it
+                held = (*held[:3], held[3].copy(), held[4])
+            if pairs:
+                yield pa.record_batch([pa.array(x) for x in zip(*_edited(pairs), strict=True)], names)
+
+
+def _edited(pairs: list[tuple]) -> list[tuple]:
+    """For each walked document and the next one's text and fingerprint: the result's row. The walks go on from where what is kept of the document ends."""
+    cuts = [len(x[1]) // 4 for x, _ in pairs]
+    tails = [code_points(text[:k]) for k, (_, (text, _)) in zip(cuts, pairs, strict=True)]
+    keep = [len(x[1]) - k for k, (x, _) in zip(cuts, pairs, strict=True)]
+    start = np.array([x[3][:, n - 1] if n else np.zeros(WALKS) for n, (x, _) in zip(keep, pairs, strict=True)], np.int64)
+    out = []
+    for ((i, text, code, ends, mark), (following, next_mark)), k, n, tail, later in zip(pairs, cuts, keep, tails, walks(tails, start), strict=True):
+        edited = sample(np.concatenate((code[:n], tail)), np.concatenate((ends[:, :n], later), axis=1))
+        digest = hashlib.sha256((text[:n] + following[:k]).encode("utf-8", "replace")).hexdigest()
+        out.append((i, len(text), digest, mark, edited, _like(mark, edited), _like(mark, next_mark)))
+    return out
 
 
 def compare_with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """For every document: its fingerprint, that of the text edited with the next document's beginning, and the likeness to the edited text and to the next document.
 
-    Documents are ordered by id, equal ids by text; the next of the last is the first. Rows with a null id have no place and are left out."""
+    Documents are ordered by id, equal ids by text; the next of the last is the first. A row with a null id has no place, and what follows it is the empty text."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = successors(docs, parts, id_col, text_col).repartitionById(parts, F.col("part")).sortWithinPartitions("part", "ahead", "doc_id", "text")
     kind = docs.schema[id_col].dataType.simpleString()

@@ -46,12 +46,34 @@ def empty(spark):
     return spark.createDataFrame([], SCHEMA)
 
 
+def plain_fingerprint(text):
+    # each walk by itself, a character at a time, with the embedding written out
+    stay, place, steps, out = fingerprints.stays(), fingerprints.places(), fingerprints.sample_steps(), []
+    code = [ord(c) for c in text]
+    mul = lambda x, y: (x * y) & 0xFFFFFFFF
+    for w in range(fingerprints.WALKS):
+        written, j = [], 0
+        for i, c in enumerate(code):
+            n = int(stay[(j + int(place[mul(c, 0x9E3779B1) >> 24, w])) % fingerprints.PERIOD])
+            written += [i] * n
+            j += n
+        for s in range(fingerprints.PER_WALK):
+            step = max(x for x in steps[w * fingerprints.PER_WALK + s].tolist() if x < len(written))
+            x = 0
+            for k in range(5, -1, -1):
+                x = mul(x + code[min(written[step] + k, len(code) - 1)], 0x9E3779B1)
+            x ^= mul(step, 0x27D4EB2F)
+            out.append(mul(x ^ x >> 15, 0x2C1B3C6D) >> 16)
+    return "".join(v.to_bytes(2, "little").hex() for v in out)
+
+
 def test_fingerprints(docs, empty):
     rows = sorted((r for r in ROWS if r[0] is not None), key=lambda r: (r[0], r[1] or ""))
-    got = sorted(fingerprints.compare_with_next(docs).collect(), key=lambda r: r.doc_id)
+    got = sorted(fingerprints.compare_with_next(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id or 0, r.n_chars))
+    follow = [(r, rows[(k + 1) % len(rows)][1] or "") for k, r in enumerate(rows)] + [(r, "") for r in sorted((r for r in ROWS if r[0] is None), key=lambda r: len(r[1]))]
     want = []
-    for k, r in enumerate(rows):
-        t, s = r[1] or "", rows[(k + 1) % len(rows)][1] or ""
+    for r, s in follow:
+        t = r[1] or ""
         cut = len(t) // 4
         e = t[: len(t) - cut] + s[:cut]
         want.append((r[0], len(t), hashlib.sha256(e.encode()).hexdigest(), fingerprints.fingerprint(t), fingerprints.fingerprint(e)))
@@ -64,53 +86,108 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprints(docs).count() == len(ROWS)
 
 
-def test_near_documents(spark, empty, monkeypatch):
-    # a template whose least like copy has the smallest id
-    base = words(400, 31).split()
-    r, rows = random.Random(5), []
-    for i in range(60):
-        own = list(base)
-        for _ in range(45 if i == 0 else r.choice((1, 2, 4, 8, 16))):
-            own[r.randrange(len(own))] = words(1, 9000 + r.randrange(5000))
-        rows.append((i, " ".join(own)))
-    rows += [(100, rows[7][1]), (101, words(200, 32)), (102, None)]
+def test_walks_together_and_alone():
+    some = [BASE, "", "a", "漢字" * 90, words(30, 3), "x" * 700, "Ünïcode \U0001f600 text", *[words(20 + k, k) for k in range(12)]]
+    assert fingerprints.marks(some) == [fingerprints.fingerprint(t) for t in some]
+    assert [fingerprints.fingerprint(t) for t in some if t] == [plain_fingerprint(t) for t in some if t]
+
+
+def edits(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edits_within():
+    r = random.Random(8)
+    for k in range(400):
+        a = "".join(r.choice("abc") for _ in range(r.choice((0, 1, 5, 40, 200, 300))))
+        b = list(a)
+        for _ in range(r.choice((0, 1, 3, 10, 30))):
+            at = r.randint(0, len(b))
+            b[at : at + r.randint(0, 2)] = r.choice(("", "a", "bc"))
+        b = "".join(b) if k % 5 else "".join(r.choice("abc") for _ in range(r.randint(0, 200)))
+        n = edits(a, b)
+        for most in {0, n // 2, n - 1, n, n + 1, 2 * n} - {-1}:
+            assert fingerprints.within(fingerprints.code_points(a), fingerprints.code_points(b), most) == (n <= most), (a, b, most, n)
+
+
+def near_by_plain_means(rows):
+    """class_id, near_id, links and component_id by all pairs: likeness, or a shared bucket and the texts' edits."""
     mark = {i: fingerprints.fingerprint(t or "") for i, t in rows}
+    text = {i: t or "" for i, t in rows}
     first = {m: min(i for i in mark if mark[i] == m) for m in mark.values()}
-    ids = sorted(first.values())
-    near = {a: [b for b in ids if a != b and fingerprints._like(mark[a], mark[b]) >= 0.75] for a in ids}
+    ids, near, head = sorted(first.values()), collections.defaultdict(set), {}
+    for i in ids:
+        for w in range(fingerprints.WALKS):
+            for k in range(fingerprints.BANDS):
+                slots = [mark[i][4 * s : 4 * s + 4] for s in range(w * fingerprints.PER_WALK + 2 * k, w * fingerprints.PER_WALK + 2 * k + 2)]
+                head.setdefault((w, k, *slots), []).append(i)
+    for a in ids:
+        near[a] |= {b for b in ids if a != b and fingerprints._like(mark[a], mark[b]) >= 0.75}
+    for members in head.values():
+        for b in members[1:]:
+            a = members[0]
+            if 0.03 <= fingerprints._like(mark[a], mark[b]) < 0.75 and b not in near[a] and edits(text[a], text[b]) <= int(0.05 * max(len(text[a]), len(text[b]))):
+                near[a].add(b)
+                near[b].add(a)
     reach = {}
     for a in ids:
         todo, seen = [a], {a}
         while todo:
-            new = set(near[todo.pop()]) - seen
+            new = near[todo.pop()] - seen
             seen |= new
             todo += new
         reach[a] = min(seen)
-    want = {i: (c, min(near[c], default=None), len(near[c]), reach[c]) for i, m in mark.items() for c in [first[m]]}
-    assert sum(bool(v) for v in near.values()) > 20 and any(len(v) < len(ids) - 3 for v in near.values() if v)
+    return {i: (c, min(near[c], default=None), len(near[c]), reach[c]) for i, m in mark.items() for c in [first[m]]}, near
+
+
+def test_near_documents(spark, empty, monkeypatch):
+    # a template whose least like copy has the smallest id
+    base = words(150, 31).split()
+    r, rows = random.Random(5), []
+    for i in range(40):
+        own = list(base)
+        for _ in range(25 if i == 0 else r.choice((1, 2, 4, 8))):
+            own[r.randrange(len(own))] = words(1, 9000 + r.randrange(5000))
+        rows.append((i, " ".join(own)))
+    rows += [(100, rows[7][1]), (101, words(200, 32)), (102, None), (103, "moved to the front of it " + rows[3][1])]
+    want, near = near_by_plain_means(rows)
+    assert sum(bool(v) for v in near.values()) > 20 and any(len(v) < 30 for v in near.values() if v)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    for block in (1024, 8):
+    for block, pairs in ((1024, 1000), (8, 2)):
         monkeypatch.setattr(fingerprints, "BLOCK", block)
+        monkeypatch.setattr(fingerprints, "HEAD_PAIRS", pairs)
         got = {x.doc_id: (x.class_id, x.near_id, x.links, x.component_id) for x in fingerprints.near_documents(df).collect()}
         assert got == want
     assert fingerprints.near_documents(empty).count() == 0
 
 
 def test_near_documents_recall(spark):
-    # banding against all pairs of fingerprints of a given table
+    # all pairs of a given table: those within a twentieth of edits are found, and whatever is linked has much in common
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    mark = {r.doc_id: r.fingerprint for r in fingerprints.fingerprints(docs).collect()}
-    first = {}
-    for i in sorted(mark):
-        first.setdefault(mark[i], i)
-    ids = np.array(sorted(first.values()))
-    x = np.array([np.frombuffer(bytes.fromhex(mark[i]), np.uint8) for i in ids.tolist()])
-    want = 0
-    for k in range(len(ids)):
-        like = ((x == x[k]).mean(1) - 1 / 256) / (1 - 1 / 256)
-        want += int((like >= 0.75).sum()) - 1
-    got = {r.class_id: r.links for r in fingerprints.near_documents(docs).collect()}
-    assert want > 0 and 0.98 * want <= sum(got.values()) <= want
+    text = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    codes = {i: fingerprints.code_points(t) for i, t in text.items()}
+    count = {i: np.bincount(c % 512, minlength=512) for i, c in codes.items()}
+    got = {r.doc_id: r for r in fingerprints.near_documents(docs).collect()}
+    ids = sorted({r.class_id for r in got.values() if text[r.class_id]})
+    table = np.stack([count[i] for i in ids])
+    want = found = 0
+    for k, i in enumerate(ids):
+        size = np.array([len(codes[j]) for j in ids[:k]])
+        apart = np.maximum(np.maximum(table[:k] - table[k], 0).sum(1), np.maximum(table[k] - table[:k], 0).sum(1))
+        close = np.flatnonzero(apart <= 0.05 * np.maximum(size, len(codes[i])))
+        some = [ids[j] for j in close if fingerprints.within(codes[ids[j]], codes[i], int(0.05 * max(len(codes[ids[j]]), len(codes[i]))))]
+        want += bool(some)
+        found += any(got[j].component_id == got[i].component_id for j in some)
+    assert want > 5 and found >= 0.9 * want
+    for r in got.values():
+        if r.near_id is not None:
+            a, b = codes[r.class_id], codes[r.near_id]
+            assert fingerprints.within(a, b, int(0.5 * max(len(a), len(b))))
 
 
 def test_token_counts(docs, empty):
