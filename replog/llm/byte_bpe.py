@@ -30,6 +30,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from .common import map_batches
 
@@ -263,7 +264,7 @@ def encode(docs: DataFrame, ranks_path: str | None = None, pattern: str = public
         data = f.read()
     own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     kind = own.schema["doc_id"].dataType.simpleString()
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
+    arrow = to_arrow_type(own.schema["doc_id"].dataType)
     # as many parts as there are shuffle partitions, so that each partition's distinct words fit in a task
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     words = own.mapInArrow(_words(pattern, block_chars, parts), "block long, part int, n int, lengths binary, size int, words binary, mark long")
