@@ -7,8 +7,8 @@ training documents of that language is rejected.
 
 Edge cases: a text that is null or has no letter is `und`, score 0, and rejected; rows without a language teach nothing; without any learnable
 row every text is `und`; equal similarities go to the language first by code point; a null id is in fold 0; rows that repeat are predicted
-each, and sampled once; long texts are read whole; `recognised` keeps further columns as they are, whatever their names; more than
-MOST_LANGUAGES values raise an error; an empty table gives an empty result.
+each, and sampled once; long texts are read whole; `recognised` keeps further columns as they are, whatever their names; with more languages
+than the sample has documents, those are learned that the sample meets, one document each; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -30,8 +30,8 @@ DIM = 4096
 #: Labelled documents that the centroids are fitted on, about, shared equally by the languages.
 SAMPLE = 5000
 CENTROIDS = 4
-#: More values than this are no languages.
-MOST_LANGUAGES = 500
+#: Centroids in all, about: with more languages than a fourth of these, each has fewer, one at least. With SAMPLE this bounds what is broadcast.
+MOST_CENTROIDS = 2000
 #: A text is rejected if its cosine is below this share of the lowest hundredth of its language's training cosines.
 SLACK = 0.5
 SHARPNESS = 20.0
@@ -79,11 +79,12 @@ class Model:
 
     def predict(self, docs: list[str]) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
         """The language, its score, its cosine and whether the text is rejected, for each text."""
+        first = np.flatnonzero(np.diff(self.owner, prepend=-1))
         found, score, near, out = ["und"] * len(docs), np.zeros(len(docs)), np.zeros(len(docs)), np.ones(len(docs), bool)
         for a in range(0, len(docs) if self.langs else 0, 256):
             x = vectors(docs[a : a + 256], self.idf)
             cos = x @ self.centroids.T
-            by_lang = np.stack([cos[:, self.owner == k].max(1) for k in range(len(self.langs))], 1)
+            by_lang = np.maximum.reduceat(cos, first, axis=1)
             best = by_lang.argmax(1)
             top = by_lang[np.arange(len(x)), best]
             soft = np.exp(SHARPNESS * (by_lang - top[:, None]))
@@ -132,23 +133,29 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE, centroids: int = CENTROIDS
     lang, mark = fresh(docs, "lang", "mark")
     rows = docs.filter(learn & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = rows.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias(lang), F.xxhash64(id_col, text_col, F.lit("fit")).alias(mark))
-    # one row a language, and one more than there may be
-    langs = sorted(r[0] for r in rows.select(lang).distinct().limit(MOST_LANGUAGES + 1).collect())
-    if len(langs) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages: {lang_col} is no language")
+    # one row a language, the first by a hash, and one more than the sample may meet
+    langs = [r[0] for r in rows.select(lang).distinct().orderBy(F.xxhash64(lang), lang).limit(sample + 1).collect()]
+    taught = rows
+    if len(langs) > sample:
+        met = docs.sparkSession.createDataFrame([(x,) for x in langs[:sample]], f"`{lang}` string")
+        langs, taught = langs[:sample], rows.join(F.broadcast(met), lang, "left_semi")
+    langs = sorted(langs)
     if not langs:
         return Model([], np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), np.zeros(0, int), np.zeros(0))
     # a language's documents up to the hash of that rank; tasks send no more than so many hashes of a language
     place = F.row_number().over(W.partitionBy(lang).orderBy(mark))
-    last = rows.select(lang, mark).withColumn("place", place).filter(F.col("place") <= max(1, sample // len(langs))).groupBy(lang).agg(F.max(mark).alias("last"))
-    chosen = rows.join(F.broadcast(last), lang).filter(F.col(mark) <= F.col("last")).groupBy(lang, mark).agg(F.min("text").alias("text"))
+    last = taught.select(lang, mark).withColumn("place", place).filter(F.col("place") <= max(1, sample // len(langs))).groupBy(lang).agg(F.max(mark).alias("last"))
+    chosen = taught.join(F.broadcast(last), lang).filter(F.col(mark) <= F.col("last")).groupBy(lang, mark).agg(F.min("text").alias("text"))
     # vectors are made by the tasks; the driver gets packed sparse ones, about sample in all
     taken = map_batches(chosen.select(mark, "text", lang), _sparse, "lang string, at binary, n binary").collect()
     idf = inverse_frequencies(rows.select("doc_id", "text"))
+    centroids, by_lang = max(1, min(centroids, MOST_CENTROIDS // len(langs))), {}
+    for r in taken:
+        by_lang.setdefault(r.lang, []).append(r)
     parts, owner, floor = [], [], []
     for k, lang in enumerate(langs):
-        x = np.zeros((sum(r.lang == lang for r in taken), DIM), np.float32)
-        for j, r in enumerate(r for r in taken if r.lang == lang):
+        x = np.zeros((len(by_lang[lang]), DIM), np.float32)
+        for j, r in enumerate(by_lang[lang]):
             x[j, np.frombuffer(r.at, np.uint16)] = np.frombuffer(r.n, np.float32)
         x = np.log1p(x) * idf
         x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-12)

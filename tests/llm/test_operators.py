@@ -575,3 +575,25 @@ def test_fewer_links(spark):
     whole, less = ({r.node: r.component for r in components(x).collect()} for x in (links, few))
     assert whole == less and few.count() < len(set(rows))
     assert fewer_links(links.limit(0)).count() == 0
+
+
+def test_many_languages(spark):
+    # a language each, with words of its own: more values than centroids may be, and more than the sample has documents
+    rows = [(i, words(40, 7000 + i // 2), f"l{i // 2:04d}") for i in range(1400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    model = language.fit(df, F.lit(True))
+    assert len(model.langs) == 700 and len(model.centroids) <= language.MOST_CENTROIDS
+    got = {r.doc_id: r.lang_pred for r in language.identify(df, model).collect()}
+    assert sum(got[i] == lang for i, _, lang in rows) >= 0.95 * len(rows)
+    few = language.fit(df, F.lit(True), sample=300)
+    assert len(few.langs) == 300 == len(few.centroids)
+    assert {r.lang_pred for r in language.identify(df, few).collect()} <= set(few.langs)
+
+
+def test_byte_bpe_ids_of_any_type(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, None), (3, "Ünïcode")], "doc_id long, text string")
+    want = {str(r.doc_id): r.ids for r in byte_bpe.encode(df).collect()}
+    for kind in ("smallint", "decimal(9,0)", "string"):
+        got = byte_bpe.encode(df.withColumn("doc_id", F.col("doc_id").cast(kind)))
+        assert got.schema["doc_id"].dataType.simpleString() == kind
+        assert {str(r.doc_id): r.ids for r in got.collect()} == want
