@@ -267,11 +267,11 @@ def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
 
 
 def near_in_text(candidates: DataFrame, own: DataFrame, docs: DataFrame, least: float, kind: str) -> DataFrame:
-    """Links (as _verify gives them, both ways) of the candidates a, b whose likeness is below least, but whose texts are at most EDITS of the longer apart.
+    """Links (both ways) of the candidates a, b whose likeness is below least, but whose texts are at most EDITS of the longer apart.
 
     own has class_id and fingerprint, docs doc_id and text. A head's text is copied once for about HEAD_PAIRS of its pairs, so that none has all of them in one task."""
     marked = candidates.join(own.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("mark_a")), "a").join(own.select(F.col("class_id").alias("b"), F.col("fingerprint").alias("mark_b")), "b")
-    pairs = cut(marked.withColumn("like", likeness(F.col("mark_a"), F.col("mark_b"))).filter((F.col("like") >= PLAUSIBLE) & (F.col("like") < least)).drop("like"))
+    pairs = cut(marked.withColumn("like", likeness(F.col("mark_a"), F.col("mark_b"))).filter((F.col("like") >= PLAUSIBLE) & (F.col("like") < least)).select("a", "b"))
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HEAD_PAIRS)).cast("int").alias("copies"))
     one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("x")).select("doc_id", F.coalesce("x.text", F.lit("")).alias("text"))
     heads = one.join(copies, one.doc_id == copies.b).select("b", "copies", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
@@ -282,17 +282,17 @@ def near_in_text(candidates: DataFrame, own: DataFrame, docs: DataFrame, least:
         def near(x: str, y: str) -> bool:
             return within(code_points(x), code_points(y), int(EDITS * max(len(x), len(y))))
 
-        return lambda b: b.filter(pa.array(map(near, texts(b, "text_a"), texts(b, "text_b")))).select(["a", "mark_a", "b", "mark_b"])
+        return lambda b: b.filter(pa.array(map(near, texts(b, "text_a"), texts(b, "text_b")))).select(["a", "b"])
 
-    found = map_batches(both.select("a", "mark_a", "b", "mark_b", "text_a", "text_b"), make, f"a {kind}, mark_a string, b {kind}, mark_b string")
-    ways = F.explode(F.array(F.struct(F.col("mark_a").alias("fingerprint"), F.col("a").alias("class_id"), F.col("b").alias("near_id")), F.struct(F.col("mark_b").alias("fingerprint"), F.col("b").alias("class_id"), F.col("a").alias("near_id"))))
-    return found.select(ways.alias("x")).select("x.fingerprint", "x.class_id", F.lit(1).cast("long").alias("links"), "x.near_id", F.col("x.near_id").alias("head"))
+    found = map_batches(both.select("a", "b", "text_a", "text_b"), make, f"a {kind}, b {kind}")
+    ways = F.explode(F.array(F.struct(F.col("a").alias("class_id"), F.col("b").alias("near_id")), F.struct(F.col("b").alias("class_id"), F.col("a").alias("near_id"))))
+    return found.select(ways.alias("x")).select("x.class_id", F.lit(1).cast("long").alias("links"), "x.near_id", F.col("x.near_id").alias("head"))
 
 
 def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, class_id (the smallest id with the same fingerprint); near_id (the smallest id of another class that is near), links (how many classes are), and component_id (the smallest class_id reachable over links).
 
-    Near are classes of a likeness of at least least, and those less alike that share a bucket, one of them its smallest, if their texts are at most EDITS of the longer apart.
+    Near are classes of a likeness of at least least, and of those that such links do not join, the ones that share a bucket, one of them its smallest, if their texts are at most EDITS of the longer apart.
     Buckets that share classes are joined to clusters, and all pairs of a cluster are compared, a pair of blocks of bounded size a task. Rows with a null id are of no class of their own."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = cut(fingerprints(docs, id_col, text_col))
@@ -308,11 +308,15 @@ def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id",
     verified = _verify(least)
     # dealt out by pairs of blocks: by clusters alone, a large one would be one task's
     pairs = pairs.repartition("cluster", "low", "high")
-    alike_ones = pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}")
-    linked = cut(alike_ones.unionByName(near_in_text(candidates, own, plain(docs, id_col, text_col), least, kind)))
+    alike_ones = cut(pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}").drop("fingerprint"))
+    # texts are compared only where likeness has not joined the two classes yet
+    joined = components(alike_ones.select(F.col("class_id").alias("a"), F.col("head").alias("b")))
+    sides = [joined.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]
+    apart = candidates.join(sides[0], "a", "left").join(sides[1], "b", "left").filter(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
+    linked = cut(alike_ones.unionByName(near_in_text(apart, own, plain(docs, id_col, text_col), least, kind)))
     joined = components(linked.select(F.col("class_id").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("class_id"), F.col("component").alias("component_id"))
-    best = linked.groupBy("fingerprint").agg(F.sum("links").alias("links"), F.min("near_id").alias("near_id"))
-    ruled = classes.join(best, "fingerprint", "left").join(joined, "class_id", "left")
+    best = linked.groupBy("class_id").agg(F.sum("links").alias("links"), F.min("near_id").alias("near_id"))
+    ruled = classes.join(best, "class_id", "left").join(joined, "class_id", "left")
     members = found.join(ruled, "fingerprint")
     return members.select("doc_id", "class_id", "near_id", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("component_id", "class_id").alias("component_id"))
 

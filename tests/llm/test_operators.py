@@ -128,20 +128,22 @@ def near_by_plain_means(rows):
                 head.setdefault((w, k, *slots), []).append(i)
     for a in ids:
         near[a] |= {b for b in ids if a != b and fingerprints._like(mark[a], mark[b]) >= 0.75}
-    for members in head.values():
-        for b in members[1:]:
-            a = members[0]
-            if 0.03 <= fingerprints._like(mark[a], mark[b]) < 0.75 and b not in near[a] and edits(text[a], text[b]) <= int(0.05 * max(len(text[a]), len(text[b]))):
-                near[a].add(b)
-                near[b].add(a)
-    reach = {}
-    for a in ids:
+    def reached(a):
         todo, seen = [a], {a}
         while todo:
             new = near[todo.pop()] - seen
             seen |= new
             todo += new
-        reach[a] = min(seen)
+        return min(seen)
+
+    alike = {a: reached(a) for a in ids}
+    for members in head.values():
+        for b in members[1:]:
+            a = members[0]
+            if alike[a] != alike[b] and 0.03 <= fingerprints._like(mark[a], mark[b]) < 0.75 and b not in near[a] and edits(text[a], text[b]) <= int(0.05 * max(len(text[a]), len(text[b]))):
+                near[a].add(b)
+                near[b].add(a)
+    reach = {a: reached(a) for a in ids}
     return {i: (c, min(near[c], default=None), len(near[c]), reach[c]) for i, m in mark.items() for c in [first[m]]}, near
 
 
