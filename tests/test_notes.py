@@ -163,3 +163,18 @@ def test_many_terms_in_one_pass(spark):
     lines = df.select((F.col("id") % 3).alias("file_id"), F.col("id").alias("line_number"), F.coalesce("text", F.lit("")).alias("body"))
     many, few = (sorted(map(tuple, I.keyword_search(lines, w, 100).collect())) for w in (["abca", "bab", *["zz"] * 20], ["abca", "bab"]))
     assert many == few and few
+
+
+def test_lists_are_made_before_files_ask(spark, monkeypatch):
+    monkeypatch.setattr(K, "ASKERS", 2)
+    versions, names_ = ["May 2023", None], ["Oracle source", None, "mysql"]
+    fixes = [(f"F{i}", v, c) for i, (v, c) in enumerate((v, c) for v in ("May 2022", "May 2024", "Preview") for c in ("Oracle", "Server", "MySQL", None))]
+    df = spark.createDataFrame(fixes, "fix_id string, version string, component string")
+    files = [(i, versions[i % 2], names_[i % 3]) for i in range(60)] + [(None, "May 2023", "mysql")]
+    found = K.relevant_fixes(df, spark.createDataFrame(files, "file_id long, version string, endpoint string"), 3)
+    # nothing is put in order for each file: its list is ready when it meets it
+    assert "windowspecdefinition(file_id" not in found._jdf.queryExecution().analyzed().toString()
+    got = {}
+    for x in sorted(found.collect(), key=lambda x: x["rank"]):
+        got.setdefault(x.file_id, []).append((x.fix_id, x.version, x.specific, x.future))
+    assert got == {i: plain_fixes(fixes, v, (e or "").lower(), 3) for i, v, e in files}
