@@ -9,7 +9,7 @@ over the whole of their length, and texts with a common part sample it at the sa
 
 Two fingerprints' likeness is the mean, over the better half of the walks, of the share of equal slots above what chance gives. Near documents
 are found by banding: bands of slots of one walk bring together documents that agree on all of one band, so that one walk that held suffices.
-Likeness verifies all pairs of what bands join; pairs less alike that share a bucket with its smallest id are verified by their texts' edit distance.
+Likeness verifies all pairs within buckets of wider bands, of which two as alike as asked must share one; pairs less alike that share a bucket with its smallest id are verified by their texts' edit distance.
 
 Edge cases: a null text counts as empty; an empty text has the fingerprint of an embedding without steps, alike only to itself; rows that
 repeat are fingerprinted each; long texts are walked whole; a row with a null id has no place in the order of ids, so that what follows it is
@@ -24,11 +24,12 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_batches, plain, texts
-from .components import components, fewer_links
+from .components import components
 
 #: Independent walks, and the slots of a fingerprint, as many of each walk.
 WALKS, SLOTS = 8, 128
@@ -38,10 +39,10 @@ READ, DIGITS, CHANCE = 6, 4, 1 / 65536
 FACTORS = np.array([pow(0x9E3779B1, k + 1, 1 << 32) for k in range(READ)], np.uint32)
 #: The walks read one sequence of random bits, of this length, from a place of its own for each walk and class of characters.
 PERIOD, CLASSES = 1 << 17, 256
-#: Bands of each walk, and the slots in each.
+#: Bands of each walk that bring texts together, and the slots in each.
 BANDS, WIDTH = 8, 2
-#: Classes of a block, about, when a cluster is compared.
-BLOCK = 1024
+#: Classes of a block, about, when those of a large bucket are compared; rows of blocks that are compared in one call, about, and pairs at once.
+BLOCK, PARCEL, PAIRS = 1024, 4096, 1 << 14
 #: Pairs of one head and one copy of its text, about, when texts are compared.
 HEAD_PAIRS = 1000
 #: Characters walked at once, about; texts left in step below which each is walked by itself.
@@ -222,58 +223,110 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return map_batches(plain(docs, id_col, text_col), lambda: lambda b: pa.record_batch([b.column(0), pa.array(marks(texts(b)), pa.string())], ["doc_id", "fingerprint"]), f"doc_id {kind}, fingerprint string")
 
 
-def bands(found: DataFrame) -> DataFrame:
-    """doc_id and one row a band: the key of its bucket, a hash of the band's number and the bits sampled for it."""
-    size = DIGITS * WIDTH
-    starts = [(w * BANDS + k, 1 + DIGITS * PER_WALK * w + size * k) for w in range(WALKS) for k in range(BANDS)]
-    keys = F.array(*[F.xxhash64(F.lit(n), F.substring("fingerprint", at, size)) for n, at in starts])
-    return found.select("doc_id", F.explode(keys).alias("key"))
+def bands(found: DataFrame, width: int = WIDTH) -> DataFrame:
+    """doc_id and one row a band: its number, and the key of its bucket, a hash of the number and the bits sampled for it."""
+    size = DIGITS * width
+    starts = [1 + DIGITS * PER_WALK * w + size * k for w in range(WALKS) for k in range(PER_WALK // width)]
+    keys = F.array(*[F.xxhash64(F.lit(n), F.substring("fingerprint", at, size)) for n, at in enumerate(starts)])
+    return found.select("doc_id", F.posexplode(keys).alias("band", "key"))
 
 
-def _verify(least: float) -> Callable[[pa.Table], pa.Table]:
-    """For two blocks of a cluster (or one with itself): each class with links, their number, the smallest id linked, and the smallest that links join it with here."""
+def sure_width(least: float) -> int:
+    """The most slots that a band may have for any two fingerprints of a likeness of at least least (above 0) to agree on a whole band.
+
+    In the best walk as great a share of slots agrees as on average. As many bands as it has other slots, and one more, cannot all be broken."""
+    unlike = PER_WALK - int(np.ceil(PER_WALK * (least * (1 - CHANCE) + CHANCE)))
+    return next((w for w in (4, 2) if PER_WALK // w > unlike), 1)
+
+
+def _verify(least: float, width: int) -> Callable[[pa.Table], pa.Table]:
+    """For some pairs of blocks of buckets (or of one with itself): each class with links, their number, the smallest id linked, and the smallest that links join it with here.
+
+    A pair that shares several buckets counts in that of the first band on which it agrees."""
+    whole = {4: np.uint64, 2: np.uint32, 1: np.uint16}[width]
+
+    def pieces(key: np.ndarray, low: np.ndarray, high: np.ndarray, block: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """A row, and the range of the rows that it meets."""
+        new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (low[1:] != low[:-1]) | (high[1:] != high[:-1]), [True])))
+        for a, z in zip(new[:-1].tolist(), new[1:].tolist(), strict=True):
+            same = low[a] == high[a]
+            middle = z if same else a + int((block[a:z] == low[a]).sum())
+            yield from ((k, k + 1 if same else middle, z) for k in range(a, middle))
 
     def one(group: pa.Table) -> pa.Table:
-        mark, ids, block = group["fingerprint"].to_pylist(), group["class_id"].to_pylist(), group["block"].to_numpy()
-        x = np.frombuffer(bytes.fromhex("".join(mark)), np.uint16).reshape(-1, SLOTS)
-        low, high = group["low"][0].as_py(), group["high"][0].as_py()
-        a, b = np.flatnonzero(block == low), np.flatnonzero(block == high)
-        links, near, root = [0] * len(ids), list(ids), list(range(len(ids)))
-
-        def find(k: int) -> int:
-            while root[k] != k:
-                root[k] = k = root[root[k]]
-            return k
-
-        def add(k: int, j: int) -> None:
-            near[k] = ids[j] if not links[k] else min(near[k], ids[j])
-            links[k] += 1
-
-        for k in a.tolist():
-            for j in b[alike(x[b], x[k]) >= least].tolist():
-                if ids[j] == ids[k]:
-                    continue
-                add(k, j)
-                if low != high:
-                    add(j, k)
-                p, q = find(k), find(j)
-                if p != q:
-                    root[p if ids[p] > ids[q] else q] = q if ids[p] > ids[q] else p
-        s = [k for k, n in enumerate(links) if n]
-        kind = group.schema.field("class_id").type
-        return pa.table({"fingerprint": pa.array([mark[k] for k in s], pa.string()), "class_id": pa.array([ids[k] for k in s], kind), "links": pa.array([links[k] for k in s], pa.int64()), "near_id": pa.array([near[k] for k in s], kind), "head": pa.array([ids[find(k)] for k in s], kind)})
+        ids = group["class_id"].combine_chunks().dictionary_encode()
+        order = pc.array_sort_indices(ids.dictionary)
+        place = np.empty(len(order), np.int64)
+        place[order.to_numpy()] = np.arange(len(order))
+        names, key, low, high, block = ids.dictionary.take(order), *(group[c].to_numpy() for c in ("key", "low", "high", "block"))
+        rows = np.lexsort((block, high, low, key))
+        x = np.frombuffer(b"".join(group["mark"].to_pylist()), np.uint16).reshape(-1, SLOTS)[rows]
+        band, who = group["band"].to_numpy()[rows], place[ids.indices.to_numpy()][rows]
+        wide = x.view(whole)
+        links, near, root = np.zeros(len(names), np.int64), np.full(len(names), len(names)), np.arange(len(names))
+
+        def compare(held: list[tuple[int, int, int]]) -> None:
+            a = np.repeat([k for k, _, _ in held], [z - f for _, f, z in held])
+            b = np.concatenate([np.arange(f, z) for _, f, z in held])
+            first = (wide[a] == wide[b]).argmax(1) == band[a]
+            a, b = a[first], b[first]
+            close = alike(x[a], x[b]) >= least
+            p, q = who[a[close]], who[b[close]]
+            for here, there in ((p, q), (q, p)):
+                np.add.at(links, here, 1)
+                np.minimum.at(near, here, there)
+            while ((u := root[p]) != (v := root[q])).any():
+                np.minimum.at(root, np.maximum(u, v), np.minimum(u, v))
+                while (root[root] != root).any():
+                    root[:] = root[root]
+
+        held, many = [], 0
+        for k, f, z in pieces(key[rows], low[rows], high[rows], block[rows]):
+            if f < z:
+                held.append((k, f, z))
+                if (many := many + z - f) >= PAIRS:
+                    compare(held)
+                    held, many = [], 0
+        if held:
+            compare(held)
+        s = np.flatnonzero(links)
+        return pa.table({"class_id": names.take(s), "links": pa.array(links[s], pa.int64()), "near_id": names.take(near[s]), "head": names.take(root[s])})
 
     return one
 
 
+def alike_classes(own: DataFrame, least: float, kind: str) -> DataFrame:
+    """Links (class_id, links, near_id, head) between all classes (class_id, fingerprint) of a likeness of at least least, in several rows a class.
+
+    Bands are so narrow that no such pair is missed, and as wide as that allows. Those who share a bucket are compared, a large bucket by pairs of blocks of bounded size, and some thousand rows of
+    blocks a call."""
+    width = sure_width(least)
+    banded = bands(own.withColumnRenamed("class_id", "doc_id"), width)
+    shared = banded.groupBy("key").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    placed = banded.join(shared, "key").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("doc_id", "band", "key", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    met = cut(met)
+    parcels = max(1, -(-met.count() // PARCEL))
+    rows = met.join(own.select(F.col("class_id").alias("doc_id"), F.unhex("fingerprint").alias("mark")), "doc_id").withColumnRenamed("doc_id", "class_id")
+    rows = rows.withColumn("parcel", F.pmod(F.xxhash64("key", "low", "high"), F.lit(parcels)))
+    verified = _verify(least, width)
+    return rows.groupBy("parcel").applyInArrow(lambda g: verified(g), f"class_id {kind}, links long, near_id {kind}, head {kind}")
+
+
 def near_in_text(candidates: DataFrame, own: DataFrame, docs: DataFrame, least: float, kind: str) -> DataFrame:
     """Links (both ways) of the candidates a, b whose likeness is below least, but whose texts are at most EDITS of the longer apart.
 
     own has class_id and fingerprint, docs doc_id and text. A head's text is copied once for about HEAD_PAIRS of its pairs, so that none has all of them in one task."""
-    marked = candidates.join(own.select(F.col("class_id").alias("a"), F.col("fingerprint").alias("mark_a")), "a").join(own.select(F.col("class_id").alias("b"), F.col("fingerprint").alias("mark_b")), "b")
+    lengths = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.coalesce(F.min_by(F.length(F.coalesce("text", F.lit(""))), F.xxhash64("text")), F.lit(0)).alias("size"))
+    own = own.join(lengths, own.class_id == lengths.doc_id).select("class_id", "fingerprint", "size")
+    side = lambda x: own.select(F.col("class_id").alias(x), F.col("fingerprint").alias(f"mark_{x}"), F.col("size").alias(f"size_{x}"))
+    # no text is moved for a pair whose lengths alone are too far apart
+    sized = F.abs(F.col("size_a") - F.col("size_b")) <= F.floor(F.lit(EDITS) * F.greatest("size_a", "size_b"))
+    marked = candidates.join(side("a"), "a").join(side("b"), "b").filter(sized)
     pairs = cut(marked.withColumn("like", likeness(F.col("mark_a"), F.col("mark_b"))).filter((F.col("like") >= PLAUSIBLE) & (F.col("like") < least)).select("a", "b"))
+    needed = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
     copies = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(HEAD_PAIRS)).cast("int").alias("copies"))
-    one = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("x")).select("doc_id", F.coalesce("x.text", F.lit("")).alias("text"))
+    one = docs.join(needed, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.struct("text"), F.xxhash64("text")).alias("x")).select("doc_id", F.coalesce("x.text", F.lit("")).alias("text"))
     heads = one.join(copies, one.doc_id == copies.b).select("b", "copies", F.col("text").alias("text_b"), F.explode(F.sequence(F.lit(0), F.col("copies") - 1)).alias("copy"))
     placed = pairs.join(copies, "b").withColumn("copy", F.pmod(F.xxhash64("a"), F.col("copies")).cast("int")).drop("copies")
     both = placed.join(one.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a").join(heads.drop("copies"), ["b", "copy"])
@@ -293,7 +346,7 @@ def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id",
     """doc_id, class_id (the smallest id with the same fingerprint); near_id (the smallest id of another class that is near), links (how many classes are), and component_id (the smallest class_id reachable over links).
 
     Near are classes of a likeness of at least least, and of those that such links do not join, the ones that share a bucket, one of them its smallest, if their texts are at most EDITS of the longer apart.
-    Buckets that share classes are joined to clusters, and all pairs of a cluster are compared, a pair of blocks of bounded size a task. Rows with a null id are of no class of their own."""
+    All pairs as alike as that are found (alike_classes). Rows with a null id are of no class of their own."""
     kind = docs.schema[id_col].dataType.simpleString()
     found = cut(fingerprints(docs, id_col, text_col))
     classes = cut(found.groupBy("fingerprint").agg(F.min("doc_id").alias("class_id")))
@@ -301,14 +354,9 @@ def near_documents(docs: DataFrame, least: float = 0.75, id_col: str = "doc_id",
     banded = bands(own.withColumnRenamed("class_id", "doc_id"))
     heads = banded.groupBy("key").agg(F.min("doc_id").alias("head"), F.count("*").alias("n")).filter("n > 1")
     candidates = cut(banded.join(heads, "key").filter("doc_id <> head").select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct())
-    placed = own.join(components(fewer_links(candidates)).select(F.col("node").alias("class_id"), F.col("component").alias("cluster")), "class_id")
-    sizes = placed.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    members = placed.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("fingerprint"), F.col("blocks")).cast("int"))
-    pairs = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("fingerprint", "class_id", "cluster", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    verified = _verify(least)
-    # dealt out by pairs of blocks: by clusters alone, a large one would be one task's
-    pairs = pairs.repartition("cluster", "low", "high")
-    alike_ones = cut(pairs.groupBy("cluster", "low", "high").applyInArrow(lambda g: verified(g), f"fingerprint string, class_id {kind}, links long, near_id {kind}, head {kind}").drop("fingerprint"))
+    # who shares a band of several times the slots shares one of these
+    some = candidates.select(F.col("a").alias("class_id")).unionByName(candidates.select(F.col("b").alias("class_id"))).distinct()
+    alike_ones = cut(alike_classes(own if sure_width(least) < WIDTH else cut(own.join(some, "class_id", "left_semi")), least, kind))
     # texts are compared only where likeness has not joined the two classes yet
     joined = components(alike_ones.select(F.col("class_id").alias("a"), F.col("head").alias("b")))
     sides = [joined.select(F.col("node").alias(x), F.col("component").alias(f"of_{x}")) for x in ("a", "b")]

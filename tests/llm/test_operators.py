@@ -168,6 +168,37 @@ def test_near_documents(spark, empty, monkeypatch):
     assert fingerprints.near_documents(empty).count() == 0
 
 
+def test_alike_classes(spark, monkeypatch):
+    # a chain, each link like the one before: all are of one cluster, and few are compared
+    r = np.random.default_rng(3)
+    chain = [r.integers(0, 65536, fingerprints.SLOTS, dtype=np.uint16)]
+    for _ in range(199):
+        chain.append(chain[-1].copy())
+        at = r.choice(fingerprints.SLOTS, 24, False)
+        chain[-1][at] = r.integers(0, 65536, len(at))
+    marks = [(i, x.tobytes().hex()) for i, x in enumerate(chain)]
+    own = spark.createDataFrame(marks, "class_id long, fingerprint string").repartition(3)
+    x = np.stack(chain)
+    for least, width, block, parcel in ((0.75, 4, 1024, 4096), (0.75, 4, 3, 8), (0.5, 2, 1024, 64), (0.45, 1, 1024, 4096)):
+        monkeypatch.setattr(fingerprints, "BLOCK", block)
+        monkeypatch.setattr(fingerprints, "PARCEL", parcel)
+        assert fingerprints.sure_width(least) == width
+        want = {(i, j) for i in range(len(x)) for j in np.flatnonzero(fingerprints.alike(x, x[i]) >= least).tolist() if i != j}
+        rows = fingerprints.alike_classes(own, least, "long").collect()
+        links, near = collections.Counter(), {}
+        for one in rows:
+            links[one.class_id] += one.links
+            near[one.class_id] = min(near.get(one.class_id, one.near_id), one.near_id)
+        assert want and links == collections.Counter(i for i, _ in want)
+        assert near == {i: min(j for k, j in want if k == i) for i in links}
+    compared, plainly = [], fingerprints.alike
+    monkeypatch.setattr(fingerprints, "alike", lambda a, b: compared.append(len(a)) or plainly(a, b))
+    keys = [(i, n, hash((n, bytes(v)))) for i, row in enumerate(x) for n, v in enumerate(row.reshape(-1, 4))]
+    group = pa.table({"class_id": [i for i, _, _ in keys], "band": pa.array([n for _, n, _ in keys], pa.int32()), "key": [k for _, _, k in keys], "mark": [x[i].tobytes() for i, _, _ in keys], **{c: pa.array([0] * len(keys), pa.int32()) for c in ("block", "low", "high")}})
+    found = fingerprints._verify(0.75, 4)(group)
+    assert sum(compared) < 10 * len(x) and found.num_rows > 100
+
+
 def test_near_documents_recall(spark):
     # all pairs of a given table: those within a twentieth of edits are found, and whatever is linked has much in common
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
