@@ -3,7 +3,10 @@
 import math
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -12,6 +15,7 @@ from replog.operators import events as E
 from replog.operators import graph as G
 from replog.operators import parse as R
 from replog.plans import scale as S
+from replog.plans.queries import QUERIES
 
 
 def rows_of(df):
@@ -132,3 +136,33 @@ def test_vector_topk_by_parts(spark, monkeypatch):
     assert K.vector_topk(q.limit(0), v).count() == 0 and K.vector_topk(q, v.limit(0)).count() == 0
     merged = K.collections_topk(q, {"old": v.filter("id < 100"), "new": v.filter("id >= 100")}, 3).filter("query_id = 0").collect()
     assert len(merged) == 6 and {x.collection for x in merged} == {"old", "new"} and [x["rank"] for x in merged] == [1, 2, 3, 4, 5, 6]
+
+
+def peak_mb(run, batch):
+    """The most memory that a function of Arrow batches takes beside the batch."""
+    tracemalloc.start()
+    try:
+        rows = sum(b.num_rows for b in run(iter([batch])))
+        return tracemalloc.get_traced_memory()[1] / 1e6, rows
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_a_bounded_part_of_a_batch(spark, monkeypatch):
+    kept, kind = [], type(spark.range(1))
+    monkeypatch.setattr(kind, "mapInArrow", lambda self, f, *a, g=kind.mapInArrow, **k: kept.append(f) or g(self, f, *a, **k))
+    v = spark.createDataFrame([(i, [float(i % 7), 1.0], "x") for i in range(300)], "id long, v array<double>, kind string")
+    K.vector_topk(v.select(F.col("id").alias("query_id"), F.concat(*["v"] * 32).alias("q"), "kind"), v, 5, ["kind"])
+    r = np.random.default_rng(1)
+    batch = pa.record_batch([pa.array(range(10_000)), pa.array(list(r.normal(size=(10_000, 64)))), pa.array(["x"] * 10_000)], ["id", "v", "kind"])
+    mb, rows = peak_mb(kept[-1], batch)
+    assert rows == 300 * 5 and mb < 25
+    K.clean_articles(spark.createDataFrame([("u", "x")], "url string, html string"))
+    html = "<html><title>t</title><body>" + "<p>some words</p>" * 1000 + "</body></html>"
+    mb, rows = peak_mb(kept[-1], pa.record_batch([pa.array(["u"] * 1000), pa.array([html] * 1000)], ["url", "html"]))
+    assert rows == 1000 and mb < 12
+
+
+def test_siblings_are_searched_once(spark):
+    found = QUERIES["sibling_matches"](spark, "/root/testdata/sf0.001")
+    assert "MapInArrow" not in found._jdf.queryExecution().executedPlan().toString()
