@@ -3,9 +3,10 @@
 Examples are a bounded sample of learnable labelled documents, as normalised vectors over every term that two of them share. A term weighs
 (1 + log tf) * idf * rf: document frequencies are counted over all documents, and rf = log2(2 + a / max(1, c)) raises terms that stand in more
 toxic examples (a) than clean ones (c); it is 1 at least, so no term is left out. Examples lie in an inverted index whose posting lists are
-sorted by weight and cut into blocks with their largest weight. A text's nearest examples by exact cosine are found in groups of terms, those
-that can add most first: blocks that cannot lift an unseen example to the k-th best so far are skipped, and what is left is scored from its
-whole vector. Votes weighted by similarity are calibrated on the examples themselves, each left out of its own neighbours.
+sorted by weight and cut into blocks with their largest weight. Lists that are long and flat are rows of a matrix instead, and what they add
+is one product for some texts at a time. A text's other terms go in groups, those that can add most first: blocks that cannot lift an unseen
+example to the k-th best so far are skipped, and what is left is scored by exact cosine from its whole vector. Votes weighted by similarity are
+calibrated on the examples themselves, each left out of its own neighbours.
 
 Edge cases: a null or empty text, and a text that shares no term with the examples, has no neighbour and gets the calibrated score of such
 examples; without labelled examples every score is 0, and with one kind only it is near that kind's label; of labels that repeat an id the
@@ -33,9 +34,12 @@ from .common import cut, fold, map_batches, one_each, plain, sampled_labels, tex
 SAMPLE = 3_000
 NEIGHBOURS = 16
 #: Postings in a block; terms in the first group, later groups are twice as large as the one before.
-BLOCK, GROUP = 64, 32
+BLOCK, GROUP = 64, 128
 #: Blocks are skipped as long as that hides less than this share of the k-th best; examples that are few enough to be scored one by one.
-SLACK, FEW = 0.05, 256
+SLACK, FEW = 0.05, 64
+#: Lists that hold more than this share of the examples and whose median weighs more than this share of the heaviest are rows of a matrix: the
+#: blocks of so flat a list can hardly be skipped. Rows at most, the longest lists first; texts that are multiplied with the matrix at once.
+COMMON, FLAT, ROWS, TEXTS = 0.1, 0.05, 512, 64
 #: Bins of the calibration.
 BINS = 21
 TERM = re.compile(r"[^\W_]+")
@@ -48,7 +52,8 @@ def terms_of(text: str) -> list[str]:
 
 def term_counts(text: str, vocabulary: dict[str, int]) -> Counter:
     """How often each term of the vocabulary occurs, by its number."""
-    return Counter({vocabulary[t]: n for t, n in Counter(terms_of(text)).items() if t in vocabulary})
+    at = vocabulary.get
+    return Counter({k: n for t, n in Counter(terms_of(text)).items() if (k := at(t)) is not None})
 
 
 def slices(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -92,6 +97,36 @@ class Index:
     #: Posting blocks read and skipped by searches of this process.
     blocks: tuple[int, int] = (0, 0)
 
+    @cached_property
+    def common(self) -> tuple[np.ndarray, np.ndarray]:
+        """The row of each term whose list is a row of the matrix (-1 for others), and the matrix."""
+        length = np.diff(self.start)
+        terms = np.flatnonzero(length > COMMON * len(self.ids))
+        terms = terms[self.weight[self.start[terms] + length[terms] // 2] > FLAT * self.weight[self.start[terms]]]
+        terms = terms[np.lexsort((terms, -length[terms]))][:ROWS]
+        row, rows = np.full(len(self.start) - 1, -1), np.zeros((len(terms), len(self.ids)))
+        row[terms] = np.arange(len(terms))
+        for j, t in enumerate(terms):
+            own = slice(self.start[t], self.start[t + 1])
+            rows[j, self.example[own]] = self.weight[own]
+        return row, rows
+
+    def sums(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the terms of the matrix add to each example's cosine with each vector."""
+        row, rows = self.common
+        of = np.zeros((len(vectors), len(rows)))
+        for j, (at, v) in enumerate(vectors):
+            own = row[at]
+            of[j, own[own >= 0]] = v[own >= 0]
+        return of @ rows
+
+    def search(self, texts: list[str], k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """The nearest examples of each text."""
+        for a in range(0, len(texts), TEXTS):
+            vectors = [self.weights.vector(t) for t in texts[a : a + TEXTS]]
+            for (at, v), top in zip(vectors, self.sums(vectors), strict=True):
+                yield self.nearest(at, v, k, top)
+
     def cosines(self, some: np.ndarray, at: np.ndarray, v: np.ndarray) -> np.ndarray:
         """The exact cosines of some examples, each summed over its whole vector in the order of its terms."""
         dense = np.zeros(len(self.start) - 1)
@@ -100,18 +135,21 @@ class Index:
         take = slices(self.begin[some], length)
         return np.add.reduceat(dense[self.of[take]] * self.value[take], np.cumsum(length) - length)
 
-    def nearest(self, at: np.ndarray, v: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the k nearest examples of a vector and their cosines, leaving out those that share no term."""
+    def nearest(self, at: np.ndarray, v: np.ndarray, k: int, top: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the k nearest examples of a vector and their cosines, leaving out those that share no term. top is its row of sums."""
         none = np.zeros(0, np.int64), np.zeros(0)
         long = self.start[at + 1] > self.start[at]
         at, v = at[long], v[long]
         if not len(at):
             return none
-        most = v * self.weight[self.start[at]]
-        order = np.lexsort((at, -most))
-        s, e, q, most = self.start[at[order]], self.start[at[order] + 1], v[order], most[order]
+        top = self.sums([(at, v)])[0] if top is None else top
+        sparse = np.flatnonzero(self.common[0][at] < 0)
+        most = v[sparse] * self.weight[self.start[at[sparse]]]
+        order = sparse[np.lexsort((at[sparse], -most))]
+        s, e, q, most = self.start[at[order]], self.start[at[order] + 1], v[order], -np.sort(-most)
         after = most.sum() - np.cumsum(most)  # what terms after each can add
-        top, rest, missed, least, read, skipped = np.zeros(len(self.ids)), float(most.sum()), 0.0, 0.0, 0, 0
+        kth = lambda: np.partition(top, len(top) - k)[len(top) - k] if len(top) >= k else 0.0
+        rest, missed, least, read, skipped = float(most.sum()), 0.0, kth(), 0, 0
         a, size = 0, GROUP
         while a < len(q):
             z = min(len(q), a + size)
@@ -120,7 +158,9 @@ class Index:
             stop = e[a:z].copy()
             if spare > 0:
                 share = min(1.0, spare / whole) * (1 - 1e-9)
-                for j in np.flatnonzero((stop - s[a:z] > BLOCK) | (share > 0.99)):
+                # only lists whose last block can be skipped are looked at
+                last = self.weight[s[a:z] + (stop - s[a:z] - 1) // BLOCK * BLOCK]
+                for j in np.flatnonzero(last <= share * self.weight[s[a:z]]):
                     x, y = s[a + j], e[a + j]
                     stop[j] = min(y, x + BLOCK * int(np.count_nonzero(self.weight[x:y:BLOCK] > share * self.weight[x])))
                 left = stop < e[a:z]
@@ -130,7 +170,7 @@ class Index:
             if n.any():
                 take = slices(s[a:z], n)
                 top += np.bincount(self.example[take], self.weight[take] * np.repeat(q[a:z], n), len(top))
-            least = np.partition(top, len(top) - k)[len(top) - k] if len(top) >= k else 0.0
+            least = kth()
             rest = missed + max(0.0, float(after[z - 1]))
             a, size = z, size * 2
             # few enough examples can still be among the nearest, and none that is unseen: they are scored from their own vectors
@@ -238,8 +278,7 @@ def _votes(index, k: int) -> Callable[[], Callable[[pa.RecordBatch], pa.RecordBa
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
             votes = []
-            for i, t in zip(b.column(0).to_pylist(), texts(b), strict=True):
-                near, cosine = own.nearest(*own.weights.vector(t), k + 1)
+            for i, (near, cosine) in zip(b.column(0).to_pylist(), own.search(texts(b), k + 1), strict=True):
                 other = own.ids[near] != i
                 votes.append(own.vote(near[other][:k], cosine[other][:k]))
             return pa.record_batch([b.column(0), b.column(2), pa.array(votes, pa.float64())], ["doc_id", "label", "vote"])
@@ -285,7 +324,7 @@ def score(docs: DataFrame, model: Model, k: int = NEIGHBOURS, id_col: str = "doc
         index = shared.value
 
         def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            found = [index.nearest(*index.weights.vector(t), k) for t in texts(b)]
+            found = list(index.search(texts(b), k))
             scores = [calibrated(curve, index.vote(*x)) for x in found]
             return pa.record_batch([b.column(0), pa.array(scores, pa.float64()), pa.array([index.ids[x] for x, _ in found], pa.list_(pa.int64())), pa.array([x for _, x in found], pa.list_(pa.float64()))], ["doc_id", "score", "nearest", "cosines"])
 

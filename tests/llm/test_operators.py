@@ -403,6 +403,28 @@ def test_toxicity_blocks(monkeypatch):
     assert index.blocks[1] > 0.02 * sum(index.blocks)
 
 
+def test_toxicity_common_terms():
+    # words that most examples hold, with weights much alike, beside rare ones: only lists of the rare ones are read
+    r = random.Random(9)
+    common, rare = [f"common{k}" for k in range(80)], [f"rare{k}" for k in range(500)]
+    vocabulary = sorted({*common, *rare})
+    weights = toxicity.Weights(vocabulary, np.linspace(1, 2, len(vocabulary)))
+    made = [" ".join(r.sample(common, 30) + r.sample(rare, 5)) for _ in range(1500)]
+    vectors = [weights.vector(t) for t in made]
+    index = toxicity.build(weights, np.arange(1500), np.zeros(1500), vectors)
+    dense = np.zeros((1500, len(vocabulary)))
+    for j, (at, v) in enumerate(vectors):
+        dense[j, at] = v
+    asked = [*made[:150], "", "unknown", common[0], rare[0]]
+    for t, (near, found) in zip(asked, index.search(asked, 16), strict=True):
+        at, v = weights.vector(t)
+        cosine = dense[:, at] @ v
+        want = np.lexsort((np.arange(1500), -np.round(cosine, 12)))[: min(16, np.count_nonzero(cosine))]
+        assert np.allclose(cosine[want], found) and np.allclose(cosine[near], found) and (cosine[near] > 0).all()
+    # each of a text's five rare lists has one block; the thirty common ones would have hundreds
+    assert len(index.common[1]) == len(set(common)) and sum(index.blocks) <= 6 * len(asked)
+
+
 @pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
 def test_toxicity_has_neighbours(spark, sf):
     sf_dir = f"/root/testdata/{sf}"
