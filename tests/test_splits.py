@@ -34,3 +34,12 @@ def test_operators_over_splits(spark, small):
         for operator in operators:
             found = rows(operator(placed, split="split"))
             assert found and found == rows(operator(whole))
+
+
+def plan(df):
+    return df._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_uploads_parse_lines_once(spark, small):
+    placed = R.fill_continuations(R.parse_prefix(synth.placed_loads(spark, SF)), "split", True)
+    assert "body" in plan(R.parse_file_ops(placed, "split")) and "body" not in plan(E.upload_tables(placed, "split"))
