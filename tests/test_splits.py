@@ -4,6 +4,7 @@ import pytest
 
 from replog.operators import events as E
 from replog.operators import parse as R
+from replog.operators import questions as QU
 from replog.sources import synth
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +44,14 @@ def plan(df):
 def test_uploads_parse_lines_once(spark, small):
     placed = R.fill_continuations(R.parse_prefix(synth.placed_loads(spark, SF)), "split", True)
     assert "body" in plan(R.parse_file_ops(placed, "split")) and "body" not in plan(E.upload_tables(placed, "split"))
+
+
+def test_equal_questions_are_classified_once(spark):
+    own = spark.createDataFrame([(k, k % 2, q) for k, q in enumerate([*["How many errors are there?"] * 300, *["top tables"] * 300, None, "nothing"])], "question_id long, file_id long, question string")
+    facts = spark.createDataFrame([(0, "COUNT", "errors", 0, "errors", 7), (1, "TOP", "top_tables", 1, "t", 3)], "file_id long, type string, entity string, place int, label string, value long")
+    got = QU.answer(own, facts)
+    want = QU.classify(own).join(facts, ["file_id", "type", "entity"]).select(got.columns)
+    assert rows(got) == rows(want) and got.count() == 300
+    # no pattern is looked for in rows of questions
+    scans = [part for part in plan(got).split("\n") if "RLIKE" in part]
+    assert scans and all("question_id" not in part for part in scans)
