@@ -55,3 +55,11 @@ def test_equal_questions_are_classified_once(spark):
     # no pattern is looked for in rows of questions
     scans = [part for part in plan(got).split("\n") if "RLIKE" in part]
     assert scans and all("question_id" not in part for part in scans)
+
+
+def test_parts_grow_with_rows(spark, monkeypatch):
+    # no part holds much more than the rows of some splits, however few shuffle partitions there are
+    monkeypatch.setattr(synth, "SPLIT", 16)
+    placed = synth.placed_lines(spark, SF)
+    total = spark.read.parquet(f"{SF}/events.parquet").count()
+    assert placed.rdd.getNumPartitions() == 1 + total // 16
