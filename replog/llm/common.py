@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+#: Rows of an Arrow batch that a task turns into Python's objects at a time, where it holds whole texts.
+ROWS = 256
 #: A word: a run of code points other than the space and U+0009 to U+000D.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,12 +48,19 @@ def _own_folder() -> str:
     return tempfile.mkdtemp(prefix="spark-checkpoint-")
 
 
-def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType) -> DataFrame:
-    """Applies make()'s function to each Arrow batch; make() runs once a task, so that it can set up models and tables there."""
+def pieces(batches: Iterator[pa.RecordBatch], rows: int = ROWS) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of so many rows."""
+    for b in batches:
+        for a in range(0, b.num_rows, rows):
+            yield b.slice(a, rows)
+
+
+def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch | None]], schema: str | StructType, rows: int | None = None) -> DataFrame:
+    """Applies make()'s function to each Arrow batch, or to slices of so many rows; make() runs once a task, so that it can set up models and tables there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         f = make()
-        for b in batches:
+        for b in pieces(batches, rows) if rows else batches:
             if b.num_rows and (out := f(b)) is not None:
                 yield out
 

@@ -13,7 +13,7 @@ than the sample has documents, those are learned that the sample meets, one docu
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import cache
 
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import fold, fresh, map_batches, plain, texts
+from .common import ROWS, fold, fresh, map_batches, pieces, plain, texts
 
 #: Dimensions of the hashed vectors.
 DIM = 4096
@@ -111,17 +111,15 @@ def clusters(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def inverse_frequencies(docs: DataFrame) -> np.ndarray:
     """Inverse document frequencies over all of docs (doc_id, text): each task sums its own, so that DIM rows a task are added up."""
 
-    def make() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
-        def one(b: pa.RecordBatch) -> pa.RecordBatch:
-            df, rows = np.zeros(DIM, np.int64), texts(b)
-            for a in range(0, len(rows), 256):
-                df += (counts(rows[a : a + 256]) > 0).sum(0)
-            return pa.record_batch([pa.array(np.arange(DIM + 1), pa.int32()), pa.array(np.append(df, len(rows)), pa.int64())], ["bucket", "n"])
-
-        return one
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        df = np.zeros(DIM + 1, np.int64)
+        for b in pieces(batches):
+            df[:DIM] += (counts(texts(b)) > 0).sum(0)
+            df[DIM] += b.num_rows
+        yield pa.record_batch([pa.array(np.arange(DIM + 1), pa.int32()), pa.array(df, pa.int64())], ["bucket", "n"])
 
     total = np.zeros(DIM + 1)
-    for r in map_batches(docs, make, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in docs.mapInArrow(run, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         total[r.bucket] = r.n
     return np.log((1 + total[DIM]) / (1 + total[:DIM])).astype(np.float32) + 1
 
@@ -147,7 +145,7 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE, centroids: int = CENTROIDS
     last = taught.select(lang, mark).withColumn("place", place).filter(F.col("place") <= max(1, sample // len(langs))).groupBy(lang).agg(F.max(mark).alias("last"))
     chosen = taught.join(F.broadcast(last), lang).filter(F.col(mark) <= F.col("last")).groupBy(lang, mark).agg(F.min("text").alias("text"))
     # vectors are made by the tasks; the driver gets packed sparse ones, about sample in all
-    taken = map_batches(chosen.select(mark, "text", lang), _sparse, "lang string, at binary, n binary").collect()
+    taken = map_batches(chosen.select(mark, "text", lang), _sparse, "lang string, at binary, n binary", ROWS).collect()
     idf = inverse_frequencies(rows.select("doc_id", "text"))
     centroids, by_lang = max(1, min(centroids, MOST_CENTROIDS // len(langs))), {}
     for r in taken:
@@ -172,12 +170,11 @@ def fit(docs: DataFrame, learn, sample: int = SAMPLE, centroids: int = CENTROIDS
 
 def _sparse() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
     def one(b: pa.RecordBatch) -> pa.RecordBatch:
-        rows, at, n = texts(b), [], []
-        for a in range(0, len(rows), 256):
-            for x in counts(rows[a : a + 256]):
-                some = np.flatnonzero(x)
-                at.append(some.astype(np.uint16).tobytes())
-                n.append(x[some].tobytes())
+        at, n = [], []
+        for x in counts(texts(b)):
+            some = np.flatnonzero(x)
+            at.append(some.astype(np.uint16).tobytes())
+            n.append(x[some].tobytes())
         return pa.record_batch([b.column(2), pa.array(at, pa.binary()), pa.array(n, pa.binary())], ["lang", "at", "n"])
 
     return one
@@ -197,7 +194,7 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
 
         return one
 
-    return map_batches(plain(docs, id_col, text_col), make, f"doc_id {kind}, lang_pred string, score double, cosine double, rejected boolean")
+    return map_batches(plain(docs, id_col, text_col), make, f"doc_id {kind}, lang_pred string, score double, cosine double, rejected boolean", ROWS)
 
 
 def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
@@ -209,7 +206,7 @@ def recognised(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
         m = shared.value
         return lambda b: b.filter(pa.array(~m.predict([t or "" for t in b.column(at).to_pylist()])[3]))
 
-    return map_batches(docs, make, docs.schema)
+    return map_batches(docs, make, docs.schema, ROWS)
 
 
 def learnable(id_col: str = "doc_id"):

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, fresh, map_batches, texts
+from .common import ROWS, cut, fresh, map_batches, texts
 from .components import components
 
 #: Words of a shingle; permutations, each with a minimum and a maximum; values in a band.
@@ -197,7 +197,7 @@ def across(outside: pa.Table, block: pa.Table) -> pa.Table:
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable over links) and kept (whether it is its own) for every row of docs."""
     own = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).cast("string").alias("text"))
-    signed = cut(map_batches(own, _signatures, "doc long, n long, d1 long, d2 long, keys array<long>"))
+    signed = cut(map_batches(own, _signatures, "doc long, n long, d1 long, d2 long, keys array<long>", ROWS))
     placed = signed.filter("doc is not null and d1 is not null")
     classes = cut(placed.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.first("keys").alias("keys"), F.first("n").alias("n")))
     banded = classes.select("doc", F.explode("keys").alias("key"))
@@ -211,7 +211,7 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in members.schema.fields)
     # texts are read and moved once for the sets of all members; later steps join these sets
-    sets = cut(map_batches(members.join(own, "doc").select(*members.columns, "text"), _sets, f"{fields}, s binary"))
+    sets = cut(map_batches(members.join(own, "doc").select(*members.columns, "text"), _sets, f"{fields}, s binary", ROWS))
     groups = cut(sets.groupBy("cluster", "block").applyInArrow(lambda g: within(g), "doc long, cluster long, group long"))
     several = sets.filter("blocks > 1")
     if not several.isEmpty():

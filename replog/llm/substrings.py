@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, map_batches, named
+from .common import ROWS, fresh, map_batches, named, pieces
 
 WINDOW = 16
 #: One space in so many is a cut; after GAP bytes without one, one character in OTHER is; after MOST bytes any.
@@ -101,45 +101,58 @@ def ends(code: np.ndarray) -> np.ndarray:
     return np.array(out, np.int64)
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int], list[int], list[bytes]]]:
-    ids, keys, held, total = [], [], [], 0
-    for b in batches:
+def _blocks(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[tuple[list[int], list[int], list[int], bytearray]]:
+    """Documents, keys, numbers of chunks and the digests of all chunks of a block; of its texts only the one at hand is held."""
+    digest = xxhash.xxh3_128_digest
+    ids, keys, n, marks, total = [], [], [], bytearray(), 0
+    for b in pieces(batches):
         for i, k, t in zip(*(b.column(c).to_pylist() for c in range(3)), strict=True):
+            code = (t or "").encode("utf-8", "replace")
+            cuts = ends(np.frombuffer(code, np.uint8)).tolist()
+            marks += b"".join([digest(code[a:z]) for a, z in zip([0, *cuts[:-1]], cuts)])
             ids.append(i)
             keys.append(k)
-            held.append((t or "").encode("utf-8", "replace"))
-            total += len(held[-1])
+            n.append(len(cuts))
+            total += len(code)
             if total >= size:
-                yield ids, keys, held
-                ids, keys, held, total = [], [], [], 0
+                yield ids, keys, n, marks
+                ids, keys, n, marks, total = [], [], [], bytearray(), 0
     if ids:
-        yield ids, keys, held
+        yield ids, keys, n, marks
 
 
 def _chunks(size: int) -> Callable:
     """Rows of a block: digest (d1, d2), doc, key and place of each chunk; owner is null for a block's first of a digest, else a document that has the chunk before it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        digest = xxhash.xxh3_128_digest
-        for ids, keys, held in _blocks(batches, size):
-            cuts = [ends(np.frombuffer(t, np.uint8)) for t in held]
-            n = np.array([len(c) for c in cuts])
-            marks = b"".join(digest(t[a:z]) for t, c in zip(held, cuts, strict=True) for a, z in zip([0, *c[:-1].tolist()], c.tolist()))
+        for ids, keys, n, marks in _blocks(batches, size):
+            n = np.array(n)
             d = np.frombuffer(marks, np.int64).reshape(-1, 2)
-            doc, key = np.repeat(np.array(ids, np.int64), n), np.repeat(np.array(keys, np.int32), n)
+            # the documents of the block by id and key, so that a chunk's row is one number that sorts as they do
+            row = np.repeat(np.arange(len(n), dtype=np.int32), n)
             place = (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-            d1, d2 = d[:, 0], d[:, 1].astype(np.int32)
-            order = np.lexsort((place, key, doc, d2, d1))
-            d1, d2, doc, key, place = d1[order], d2[order], doc[order], key[order], place[order]
+            d1, d2 = d[:, 0].copy(), d[:, 1].astype(np.int32)
+            del d, marks
+            ids, keys = np.array(ids, np.int64), np.array(keys, np.int32)
+            by_id = np.lexsort((keys, ids))
+            rank = np.empty(len(n), np.int32)
+            rank[by_id] = np.cumsum(np.append(0, (np.diff(ids[by_id]) != 0) | (np.diff(keys[by_id]) != 0)))
+            order = np.lexsort((place, rank[row], d2, d1))
+            d1 = d1[order]
+            d2 = d2[order]
+            row = row[order]
+            place = place[order]
+            del order
             first = np.append(True, (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1]))[: len(d1)]
-            head = np.maximum.accumulate(np.where(first, np.arange(len(d1)), 0))
-            again = (doc == doc[head]) & (key == key[head]) & (place == place[head])  # the same row read twice
-            keep = first | ~again
-            # duplicates go to any task; their digests are no longer needed
-            d1 = np.where(first, d1, doc * 31 + place)
+            head = np.maximum.accumulate(np.where(first, np.arange(len(d1), dtype=np.int32), np.int32(0)))
             for a in range(0, len(d1), 100_000):
-                s = np.flatnonzero(keep[a : a + 100_000]) + a
-                yield pa.record_batch([pa.array(d1[s]), pa.array(d2[s]), pa.array(doc[s]), pa.array(key[s]), pa.array(place[s]), pa.array(doc[head[s]], mask=first[s])], ["d1", "d2", "doc", "key", "place", "owner"])
+                s = np.arange(a, min(a + 100_000, len(d1)))
+                h = head[s]
+                s = s[first[s] | (rank[row[s]] != rank[row[h]]) | (place[s] != place[h])]  # not the same row read twice
+                doc = ids[row[s]]
+                # duplicates go to any task; their digests are no longer needed
+                deal = np.where(first[s], d1[s], doc * 31 + place[s])
+                yield pa.record_batch([pa.array(deal), pa.array(d2[s]), pa.array(doc), pa.array(keys[row[s]]), pa.array(place[s]), pa.array(ids[row[head[s]]], mask=first[s])], ["d1", "d2", "doc", "key", "place", "owner"])
 
     return run
 
@@ -225,4 +238,4 @@ def deduplicate(docs: DataFrame, words: int = WORDS, block: int = BLOCK, id_col:
 
         return one
 
-    return map_batches(joined, make, f"{fields}, `{removed}` array<struct<start: long, end: long>>, `{earlier}` array<long>")
+    return map_batches(joined, make, f"{fields}, `{removed}` array<struct<start: long, end: long>>, `{earlier}` array<long>", ROWS)

@@ -6,6 +6,7 @@ import math
 import random
 import re
 import string
+import tracemalloc
 
 import duckdb
 import numpy as np
@@ -652,3 +653,50 @@ def test_byte_bpe_ids_of_any_type(spark):
         got = byte_bpe.encode(df.withColumn("doc_id", F.col("doc_id").cast(kind)))
         assert got.schema["doc_id"].dataType.simpleString() == kind
         assert {str(r.doc_id): r.ids for r in got.collect()} == want
+
+
+class Tasks:
+    """Stands in for a table: keeps the function that its tasks would run."""
+
+    def mapInArrow(self, run, schema):
+        self.run = run
+        return self
+
+
+def peak(run, batch):
+    """Bytes that a task over one batch holds at most, Arrow's own not counted, and its rows."""
+    tracemalloc.start()
+    try:
+        n = sum(b.num_rows for b in run(iter([batch])))
+        return tracemalloc.get_traced_memory()[1], n
+    finally:
+        tracemalloc.stop()
+
+
+def test_tasks_hold_few_texts_at_a_time():
+    # a batch of 8 MB of text
+    texts = [words(450, 9000 + i % 50) + f" {i}" for i in range(4000)]
+    batch = pa.record_batch([pa.array(range(len(texts)), pa.int64()), pa.array([0] * len(texts), pa.int32()), pa.array(texts)], ["doc", "key", "text"])
+    size = sum(map(len, texts))
+    held, n = peak(substrings._chunks(substrings.BLOCK), batch)
+    assert n > len(texts) and held < 4 * size
+    tasks = Tasks()
+    minhash.map_batches(tasks, lambda: lambda b: pa.record_batch([pa.array([sum(map(len, b.column(2).to_pylist()))])], ["n"]), "n long", minhash.ROWS)
+    held, n = peak(tasks.run, batch)
+    assert n == -(-len(texts) // minhash.ROWS) and held < size / 4
+
+
+def test_tasks_of_language_get_few_texts(spark, monkeypatch):
+    most = []
+    predict = language.Model.predict
+    model = language.Model([], np.ones(language.DIM, np.float32), np.zeros((0, language.DIM), np.float32), np.zeros(0, int), np.zeros(0))
+    monkeypatch.setattr(language.Model, "predict", lambda self, docs: (most.append(len(docs)), predict(self, docs))[1])
+    df = spark.createDataFrame([(i, "a b") for i in range(3)], "doc_id long, text string")
+    batch = pa.record_batch([pa.array(range(1000), pa.int64()), pa.array(["a b"] * 1000)], ["doc_id", "text"])
+    seen = []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, run, schema: seen.append(run))
+    language.identify(df, model)
+    language.recognised(df, model)
+    for run in seen:
+        list(run(iter([batch])))
+    assert len(seen) == 2 and sum(most) == 2000 and max(most) <= 256
